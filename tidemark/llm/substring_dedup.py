@@ -4,8 +4,9 @@ Sorting all suffixes takes a row for each byte, several times the input on disk.
 content: each window of `length` bytes belongs to the least hashed `gram`-byte string inside it, so equal windows belong to equal
 strings at equal distances, and consecutive windows with the same one form a run (about one in (length - gram + 2) / 2 bytes).
 
-1. Runs whose string occurs once can't repeat. They are found by counting string hashes, and dropped.
-2. Runs that agree in all their bytes are wholly repeated, but for the first. If a string has one kind of run only, that settles it.
+1. Runs meet by their string's hash. One that is alone can't repeat and is dropped.
+2. Runs that agree in all their bytes are wholly repeated, but for the first; those of one batch meet before the shuffle. If a string
+   has one kind of run only, that settles it.
 3. What is left is a bucket of runs around one string that differ somewhere. Their windows are sorted by bucket, one block of whole
    buckets at a time in a task; the first of equal windows stays. Buckets over BUCKET runs are dealt out window by window instead,
    equal ones of one batch being met before the shuffle, so no bucket has to fit a task.
@@ -16,12 +17,11 @@ Windows are compared by a 64-bit polynomial hash over random byte codes within t
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm.common import contiguous, mix, release, table, utf8
 
@@ -113,20 +113,29 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
         yield rows[row[first]], first + base - begins[row[first]], count, grams[place[first]], mix(whole ^ mix(shape, 25), 26), first + base
 
 
-def strings(length: int, gram: int, full: bool):
-    """Map step: the string hash of every run; with full also the run itself."""
+RUN = "g long, whole long, doc long, start long, count long, done boolean"
+
+
+def list_runs(length: int, gram: int):
+    """Map step: every run with its string hash g. Of runs of one batch that agree in all bytes the first goes on under g; the others
+    are done, being repeated as a whole, and are dealt out at random. So copies by the thousand shuffle a row a batch."""
 
     def run(batches):
         for batch in batches:
             doc = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = utf8(batch.column(1))
-            for row, start, count, grams, whole, _ in runs(data, offsets, length, gram):
-                g = pa.array(grams.view(np.int64))
-                if not full:
-                    g, n = np.unique(grams.view(np.int64), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n)], names=["g", "n"])
-                else:
-                    yield pa.RecordBatch.from_arrays([g, pa.array(whole.view(np.int64)), pa.array(doc[row]), pa.array(start), pa.array(count)], names=["g", "whole", "doc", "start", "count"])
+            found = list(runs(data, offsets, length, gram))
+            if not found:
+                continue
+            row, start, count, g, whole = (np.concatenate([x[i] for x in found]) for i in range(5))
+            own = doc[row]
+            order = np.lexsort((start, own, whole, g))
+            own, start, count, g, whole = own[order], start[order], count[order], g[order], whole[order]
+            done = np.concatenate([[False], (g[1:] == g[:-1]) & (whole[1:] == whole[:-1])])
+            g = np.where(done, mix(own.view(np.uint64) ^ mix(start.view(np.uint64), 31), 32), g)
+            for at in range(0, len(g), 100_000):
+                part = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(x[part]) for x in (g.view(np.int64), whole.view(np.int64), own, start, count, done)], names=["g", "whole", "doc", "start", "count", "done"])
 
     return run
 
@@ -286,20 +295,14 @@ def cut_documents(batches):
 
 def repeated_spans(docs: DataFrame, length: int = 100, gram: int = GRAM) -> DataFrame:
     """Spans (doc, start, end) of rows (doc, text) that repeat earlier bytes; they may overlap."""
-    counted = docs.mapInArrow(strings(length, gram, False), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where("n > 1")
-    again = docs.mapInArrow(strings(length, gram, True), "g long, whole long, doc long, start long, count long").join(counted.select("g"), "g")
-    again = table(again, "repeat-run")
+    by = Window.partitionBy("g")
+    kind = F.coalesce(F.lag("whole").over(by.orderBy("whole", "doc", "start")) != F.col("whole"), F.lit(True))
+    listed = docs.mapInArrow(list_runs(length, gram), RUN).withColumn("first", kind & ~F.col("done"))
+    listed = listed.withColumn("many", F.sum(F.col("first").cast("long")).over(by)).where("not first or many > 1")
+    listed = table(listed.select("g", "doc", "start", "count", "many", "first"), "repeat-run")
     release(docs.sparkSession)
-    kinds = again.groupBy("g", "whole").agg(F.min(F.struct("doc", "start")).alias("first"))
-    kinds = kinds.select("g", "whole", "first.doc", "first.start")
-    kinds = table(kinds, "repeat-kind")
-    many = table(kinds.groupBy("g").agg(F.count("*").alias("many")).where("many > 1"), "repeat-bucket")
-    first = kinds.select(F.col("g").alias("g1"), F.col("whole").alias("w1"), F.col("doc").alias("d1"), F.col("start").alias("s1"))
-    copies = again.join(first, (F.col("g") == F.col("g1")) & (F.col("whole") == F.col("w1"))).where("doc <> d1 or start <> s1")
-    copies = copies.select("doc", "start", (F.col("start") + F.col("count") - 1 + length).alias("end"))
-    mixed = kinds.join(many, "g").select("g", "whole", "doc", "start", "many")
-    counts = again.select("g", "whole", "doc", "start", "count")
-    mixed = mixed.join(counts, ["g", "whole", "doc", "start"])
+    copies = listed.where("not first").select("doc", "start", (F.col("start") + F.col("count") - 1 + length).alias("end"))
+    mixed = listed.where("first")
     todo = mixed.groupBy("doc").agg(F.collect_list(F.struct("start", "count", F.lit(length).cast("long").alias("length"), "g", "many")).alias("todo"))
     cut = docs.join(todo, "doc").mapInArrow(cut_runs, "g long, doc long, start long, count long, raw binary, many long")
     cut = table(cut, "repeat-bytes")
