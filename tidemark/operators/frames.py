@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.text import bind
 
@@ -19,8 +20,10 @@ BLOCK_LEVELS, DETAIL_LEVELS, GLOBAL, MIN_BLOCKS = 2, 1, 0.35, 2
 BAND, WIDE, CELL, STRONG_MOST, WIDE_MOST = (0.008, 0.08), (0.08, 0.22), 0.15, 0.10, 0.30
 FLIP_MOST, OPACITY_MOST = 0.35, 0.15
 ICON_DISTANCE = 4
-DIGEST = "luma array<int>, cb array<int>, cr array<int>, detail array<int>"
-STATS = f"mean_luma float, low_opacity_ratio float, subliminal_ratio float, subliminal_ratio_wide float, lsb_flip_rate float, chroma_lsb_flip_rate float, {DIGEST}"
+STATS = T.StructType(
+    [T.StructField(n, T.FloatType()) for n in ("mean_luma", "low_opacity_ratio", "subliminal_ratio", "subliminal_ratio_wide", "lsb_flip_rate", "chroma_lsb_flip_rate")]
+    + [T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("luma", "cb", "cr", "detail")]
+)
 
 
 def _rgb(px: np.ndarray, bgra: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,7 +102,7 @@ def chroma_flip_rate(px: np.ndarray, bgra: bool) -> float:
 @F.pandas_udf(STATS)
 def frame_stats(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     """Statistics and digest of frames (pixels, width, height, bgra, alpha is meaningful); null for null or short buffers."""
-    names = [x.split()[0] for x in STATS.split(", ")]
+    names = STATS.names
     for batch in parts:
         rows = []
         for raw, w, h, bgra, alpha in zip(*batch, strict=True):
@@ -269,7 +272,7 @@ def findings_to_text(text: Column, kinds: Column) -> Column:
 
 def join_lines(lines: Column, most: int = 24, chars: int = 80) -> Column:
     """Up to 24 lines that aren't blank, cut to 80 characters; null if there is none."""
-    kept = F.slice(F.filter(F.transform(lines, F.trim), lambda x: x != ""), 1, most)
+    kept = F.slice(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != ""), 1, most)
     return F.when(F.size(kept) > 0, F.array_join(F.transform(kept, lambda x: F.substring(x, 1, chars)), " / "))
 
 

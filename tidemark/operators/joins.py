@@ -159,7 +159,7 @@ def narrow(ceiling: Column, requested: Column, match) -> tuple[Column, Column]:
 
 def dedupe(values: Column) -> Column:
     """Values without later ones that equal an earlier one but for case and outer white space; blank ones go."""
-    rows = F.filter(F.transform(values, F.trim), lambda v: v != "")
+    rows = F.filter(F.transform(values, lambda x: F.trim(x)), lambda v: v != "")
     return F.filter(rows, lambda v, i: ~F.exists(F.slice(rows, F.lit(1), i), lambda u: F.lower(u) == F.lower(v)))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,11 +55,23 @@ def bursts(events: DataFrame, keys: list[str], time: str = "ts", gap: str = "30
 
 
 def replays(events: DataFrame, owner: str, nonce: str, order: str = "rowid", window: int = NONCES) -> DataFrame:
-    """events with replay: the nonce was accepted among the last `window` distinct ones of its owner before."""
-    by = Window.partitionBy(owner).orderBy(order)
-    rows = events.withColumn("__before", F.lag(order).over(Window.partitionBy(owner, nonce).orderBy(order)))
-    rows = rows.withColumn("__new", F.sum(F.col("__before").isNull().cast("long")).over(by))
-    return rows.withColumn("__at", F.max("__new").over(Window.partitionBy(owner, nonce).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))).withColumn("replay", F.coalesce(F.col("__new") - F.col("__at") < window, F.lit(False))).drop("__before", "__new", "__at")
+    """events with replay: the nonce is among the last `window` that its owner got accepted. Which are accepted depends on those before, so
+    each owner's nonces are folded in order, with a window of state."""
+    schema = T.StructType([*events.schema.fields, T.StructField("replay", T.BooleanType())])
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order, kind="stable")
+        queue, seen, out = deque(), set(), []
+        for n in part[nonce]:
+            out.append(n in seen)
+            if not out[-1]:
+                seen.add(n)
+                queue.append(n)
+                if len(queue) > window:
+                    seen.discard(queue.popleft())
+        return part.assign(replay=out)
+
+    return events.groupBy(owner).applyInPandas(fold, schema)
 
 
 def once_per_session(findings: DataFrame, session: str, kind: str, order: str = "rowid") -> DataFrame:

@@ -176,9 +176,10 @@ def x3_once_per_session(spark, sf_dir):
     return sessions.once_per_session(read(spark, sf_dir, "events"), "user_id", "event_type", "event_id").select("user_id", "event_type", "event_id")
 
 
-@query("""WITH n AS (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) % 40 AS nonce FROM events), b AS (SELECT *, lag(event_id) OVER (PARTITION BY user_id, nonce ORDER BY event_id) AS before FROM n),
- c AS (SELECT *, sum(CASE WHEN before IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM b)
- SELECT user_id, event_id, coalesce(k - max(k) OVER (PARTITION BY user_id, nonce ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 16, false) AS replay FROM c""")
+@query("""WITH RECURSIVE n AS (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) % 40 AS nonce, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+ q AS (SELECT user_id, event_id, i, [nonce] AS q, false AS replay FROM n WHERE i = 1
+ UNION ALL SELECT n.user_id, n.event_id, n.i, CASE WHEN list_contains(q, nonce) THEN q ELSE list_append(q, nonce)[-16:] END, list_contains(q, nonce) FROM q JOIN n ON n.user_id = q.user_id AND n.i = q.i + 1)
+ SELECT user_id, event_id, replay FROM q""")
 def x5_replays(spark, sf_dir):
     rows = read(spark, sf_dir, "events").select("user_id", "event_id", (F.floor("value") % 40).alias("nonce"))
     return sessions.replays(rows, "user_id", "nonce", "event_id", window=16).select("user_id", "event_id", "replay")

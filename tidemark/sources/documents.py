@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PARTS = {".docx": re.compile(r"word/document\.xml$"), ".xlsx": re.compile(r"xl/sharedStrings\.xml$"), ".pptx": re.compile(r"ppt/slides/slide\d+\.xml$")}
 TEXT = re.compile(r"<(?:w:t|a:t|t)(?:\s[^>]*)?>([^<]*)</(?:w:t|a:t|t)>|(</(?:w:p|a:p|si)>)")
@@ -24,7 +25,7 @@ def digests(files: DataFrame) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("sha256"))
 
 
-@F.pandas_udf("text string, parts int, skipped int, error string")
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("parts", T.IntegerType()), T.StructField("skipped", T.IntegerType()), T.StructField("error", T.StringType())]))
 def office_text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     """Text of DOCX, XLSX and PPTX files (path, content): paragraphs by lines, parts over the limit counted as skipped, damaged files as errors."""
     from html import unescape
