@@ -1,70 +1,80 @@
 """Benchmark decontamination by a positional inverted index.
 
-DataFrame functions only. Every window of ten test words is looked up from its rarest term: training tokens of
-the test vocabulary are counted, postings (document, position) of each window's rarest term give candidate starts, and
-the postings of all its terms, each shifted back by its offset, must meet there. Postings are stored for documents
-with a candidate only, so common words of the test set cost nothing elsewhere.
+DataFrame functions only. The index's terms are pairs of neighbouring words, because the rarest single word of many windows is a common
+one. Every window of ten test words is looked up from its rarest terms: training postings of the test vocabulary are counted,
+and postings (document, position) are taken for the LEAD rarest terms of each window. Shifted back by their offsets, these
+lists must meet in one start; what is left are nearly matches only. Their documents' own word positions then show whether the
+other words stand there as well. So the postings of common terms are never written.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import ALNUM_WORD, ascii_lower, bind, small, table, words
 
 
+#: Terms of a window whose postings are intersected before a document is looked at.
+LEAD = 2
+
+
+def pairs(w: Column) -> Column:
+    """Index terms of a list of words: each word with the next one. A single word is a term of its own."""
+    n = F.size(w)
+    return F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat(F.get(w, i - 1), F.lit(" "), F.get(w, i)))).otherwise(w)
+
+
 def windows(items: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows (item, wid, len, off, term): the terms of every window of every item."""
+    """Rows (item, wid, win): every window of every item as its words."""
     rows = items.select(F.col(id_col).alias("item"), words(ascii_lower(F.col(text_col)), ALNUM_WORD).alias("w")).where(F.size("w") > 0)
     cut = bind(F.col("w"), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - size + 1, F.lit(1))), lambda i: F.slice(w, i, size)))
     rows = rows.select("item", F.explode(cut).alias("win")).distinct()
     text = F.array_join("win", " ")
-    return rows.select("item", F.concat(F.xxhash64(text).cast("string"), F.lit(":"), F.size("win").cast("string")).alias("wid"), F.size("win").alias("len"), F.posexplode("win").alias("off", "term"))
+    return rows.select("item", F.concat(F.xxhash64(text).cast("string"), F.lit(":"), F.size("win").cast("string")).alias("wid"), "win")
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    return docs.select("doc", "row", F.posexplode(words(ascii_lower(F.col("text")), ALNUM_WORD)).alias("pos", "term"))
+def postings(docs: DataFrame, single: bool) -> DataFrame:
+    """Rows (doc, row, pos, term): the pairs of every document, and its words where items of one word ask for them."""
+    w = words(ascii_lower(F.col("text")), ALNUM_WORD)
+    every = bind(w, pairs) if not single else bind(w, lambda x: F.concat(F.transform(pairs(x), lambda p, i: F.struct(i.alias("pos"), p.alias("term"))), F.transform(x, lambda p, i: F.struct(i.alias("pos"), p.alias("term")))))
+    if single:
+        return docs.select("doc", "row", F.explode(F.array_distinct(every)).alias("p")).select("doc", "row", "p.pos", "p.term")
+    return docs.select("doc", "row", F.posexplode(every).alias("pos", "term"))
 
 
 def matches(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 0, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Rows (doc, row, start, len, item): every place where a window of an item stands in a document.
 
-    With slop 0 the window's words stand consecutively. With a larger slop a place is one where every distinct term of the
-    window stands within len - 1 + slop words of its rarest term, in any order; start is then the place of that term.
+    With slop 0 the window's words stand consecutively. With a larger slop a place is one where the window's rarest pair of neighbours
+    stands and every other word of it within len - 1 + slop words of there, in any order; start is then the place of that pair.
+    doc is the id as a string (null: empty), row a hash of the text.
     """
-    docs = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("row"), F.col(text_col).alias("text"))
+    docs = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("row"), F.col(text_col).alias("text"))
     win = table(windows(items, size, item_col, item_text_col), "leak-window")
-    vocabulary = win.select("term").distinct()
-    df = tokens(docs).join(small(vocabulary, 64), "term").groupBy("term").agg(F.count("*").alias("n"))
-    df = table(df, "leak-term")
-    terms = win.drop("item").distinct()
-    rare = terms.join(df, "term").groupBy("wid", "len").agg(F.min(F.struct("n", "term", "off")).alias("r"), F.count("*").alias("seen"))
-    rare = rare.where("seen = len").select("wid", "len", "r.term", "r.off")
-    rare = table(rare, "leak-rare")
-    posted = tokens(docs).join(small(rare, 96), "term")
+    full = win.select("wid", "win").distinct()
+    single = not full.where(F.size("win") == 1).isEmpty()
+    terms = full.select("wid", F.posexplode(pairs(F.col("win"))).alias("off", "term"))
+    df = table(postings(docs, single).join(small(terms.select("term").distinct(), 96), "term").groupBy("term").agg(F.count("*").alias("n")), "leak-term")
+    by = terms.join(df, "term", "left").groupBy("wid").agg(F.count("*").alias("all"), F.count("n").alias("seen"), F.array_sort(F.collect_list(F.struct("n", "term", "off"))).alias("t"))  # size terms at most
+    lead = F.slice("t", 1, LEAD if not slop else 1)
+    rare = by.where("seen = all" if not slop else "seen > 0").select("wid", F.size(lead).alias("need"), F.explode(lead).alias("r")).select("wid", "need", "r.term", "r.off")
+    posted = postings(docs, single).join(small(table(rare, "leak-rare"), 128), "term")
     start = F.col("pos") - F.col("off") if not slop else F.col("pos")
-    found = table(posted.select("doc", "row", start.alias("start"), "wid", "len").where("start >= 0").distinct(), "leak-candidate")
-    hit = found.select(F.col("doc").alias("d"), F.col("row").alias("r")).distinct()
-    held = docs.join(small(hit, 32), F.col("doc").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")), "left_semi")
-    index = tokens(held).join(small(vocabulary, 64), "term", "left_semi")
-    want = found.join(small(terms, 96), ["wid", "len"])
-    if not slop:
-        want = want.select("doc", "row", "start", "wid", "len", "off", "term", (F.col("start") + F.col("off")).alias("pos")).withColumn("doc", F.coalesce(F.col("doc").cast("string"), F.lit("")))
-        index = index.select(F.coalesce(F.col("doc").cast("string"), F.lit("")).alias("doc"), "row", "pos", "term").distinct()
-        full = want.join(index, ["doc", "row", "pos", "term"]).groupBy("doc", "row", "start", "wid", "len").agg(F.count("*").alias("n")).where("n = len")
-    else:
-        reach = F.col("len") - 1 + slop
-        cell = size + slop
-        want = want.select("doc", "row", "start", "wid", "len", "term").distinct().withColumn("doc", F.coalesce(F.col("doc").cast("string"), F.lit("")))
-        need = want.groupBy("doc", "row", "start", "wid").agg(F.count("*").alias("need"))
-        near = F.sequence(F.floor(F.col("start") / cell) - 1, F.floor(F.col("start") / cell) + 1)
-        want = want.withColumn("cell", F.explode(near))
-        index = index.select(F.coalesce(F.col("doc").cast("string"), F.lit("")).alias("doc"), "row", "pos", "term", F.floor(F.col("pos") / cell).alias("cell")).distinct()
-        full = want.join(index, ["doc", "row", "cell", "term"]).where(F.abs(F.col("pos") - F.col("start")) <= reach)
-        full = full.select("doc", "row", "start", "wid", "len", "term").distinct().groupBy("doc", "row", "start", "wid", "len").agg(F.count("*").alias("n"))
-        full = full.join(need, ["doc", "row", "start", "wid"]).where("n = need")
-    return full.join(win.select("wid", "item").distinct(), "wid").select("doc", "row", "start", "len", "item")
+    found = posted.groupBy("doc", "row", start.alias("start"), "wid", "need").agg(F.countDistinct("off").alias("n")).where("n = need and start >= 0")
+    full = full.select("wid", "win", F.size("win").alias("len"))
+    found = found.join(small(full, 160), "wid")
+    found = table(found.groupBy("doc", "row").agg(F.collect_set(F.struct("start", "wid", "len", "win")).alias("at")), "leak-candidate")
+
+    def here(w):
+        if not slop:
+            return F.filter("at", lambda c: F.slice(w, c["start"] + 1, c["len"]) == c["win"])
+        near = lambda c: F.slice(w, F.greatest(c["start"] - (c["len"] - 1 + slop), F.lit(0)) + 1, F.least(c["start"], c["len"] - 1 + slop) + c["len"] + slop)
+        return F.filter("at", lambda c: F.size(F.array_except(c["win"], near(c))) == 0)
+
+    held = docs.join(found, ["doc", "row"]).select("doc", "row", bind(words(ascii_lower(F.col("text")), ALNUM_WORD), here).alias("at"))
+    places = held.select("doc", "row", F.explode("at").alias("c")).select("doc", "row", "c.start", "c.wid", "c.len").distinct()
+    return places.join(small(win.select("wid", "item").distinct(), 64), "wid").select("doc", "row", "start", "len", "item")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
