@@ -122,7 +122,7 @@ def test_joins(spark):
     from tidemark.functions import text
 
     reg = spark.createDataFrame([("app.g", "Google")], "app_id string, label string")
-    seen = spark.createDataFrame([(1, "x", "G00gle"), (2, "app.g", "Google"), (3, "x", "Gogole"), (4, "x", "Yahoo")], "id int, app_id string, label string")
+    seen = spark.createDataFrame([(1, "x", "G0ogle"), (2, "app.g", "Google"), (3, "x", "Gogole"), (4, "x", "Yahoo")], "id int, app_id string, label string")
     assert {tuple(r) for r in joins.nearest_label(seen, reg, text.fold_label, text.typo_variants).collect()} == {(1, "app.g", "exact"), (3, "app.g", "typo")}
     claims = spark.createDataFrame([("c", "d.md", "here", [("f", "t")]), ("e", "d.md", "gone", [])], "id string, doc string, anchor string, proven_by array<struct<file:string,test:string>>")
     docs, tests = spark.createDataFrame([("d.md", "it is here")], "doc string, content string"), spark.createDataFrame([("f", "u")], "file string, test string")

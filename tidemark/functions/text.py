@@ -194,14 +194,23 @@ def view_findings(comparison: Column, screen: Column) -> Column:
     return F.array_compact(F.array(F.when(screen_only, F.lit("screen_text_not_in_tree")), F.when(tree_only & ~bulk, F.lit("tree_text_not_on_screen"))))
 
 
+#: Letters that look like ASCII ones, and digits that stand for letters.
+LOOKALIKES = {
+    "àáâãäåāăą": "a", "çćčĉċҫс": "c", "ďđԁ": "d", "èéêëēĕėęěеε": "e", "ғ": "f", "ĝğġģɡԍ": "g", "ĥħһн": "h", "ìíîïĩīĭįıіι": "i", "ĵј": "j", "ķкκ": "k", "ĺļľŀłӏ": "l", "м": "m", "ñńņňη": "n", "òóôõöøōŏőоο": "o",
+    "рρ": "p", "ԛ": "q", "ŕŗř": "r", "śŝşšѕ": "s", "ţťŧтτ": "t", "ùúûüũūŭůűųυ": "u", "ѵν": "v", "ŵԝω": "w", "хχ": "x", "ýÿŷуγ": "y", "źżžζ": "z", "аα": "a", "вβ": "b",
+}
+LEET = {"0": "o", "1": "l", "3": "e", "5": "s", "7": "t"}
+
+
 def fold_label(label: Column) -> Column:
-    """A label folded for look-alike checks: narrow, lower case, lookalike letters and digits between letters mapped, letters and digits only."""
+    """A label folded for look-alike checks: narrow, lower case, lookalike letters and single digits between letters mapped, letters and digits only."""
     wide = "".join(chr(x) for x in range(0xFF01, 0xFF5F))
     narrow = "".join(chr(x - 0xFEE0) for x in range(0xFF01, 0xFF5F))
-    folded = F.translate(F.lower(F.translate(F.regexp_replace(label, IGNORABLE, ""), wide, narrow)), "аеорсухіјѕԁһɡӏοανρτυκ", "aeopcyxijsdhgloavptuk")
+    plain = F.lower(F.translate(F.regexp_replace(label, IGNORABLE, ""), wide, narrow))
+    folded = F.translate(plain, "".join(LOOKALIKES), "".join(v * len(k) for k, v in LOOKALIKES.items()))
     folded = F.regexp_replace(folded, f"[^{ALNUM}]", "")
-    for digit, letter in (("0", "o"), ("1", "l"), ("3", "e"), ("4", "a"), ("5", "s"), ("7", "t")):
-        folded = F.regexp_replace(folded, f"(?<=[a-z]){digit}(?=[a-z])", letter)
+    for digit, letter in LEET.items():
+        folded = F.regexp_replace(folded, f"(?<=\\p{{IsAlphabetic}}){digit}(?=\\p{{IsAlphabetic}})", letter)
     return F.substring(folded, 1, 65)
 
 
