@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import entities, fields, hosts, paths, text
-from tidemark.operators import audit, frames, joins, rules, scores, sessions, taint, trajectory
+from tidemark.operators import audit, browser, evals, frames, joins, registry, rules, scores, sessions, taint, trajectory
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -491,6 +491,104 @@ def v19_overlapping_boxes(spark, sf_dir):
     return frames.overlapping(p, p, "k").where("a.id < b.id").select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
+# ---- registries, scenarios, browser ----
+
+
+@query(f"SELECT row_number() OVER (ORDER BY host)::INT AS id, host FROM (SELECT DISTINCT lower({HOST_SQL}) AS host FROM pages)")
+def r9_block_rules(spark, sf_dir):
+    return browser.block_rules(read(spark, sf_dir, "pages").select(hosts.url_host(F.col("url")).alias("host")))
+
+
+@query("""SELECT CAST(event_id AS VARCHAR) AS id, upper(event_type[1]) || event_type[2:] AS event_type, 'session-sha256:' || sha256(CAST(user_id AS VARCHAR)) AS agent_session_id, CASE WHEN event_type = 'error' THEN 'Block' ELSE 'Allow' END AS action,
+ '[claimed-agent: ' || CAST(user_id AS VARCHAR) || '] saw it' AS human_message FROM events""")
+def m10_audit_rows(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    d = rules.decision(F.when(F.col("event_type") == "error", "block").otherwise("allow"), "info", "R", F.concat(F.lit("[agent: "), F.col("user_id").cast("string"), F.lit("] saw it")))
+    rows = e.select(F.col("user_id").alias("log_id"), F.col("event_id").alias("rowid"), F.col("event_id").cast("string").alias("event_id"), F.unix_millis("ts").alias("timestamp_ms"), F.lit("browser").alias("platform"), "event_type", F.lit("app").alias("source_app"), F.col("user_id").cast("string").alias("agent_context_id"), F.create_map(F.lit("note"), F.col("props")).alias("metadata"), d.alias("decision"))
+    return registry.audit_rows(rows).select("id", "event_type", "agent_session_id", "action", "human_message")
+
+
+@query("""WITH c AS (SELECT conv_id, bool_or(contains(lower(text), 'idiot') OR contains(lower(text), 'moron') OR contains(lower(text), 'pathetic') OR contains(lower(text), 'token =') OR contains(lower(text), '@') OR contains(lower(text), 'license') OR contains(lower(text), 'rights reserved')) AS hit FROM conversations GROUP BY 1)
+ SELECT count(*) AS total, count(*) FILTER (NOT hit) AS passed, count(*) FILTER (conv_id % 3 = 0) AS attacks, count(*) FILTER (conv_id % 3 = 0 AND NOT hit) AS attack_misses, count(*) FILTER (conv_id % 3 <> 0 AND hit) AS benign_interventions FROM c""")
+def m12_scenario_runs(spark, sf_dir):
+    """Each conversation as a scenario of one event a turn, which must raise nothing."""
+    event = lambda t: F.struct(F.lit("ui_text").alias("event_type"), F.lit("chat").alias("source_app"), F.create_map(F.lit("ui_text"), t["text"]).alias("metadata"))
+    turns = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), event).alias("events"))
+    d = turns.select(F.col("conv_id").cast("string").alias("scenario_id"), F.when(F.col("conv_id") % 3 == 0, "attack").otherwise("benign").alias("kind"), F.lit(None).cast("boolean").alias("task_success"), F.to_json("events").alias("events"), F.lit('[{"type": "no_intervention"}]').alias("verification"))
+    run = evals.run_scenarios(d, RULES, spark.createDataFrame([], "domain string"))
+    return evals.report(run).select("total", "passed", "attacks", "attack_misses", "benign_interventions")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, sha256(text) AS sha256, octet_length(encode(text))::INT AS bytes, true AS utf8_valid, CASE WHEN doc_id % 4 = 0 THEN 'truncated' ELSE 'complete' END AS state FROM documents")
+def t45_content_views(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.lit("stdout").alias("origin"), F.col("text").cast("binary").alias("raw"), (F.col("doc_id") % 4 != 0).alias("complete"), F.col("text").alias("visible"))
+    return registry.content_views(d).select("id", "sha256", "bytes", "utf8_valid", "state")
+
+
+@query("""WITH e AS (SELECT event_id, event_type, epoch_us(ts) // 1000 AS ms FROM events), q AS (SELECT event_id AS request_id, ms AS enqueued_ms FROM e WHERE event_type = 'error'), r AS (SELECT event_id - 1 AS request_id, ms AS replied_ms, event_id % 2 = 0 AS approve FROM e WHERE event_type = 'click'),
+ w AS (SELECT q.request_id, q.enqueued_ms, lead(q.enqueued_ms, 64) OVER (ORDER BY q.enqueued_ms, q.request_id) AS out_ms FROM q), j AS (SELECT w.*, r.replied_ms, r.approve, least(enqueued_ms + 3600000000, coalesce(out_ms, enqueued_ms + 3600000000)) AS until FROM w LEFT JOIN r USING (request_id))
+ SELECT request_id, CASE WHEN replied_ms <= until THEN 'resolved' WHEN out_ms < enqueued_ms + 3600000000 THEN 'evicted' ELSE 'expired' END AS outcome, CASE WHEN replied_ms <= until THEN approve END AS approve FROM j
+ UNION ALL SELECT request_id, 'stale', approve FROM r WHERE request_id NOT IN (SELECT request_id FROM q)""")
+def x11_confirm_queue(spark, sf_dir):
+    e = read(spark, sf_dir, "events").withColumn("ms", F.unix_millis("ts"))
+    q = e.where("event_type = 'error'").select(F.col("event_id").alias("request_id"), F.col("ms").alias("enqueued_ms"))
+    r = e.where("event_type = 'click'").select((F.col("event_id") - 1).alias("request_id"), F.col("ms").alias("replied_ms"), (F.col("event_id") % 2 == 0).alias("approve"))
+    return sessions.confirm_queue(q, r, ttl_ms=3_600_000_000).select("request_id", "outcome", "approve")
+
+
+@query("""SELECT event_id, coalesce(event_type IN ('purchase', 'signup') AND last_value(CASE WHEN event_type = 'error' THEN event_id % 2 = 0 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS guarded FROM events""")
+def f45_env_guard(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "error", "environment_survey").when(F.col("event_type").isin("purchase", "signup"), "form_fill").otherwise("ui_text")
+    seen = F.when((F.col("event_type") == "error") & (F.col("event_id") % 2 == 0), F.array(F.lit("sniffer"))).otherwise(F.array().cast("array<string>"))
+    rows = e.select(F.col("user_id").alias("session"), F.col("event_id").alias("rowid"), kind.alias("event_type"), seen.alias("observers"), F.lit(True).alias("high"))
+    return registry.env_guard(rows).select(F.col("rowid").alias("event_id"), "guarded")
+
+
+@query("""WITH n AS (SELECT user_id, max(event_id) AS now, arg_max(event_id % 3, event_id) AS was FROM events GROUP BY 1), d AS (SELECT user_id, CASE WHEN user_id % 4 = 0 THEN 0 ELSE now END AS expected, user_id % 3 AS label FROM n)
+ SELECT CAST(d.user_id AS VARCHAR) AS item_key, (now + 1)::BIGINT AS version, greatest(label, was)::BIGINT AS label FROM d JOIN n ON d.user_id = n.user_id WHERE expected = now""")
+def r40_prepare_versions(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("item_key"), F.col("event_id").alias("version"), F.col("event_type").alias("content"), (F.col("event_id") % 3).alias("label"), F.lit("active").alias("state"))
+    drafts = e.groupBy("item_key").agg(F.max("version").alias("now")).select("item_key", F.when(F.col("item_key").cast("long") % 4 == 0, F.lit(0).cast("long")).otherwise(F.col("now")).alias("expected_version"), F.lit("draft").alias("content"), (F.col("item_key").cast("long") % 3).alias("label"))
+    return registry.prepare(e, drafts)[0].select("item_key", "version", "label")
+
+
+@query("""WITH s AS (SELECT 'n' || n_nationkey AS id, n_regionkey, n_name FROM nation), c AS (SELECT DISTINCT 'n' || (c_custkey % 30) AS ref, c_custkey FROM customer WHERE c_custkey <= 100)
+ SELECT 'c' || c_custkey AS id, ref, 'unknown_surface' AS problem FROM c WHERE ref NOT IN (SELECT id FROM s)""")
+def j3_dangling_references(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").where("c_custkey <= 100").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.array(F.concat(F.lit("n"), (F.col("c_custkey") % 30).cast("string"))).alias("refs"))
+    n = read(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"))
+    return joins.dangling(c, "refs", n, what="unknown_surface")
+
+
+@query("""WITH a AS (SELECT DISTINCT url AS line FROM pages WHERE page_id % 3 <> 0), b AS (SELECT DISTINCT url AS line FROM pages WHERE page_id % 5 <> 0) SELECT line, 'added' AS change FROM b WHERE line NOT IN (SELECT line FROM a) UNION ALL SELECT line, 'removed' FROM a WHERE line NOT IN (SELECT line FROM b)""")
+def r26_diff_baseline(spark, sf_dir):
+    p = read(spark, sf_dir, "pages")
+    return joins.diff_lines(p.where("page_id % 3 <> 0").select(F.col("url").alias("value")), p.where("page_id % 5 <> 0").select(F.col("url").alias("value")))
+
+
+@query()
+def x19_provenance(spark, sf_dir):
+    """Labels of values derived along each user's events; folded in order, so held against cases in tests."""
+    e = read(spark, sf_dir, "events")
+    op = F.when(F.col("event_type") == "signup", "introduce").when(F.col("event_type") == "view", "derive").otherwise("flow")
+    value = lambda k: F.concat(F.lit("v"), (F.col("event_id") % k).cast("string"))
+    rows = e.select(
+        F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("rowid"), op.alias("op"), value(5).alias("value_id"), (F.col("event_id") % 2).cast("int").alias("integrity"), (F.col("event_id") % 3).cast("int").alias("confidentiality"),
+        F.array(value(3), value(4)).alias("parents"), F.lit(None).cast("string").alias("item_key"), F.when(F.col("event_type") == "error", "network").otherwise("shell_arg").alias("sink_kind"), F.lit(True).alias("declared"), F.lit(None).cast("int").alias("clearance"), F.lit(None).cast("boolean").alias("approved"), F.lit(None).cast("string").alias("approved_by"),
+    )
+    return taint.track(rows).groupBy("verdict", "integrity", "confidentiality").agg(F.count("*").alias("n"))
+
+
+@query()
+def j17_label_lookalikes(spark, sf_dir):
+    """Customers' segments against their own names with a letter doubled; the typo keys of the registry are joined by equality."""
+    seg = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("label"))
+    registry_ = seg.select(F.lower("label").alias("app_id"), "label").distinct()
+    seen = seg.select(F.col("c_custkey").alias("id"), F.lit("other").alias("app_id"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.substring("label", 1, 1), F.col("label"))).otherwise(F.col("label")).alias("label"))
+    return joins.nearest_label(seen, registry_, text.fold_label, text.typo_variants)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
