@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ALNUM_WORD, ascii_lower, bind, words
+from tidemark.llm.common import ALNUM_WORD, ascii_lower, bind, table, words
 
 #: Usual license statements as words, with the label of each.
 TEMPLATES = [
@@ -73,7 +73,7 @@ def template_links(docs: DataFrame, templates=TEMPLATES, threshold: float = THRE
     vocabulary = sorted({x for _, s in sets for x in s})
     blocks = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), "\n", -1)).alias("line", "block"))
     blocks = blocks.select("doc", "line", F.array_distinct(F.filter(words(F.col("block"), ALNUM_WORD), lambda x: x.isin(vocabulary))).alias("tokens"))
-    blocks = blocks.where(F.size("tokens") > 0)
+    blocks = table(blocks.where(F.size("tokens") > 0), "license-block")  # the texts are read once; template words are all that is kept
     counted = {r["token"]: r["n"] for r in blocks.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()}  # a row for each template word at most
     rank = {x: i for i, x in enumerate(sorted(vocabulary, key=lambda x: (counted.get(x, 0), x)))}
     index = []
