@@ -23,7 +23,7 @@ SYMBOLS = "[#*$%&|<>]"
 #: Character classes besides white space, symbols and the rest.
 CLASSES = {"upper": "\\p{Lu}", "digit": "\\p{Nd}", "mark": "[.,;:!?'\"()\\-]"}
 #: Words below which no verdict is given, and distances above which a document is rejected.
-MIN_WORDS, MIN_COMMON, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 50, 50, 0.2, 0.26
+MIN_WORDS, MIN_COMMON, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 50, 50, 0.22, 0.26
 
 
 def _count(text: Column, pattern: str) -> Column:
