@@ -132,7 +132,7 @@ def closure(edges: DataFrame, most: int = 32) -> DataFrame:
     for depth in range(2, most + 1):
         step = new.join(edges.select(F.col("node").alias("ancestor"), F.col("parent").alias("next")), "ancestor").select("node", F.col("next").alias("ancestor"), F.lit(depth).alias("depth")).distinct()
         new = step.join(every.select("node", "ancestor"), ["node", "ancestor"], "left_anti")
-        if spark.conf.get("spark.checkpoint.dir", None):
+        if spark.sparkContext.getCheckpointDir():
             new = new.checkpoint()
         if new.isEmpty():
             break
