@@ -66,6 +66,31 @@ def test_jaccard_near_copies(spark, width, num, den, tile):
     assert got == components({r[0]: r[1] for r in docs.collect()}, width, num, den)
 
 
+@pytest.mark.parametrize("chunk", [500_000, 40])
+def test_components(spark, monkeypatch, chunk):
+    import random
+
+    from tidemark.llm import common
+
+    monkeypatch.setattr(common, "CHUNK", chunk)
+    rng = random.Random(3)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(190)] + [(i + 1000, i + 1001) for i in range(60)] + [(5, 5)]
+    near = defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    want = {}
+    for x in sorted(near):
+        todo = [x] if x not in want and near[x] != {x} else []
+        while todo:
+            y = todo.pop()
+            if y not in want:
+                want[y] = x
+                todo += near[y]
+    got = common.components(spark.createDataFrame(edges, "a long, b long").repartition(5), "test").collect()
+    assert len(got) == len(want) and {r["node"]: r["component"] for r in got} == want
+
+
 def test_jaccard_table(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.op1_ngram_jaccard_join(spark, DATA).collect()}
@@ -87,11 +112,12 @@ def repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize("bucket, piece", [(20_000, 1 << 20), (1, 1 << 20), (20_000, 700)])
-def test_substrings_table(spark, monkeypatch, bucket, piece):
+@pytest.mark.parametrize("bucket, frequent, piece", [(20_000, 64, 1 << 20), (1, 64, 1 << 20), (20_000, 2, 1 << 20), (20_000, 64, 700)])
+def test_substrings_table(spark, monkeypatch, bucket, frequent, piece):
     monkeypatch.setattr(sd, "BUCKET", bucket)
+    monkeypatch.setattr(sd, "FREQUENT", frequent)
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    if piece != 1 << 20:  # in-process: tasks import the module with its own value
+    if piece != 1 << 20:
         import pyarrow as pa
 
         monkeypatch.setattr(sd, "PIECE", piece)

@@ -68,18 +68,45 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+#: Edges that one task contracts on its own.
+CHUNK = 500_000
+
+
+def contract(batches):
+    """Edges (a, b) of one task as stars: (node, smallest node that these edges reach from it)."""
+    edges = [np.stack([x.column(0).to_numpy(), x.column(1).to_numpy()]) for x in batches if x.num_rows]
+    if not edges:
+        return
+    nodes, at = np.unique(np.concatenate(edges, 1), return_inverse=True)
+    a, b = at.reshape(2, -1)
+    label = np.arange(len(nodes))
+    while True:
+        x, y = label[a], label[b]
+        low = np.minimum(x, y)
+        if (x == y).all():
+            break
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        while (label[label] != label).any():
+            label = label[label]
+    far = label != np.arange(len(nodes))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[label[far]])], names=["a", "b"])
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of edges (a, b): one row (node, component) for each node, component its smallest node.
 
-    Large-star and small-star steps alternate until nothing changes. Degrees are met by aggregates and joins,
-    which Spark combines before the shuffle and splits where skewed; no adjacency list is ever built.
+    Tasks of at most about CHUNK edges contract theirs to stars first. Where that takes several tasks, large-star and
+    small-star steps alternate until nothing changes. Degrees are met by aggregates and joins, which Spark combines before the
+    shuffle and splits where skewed; no adjacency list is ever built.
     """
-    spark = edges.sparkSession
     now = table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges")
+    tasks = max(1, ceil_div(now.count(), CHUNK))
+    now = table(now.coalesce(tasks).mapInArrow(contract, "a long, b long"), f"{name}-edges")
     before = None
-    while True:
+    while tasks > 1:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
+        if state == before:
             break
         before = state
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -12,8 +12,10 @@ a * (1 - t) / t shingles and a >= t * b. So:
   documents have more than e empty blocks, and only then are empty blocks sent;
 * equal blocks join documents into stars around the smallest doc_id of each block value; stars that meet form a
   candidate cluster, which holds every linked pair in full;
-* within a cluster, tiles of bounded size meet each other once; dense bit sketches refute pairs by Hamming
-  distance and the sets themselves decide the rest. Pairs that links found so far already connect need no test.
+* within a cluster, tiles of bounded size meet each other once, first by dense bit sketches: pairs that their Hamming distance
+  doesn't refute make closer clusters;
+* within those, tiles meet again with their texts, and the sets themselves decide. Pairs that links found so far already
+  connect need no test.
 
 Documents with equal sets are one class from the start, so thousands of copies cost one row in a tile.
 """
@@ -33,6 +35,7 @@ from tidemark.llm.common import components, contiguous, mix, release, table
 
 #: Documents in a tile; a task holds two tiles.
 TILE = 1024
+#: Least bits of a dense sketch.
 SKETCH_BITS = 2048
 
 
@@ -105,11 +108,11 @@ def block_keys(s: np.ndarray, k: int, blocks: int, spare: int) -> np.ndarray:
     return mix(code ^ mix(which + np.uint64(k << 32), 5), 6)
 
 
-SIGNATURE = T.StructType([T.StructField(n, T.LongType()) for n in ("key", "doc", "hub", "n", "f1", "f2")])
+SIGNATURE = T.StructType([*[T.StructField(n, T.LongType()) for n in ("key", "doc", "hub", "n", "f1", "f2")], T.StructField("sketch", T.BinaryType())])
 
 
 def signatures(width: int, num: int, den: int):
-    """Map step: a row (doc, n, f1, f2) for each document, and block keys.
+    """Map step: a row (doc, n, f1, f2, sketch) for each document, and block keys.
 
     Documents of one Arrow batch with the same key are joined here: the smallest goes on under the key, the others
     as finished edges (hub, doc) dealt out at random. So a key that a third of all documents share shuffles a row a batch.
@@ -124,7 +127,8 @@ def signatures(width: int, num: int, den: int):
                 lost = texts.filter(ids.is_null())
                 n = np.array([len(s) for s in shingle_sets(lost, width)], np.int64)
                 none = pa.nulls(len(lost), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.random.default_rng(batch.num_rows).integers(0, 2**62, len(lost))), none, none, pa.array(n), none, none], names=SIGNATURE.names)
+                at = np.random.default_rng(batch.num_rows).integers(0, 2**62, len(lost))
+                yield pa.RecordBatch.from_arrays([pa.array(at), none, none, pa.array(n), none, none, pa.nulls(len(lost), pa.binary())], names=SIGNATURE.names)
                 ids, texts = ids.filter(ids.is_valid()), texts.filter(ids.is_valid())
             for at in range(0, len(ids), 2000):
                 doc = ids.slice(at, 2000).to_numpy(zero_copy_only=False)
@@ -143,7 +147,7 @@ def signatures(width: int, num: int, den: int):
                             x = block_keys(s, b, *plans[b])
                             keys.append(x)
                             owner.append(np.full(len(x), doc[i]))
-                yield _rows(mix(doc.view(np.uint64), 9), doc, None, n, f)
+                yield _rows(mix(doc.view(np.uint64), 9), doc, None, n, f, [dense(s).tobytes() for s in sets])
                 if not keys:
                     continue
                 key, own = np.concatenate(keys), np.concatenate(owner)
@@ -159,16 +163,71 @@ def signatures(width: int, num: int, den: int):
     return run
 
 
-def _rows(key, doc, hub=None, n=None, f=None) -> pa.RecordBatch:
+def _rows(key, doc, hub=None, n=None, f=None, sketches=None) -> pa.RecordBatch:
     none = pa.nulls(len(doc), pa.int64())
     columns = [pa.array(key.view(np.int64)), pa.array(np.ascontiguousarray(doc)), none if hub is None else pa.array(np.ascontiguousarray(hub))]
     columns += [none] * 3 if n is None else [pa.array(n), pa.array(np.ascontiguousarray(f[:, 0])), pa.array(np.ascontiguousarray(f[:, 1]))]
-    return pa.RecordBatch.from_arrays(columns, names=SIGNATURE.names)
+    return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(doc), pa.binary()) if sketches is None else pa.array(sketches, pa.binary())], names=SIGNATURE.names)
+
+
+def sketch_bits(n: int) -> int:
+    """Bits of a set's dense sketch: a power of two, four times its size or more."""
+    return max(SKETCH_BITS, 1 << (4 * n - 1).bit_length()) if n else SKETCH_BITS
 
 
 def dense(s: np.ndarray) -> np.ndarray:
-    """Parity sketch of a set: SKETCH_BITS bits."""
-    return np.bincount((mix(s, 17) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    """Parity sketch of a set, packed. Its halves' XOR is the sketch of half as many bits."""
+    size = sketch_bits(len(s))
+    return np.packbits((np.bincount((mix(s, 17) % np.uint64(size)).astype(np.int64), minlength=size) & 1).astype(np.uint8))
+
+
+def may_link(n: np.ndarray, sketches: list[np.ndarray], side: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which pairs sizes and sketches allow, their Hamming distances); side 2 meets all, sides 0 and 1 meet each other only.
+
+    A linked pair differs in at most (a + b)(1 - t) / (1 + t) shingles. Sketches of unlike lengths meet at the shorter one.
+    """
+    size = np.array([len(x) for x in sketches])
+    may = (np.minimum(n[:, None], n[None, :]) * den >= np.maximum(n[:, None], n[None, :]) * num) & ((side[:, None] != side[None, :]) | (side[:, None] == 2))
+    apart = np.zeros(may.shape, np.float32)
+    for k in np.unique(size):
+        at = np.flatnonzero((size == k) | (size == 2 * k))
+        rows = np.stack([x if len(x) == k else x[:k] ^ x[k:] for x in (sketches[i] for i in at)])
+        both = np.zeros((len(at), len(at)), np.float32)
+        for c in range(0, k, 256):
+            part = np.unpackbits(rows[:, c : c + 256], axis=1).astype(np.float32)
+            both += part @ part.T
+        ones = both.diagonal()
+        here = np.ix_(at, at)
+        apart[here] = np.where(np.minimum(size[at][:, None], size[at][None, :]) == k, ones[:, None] + ones[None, :] - 2 * both, apart[here])
+    may &= apart * (den + num) <= (n[:, None] + n[None, :]) * (den - num)
+    return may, apart
+
+
+def sketch_links(num: int, den: int):
+    """Edges of each tile pair that tie together what sketches can't tell apart: a link is always between two of one such component."""
+
+    def run(batches):
+        for whole, starts in contiguous(batches, ["cluster", "band", "i", "j"]):
+            ends = [*starts[1:].tolist(), whole.num_rows]
+            left, right = [], []
+            for s, e in zip(starts.tolist(), ends, strict=True):
+                part = whole.slice(s, e - s).combine_chunks()
+                doc = part.column("doc").to_numpy()
+                sketches = [np.frombuffer(x, np.uint8) for x in part.column("sketch").to_pylist()]
+                may, _ = may_link(part.column("n").to_numpy(), sketches, part.column("side").to_numpy(), num, den)
+                np.fill_diagonal(may, True)
+                label = np.arange(len(doc))
+                while True:
+                    low = np.where(may, label[None, :], len(doc)).min(1)
+                    if (low == label).all():
+                        break
+                    label = low[low]
+                tied = np.flatnonzero(label != np.arange(len(doc)))
+                left.append(doc[tied])
+                right.append(doc[label[tied]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+
+    return run
 
 
 def tile_links(width: int, num: int, den: int):
@@ -191,10 +250,7 @@ def tile_links(width: int, num: int, den: int):
 
 
 def links(sets: list[np.ndarray], side: np.ndarray, num: int, den: int):
-    """Pairs of sets at num / den or more; side 2 meets all, sides 0 and 1 meet each other only."""
-    n = np.array([len(s) for s in sets], np.int64)
-    bits = np.array([dense(s) for s in sets], np.float32)
-    ones = bits.sum(1)
+    """Pairs of sets at num / den or more, but for those whose sets are connected by pairs before them."""
     root = list(range(len(sets)))
 
     def find(x: int) -> int:
@@ -203,10 +259,7 @@ def links(sets: list[np.ndarray], side: np.ndarray, num: int, den: int):
             x = root[x]
         return x
 
-    little = np.minimum(n[:, None], n[None, :])
-    apart = ones[:, None] + ones[None, :] - 2 * (bits @ bits.T)
-    may = (apart * num <= little * (den - num)) & (little * den >= np.maximum(n[:, None], n[None, :]) * num)
-    may &= (side[:, None] != side[None, :]) | (side[:, None] == 2)
+    may, apart = may_link(np.array([len(s) for s in sets], np.int64), [dense(s) for s in sets], side, num, den)
     a, b = np.nonzero(np.triu(may, 1))
     order = np.argsort(apart[a, b], kind="stable")
     for x, y in zip(a[order].tolist(), b[order].tolist(), strict=True):
@@ -219,6 +272,41 @@ def links(sets: list[np.ndarray], side: np.ndarray, num: int, den: int):
             yield x, y
 
 
+def tiled(members: DataFrame, tile: int) -> DataFrame:
+    """Rows (doc, cluster, band, i, j, side) of members (doc, cluster, band): every member in each group in which its tile meets another tile.
+
+    A cluster of at most tile members is one group. Larger ones fall into tiles by band and hash; tiles of one band meet
+    each other and those of the next band, each pair once. Clusters of one member are left out.
+    """
+    counts = members.groupBy("cluster", "band").agg(F.count("*").alias("m"))
+    total = counts.groupBy("cluster").agg(F.sum("m").alias("all")).where("all > 1")
+    counts = counts.join(total, "cluster").select("cluster", "all", "band", F.ceil(F.col("m") / tile).cast("int").alias("tiles"))
+    around = counts.alias("c").join(counts.alias("u"), (F.col("c.cluster") == F.col("u.cluster")) & (F.col("u.band") == F.col("c.band") + 1), "left")
+    around = around.join(counts.alias("d"), (F.col("c.cluster") == F.col("d.cluster")) & (F.col("d.band") == F.col("c.band") - 1), "left")
+    around = around.select("c.cluster", "c.all", "c.band", "c.tiles", F.coalesce("u.tiles", F.lit(0)).alias("up"), F.coalesce("d.tiles", F.lit(0)).alias("down"))
+
+    def group(band, i, j, side) -> F.Column:
+        return F.struct(band.cast("int").alias("band"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+
+    def upto(n) -> F.Column:
+        return F.when(n > 0, F.sequence(F.lit(0), n.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+
+    r = F.col("r")
+    spread = F.concat(
+        F.transform(upto(F.col("tiles")), lambda x: group(F.col("band") * 2, F.least(x, r), F.greatest(x, r), F.when(x == r, 2).when(x > r, 0).otherwise(1))),
+        F.transform(upto(F.col("up")), lambda x: group(F.col("band") * 2 + 1, r, x, F.lit(0))),
+        F.transform(upto(F.col("down")), lambda x: group(F.col("band") * 2 - 1, x, r, F.lit(1))),
+    )
+    one = F.array(group(F.lit(-9), F.lit(0), F.lit(0), F.lit(2)))
+    rows = members.join(around, ["cluster", "band"]).withColumn("r", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int"))
+    return rows.select("doc", "cluster", F.explode(F.when(F.col("all") <= tile, one).otherwise(spread)).alias("g")).select("doc", "cluster", "g.*")
+
+
+def together(rows: DataFrame) -> DataFrame:
+    """rows dealt out and sorted by group."""
+    return rows.repartition("cluster", "band", "i", "j").sortWithinPartitions("cluster", "band", "i", "j")
+
+
 def ngram_jaccard(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
     """A row (doc_id, n_shingles, component_id) for each document.
 
@@ -233,45 +321,24 @@ def ngram_jaccard(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100
     rows = docs.mapInArrow(signatures(width, num, den), SIGNATURE)
     low = F.min(F.when(F.col("hub").isNull() & F.col("n").isNull(), F.col("doc"))).over(Window.partitionBy("key"))
     met = rows.withColumn("hub", F.when(F.col("n").isNull(), F.coalesce("hub", low))).where("n is not null or hub <> doc")
-    met = table(met.select(F.when(F.col("doc").isNull(), F.col("key")).alias("row"), "doc", "hub", "n", "f1", "f2").dropDuplicates(), "jaccard-met")
-    release(spark)
+    met = table(met.select(F.when(F.col("doc").isNull(), F.col("key")).alias("row"), "doc", "hub", "n", "f1", "f2", "sketch").dropDuplicates(), "jaccard-met")
     sizes = met.where("n is not null and doc is not null").select("doc", "n", "f1", "f2")
-    first = sizes.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc").alias("rep"))
+    kinds = met.where("n > 0 and doc is not null").groupBy("n", "f1", "f2").agg(F.min("doc").alias("rep"), F.first("sketch").alias("sketch"))  # equal sets have equal sketches
+    kinds = table(kinds, "jaccard-kind")
+    first = kinds.select("n", "f1", "f2", "rep")
     clusters = components(met.where("n is null").select(F.col("doc").alias("a"), F.col("hub").alias("b")), "jaccard-cluster")
     bands = Bands(num, den)
-    top = sizes.agg(F.max("n")).first()[0] or 1
-    bands.upto(top)
-    members = clusters.join(first, F.col("node") == F.col("rep")).select("rep", "component", "n")
-    edges = [x for x in bands.low if x > 1]
-    band = F.lit(0)
-    for x in edges:
-        band = band + (F.col("n") >= x).cast("int")
-    members = table(members.select("rep", F.col("component").alias("cluster"), band.alias("band")), "jaccard-member")
-    counts = members.groupBy("cluster", "band").agg(F.count("*").alias("m"))
-    total = counts.groupBy("cluster").agg(F.sum("m").alias("all")).where("all > 1")
-    counts = counts.join(total, "cluster").select("cluster", "all", F.col("band"), F.ceil(F.col("m") / tile).cast("int").alias("tiles"))
-    around = counts.alias("c").join(counts.alias("u"), (F.col("c.cluster") == F.col("u.cluster")) & (F.col("u.band") == F.col("c.band") + 1), "left")
-    around = around.join(counts.alias("d"), (F.col("c.cluster") == F.col("d.cluster")) & (F.col("d.band") == F.col("c.band") - 1), "left")
-    around = around.select("c.cluster", "c.all", "c.band", "c.tiles", F.coalesce("u.tiles", F.lit(0)).alias("up"), F.coalesce("d.tiles", F.lit(0)).alias("down"))
-    r = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
-
-    def group(band: F.Column, i, j, side) -> F.Column:
-        return F.struct(band.cast("int").alias("band"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
-
-    def upto(n) -> F.Column:
-        return F.when(n > 0, F.sequence(F.lit(0), n.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-
-    spread = F.concat(
-        F.transform(upto(F.col("tiles")), lambda x: group(F.col("band") * 2, F.least(x, F.col("r")), F.greatest(x, F.col("r")), F.when(x == F.col("r"), 2).when(x > F.col("r"), 0).otherwise(1))),
-        F.transform(upto(F.col("up")), lambda x: group(F.col("band") * 2 + 1, F.col("r"), x, F.lit(0))),
-        F.transform(upto(F.col("down")), lambda x: group(F.col("band") * 2 - 1, x, F.col("r"), F.lit(1))),
-    )
-    # Off the diagonal, members of one tile don't meet again: their tile has a group of its own.
-    tiles = members.join(around, ["cluster", "band"]).withColumn("r", r)
-    one = F.array(group(F.lit(-9), F.lit(0), F.lit(0), F.lit(2)))
-    tiles = tiles.select(F.col("rep").alias("doc"), "cluster", F.explode(F.when(F.col("all") <= tile, one).otherwise(spread)).alias("g")).select("doc", "cluster", "g.*")
-    tiled = docs.join(tiles, "doc").repartition("cluster", "band", "i", "j").sortWithinPartitions("cluster", "band", "i", "j")
-    found = table(tiled.mapInArrow(tile_links(width, num, den), "a long, b long"), "jaccard-link")
+    bands.upto(sizes.agg(F.max("n")).first()[0] or 1)
+    band = sum(((F.col("n") >= x).cast("int") for x in bands.low if x > 1), F.lit(0))
+    members = clusters.join(kinds, F.col("node") == F.col("rep")).select(F.col("rep").alias("doc"), F.col("component").alias("cluster"), band.alias("band"), "n", "sketch")
+    members = table(members, "jaccard-member")
+    release(spark)  # by now nothing holds the blocks' shuffle any more
+    near = together(members.select("doc", "n", "sketch").join(tiled(members, tile), "doc")).mapInArrow(sketch_links(num, den), "a long, b long")
+    close = components(near, "jaccard-close")
+    members = table(members.select("doc", "band").join(close.select(F.col("node").alias("doc"), F.col("component").alias("cluster")), "doc"), "jaccard-member")
+    release(spark)
+    # Texts meet their tiles by a sorted join at every size: what is true of a small table is then true of a large one.
+    found = table(together(docs.join(tiled(members, tile).hint("merge"), "doc")).mapInArrow(tile_links(width, num, den), "a long, b long"), "jaccard-link")
     release(spark)
     same = sizes.join(first, ["n", "f1", "f2"]).where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
     final = components(found.unionByName(same), "jaccard-component")

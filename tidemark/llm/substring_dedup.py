@@ -8,8 +8,8 @@ strings at equal distances, and consecutive windows with the same one form a run
 2. Runs that agree in all their bytes are wholly repeated, but for the first; those of one batch meet before the shuffle. If a string
    has one kind of run only, that settles it.
 3. What is left is a bucket of runs around one string that differ somewhere. Their windows are sorted by bucket, one block of whole
-   buckets at a time in a task; the first of equal windows stays. Buckets over BUCKET runs are dealt out window by window instead,
-   equal ones of one batch being met before the shuffle, so no bucket has to fit a task.
+   buckets at a time in a task; the first of equal windows stays. Buckets over BUCKET runs, and strings that are frequent in a batch, are
+   dealt out window by window instead, equal ones of one batch being met before the shuffle, so no bucket has to fit a task.
 4. Covered spans meet their document again, which is cut.
 
 Windows are compared by a 64-bit polynomial hash over random byte codes within the bucket of an equal 64-bit string hash.
@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import contiguous, mix, release, table, utf8
+from tidemark.llm.common import contiguous, mix, release, small, table, utf8
 
 GRAM = 24
 #: Runs of a bucket that one task sorts at most.
 BUCKET = 20_000
+#: Different runs of one string in a batch from which the string counts as frequent and is dealt out by windows at once.
+FREQUENT = 64
 #: Window starts worked on at a time; 22 bits of a sort key hold a place in such a piece.
 PIECE = 1 << 20
 PLACE = np.uint64((1 << 22) - 1)
@@ -35,11 +37,11 @@ PLACE = np.uint64((1 << 22) - 1)
 _powers: dict[str, np.ndarray] = {}
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of the bytes, powers of an odd base and of its inverse modulo 2**64."""
-    if not _powers:
+def _tables(n: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the bytes, and at least n powers of an odd base and of its inverse modulo 2**64."""
+    if not _powers or len(_powers["up"]) < n:
         base = 0x9E3779B97F4A7C15
-        size = PIECE + 4096
+        size = max(n, PIECE + 4096)
         with np.errstate(over="ignore"):
             _powers["code"] = mix(np.arange(256, dtype=np.uint64), 21)
             for name, x in (("up", base), ("down", pow(base, -1, 2**64))):
@@ -50,7 +52,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
-    code, _, down = _tables()
+    code, _, down = _tables(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(code[data] * down[: len(data)], out=out[1:])
     return out
@@ -58,7 +60,7 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
 
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of data[start:end], whatever stands around it."""
-    return (sums[end] - sums[start]) * _tables()[1][start]
+    return (sums[end] - sums[start]) * _tables(len(sums))[1][start]
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray, length: int):
@@ -116,22 +118,43 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
 RUN = "g long, whole long, doc long, start long, count long, done boolean"
 
 
+def batch_runs(batch: pa.RecordBatch, length: int, gram: int):
+    """(own, start, count, g, whole, done) of a batch's runs by string hash g: done are those that agree in all bytes with an earlier run of the batch."""
+    doc = batch.column(0).to_numpy(zero_copy_only=False)
+    data, offsets = utf8(batch.column(1))
+    found = list(runs(data, offsets, length, gram))
+    if not found:
+        return None
+    row, start, count, g, whole = (np.concatenate([x[i] for x in found]) for i in range(5))
+    own = doc[row]
+    order = np.lexsort((start, own, whole, g))
+    own, start, count, g, whole = own[order], start[order], count[order], g[order], whole[order]
+    return own, start, count, g, whole, np.concatenate([[False], (g[1:] == g[:-1]) & (whole[1:] == whole[:-1])])
+
+
+def frequent_strings(length: int, gram: int, least: int):
+    """Map step: strings with at least `least` different runs in a batch. Whatever a few hundredths of all documents hold in different contexts is among them."""
+
+    def run(batches):
+        for batch in batches:
+            found = batch_runs(batch, length, gram)
+            if found:
+                g, n = np.unique(found[3][~found[5]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(g[n >= least].view(np.int64))], names=["g"])
+
+    return run
+
+
 def list_runs(length: int, gram: int):
     """Map step: every run with its string hash g. Of runs of one batch that agree in all bytes the first goes on under g; the others
     are done, being repeated as a whole, and are dealt out at random. So copies by the thousand shuffle a row a batch."""
 
     def run(batches):
         for batch in batches:
-            doc = batch.column(0).to_numpy(zero_copy_only=False)
-            data, offsets = utf8(batch.column(1))
-            found = list(runs(data, offsets, length, gram))
+            found = batch_runs(batch, length, gram)
             if not found:
                 continue
-            row, start, count, g, whole = (np.concatenate([x[i] for x in found]) for i in range(5))
-            own = doc[row]
-            order = np.lexsort((start, own, whole, g))
-            own, start, count, g, whole = own[order], start[order], count[order], g[order], whole[order]
-            done = np.concatenate([[False], (g[1:] == g[:-1]) & (whole[1:] == whole[:-1])])
+            own, start, count, g, whole, done = found
             g = np.where(done, mix(own.view(np.uint64) ^ mix(start.view(np.uint64), 31), 32), g)
             for at in range(0, len(g), 100_000):
                 part = slice(at, at + 100_000)
@@ -295,10 +318,14 @@ def cut_documents(batches):
 
 def repeated_spans(docs: DataFrame, length: int = 100, gram: int = GRAM) -> DataFrame:
     """Spans (doc, start, end) of rows (doc, text) that repeat earlier bytes; they may overlap."""
-    by = Window.partitionBy("g")
+    often = table(docs.mapInArrow(frequent_strings(length, gram, FREQUENT), "g long").distinct().withColumn("often", F.lit(True)), "repeat-frequent")
+    listed = docs.mapInArrow(list_runs(length, gram), RUN).join(small(often, 16), "g", "left").withColumn("often", F.coalesce(F.col("often") & ~F.col("done"), F.lit(False)))
+    listed = listed.withColumn("key", F.when(F.col("often"), F.xxhash64("doc", "start")).otherwise(F.col("g")))  # frequent strings' runs needn't meet here
+    by = Window.partitionBy("key")
     kind = F.coalesce(F.lag("whole").over(by.orderBy("whole", "doc", "start")) != F.col("whole"), F.lit(True))
-    listed = docs.mapInArrow(list_runs(length, gram), RUN).withColumn("first", kind & ~F.col("done"))
-    listed = listed.withColumn("many", F.sum(F.col("first").cast("long")).over(by)).where("not first or many > 1")
+    listed = listed.withColumn("first", kind & ~F.col("done"))
+    listed = listed.withColumn("many", F.when(F.col("often"), F.lit(BUCKET + 1)).otherwise(F.sum(F.col("first").cast("long")).over(by)))
+    listed = listed.withColumn("first", F.col("first") | F.col("often")).where("not first or many > 1")
     listed = table(listed.select("g", "doc", "start", "count", "many", "first"), "repeat-run")
     release(docs.sparkSession)
     copies = listed.where("not first").select("doc", "start", (F.col("start") + F.col("count") - 1 + length).alias("end"))
