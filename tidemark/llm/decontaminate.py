@@ -37,9 +37,11 @@ def windows(items: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
 def postings(docs: DataFrame, single: bool) -> DataFrame:
     """Rows (doc, row, pos, term): the pairs of every document, and its words where items of one word ask for them."""
     w = words(ascii_lower(F.col("text")), ALNUM_WORD)
-    every = bind(w, pairs) if not single else bind(w, lambda x: F.concat(F.transform(pairs(x), lambda p, i: F.struct(i.alias("pos"), p.alias("term"))), F.transform(x, lambda p, i: F.struct(i.alias("pos"), p.alias("term")))))
-    if single:
-        return docs.select("doc", "row", F.explode(F.array_distinct(every)).alias("p")).select("doc", "row", "p.pos", "p.term")
+    if single:  # a text of one word has that word as its only pair, so nothing comes twice
+        placed = lambda terms: F.transform(terms, lambda p, i: F.struct(i.alias("pos"), p.alias("term")))
+        every = bind(w, lambda x: F.when(F.size(x) > 1, F.concat(placed(pairs(x)), placed(x))).otherwise(placed(x)))
+        return docs.select("doc", "row", F.explode(every).alias("p")).select("doc", "row", "p.pos", "p.term")
+    every = bind(w, pairs)
     return docs.select("doc", "row", F.posexplode(every).alias("pos", "term"))
 
 
