@@ -58,7 +58,7 @@ def matches(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 0, id
     single = not full.where(F.size("win") == 1).isEmpty()
     terms = full.select("wid", F.posexplode(pairs(F.col("win"))).alias("off", "term"))
     df = table(postings(docs, single).join(small(terms.select("term").distinct(), 96), "term").groupBy("term").agg(F.count("*").alias("n")), "leak-term")
-    by = terms.join(df, "term", "left").groupBy("wid").agg(F.count("*").alias("all"), F.count("n").alias("seen"), F.array_sort(F.collect_list(F.struct("n", "term", "off"))).alias("t"))  # size terms at most
+    by = terms.join(df, "term", "left").groupBy("wid").agg(F.count("*").alias("all"), F.count("n").alias("seen"), F.array_sort(F.filter(F.collect_list(F.struct("n", "term", "off")), lambda x: x["n"].isNotNull())).alias("t"))  # size terms at most
     lead = F.slice("t", 1, LEAD if not slop else 1)
     rare = by.where("seen = all" if not slop else "seen > 0").select("wid", F.size(lead).alias("need"), F.explode(lead).alias("r")).select("wid", "need", "r.term", "r.off")
     posted = postings(docs, single).join(small(table(rare, "leak-rare"), 128), "term")
