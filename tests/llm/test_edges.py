@@ -34,6 +34,19 @@ def test_substring_dedup(docs, nothing):
     assert substring_dedup(nothing).count() == 0
 
 
+def test_substring_dedup_repeated_rows(spark, docs):
+    # Rows that repeat as a whole count once: neither takes the other's text away, in one Arrow batch or in two.
+    unique = docs.dropDuplicates(["doc_id", "text"])
+    want = by_id(substring_dedup(unique, length=100), "n_bytes", "n_removed", "n_spans", "kept")
+    got = substring_dedup(docs, length=100)
+    assert got.count() == docs.count() and by_id(got, "n_bytes", "n_removed", "n_spans", "kept") == want
+    text = "".join(chr(97 + i * i * i % 26) + str(i) for i in range(200))
+    rows = [(1, text), (1, text), (2, "own start " + text), (2, "own start " + text), (3, "z" * 50)]
+    for parts in (1, 3):
+        got = sorted((r["doc_id"], r["n_bytes"] - r["n_removed"], r["kept"].decode()) for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), length=100).collect())
+        assert got == [(1, len(text), text)] * 2 + [(2, 10, "own start ")] * 2 + [(3, 50, "z" * 50)]
+
+
 def test_quality(docs, nothing):
     rows = quality_rules(docs)
     got = by_id(rows, "n_words", "n_repeat_words", "base_failed", "kept")

@@ -341,6 +341,15 @@ def repeated_spans(docs: DataFrame, length: int = 100, gram: int = GRAM) -> Data
     return copies.unionByName(sorted_).unionByName(dealt)
 
 
+def once(known: DataFrame) -> DataFrame:
+    """known (doc, text) with one row for each that repeats as a whole; only the rows of ids that come twice are compared."""
+    twice = table(known.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc"), "repeat-twice")
+    if twice.isEmpty():
+        return known
+    twice = small(twice, 16)
+    return known.join(twice, "doc", "left_anti").unionByName(table(known.join(twice, "doc", "left_semi").distinct(), "repeat-once"))
+
+
 def substring_dedup(docs: DataFrame, length: int = 100, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row (doc_id, n_bytes, n_removed, n_spans, kept) for each row of docs; kept holds the bytes that stay.
 
@@ -350,7 +359,7 @@ def substring_dedup(docs: DataFrame, length: int = 100, gram: int = GRAM, id_col
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     known = rows.where("doc is not null")
-    spans = repeated_spans(known, length, gram)
+    spans = repeated_spans(once(known), length, gram)
     spans = table(spans, "repeat-span")
     release(docs.sparkSession)
     spans = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
