@@ -27,6 +27,18 @@ def test_ngram_jaccard(docs, nothing):
     assert ngram_jaccard(nothing).count() == 0
 
 
+def test_ngram_jaccard_rows_without_id(spark):
+    rows = [(None, "same few words in each of these"), (None, None), (1, "one"), (2, "two")]
+    d = spark.createDataFrame(rows * 3, "doc_id long, text string").coalesce(1)
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # three batches of one size
+    try:
+        got = sorted(tuple(r) for r in ngram_jaccard(d, width=5).where("doc_id is null").select("n_shingles").collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    assert got == [(0,)] * 3 + [(3,)] * 3
+
+
 def test_substring_dedup(docs, nothing):
     unique = docs.dropDuplicates(["doc_id", "text"])
     got = by_id(substring_dedup(unique, length=100), "n_bytes", "n_removed", "n_spans")

@@ -112,7 +112,7 @@ SIGNATURE = T.StructType([*[T.StructField(n, T.LongType()) for n in ("key", "doc
 
 
 def signatures(width: int, num: int, den: int):
-    """Map step: a row (doc, n, f1, f2, sketch) for each document, and block keys.
+    """Map step over rows with an id: a row (doc, n, f1, f2, sketch) for each document, and block keys.
 
     Documents of one Arrow batch with the same key are joined here: the smallest goes on under the key, the others
     as finished edges (hub, doc) dealt out at random. So a key that a third of all documents share shuffles a row a batch.
@@ -123,13 +123,6 @@ def signatures(width: int, num: int, den: int):
         plans: dict[int, tuple[int, int]] = {}
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            if ids.null_count:
-                lost = texts.filter(ids.is_null())
-                n = np.array([len(s) for s in shingle_sets(lost, width)], np.int64)
-                none = pa.nulls(len(lost), pa.int64())
-                at = np.random.default_rng(batch.num_rows).integers(0, 2**62, len(lost))
-                yield pa.RecordBatch.from_arrays([pa.array(at), none, none, pa.array(n), none, none, pa.nulls(len(lost), pa.binary())], names=SIGNATURE.names)
-                ids, texts = ids.filter(ids.is_valid()), texts.filter(ids.is_valid())
             for at in range(0, len(ids), 2000):
                 doc = ids.slice(at, 2000).to_numpy(zero_copy_only=False)
                 sets = shingle_sets(texts.slice(at, 2000), width)
@@ -163,6 +156,18 @@ def signatures(width: int, num: int, den: int):
     return run
 
 
+def set_sizes(width: int):
+    """Map step: the size n of each row's set, and nothing else of the row."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                n = np.array([len(s) for s in shingle_sets(batch.column(0).slice(at, 2000), width)], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(n)], names=["n"])
+
+    return run
+
+
 def _rows(key, doc, hub=None, n=None, f=None, sketches=None) -> pa.RecordBatch:
     none = pa.nulls(len(doc), pa.int64())
     columns = [pa.array(key.view(np.int64)), pa.array(np.ascontiguousarray(doc)), none if hub is None else pa.array(np.ascontiguousarray(hub))]
@@ -318,12 +323,12 @@ def ngram_jaccard(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    rows = docs.mapInArrow(signatures(width, num, den), SIGNATURE)
+    rows = docs.where("doc is not null").mapInArrow(signatures(width, num, den), SIGNATURE)
     low = F.min(F.when(F.col("hub").isNull() & F.col("n").isNull(), F.col("doc"))).over(Window.partitionBy("key"))
     met = rows.withColumn("hub", F.when(F.col("n").isNull(), F.coalesce("hub", low))).where("n is not null or hub <> doc")
-    met = table(met.select(F.when(F.col("doc").isNull(), F.col("key")).alias("row"), "doc", "hub", "n", "f1", "f2", "sketch").dropDuplicates(), "jaccard-met")
-    sizes = met.where("n is not null and doc is not null").select("doc", "n", "f1", "f2")
-    kinds = met.where("n > 0 and doc is not null").groupBy("n", "f1", "f2").agg(F.min("doc").alias("rep"), F.first("sketch").alias("sketch"))  # equal sets have equal sketches
+    met = table(met.select("doc", "hub", "n", "f1", "f2", "sketch").dropDuplicates(), "jaccard-met")
+    sizes = met.where("n is not null").select("doc", "n", "f1", "f2")
+    kinds = met.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc").alias("rep"), F.first("sketch").alias("sketch"))  # equal sets have equal sketches
     kinds = table(kinds, "jaccard-kind")
     first = kinds.select("n", "f1", "f2", "rep")
     clusters = components(met.where("n is null").select(F.col("doc").alias("a"), F.col("hub").alias("b")), "jaccard-cluster")
@@ -344,4 +349,5 @@ def ngram_jaccard(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100
     final = components(found.unionByName(same), "jaccard-component")
     ids = sizes.groupBy("doc").agg(F.max("n").alias("n"))
     out = ids.join(final, ids.doc == final.node, "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
-    return out.unionByName(met.where("doc is null").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
+    lost = docs.where("doc is null").select("text").mapInArrow(set_sizes(width), "n long")  # never met with others, so equal ones all stay
+    return out.unionByName(lost.select(F.lit(None).cast("long").alias(id_col), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
