@@ -97,6 +97,33 @@ def test_jaccard_table(spark):
     assert got == components({r["doc_id"]: r["text"] for r in docs.collect()}, 4, 85, 100)
 
 
+def test_proximity_matches(spark):
+    """Every word within reach, also where no pair of neighbours of the item stands in the document, against brute force."""
+    import random
+
+    from tidemark.llm.decontaminate import decontaminate, matches
+
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(14)]
+    rows = [(1, "a x b c"), (2, "b c"), (3, "b c and b c"), (4, "a x b x c"), (5, "c x a"), (6, "a " + "x " * 40 + "b c"), (7, None), (8, "a x b c"), (8, "a x b c"), (9, "ONE a")]
+    rows += [(10 + i, " ".join(rng.choices(words, k=rng.choice([3, 9, 40])))) for i in range(60)]
+    items = [(1, "a b c"), (2, "one"), (3, "nowhere b c"), *[(10 + i, " ".join(rng.choices(words, k=k))) for i, k in enumerate([2, 3, 4, 4, 5, 7])]]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for slop in (1, 3):
+        want = set()
+        for d, t in rows:
+            w = (t or "").lower().split()
+            for item, text in items:
+                all_ = text.split()
+                for win in {tuple(all_[k : k + 4]) for k in range(max(len(all_) - 3, 1))}:
+                    reach = len(win) - 1 + slop
+                    want |= {(str(d), p, len(win), item) for p in range(len(w)) if w[p] in win and set(win) <= set(w[max(p - reach, 0) : p + reach + 1])}
+        assert {(r["doc"], r["start"], r["len"], r["item"]) for r in matches(docs, bench, size=4, slop=slop).collect()} == want
+        assert {("1", 1), ("4", 1), ("8", 1)} <= {(d, item) for d, _, _, item in want}
+    got = decontaminate(docs, bench, size=4, slop=3).collect()
+    assert len(got) == len(rows) and {(str(r["doc_id"]), r["n_hit"]) for r in got if r["contaminated"]} == {(d, len({p for x, p, _, _ in want if x == d})) for d in {x[0] for x in want}}
+
+
 def repeats(rows, length):
     seen, out = set(), {}
     for i, raw in sorted(rows):

@@ -5,6 +5,9 @@ one. Every window of ten test words is looked up from its rarest terms: training
 and postings (document, position) are taken for the LEAD rarest terms of each window. Shifted back by their offsets, these
 lists must meet in one start; what is left are nearly matches only. Their documents' own word positions then show whether the
 other words stand there as well. So the postings of common terms are never written.
+
+Proximity matches (slop) have single words as terms: every match holds the window's rarest word, so its postings alone lead to all
+matches, and the words around them decide.
 """
 
 from __future__ import annotations
@@ -34,9 +37,11 @@ def windows(items: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
     return rows.select("item", F.concat(F.xxhash64(text).cast("string"), F.lit(":"), F.size("win").cast("string")).alias("wid"), "win")
 
 
-def postings(docs: DataFrame, single: bool) -> DataFrame:
-    """Rows (doc, row, pos, term): the pairs of every document, and its words where items of one word ask for them."""
+def postings(docs: DataFrame, single: bool, near: bool = False) -> DataFrame:
+    """Rows (doc, row, pos, term): the pairs of every document, and its words where items of one word ask for them; near: words only."""
     w = words(ascii_lower(F.col("text")), ALNUM_WORD)
+    if near:
+        return docs.select("doc", "row", F.posexplode(w).alias("pos", "term"))
     if single:  # a text of one word has that word as its only pair, so nothing comes twice
         placed = lambda terms: F.transform(terms, lambda p, i: F.struct(i.alias("pos"), p.alias("term")))
         every = bind(w, lambda x: F.when(F.size(x) > 1, F.concat(placed(pairs(x)), placed(x))).otherwise(placed(x)))
@@ -48,46 +53,62 @@ def postings(docs: DataFrame, single: bool) -> DataFrame:
 def matches(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 0, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Rows (doc, row, start, len, item): every place where a window of an item stands in a document.
 
-    With slop 0 the window's words stand consecutively. With a larger slop a place is one where the window's rarest pair of neighbours
-    stands and every other word of it within len - 1 + slop words of there, in any order; start is then the place of that pair.
+    With slop 0 the window's words stand consecutively. With a larger slop a place is any word of the window from which every other
+    word of it stands within len - 1 + slop words, in any order; start is then the place of that word. Nothing depends on the other documents.
     doc is the id as a string (null: empty), row a hash of the text.
     """
     docs = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("row"), F.col(text_col).alias("text"))
     win = table(windows(items, size, item_col, item_text_col), "leak-window")
     full = win.select("wid", "win").distinct()
-    single = not full.where(F.size("win") == 1).isEmpty()
-    terms = full.select("wid", F.posexplode(pairs(F.col("win"))).alias("off", "term"))
-    df = table(postings(docs, single).join(small(terms.select("term").distinct(), 96), "term").groupBy("term").agg(F.count("*").alias("n")), "leak-term")
+    near = slop > 0
+    single = not near and not full.where(F.size("win") == 1).isEmpty()
+    terms = full.select("wid", F.posexplode(F.array_distinct("win") if near else pairs(F.col("win"))).alias("off", "term"))
+    df = table(postings(docs, single, near).join(small(terms.select("term").distinct(), 96), "term").groupBy("term").agg(F.count("*").alias("n")), "leak-term")
     by = terms.join(df, "term", "left").groupBy("wid").agg(F.count("*").alias("all"), F.count("n").alias("seen"), F.array_sort(F.filter(F.collect_list(F.struct("n", "term", "off")), lambda x: x["n"].isNotNull())).alias("t"))  # size terms at most
-    lead = F.slice("t", 1, LEAD if not slop else 1)
-    rare = by.where("seen = all" if not slop else "seen > 0").select("wid", F.size(lead).alias("need"), F.explode(lead).alias("r")).select("wid", "need", "r.term", "r.off")
-    posted = postings(docs, single).join(small(table(rare, "leak-rare"), 128), "term")
-    start = F.col("pos") - F.col("off") if not slop else F.col("pos")
-    found = posted.groupBy("doc", "row", start.alias("start"), "wid", "need").agg(F.countDistinct("off").alias("n")).where("n = need and start >= 0")
+    lead = F.slice("t", 1, 1 if near else LEAD)
+    rare = by.where("seen = all").select("wid", F.size(lead).alias("need"), F.explode(lead).alias("r")).select("wid", "need", "r.term", "r.off")
+    posted = postings(docs, single, near).join(small(table(rare, "leak-rare"), 128), "term")
     full = full.select("wid", "win", F.size("win").alias("len"))
+    if near:
+        found = posted.groupBy("doc", "row", "wid").agg(F.collect_set("pos").alias("pos"))
+        entry = F.struct("pos", "wid", "len", "win")
+    else:
+        found = posted.groupBy("doc", "row", (F.col("pos") - F.col("off")).alias("start"), "wid", "need").agg(F.countDistinct("off").alias("n")).where("n = need and start >= 0")
+        entry = F.struct("start", "wid", "len", "win")
     found = found.join(small(full, 160), "wid")
-    found = table(found.groupBy("doc", "row").agg(F.collect_set(F.struct("start", "wid", "len", "win")).alias("at")), "leak-candidate")
+    found = table(found.groupBy("doc", "row").agg(F.collect_set(entry).alias("at")), "leak-candidate")
+
+    def stands(w, c, p, reach):
+        return F.size(F.array_except(c["win"], F.slice(w, F.greatest(p - reach, F.lit(0)) + 1, F.least(p, reach) + reach + 1))) == 0
+
+    def spots(w, c):
+        """Places of a window's words with all the others within reach; one is never further than that from the rarest word."""
+        reach = c["len"] - 1 + slop
+        hopeful = F.filter(c["pos"], lambda r: stands(w, c, r, 2 * reach))
+        around = F.flatten(F.transform(hopeful, lambda r: F.sequence(F.greatest(r - reach, F.lit(0)), F.least(r + reach, F.size(w) - 1))))
+        return F.filter(F.array_distinct(around), lambda p: F.array_contains(c["win"], F.get(w, p)) & stands(w, c, p, reach))
 
     def here(w):
-        if not slop:
-            return F.filter("at", lambda c: F.slice(w, c["start"] + 1, c["len"]) == c["win"])
-        near = lambda c: F.slice(w, F.greatest(c["start"] - (c["len"] - 1 + slop), F.lit(0)) + 1, F.least(c["start"], c["len"] - 1 + slop) + c["len"] + slop)
-        return F.filter("at", lambda c: F.size(F.array_except(c["win"], near(c))) == 0)
+        if near:
+            placed = lambda c: F.transform(spots(w, c), lambda p: F.struct(p.alias("start"), c["wid"].alias("wid"), c["len"].alias("len")))
+            return F.flatten(F.transform("at", placed))
+        return F.filter("at", lambda c: F.slice(w, c["start"] + 1, c["len"]) == c["win"])
 
     held = docs.join(found, ["doc", "row"]).select("doc", "row", bind(words(ascii_lower(F.col("text")), ALNUM_WORD), here).alias("at"))
     places = held.select("doc", "row", F.explode("at").alias("c")).select("doc", "row", "c.start", "c.wid", "c.len").distinct()
     return places.join(small(win.select("wid", "item").distinct(), 64), "wid").select("doc", "row", "start", "len", "item")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", slop: int = 0) -> DataFrame:
     """A row (doc_id, n_words, n_hit, n_items, item_ids, contaminated) for each row of docs.
 
     Words are lower-cased runs of letters, digits and everything beyond ASCII; null has none. An item shorter than size words
     is one window; one without words has none. Repeated rows each get their row; rows of one doc_id with other texts are told
-    apart by the text's hash. Columns besides the named ones are ignored.
+    apart by the text's hash. Columns besides the named ones are ignored. With slop the places are those of proximity matches, and n_hit counts
+    the words from which all others of a window stand within reach.
     """
-    found = table(matches(docs, items, size, 0, id_col, text_col, item_col, item_text_col), "leak-match")
-    places = found.select("doc", "row", F.explode(F.expr("sequence(start, start + len - 1)")).alias("pos")).distinct().groupBy("doc", "row").agg(F.count("*").alias("n_hit"))
+    found = table(matches(docs, items, size, slop, id_col, text_col, item_col, item_text_col), "leak-match")
+    places = found.select("doc", "row", F.explode(F.expr("array(start)" if slop > 0 else "sequence(start, start + len - 1)")).alias("pos")).distinct().groupBy("doc", "row").agg(F.count("*").alias("n_hit"))
     held = found.select("doc", "row", F.col("item").cast("string").alias("item")).distinct().groupBy("doc", "row").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list("item")).alias("item_ids"))
     hits = places.join(held, ["doc", "row"])
     rows = docs.select(
