@@ -95,6 +95,20 @@ def test_licenses(docs, nothing):
     assert got[10] == (12, 3, 0, 10, "cc-by,reserved", "cc-by,mit,reserved", 1.0) and got[4] == (0, 0, None, None, "", "", 0.0) and license_scan(docs).count() == docs.count() and license_scan(nothing).count() == 0
 
 
+def labels(spark, texts):
+    got = license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    return [r["labels"] for r in got.orderBy("doc_id").collect()]
+
+
+def test_licenses_alike(spark):
+    want = {
+        "This work is licensed under the GNU General Public License, version 3.": "gpl", "This library is licensed under the GNU Lesser General Public License, version 3.": "gpl,lgpl",
+        "Licensed under CC BY 4.0": "cc-by", "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc", "Licensed under CC BY-SA 4.0.": "cc-by,cc-by-sa", "Released under the BSD license": "",
+        "Licensed under the Mozilla Public License, version 2.0": "", "Licensed under the Apache License, Version 2.0": "apache", "Released under the MIT License.": "mit",
+    }
+    assert labels(spark, want) == list(want.values())
+
+
 def test_mixing(docs, nothing):
     got = mix_plan(docs)
     assert got.count() == docs.count() and got.where("taken > 2 * size").count() == 0 and by_id(got, "taken")[4] == (0,)

@@ -3,7 +3,8 @@
 DataFrame functions only. A block is a line. Tokens are ordered by how many blocks of the whole corpus hold them, rarest
 first. A template needs a share of its tokens in a block; of its rarest tokens, so many that the others alone
 don't suffice are its prefix, and a block without any of them can't match. Blocks that hold one are joined on it, held to
-the length and position bounds, and the overlap of what is left is counted.
+the length and position bounds, and the overlap of what is left is counted. Templates that differ in a word or two are told
+apart by their marks, words that a block has to hold.
 """
 
 from __future__ import annotations
@@ -29,6 +30,20 @@ TEMPLATES = [
     ("mpl", "subject to the terms of the mozilla public license version 2 0"),
     ("reserved", "all rights reserved"),
 ]
+#: Words without which a template is another one or none, for each template's text; a block needs all of them whatever it shares.
+MARKS = {
+    "licensed under the apache license version 2 0": ["apache"],
+    "redistribution and use in source and binary forms with or without modification are permitted": ["redistribution"],
+    "licensed under cc by 4 0": ["cc"],
+    "licensed under cc by nc 4 0": ["cc", "nc"],
+    "licensed under cc by sa 4 0": ["cc", "sa"],
+    "this work is licensed under the gnu general public license version 3": ["general"],
+    "this library is licensed under the gnu lesser general public license version 3": ["lesser"],
+    "released under the mit license": ["mit"],
+    "permission is hereby granted free of charge to any person obtaining a copy of this software": ["permission"],
+    "subject to the terms of the mozilla public license version 2 0": ["mozilla"],
+    "all rights reserved": ["reserved"],
+}
 #: Phrases whose places are counted, with their labels.
 PHRASES = [(("cc", "by"), "cc-by"), (("general", "public", "license"), "gpl"), (("all", "rights", "reserved"), "reserved")]
 THRESHOLD = 0.8
@@ -68,21 +83,21 @@ def base_scan(text: Column) -> Column:
 
 
 def template_links(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc, line, label, containment): every line and template with |line and template| >= threshold * |template| over sets of words."""
-    sets = [(label, sorted(set(text.split()))) for label, text in templates]
-    vocabulary = sorted({x for _, s in sets for x in s})
+    """Rows (doc, line, label, containment): every line and template with |line and template| >= threshold * |template| over sets of words, and all of the template's marks in the line."""
+    sets = [(label, sorted(set(text.split())), MARKS.get(text, [])) for label, text in templates]
+    vocabulary = sorted({x for _, s, _ in sets for x in s})
     blocks = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), "\n", -1)).alias("line", "block"))
     blocks = blocks.select("doc", "line", F.array_distinct(F.filter(words(F.col("block"), ALNUM_WORD), lambda x: x.isin(vocabulary))).alias("tokens"))
     blocks = table(blocks.where(F.size("tokens") > 0), "license-block")  # the texts are read once; template words are all that is kept
     counted = {r["token"]: r["n"] for r in blocks.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()}  # a row for each template word at most
     rank = {x: i for i, x in enumerate(sorted(vocabulary, key=lambda x: (counted.get(x, 0), x)))}
     index = []
-    for label, s in sets:
+    for label, s, marks in sets:
         s = sorted(s, key=rank.get)
         need = math.ceil(threshold * len(s) - 1e-9)
-        index += [(x, label, s, need, i) for i, x in enumerate(s[: len(s) - need + 1])]
+        index += [(x, label, s, marks, need, i) for i, x in enumerate(s[: len(s) - need + 1])]
     spark = docs.sparkSession
-    index = spark.createDataFrame(index, "token string, label string, template array<string>, need int, i int")
+    index = spark.createDataFrame(index, "token string, label string, template array<string>, marks array<string>, need int, i int")
     prefix = sorted({r[0] for r in index.select("token").collect()}, key=rank.get)
     order = F.create_map(*[y for x in vocabulary for y in (F.lit(x), F.lit(rank[x]))])
     near = blocks.where(F.arrays_overlap("tokens", F.array(*[F.lit(x) for x in prefix])))
@@ -90,7 +105,7 @@ def template_links(docs: DataFrame, templates=TEMPLATES, threshold: float = THRE
     at = near.select("doc", "line", "tokens", F.posexplode("tokens").alias("j", "token"))
     met = at.join(F.broadcast(index), "token").where(F.size("tokens") >= F.col("need"))  # the index has a fixed size
     met = met.where(1 + F.least(F.size("template") - F.col("i") - 1, F.size("tokens") - F.col("j") - 1) >= F.col("need") - F.least("i", "j"))
-    met = met.withColumn("both", F.size(F.array_intersect("tokens", "template"))).where("both >= need")
+    met = met.withColumn("both", F.size(F.array_intersect("tokens", "template"))).where("both >= need and size(array_except(marks, tokens)) = 0")
     return met.select("doc", "line", "label", (F.col("both") / F.size("template")).alias("containment")).distinct()
 
 
