@@ -109,6 +109,15 @@ def test_licenses_alike(spark):
     assert labels(spark, want) == list(want.values())
 
 
+def test_licenses_wrapped(spark):
+    bsd, apache = "Redistribution and use in source and binary forms, with or without", "Licensed under the Apache License,\nVersion 2.0"
+    want = {
+        f"{bsd}\nmodification, are permitted provided that": "bsd", f"intro\n# {apache}": "apache", "// Subject to the terms of the Mozilla Public\n//\n\n// License, version 2.0.": "mpl",
+        bsd.replace(" ", "\n") + "\nmodification\nare\npermitted": "bsd", bsd: "", bsd + "\n" + "other words here " * 20 + "\nmodification, are permitted": "",
+    }
+    assert labels(spark, want) == list(want.values())
+
+
 def test_mixing(docs, nothing):
     got = mix_plan(docs)
     assert got.count() == docs.count() and got.where("taken > 2 * size").count() == 0 and by_id(got, "taken")[4] == (0,)

@@ -1,6 +1,7 @@
 """License scans by an exact set-similarity join of text blocks with license templates.
 
-DataFrame functions only. A block is a line. Tokens are ordered by how many blocks of the whole corpus hold them, rarest
+DataFrame functions only. A block is a line with as many of the words after it as the longest template has, so a statement may
+wrap anywhere. Tokens are ordered by how many blocks of the whole corpus hold them, rarest
 first. A template needs a share of its tokens in a block; of its rarest tokens, so many that the others alone
 don't suffice are its prefix, and a block without any of them can't match. Blocks that hold one are joined on it, held to
 the length and position bounds, and the overlap of what is left is counted. Templates that differ in a word or two are told
@@ -82,11 +83,30 @@ def base_scan(text: Column) -> Column:
     return bind(ascii_lower(F.coalesce(text, F.lit(""))), lambda low: bind(words(low, ALNUM_WORD), lambda w: scan(w, low)))
 
 
+def text_blocks(low: Column, templates) -> Column:
+    """Structs (line, block) of a lower-cased text. Texts without any template's mark can't match, so their lines stand alone."""
+    reach = max(len(text.split()) for _, text in templates)
+    gap = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]"
+    marks = [MARKS.get(text, [])[-1:] for _, text in templates]
+    marked = low.rlike(f"(?:^|{gap})(?:{'|'.join(sorted({m for x in marks for m in x}))})(?:{gap}|$)") if all(marks) else F.lit(True)
+    lines = F.transform(F.split(low, "\n", -1), lambda x, i: F.struct(i.alias("line"), x.alias("block")))
+
+    def wrapped(full: Column) -> Column:
+        def after(i: Column) -> Column:
+            return F.array_join(F.slice(words(F.array_join(F.transform(F.slice(full, i + 2, reach), lambda x: x["block"]), " "), ALNUM_WORD), 1, reach), " ")
+
+        return F.transform(full, lambda x, i: F.struct(x["line"].alias("line"), F.concat(x["block"], F.lit(" "), after(i)).alias("block")))
+
+    # Lines without words don't count among those that follow.
+    return F.when(marked, bind(F.filter(lines, lambda x: x["block"].rlike(ALNUM_WORD)), wrapped)).otherwise(lines)
+
+
 def template_links(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc, line, label, containment): every line and template with |line and template| >= threshold * |template| over sets of words, and all of the template's marks in the line."""
+    """Rows (doc, line, label, containment): every block and template with |block and template| >= threshold * |template| over sets of words, and all of the template's marks in the block, by the block's first line."""
     sets = [(label, sorted(set(text.split())), MARKS.get(text, [])) for label, text in templates]
     vocabulary = sorted({x for _, s, _ in sets for x in s})
-    blocks = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), "\n", -1)).alias("line", "block"))
+    low = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
+    blocks = docs.select(F.col(id_col).alias("doc"), F.explode(bind(low, lambda x: text_blocks(x, templates))).alias("b")).select("doc", "b.line", "b.block")
     blocks = blocks.select("doc", "line", F.array_distinct(F.filter(words(F.col("block"), ALNUM_WORD), lambda x: x.isin(vocabulary))).alias("tokens"))
     blocks = table(blocks.where(F.size("tokens") > 0), "license-block")  # the texts are read once; template words are all that is kept
     counted = {r["token"]: r["n"] for r in blocks.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()}  # a row for each template word at most
@@ -112,7 +132,7 @@ def template_links(docs: DataFrame, templates=TEMPLATES, threshold: float = THRE
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    Null and empty texts have no words, no places and no labels. score is the largest containment of a template in a line,
+    Null and empty texts have no words, no places and no labels. score is the largest containment of a template in a block,
     1 where a base phrase stands and 0 where nothing is found. Rows of one doc_id share the labels found in any of them.
     Other columns are ignored.
     """
