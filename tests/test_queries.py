@@ -42,3 +42,8 @@ def test_query_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(queries.oracle_sql())))
 def test_query_runs(spark, name):
     assert queries.queries()[name](spark, DATA).columns
+
+
+def test_dangling_references_of_all_customers(spark, duck):
+    want = duck.execute("select 'c' || c_custkey, 'n' || (c_custkey % 30) from customer where c_custkey % 30 not in (select n_nationkey from nation)").fetchall()
+    assert sorted((r["id"], r["ref"]) for r in queries.queries()["j3_dangling_references"](spark, DATA).collect()) == sorted(want) and max(int(c[1:]) for c, _ in want) > 100
