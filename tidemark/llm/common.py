@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import math
 import tempfile
 import uuid
@@ -41,33 +40,63 @@ def key_hash(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session has none, as in tests."""
+    """The folder that driver and executors share. Only a local master, as in tests, gets one of its own where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one. Results read their tables from it, so it is deleted with the application, by whoever owns the shared folder."""
+    return f"{shared_dir(spark)}/tidemark-{spark.sparkContext.applicationId}"
+
+
+#: Lets Spark drop the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: lineage is cut, and a lost executor costs no more than its tasks."""
+    """Writes df as Parquet into the shared folder and reads it back: lineage is cut, and a lost executor costs no more than its tasks.
+
+    The shuffle files of the step go as soon as it is written, so disk is bounded by one step and the tables.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of steps whose results are tables by now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
     """df, to be broadcast if its counted rows times row_bytes are within BROADCAST_BYTES; otherwise the join shuffles."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+#: Rows of one key from which it is hot.
+HOT = 100_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], n: str, row_bytes: int, how: str = "inner") -> DataFrame:
+    """Inner or left join of left with right, whose column n tells how many rows of left each key has.
+
+    right is broadcast if it is small. Otherwise its hot keys, of which there is one for HOT rows of left at most, are joined
+    apart, by a broadcast if they are small, so that no task gets all rows of a hot key; the others are joined by shuffle.
+    """
+    if right.count() * row_bytes <= BROADCAST_BYTES:
+        return left.join(F.broadcast(right), on, how)
+    hot = small(right.where(F.col(n) >= HOT), row_bytes)
+    rest = left.join(small(right.where(F.col(n) >= HOT).select(*on), row_bytes), on, "left_anti")
+    return left.join(hot, on).unionByName(rest.join(right.where(F.col(n) < HOT), on, how))
+
+
 #: Edges that one task contracts on its own.
 CHUNK = 500_000
 

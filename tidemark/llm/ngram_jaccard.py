@@ -31,12 +31,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import components, contiguous, mix, release, table
+from tidemark.llm.common import components, contiguous, mix, table
 
 #: Documents in a tile; a task holds two tiles.
 TILE = 1024
 #: Least bits of a dense sketch.
 SKETCH_BITS = 2048
+#: Block keys that a map task remembers, 16 bytes each; those of one more batch may come on top.
+HELD = 2_000_000
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -114,13 +116,15 @@ SIGNATURE = T.StructType([*[T.StructField(n, T.LongType()) for n in ("key", "doc
 def signatures(width: int, num: int, den: int):
     """Map step over rows with an id: a row (doc, n, f1, f2, sketch) for each document, and block keys.
 
-    Documents of one Arrow batch with the same key are joined here: the smallest goes on under the key, the others
-    as finished edges (hub, doc) dealt out at random. So a key that a third of all documents share shuffles a row a batch.
+    Documents of one task with the same key are joined here: the first to hold it goes on under the key, the others as finished
+    edges (hub, doc) dealt out at random. So a key that a third of all documents share shuffles a row a task, and whatever comes
+    together under one key has a row a task at most. A task remembers up to HELD keys; one beyond them shuffles a row a batch.
     """
 
     def run(batches):
         bands = Bands(num, den)
         plans: dict[int, tuple[int, int]] = {}
+        held, hubs = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for at in range(0, len(ids), 2000):
@@ -147,8 +151,18 @@ def signatures(width: int, num: int, den: int):
                 order = np.lexsort((own, key))
                 key, own = key[order], own[order]
                 new = np.concatenate([[True], key[1:] != key[:-1]])
-                yield _rows(key[new], own[new])
-                hub = own[new][np.cumsum(new) - 1]
+                first, hub = key[new], own[new]
+                at_held = np.minimum(np.searchsorted(held, first), max(len(held) - 1, 0))
+                known = held[at_held] == first if len(held) else np.zeros(len(first), bool)
+                yield _rows(first[~known], hub[~known])
+                if len(held) < HELD:
+                    place = np.searchsorted(held, first[~known])
+                    held, earlier = np.insert(held, place, first[~known]), hubs
+                    hub = np.where(known, earlier[at_held], hub) if len(earlier) else hub
+                    hubs = np.insert(hubs, place, hub[~known])
+                else:
+                    hub = np.where(known, hubs[at_held], hub)
+                hub = hub[np.cumsum(new) - 1]
                 pair = np.unique(np.stack([hub, own], 1)[hub != own], axis=0)
                 if len(pair):
                     yield _rows(mix(pair[:, 1].astype(np.uint64), 13), pair[:, 1], pair[:, 0])
@@ -315,7 +329,7 @@ def together(rows: DataFrame) -> DataFrame:
 def ngram_jaccard(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
     """A row (doc_id, n_shingles, component_id) for each document.
 
-    Two documents link when den * |A and B| >= num * |A or B| over their sets of distinct width-word shingles; fewer words
+    Ids are whole numbers. Two documents link when den * |A and B| >= num * |A or B| over their sets of distinct width-word shingles; fewer words
     count as one shingle, and null, empty or blank texts as the empty set, which links with nothing. component_id is the
     smallest doc_id that links reach. Rows of one doc_id are one node of the graph. A null doc_id never links: its
     component is null and its size is that of its text;
@@ -337,14 +351,11 @@ def ngram_jaccard(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100
     band = sum(((F.col("n") >= x).cast("int") for x in bands.low if x > 1), F.lit(0))
     members = clusters.join(kinds, F.col("node") == F.col("rep")).select(F.col("rep").alias("doc"), F.col("component").alias("cluster"), band.alias("band"), "n", "sketch")
     members = table(members, "jaccard-member")
-    release(spark)  # by now nothing holds the blocks' shuffle any more
     near = together(members.select("doc", "n", "sketch").join(tiled(members, tile), "doc")).mapInArrow(sketch_links(num, den), "a long, b long")
     close = components(near, "jaccard-close")
     members = table(members.select("doc", "band").join(close.select(F.col("node").alias("doc"), F.col("component").alias("cluster")), "doc"), "jaccard-member")
-    release(spark)
     # Texts meet their tiles by a sorted join at every size: what is true of a small table is then true of a large one.
     found = table(together(docs.join(tiled(members, tile).hint("merge"), "doc")).mapInArrow(tile_links(width, num, den), "a long, b long"), "jaccard-link")
-    release(spark)
     same = sizes.join(first, ["n", "f1", "f2"]).where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
     final = components(found.unionByName(same), "jaccard-component")
     ids = sizes.groupBy("doc").agg(F.max("n").alias("n"))
