@@ -12,7 +12,8 @@ strings at equal distances, and consecutive windows with the same one form a run
    dealt out window by window instead, equal ones of one batch being met before the shuffle, so no bucket has to fit a task.
 4. Covered spans meet their document again, which is cut.
 
-Windows are compared by a 64-bit polynomial hash over random byte codes within the bucket of an equal 64-bit string hash.
+Windows are compared by a 64-bit polynomial hash over random byte codes within the bucket of an equal 64-bit string hash, and those that
+are dealt out, which may be very many, by a second one over other codes as well.
 """
 
 from __future__ import annotations
@@ -23,13 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import contiguous, mix, release, small, table, utf8
+from tidemark.llm.common import contiguous, mix, small, table, utf8
 
 GRAM = 24
 #: Runs of a bucket that one task sorts at most.
 BUCKET = 20_000
-#: Different runs of one string in a batch from which the string counts as frequent and is dealt out by windows at once.
-FREQUENT = 64
+#: Different runs of one string in a batch from which the string counts as frequent and is dealt out by windows at once, and from which a
+#: batch is counted at all; strings with more than BUCKET runs in such batches are frequent as well.
+FREQUENT, COUNTED = 64, 8
 #: Window starts worked on at a time; 22 bits of a sort key hold a place in such a piece.
 PIECE = 1 << 20
 PLACE = np.uint64((1 << 22) - 1)
@@ -38,12 +40,12 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def _tables(n: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of the bytes, and at least n powers of an odd base and of its inverse modulo 2**64."""
+    """Two sets of codes of the bytes, and at least n powers of an odd base and of its inverse modulo 2**64."""
     if not _powers or len(_powers["up"]) < n:
         base = 0x9E3779B97F4A7C15
         size = max(n, PIECE + 4096)
         with np.errstate(over="ignore"):
-            _powers["code"] = mix(np.arange(256, dtype=np.uint64), 21)
+            _powers["code"] = np.stack([mix(np.arange(256, dtype=np.uint64), seed) for seed in (21, 22)])
             for name, x in (("up", base), ("down", pow(base, -1, 2**64))):
                 _powers[name] = np.full(size, x, np.uint64)
                 _powers[name][0] = 1
@@ -51,10 +53,10 @@ def _tables(n: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _powers["code"], _powers["up"], _powers["down"]
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
+def prefix_sums(data: np.ndarray, which: int = 0) -> np.ndarray:
     code, _, down = _tables(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(code[data] * down[: len(data)], out=out[1:])
+    np.cumsum(code[which][data] * down[: len(data)], out=out[1:])
     return out
 
 
@@ -133,14 +135,14 @@ def batch_runs(batch: pa.RecordBatch, length: int, gram: int):
 
 
 def frequent_strings(length: int, gram: int, least: int):
-    """Map step: strings with at least `least` different runs in a batch. Whatever a few hundredths of all documents hold in different contexts is among them."""
+    """Map step: strings with at least `least` different runs in a batch, and how many. Whatever a few thousandths of all documents hold in different contexts is among them."""
 
     def run(batches):
         for batch in batches:
             found = batch_runs(batch, length, gram)
             if found:
                 g, n = np.unique(found[3][~found[5]], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(g[n >= least].view(np.int64))], names=["g"])
+                yield pa.RecordBatch.from_arrays([pa.array(g[n >= least].view(np.int64)), pa.array(n[n >= least])], names=["g", "n"])
 
     return run
 
@@ -183,8 +185,8 @@ def cut_runs(batches):
             yield pa.RecordBatch.from_arrays([flat.field("g")[here], pa.array(doc[which[here]]), pa.array(start[here]), pa.array(count[here]), raw, flat.field("many")[here]], names=["g", "doc", "start", "count", "raw", "many"])
 
 
-def _windows(part: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, row, place in the run) of every window of the runs of a table."""
+def _windows(part: pa.Table, length: int, twice: bool = False) -> tuple[np.ndarray, ...]:
+    """(hash, row, place in the run) of every window of the runs of a table, and a second hash if asked for."""
     raw = part.column("raw").combine_chunks()
     raw = raw.cast(pa.large_binary())
     _, offsets, data = raw.buffers()
@@ -193,7 +195,7 @@ def _windows(part: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.nd
     offsets = offsets - offsets[0]
     count = part.column("count").to_numpy()
     g = mix(part.column("g").to_numpy().view(np.uint64), 27)
-    hashes, rows, places = [], [], []
+    hashes, rows, places, again = [], [], [], []
     row = 0
     while row < len(count):
         last = max(int(np.searchsorted(offsets, offsets[row] + PIECE, "right")) - 1, row + 1)
@@ -206,8 +208,10 @@ def _windows(part: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.nd
         hashes.append(mix(span_hash(sums, at, at + length) ^ g[which], 28))
         rows.append(which)
         places.append(place)
+        if twice:
+            again.append(span_hash(prefix_sums(data[lo:hi], 1), at, at + length))
         row = last
-    return np.concatenate(hashes), np.concatenate(rows), np.concatenate(places)
+    return tuple(np.concatenate(x) for x in ((hashes, rows, places, again) if twice else (hashes, rows, places)))
 
 
 def _spans(doc: np.ndarray, start: np.ndarray, length: int) -> pa.RecordBatch:
@@ -245,35 +249,35 @@ def sort_buckets(length: int):
 
 
 def deal_windows(length: int):
-    """Map step for large buckets: rows (h, doc, start, done). Equal windows of a batch leave one, the first, to be dealt; the others are done: repeated."""
+    """Map step for large buckets: rows (h, w, doc, start, done), h and w being two hashes of a window. Equal windows of a batch leave one, the first, to be dealt; the others are done: repeated."""
 
     def run(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 8000):
                 part = pa.Table.from_batches([batch.slice(a, 8000)])
-                h, row, place = _windows(part, length)
+                h, row, place, w = _windows(part, length, True)
                 doc, start = part.column("doc").to_numpy()[row], part.column("start").to_numpy()[row] + place
-                order = np.lexsort((start, doc, h))
-                h, doc, start = h[order], doc[order], start[order]
-                again = np.concatenate([[False], h[1:] == h[:-1]])
+                order = np.lexsort((start, doc, w, h))
+                h, w, doc, start = h[order], w[order], doc[order], start[order]
+                again = np.concatenate([[False], (h[1:] == h[:-1]) & (w[1:] == w[:-1])])
                 key = np.where(again, mix(h ^ mix(doc.view(np.uint64) ^ mix(start.view(np.uint64)))), h)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(start), pa.array(again)], names=["h", "doc", "start", "done"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(w.view(np.int64)), pa.array(doc), pa.array(start), pa.array(again)], names=["h", "w", "doc", "start", "done"])
 
     return run
 
 
 def meet_windows(length: int):
-    """Reduce step for large buckets over rows sorted by (h, done, doc, start)."""
+    """Reduce step for large buckets over rows sorted by (h, w, done, doc, start)."""
 
     def run(batches):
         last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h, doc, start = (batch.column(i).to_numpy() for i in range(3))
-            done = batch.column(3).to_numpy(zero_copy_only=False)
-            again = np.concatenate([[h[0] == last], h[1:] == h[:-1]]) | done
-            last = h[-1]
+            h, w, doc, start = (batch.column(i).to_numpy() for i in range(4))
+            done = batch.column(4).to_numpy(zero_copy_only=False)
+            again = np.concatenate([[(h[0], w[0]) == last], (h[1:] == h[:-1]) & (w[1:] == w[:-1])]) | done
+            last = (h[-1], w[-1])
             yield _spans(doc[again], start[again], length)
 
     return run
@@ -318,7 +322,8 @@ def cut_documents(batches):
 
 def repeated_spans(docs: DataFrame, length: int = 100, gram: int = GRAM) -> DataFrame:
     """Spans (doc, start, end) of rows (doc, text) that repeat earlier bytes; they may overlap."""
-    often = table(docs.mapInArrow(frequent_strings(length, gram, FREQUENT), "g long").distinct().withColumn("often", F.lit(True)), "repeat-frequent")
+    often = docs.mapInArrow(frequent_strings(length, gram, min(FREQUENT, COUNTED)), "g long, n long").groupBy("g").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
+    often = table(often.where((F.col("most") >= FREQUENT) | (F.col("n") > BUCKET)).select("g", F.lit(True).alias("often")), "repeat-frequent")
     listed = docs.mapInArrow(list_runs(length, gram), RUN).join(small(often, 16), "g", "left").withColumn("often", F.coalesce(F.col("often") & ~F.col("done"), F.lit(False)))
     listed = listed.withColumn("key", F.when(F.col("often"), F.xxhash64("doc", "start")).otherwise(F.col("g")))  # frequent strings' runs needn't meet here
     by = Window.partitionBy("key")
@@ -327,17 +332,15 @@ def repeated_spans(docs: DataFrame, length: int = 100, gram: int = GRAM) -> Data
     listed = listed.withColumn("many", F.when(F.col("often"), F.lit(BUCKET + 1)).otherwise(F.sum(F.col("first").cast("long")).over(by)))
     listed = listed.withColumn("first", F.col("first") | F.col("often")).where("not first or many > 1")
     listed = table(listed.select("g", "doc", "start", "count", "many", "first"), "repeat-run")
-    release(docs.sparkSession)
     copies = listed.where("not first").select("doc", "start", (F.col("start") + F.col("count") - 1 + length).alias("end"))
     mixed = listed.where("first")
     todo = mixed.groupBy("doc").agg(F.collect_list(F.struct("start", "count", F.lit(length).cast("long").alias("length"), "g", "many")).alias("todo"))
     cut = docs.join(todo, "doc").mapInArrow(cut_runs, "g long, doc long, start long, count long, raw binary, many long")
     cut = table(cut, "repeat-bytes")
-    release(docs.sparkSession)
     span = "doc long, start long, end long"
     sorted_ = cut.where(F.col("many") <= BUCKET).drop("many").repartition("g").sortWithinPartitions("g").mapInArrow(sort_buckets(length), span)
-    dealt = cut.where(F.col("many") > BUCKET).drop("many").mapInArrow(deal_windows(length), "h long, doc long, start long, done boolean")
-    dealt = dealt.repartition("h").sortWithinPartitions("h", "done", "doc", "start").mapInArrow(meet_windows(length), span)
+    dealt = cut.where(F.col("many") > BUCKET).drop("many").mapInArrow(deal_windows(length), "h long, w long, doc long, start long, done boolean")
+    dealt = dealt.repartition("h").sortWithinPartitions("h", "w", "done", "doc", "start").mapInArrow(meet_windows(length), span)
     return copies.unionByName(sorted_).unionByName(dealt)
 
 
@@ -354,14 +357,13 @@ def substring_dedup(docs: DataFrame, length: int = 100, gram: int = GRAM, id_col
     """A row (doc_id, n_bytes, n_removed, n_spans, kept) for each row of docs; kept holds the bytes that stay.
 
     Texts are UTF-8 bytes, null is empty. A byte goes if a string of length bytes that covers it also starts earlier: in a smaller doc_id, or
-    earlier in the same one; strings may overlap and never cross documents. Ids have to be unique but for rows that repeat
+    earlier in the same one; strings may overlap and never cross documents. Ids are whole numbers and have to be unique but for rows that repeat
     as a whole, which count once and have one row. Rows without id stay as they are and are held against nothing. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     known = rows.where("doc is not null")
     spans = repeated_spans(once(known), length, gram)
     spans = table(spans, "repeat-span")
-    release(docs.sparkSession)
     spans = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     joined = known.join(spans, "doc", "left").select("doc", "text", "spans")
     lost = rows.where("doc is null").select("doc", "text", F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
