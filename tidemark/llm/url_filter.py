@@ -1,8 +1,9 @@
 """URL filters by a temporal list join.
 
-DataFrame functions only. Dated list entries (a host is added to or removed from a list) become validity intervals, and each
-capture is judged by the entries that were active when it was fetched: an equal join on the capture's host and its
-parent domains, with the fetch time inside the interval.
+DataFrame functions only. Dated list entries (a host is added to or removed from a list) become validity intervals. The distinct hosts
+of the captures, with their parent domains, meet the list by an equal join, and each host's intervals become its timeline. Captures
+meet the timeline of their own host, and the entries that were active at fetch time decide. So neither a top-level
+domain nor a host with very many captures comes together in one task.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import ascii_lower
+from tidemark.llm.common import ascii_lower, join_hot, table
 
 
 def host(url: Column) -> Column:
@@ -39,19 +40,26 @@ def intervals(entries: DataFrame) -> DataFrame:
     return rows.where("action = 'add'").select("host", "list", F.col("at").alias("valid_from"), "valid_to")
 
 
+def timelines(hosts: DataFrame, entries: DataFrame) -> DataFrame:
+    """Rows (own, n, spans) for those hosts (own, n) of which an entry is the host itself or a parent: all its intervals, as long as the list says something about one host."""
+    keyed = hosts.select("own", "n", F.explode(suffixes(F.col("own"))).alias("host"))
+    met = keyed.join(intervals(entries), "host")
+    span = F.struct(F.length("host").alias("n"), (F.col("list") == "allow").alias("allow"), "host", "list", "valid_from", "valid_to")
+    return met.groupBy("own", "n").agg(F.collect_list(span).alias("spans"))
+
+
 def url_filter(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched") -> DataFrame:
-    """A row (page_id, url, fetched, host, matched, list, valid_from, verdict) for each distinct capture.
+    """A row (page_id, url, fetched, host, matched, list, valid_from, verdict) for each capture.
 
     Of the active entries the one for the longest host wins, 'allow' before 'block' for the same host; verdict is 'block' if a
     'block' entry won, else 'keep'. A capture with null or hostless URL or null time matches nothing and is kept. Repeated captures
-    (same id, URL and time) give one row. Other columns are ignored.
+    have one row each. Other columns are ignored.
     """
-    rows = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(time_col).alias("fetched")).distinct().withColumn("own", host(F.col("url")))
-    keyed = rows.select("id", "url", "fetched", "own", F.explode_outer(suffixes(F.col("own"))).alias("key"))
-    active = (F.col("key") == F.col("host")) & (F.col("fetched") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to")))
-    met = keyed.join(intervals(entries), active, "left")
-    won = F.max(F.when(F.col("host").isNotNull(), F.struct(F.length("host").alias("n"), (F.col("list") == "allow").alias("allow"), "host", "list", "valid_from"))).alias("won")
-    out = met.groupBy("id", "url", "fetched", "own").agg(won)
+    rows = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(time_col).alias("fetched")).withColumn("own", host(F.col("url")))
+    lines = table(timelines(rows.where("own <> ''").groupBy("own").agg(F.count("*").alias("n")), entries), "url-timeline")
+    longest = lines.agg(F.max(F.size("spans"))).first()[0] or 0
+    active = F.filter("spans", lambda s: (F.col("fetched") >= s["valid_from"]) & (s["valid_to"].isNull() | (F.col("fetched") < s["valid_to"])))
+    out = join_hot(rows, lines, ["own"], "n", 64 + 64 * longest, "left").withColumn("won", F.array_max(active))
     return out.select(
         F.col("id").alias(id_col), F.col("url").alias(url_col), F.col("fetched").alias(time_col), F.col("own").alias("host"), F.col("won.host").alias("matched"), F.col("won.list").alias("list"), F.col("won.valid_from").alias("valid_from"),
         F.when(F.col("won.list") == "block", F.lit("block")).otherwise(F.lit("keep")).alias("verdict"),
