@@ -1,10 +1,10 @@
 """Benchmark decontamination by a positional inverted index.
 
 DataFrame functions only. The index's terms are pairs of neighbouring words, because the rarest single word of many windows is a common
-one. Every window of ten test words is looked up from its rarest terms: training postings of the test vocabulary are counted,
-and postings (document, position) are taken for the LEAD rarest terms of each window. Shifted back by their offsets, these
-lists must meet in one start; what is left are nearly matches only. Their documents' own word positions then show whether the
-other words stand there as well. So the postings of common terms are never written.
+one; a term is known by its 64-bit hash. The postings (document, position) of the terms that the test windows hold are stored once, and
+their numbers are the terms' document counts. Every window of ten test words is looked up from its LEAD rarest terms: shifted back by
+their offsets, their lists must meet in one start. What is left are nearly matches only, and the documents' own words show whether
+the whole window stands there, by its hash.
 
 Proximity matches (slop) have single words as terms: every match holds the window's rarest word, so its postings alone lead to all
 matches, and the words around them decide.
@@ -17,15 +17,20 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import ALNUM_WORD, ascii_lower, bind, small, table, words
 
-
 #: Terms of a window whose postings are intersected before a document is looked at.
 LEAD = 2
 
 
 def pairs(w: Column) -> Column:
-    """Index terms of a list of words: each word with the next one. A single word is a term of its own."""
+    """Index terms of a list of words: each word with the next one, hashed. A single word is a term of its own."""
     n = F.size(w)
-    return F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat(F.get(w, i - 1), F.lit(" "), F.get(w, i)))).otherwise(w)
+    one = F.transform(w, lambda x: F.xxhash64(x))
+    return F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i)))).otherwise(one)
+
+
+def window_id(win: Column) -> Column:
+    """What a window is known by: its words' hash and their number."""
+    return F.concat(F.xxhash64(F.array_join(win, " ")).cast("string"), F.lit(":"), F.size(win).cast("string"))
 
 
 def windows(items: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
@@ -33,21 +38,19 @@ def windows(items: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
     rows = items.select(F.col(id_col).alias("item"), words(ascii_lower(F.col(text_col)), ALNUM_WORD).alias("w")).where(F.size("w") > 0)
     cut = bind(F.col("w"), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - size + 1, F.lit(1))), lambda i: F.slice(w, i, size)))
     rows = rows.select("item", F.explode(cut).alias("win")).distinct()
-    text = F.array_join("win", " ")
-    return rows.select("item", F.concat(F.xxhash64(text).cast("string"), F.lit(":"), F.size("win").cast("string")).alias("wid"), "win")
+    return rows.select("item", window_id(F.col("win")).alias("wid"), "win")
 
 
 def postings(docs: DataFrame, single: bool, near: bool = False) -> DataFrame:
     """Rows (doc, row, pos, term): the pairs of every document, and its words where items of one word ask for them; near: words only."""
     w = words(ascii_lower(F.col("text")), ALNUM_WORD)
     if near:
-        return docs.select("doc", "row", F.posexplode(w).alias("pos", "term"))
+        return docs.select("doc", "row", F.posexplode(F.transform(w, lambda x: F.xxhash64(x))).alias("pos", "term"))
     if single:  # a text of one word has that word as its only pair, so nothing comes twice
         placed = lambda terms: F.transform(terms, lambda p, i: F.struct(i.alias("pos"), p.alias("term")))
-        every = bind(w, lambda x: F.when(F.size(x) > 1, F.concat(placed(pairs(x)), placed(x))).otherwise(placed(x)))
+        every = bind(w, lambda x: F.when(F.size(x) > 1, F.concat(placed(pairs(x)), placed(F.transform(x, lambda y: F.xxhash64(y))))).otherwise(placed(pairs(x))))
         return docs.select("doc", "row", F.explode(every).alias("p")).select("doc", "row", "p.pos", "p.term")
-    every = bind(w, pairs)
-    return docs.select("doc", "row", F.posexplode(every).alias("pos", "term"))
+    return docs.select("doc", "row", F.posexplode(bind(w, pairs)).alias("pos", "term"))
 
 
 def matches(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 0, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -62,20 +65,21 @@ def matches(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 0, id
     full = win.select("wid", "win").distinct()
     near = slop > 0
     single = not near and not full.where(F.size("win") == 1).isEmpty()
-    terms = full.select("wid", F.posexplode(F.array_distinct("win") if near else pairs(F.col("win"))).alias("off", "term"))
-    df = table(postings(docs, single, near).join(small(terms.select("term").distinct(), 96), "term").groupBy("term").agg(F.count("*").alias("n")), "leak-term")
+    terms = full.select("wid", F.posexplode(F.transform(F.array_distinct("win"), lambda x: F.xxhash64(x)) if near else pairs(F.col("win"))).alias("off", "term"))
+    index = table(postings(docs, single, near).join(small(terms.select("term").distinct(), 24), "term"), "leak-posting")
+    df = table(index.groupBy("term").agg(F.count("*").alias("n")), "leak-term")
     by = terms.join(df, "term", "left").groupBy("wid").agg(F.count("*").alias("all"), F.count("n").alias("seen"), F.array_sort(F.filter(F.collect_list(F.struct("n", "term", "off")), lambda x: x["n"].isNotNull())).alias("t"))  # size terms at most
     lead = F.slice("t", 1, 1 if near else LEAD)
     rare = by.where("seen = all").select("wid", F.size(lead).alias("need"), F.explode(lead).alias("r")).select("wid", "need", "r.term", "r.off")
-    posted = postings(docs, single, near).join(small(table(rare, "leak-rare"), 128), "term")
+    posted = index.join(small(table(rare, "leak-rare"), 64), "term")
     full = full.select("wid", "win", F.size("win").alias("len"))
     if near:
         found = posted.groupBy("doc", "row", "wid").agg(F.collect_set("pos").alias("pos"))
-        entry = F.struct("pos", "wid", "len", "win")
+        entry, about = F.struct("pos", "wid", "len", "win"), full
     else:
         found = posted.groupBy("doc", "row", (F.col("pos") - F.col("off")).alias("start"), "wid", "need").agg(F.countDistinct("off").alias("n")).where("n = need and start >= 0")
-        entry = F.struct("start", "wid", "len", "win")
-    found = found.join(small(full, 160), "wid")
+        entry, about = F.struct("start", "wid", "len"), full.drop("win")
+    found = found.join(small(about, 160), "wid")
     found = table(found.groupBy("doc", "row").agg(F.collect_set(entry).alias("at")), "leak-candidate")
 
     def stands(w, c, p, reach):
@@ -92,7 +96,7 @@ def matches(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 0, id
         if near:
             placed = lambda c: F.transform(spots(w, c), lambda p: F.struct(p.alias("start"), c["wid"].alias("wid"), c["len"].alias("len")))
             return F.flatten(F.transform("at", placed))
-        return F.filter("at", lambda c: F.slice(w, c["start"] + 1, c["len"]) == c["win"])
+        return F.filter("at", lambda c: window_id(F.slice(w, c["start"] + 1, c["len"])) == c["wid"])
 
     held = docs.join(found, ["doc", "row"]).select("doc", "row", bind(words(ascii_lower(F.col("text")), ALNUM_WORD), here).alias("at"))
     places = held.select("doc", "row", F.explode("at").alias("c")).select("doc", "row", "c.start", "c.wid", "c.len").distinct()
@@ -120,3 +124,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str
     out = rows.join(hits, ["doc", "row"], "left")
     none = F.array().cast("array<string>")
     return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", none).alias("item_ids"), F.col("n_hit").isNotNull().alias("contaminated"))
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs in which no window of an item stands, columns as they are. Rows are judged by their own id and text, also where ids are null or repeat."""
+    found = table(matches(docs, items, size, 0, id_col, text_col, item_col, item_text_col).select("doc", "row").distinct(), "leak-found")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("row"))
+    return rows.join(small(found, 64), ["doc", "row"], "left_anti").select("all.*")
