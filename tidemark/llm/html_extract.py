@@ -4,13 +4,17 @@ A page becomes a row of text blocks. A linear classifier over tags, class names,
 block; the prices are capacities from the source (main text) and to the sink (boilerplate). Neighbouring blocks, and blocks
 that follow each other within one parent element, are tied by smoothness edges. The minimum cut is the cheapest labelling, and
 what stays on the source's side is the main text. Pages are independent, so this is one map over the table.
+
+An element is boilerplate by its tag or its class names, with all that it holds, unless it is a wrapper of the page: one that holds the page's
+main article, or more than half of its text. So a layout class around everything says nothing about the article in it.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,26 +24,55 @@ MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]
 ATTRIBUTES = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*>""")
 NAMED = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 SPACES = re.compile(r"\s+")
-TOKEN = re.compile(r"[a-z]+")
+TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: HTML elements by their part in the page.
 UNSEEN = frozenset("script style template noscript title svg math iframe object select option textarea button audio video canvas".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BREAKS = frozenset("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CLOSED_BY_NEXT = frozenset("p li dt dd td th tr".split()) | HEADINGS
 BOILERPLATE = frozenset("nav footer aside header form menu dialog fieldset".split())
 BAD_NAMES = frozenset("ad ads adv advert advertisement advertising promo promotion sponsor sponsored banner nav navbar navigation menu sidebar aside footer header masthead breadcrumb breadcrumbs cookie cookies consent notice alert popup modal overlay newsletter subscribe signup login share sharing social related recommended widget comment comments disqus respond reply replies pagination pager toolbar copyright legal disclaimer".split())
 GOOD_NAMES = frozenset("article content main post entry story body text prose".split())
+#: Words in front of a class name that make it tell of the page's layout and not of the element.
+LAYOUT_WORDS = frozenset("has no with without not hide show is".split())
 #: The classifier: fixed weights of a linear score, positive for main text.
-BIAS, IN_ARTICLE, GOOD, BAD, BAD_TAG, LINKS, LENGTH, LONG, IN_LIST = -0.6, 4.0, 1.5, -8.0, -8.0, -3.0, 1.5, 120, -0.3
+BIAS, IN_ARTICLE, GOOD, BAD, LINKS, LENGTH, LONG, IN_LIST, HEADING = -0.6, 4.0, 1.5, -8.0, -3.0, 1.5, 120, -0.3, 0.5
 #: Smoothness between neighbours, and between blocks that follow each other within one parent.
 BESIDE, SIBLING = 0.15, 0.35
 
 
-def blocks(page: str) -> list[tuple[str, float, int]]:
-    """(text, score, parent) of each block in page order."""
-    out: list[tuple[str, float, int]] = []
-    stack: list[tuple[str, int, int, int]] = []  # name, number, kind of region, in article
+class Element(NamedTuple):
+    parent: int
+    name: str
+    bad: bool
+    good: bool
+
+
+class Block(NamedTuple):
+    text: str
+    linked: int
+    element: int
+
+
+def class_words(attributes: str) -> set[str]:
+    """The words of an element's classes, id and role, but for classes that tell of the page's layout."""
+    out = set()
+    for v in NAMED.findall(attributes):
+        for name in "".join(v).split():
+            words = [x.lower() for x in TOKEN.findall(name)]
+            if words and words[0] not in LAYOUT_WORDS:
+                out.update(words)
+    return out
+
+
+def parse(page: str) -> tuple[list[Element], list[Block]]:
+    """Block-level elements in page order, the first standing for the page, and the blocks of text in them."""
+    elements, found = [Element(-1, "", False, False)], []
+    stack, opened = [0], Counter()
+    unclosed: set[str] = set()
     parts: list[str] = []
-    linked = number = links = 0
+    linked = links = 0
 
     def flush() -> None:
         nonlocal linked
@@ -47,10 +80,7 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
             text = SPACES.sub(" ", html.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                bad, good, article = (stack[-1][2] < 0, stack[-1][2] > 0, stack[-1][3]) if stack else (False, False, 0)
-                score = BIAS + IN_ARTICLE * article + GOOD * good + BAD * bad + LENGTH * min(1.0, len(text) / LONG) + LINKS * min(1.0, linked / len(text))
-                score += IN_LIST * (bool(stack) and stack[-1][0] == "li")
-                out.append((text, score, next((n for t, n, _, _ in reversed(stack) if t not in ("p", "li")), 0)))
+                found.append(Block(text, linked, stack[-1]))
         linked = 0
 
     def text(s: str) -> None:
@@ -60,6 +90,11 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
             if links:
                 linked += len(s)
 
+    def pop() -> str:
+        name = elements[stack.pop()].name
+        opened[name] -= 1
+        return name
+
     at, size = 0, len(page)
     while at < size:
         m = MARKUP.search(page, at)
@@ -82,15 +117,19 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
                 links = max(0, links - 1)
             elif name in BREAKS:
                 flush()
-                if any(t == name for t, *_ in stack):
-                    while stack.pop()[0] != name:
+                if opened[name] > 0:
+                    while pop() != name:
                         pass
                     links = 0
             continue
         if name in UNSEEN:
-            close = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             if not attributes.endswith("/>"):
-                at = close.end() if close else size if name in ("script", "style", "title", "textarea") else at
+                close = None if name in unclosed else re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                if close:
+                    at = close.end()
+                else:  # nothing closes this element up to the page's end, nor any later one of its name
+                    unclosed.add(name)
+                    at = size if name in ("script", "style", "title", "textarea") else at
             continue
         if name == "br":
             parts.append(" ")
@@ -98,19 +137,55 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
             links += 1
         elif name in BREAKS and name not in VOID:
             flush()
-            if stack and stack[-1][0] in ("p", "li", "dt", "dd", "td", "th", "tr", "h1", "h2", "h3", "h4", "h5", "h6") and (stack[-1][0] == "p" or stack[-1][0] == name):
-                stack.pop()
-            region, article = (stack[-1][2], stack[-1][3]) if stack else (0, 0)
-            names = {x for v in NAMED.findall(attributes) for x in TOKEN.findall("".join(v).lower())}
-            if name in BOILERPLATE or names & BAD_NAMES and name not in ("body", "html"):
-                region = -1
-            elif region >= 0 and names & GOOD_NAMES:
-                region = 1
-            number += 1
-            stack.append((name, number, region, int(article or name in ("article", "main"))))
+            last = elements[stack[-1]].name
+            if last == "p" or last == name and last in CLOSED_BY_NEXT:
+                pop()
+            words = class_words(attributes)
+            bad = name in BOILERPLATE or bool(words & BAD_NAMES) and name not in ("body", "html")
+            elements.append(Element(stack[-1], name, bad, not bad and bool(words & GOOD_NAMES)))
+            stack.append(len(elements) - 1)
+            opened[name] += 1
         elif name == "hr":
             flush()
     flush()
+    return elements, found
+
+
+def regions(elements: list[Element], found: list[Block]) -> list[tuple[bool, bool, bool]]:
+    """(in boilerplate, under a good name, in an article) of each element."""
+    held = [0] * len(elements)
+    for b in found:
+        held[b.element] += len(b.text)
+    for i in range(len(elements) - 1, 0, -1):
+        held[elements[i].parent] += held[i]
+    wrappers = {i for i, e in enumerate(elements) if e.bad and (e.name == "form" or e.name not in BOILERPLATE) and 2 * held[i] > held[0]}
+    inside = [False] * len(elements)
+    for i, e in enumerate(elements[1:], 1):
+        inside[i] = inside[e.parent] or e.name in BOILERPLATE and e.name != "form"
+    top = next((i for i, e in enumerate(elements) if e.name in ("article", "main") and not e.bad and not inside[i]), 0)
+    while top > 0:
+        top = elements[top].parent
+        wrappers.add(top)
+    out = [(False, False, False)]
+    for i, e in enumerate(elements[1:], 1):
+        bad, good, article = out[e.parent]
+        out.append((bad or e.bad and i not in wrappers, good or e.good, article or e.name in ("article", "main")))
+    return out
+
+
+def blocks(page: str) -> list[tuple[str, float, int]]:
+    """(text, score, parent) of each block in page order."""
+    elements, found = parse(page)
+    region = regions(elements, found)
+    out = []
+    for b in found:
+        bad, good, article = region[b.element]
+        name, parent = elements[b.element].name, b.element
+        score = BIAS + IN_ARTICLE * article + GOOD * (good and not bad) + BAD * bad + LENGTH * min(1.0, len(b.text) / LONG) + LINKS * min(1.0, b.linked / len(b.text))
+        score += IN_LIST * (name == "li") + HEADING * (name in HEADINGS)
+        while elements[parent].name in CLOSED_BY_NEXT:
+            parent = elements[parent].parent
+        out.append((b.text, score, parent))
     return out
 
 
