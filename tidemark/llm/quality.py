@@ -1,8 +1,9 @@
 """Quality rules by distribution divergence.
 
 DataFrame functions only. A document's histograms of character classes and of its language's commonest words are compared with
-those of the whole corpus in that language by Jensen-Shannon distance. References are sums over all documents, one
-row for each listed language and one for the rest, so what the driver reads has a fixed size.
+those of its language by Jensen-Shannon distance. A language's reference is the sum over all its documents that pass the base rule, so
+repetitive and tiny junk has no part in it; there is one row for each listed language and one for the rest, so what the driver reads has a
+fixed size. Texts are read once: their counts go to a table, from which references and verdicts come.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, WORD, bind, words
+from tidemark.llm.common import SPACE, WORD, bind, table, words
 
 #: Common function words of each language.
 COMMON_WORDS = {
@@ -22,8 +23,12 @@ COMMON_WORDS = {
 SYMBOLS = "[#*$%&|<>]"
 #: Character classes besides white space, symbols and the rest.
 CLASSES = {"upper": "\\p{Lu}", "digit": "\\p{Nd}", "mark": "[.,;:!?'\"()\\-]"}
-#: Words below which no verdict is given, and distances above which a document is rejected.
-MIN_WORDS, MIN_COMMON, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 50, 50, 0.22, 0.26
+#: Words below which the base rule fails.
+MIN_WORDS = 50
+#: Guards of the two distances: fewer code points or words say too little about a distribution, and a document isn't rejected for them.
+MIN_CHARS, MIN_COMMON = 300, 70
+#: Distances above which a document is rejected.
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.22, 0.26
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -97,48 +102,59 @@ def distance(p: Column, q: Column) -> Column:
     return bind(F.struct(p.alias("p"), q.alias("q"), total(p.cast("array<double>")).alias("n"), total(q.cast("array<double>")).alias("m")), of)
 
 
-def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> list:
-    """Summed histograms: a row (lang, chars, common) for each listed language, and lang '' for all other values."""
-    lang = F.when(F.col(lang_col).isin(list(COMMON_WORDS)), F.col(lang_col)).otherwise(F.lit(""))
-    rows = docs.select(lang.alias("lang"), histograms(F.col(text_col), lang).alias("h")).select("lang", "h.*")
+def language(lang: Column) -> Column:
+    """A listed language, or the empty string for all other values."""
+    return F.when(lang.isin(list(COMMON_WORDS)), lang).otherwise(F.lit(""))
+
+
+def counted(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """A table of docs with a struct column __q of what is counted in each text: language, code points, base features, base_failed and histograms."""
+    lang = language(F.col(lang_col))
+    rows = docs.select("*", lang.alias("__l"), base_features(F.col(text_col)).alias("__b"), histograms(F.col(text_col), lang).alias("__h"))
+    b = F.col("__b")
+    failed = (b["n_words"] < MIN_WORDS) | (100 * b["n_repeat_words"] > 50 * b["n_words"])
+    counts = F.struct(F.col("__l").alias("lang"), F.coalesce(F.length(text_col), F.lit(0)).alias("n_chars"), "__b.*", failed.alias("base_failed"), "__h.*")
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], counts.alias("__q"))
+
+
+def references(rows: DataFrame) -> list:
+    """Summed histograms of counted() rows that pass the base rule: a row (lang, chars, common) for each listed language, and lang '' for all other values."""
     n, m = len(CLASSES) + 3, max(map(len, COMMON_WORDS.values())) + 1
-    sums = rows.groupBy("lang").agg(F.array(*[F.sum(F.get("chars", F.lit(i))) for i in range(n)]).alias("chars"), F.array(*[F.sum(F.get("common", F.lit(i))) for i in range(m)]).alias("common"))
-    return sums.collect()
+    q = rows.where("not __q.base_failed").select("__q.lang", "__q.chars", "__q.common")
+    return q.groupBy("lang").agg(F.array(*[F.sum(F.get("chars", F.lit(i))) for i in range(n)]).alias("chars"), F.array(*[F.sum(F.get("common", F.lit(i))) for i in range(m)]).alias("common")).collect()
 
 
-def divergence(docs_columns: tuple[str, str], found: list) -> Column:
-    """Struct (class_distance, word_distance) of a row to its language's reference."""
-    text, lang = (F.col(c) for c in docs_columns)
-    lang = F.when(lang.isin(list(COMMON_WORDS)), lang).otherwise(F.lit(""))
+def judged(rows: DataFrame, found: list, into: str = "quality") -> DataFrame:
+    """counted() rows with a struct column of the base features, both distances, base_failed and kept."""
+    q = F.col("__q")
     ref = F.lit(None).cast("struct<chars:array<bigint>,common:array<bigint>>")
     for r in found:
         common = F.array(*[F.lit(x).cast("long") for x in r["common"]]) if r["lang"] else F.lit(None).cast("array<bigint>")
-        ref = F.when(lang == r["lang"], F.struct(F.array(*[F.lit(x).cast("long") for x in r["chars"]]).alias("chars"), common.alias("common"))).otherwise(ref)
-    own = histograms(text, lang)
-    return bind(F.struct(own.alias("own"), ref.alias("ref")), lambda s: F.struct(distance(s["own"]["chars"], s["ref"]["chars"]).alias("class_distance"), distance(s["own"]["common"], s["ref"]["common"]).alias("word_distance")))
-
-
-def judged(docs: DataFrame, found: list, text_col: str = "text", lang_col: str = "lang", into: str = "quality") -> DataFrame:
-    """docs with a struct column of the base features, both distances, base_failed and kept."""
-    out = docs.select("*", base_features(F.col(text_col)).alias("__b"), divergence((text_col, lang_col), found).alias("__d"))
-    b, d = F.col("__b"), F.col("__d")
-    failed = (b["n_words"] < MIN_WORDS) | (100 * b["n_repeat_words"] > 50 * b["n_words"])
-    far = (F.coalesce(d["class_distance"], F.lit(0.0)) > MAX_CLASS_DISTANCE) | ((b["n_words"] >= MIN_COMMON) & (F.coalesce(d["word_distance"], F.lit(0.0)) > MAX_WORD_DISTANCE))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct("__b.*", "__d.*", failed.alias("base_failed"), (~failed & ~far).alias("kept")).alias(into))
+        ref = F.when(q["lang"] == r["lang"], F.struct(F.array(*[F.lit(x).cast("long") for x in r["chars"]]).alias("chars"), common.alias("common"))).otherwise(ref)
+    far = bind(ref, lambda x: F.struct(distance(q["chars"], x["chars"]).alias("class_distance"), distance(q["common"], x["common"]).alias("word_distance")))
+    out = rows.withColumn("__d", far)
+    d = F.col("__d")
+    strange = ((q["n_chars"] >= MIN_CHARS) & (F.coalesce(d["class_distance"], F.lit(0.0)) > MAX_CLASS_DISTANCE)) | ((q["n_words"] >= MIN_COMMON) & (F.coalesce(d["word_distance"], F.lit(0.0)) > MAX_WORD_DISTANCE))
+    base = [q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    kept = (~q["base_failed"] & ~strange).alias("kept")
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns if c != "__q"], F.struct(*base, "__d.*", q["base_failed"].alias("base_failed"), kept).alias(into))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """A row for each row of docs: doc_id, the base counts, class_distance, word_distance, base_failed, kept.
 
     Null, empty and blank texts have no words and fail the base rule. Languages that aren't listed, null among them, share one
-    reference of character classes and have no word distance. Repeated rows count one by one. Other columns are ignored.
+    reference of character classes and have no word distance. A language of which no document passes the base rule has no reference, and
+    its distances are null. A distance that is null or guarded rejects nothing. Repeated rows count one by one. Other columns are ignored.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    return judged(docs, references(docs)).select(F.col("id").alias(id_col), "quality.*")
+    rows = table(counted(docs).select("id", "__q"), "quality-counts")
+    return judged(rows, references(rows)).select(F.col("id").alias(id_col), "quality.*")
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs that are kept, columns as they are."""
     names = [f"`{c}`" for c in docs.columns]
     rows = docs.select(F.struct(*names).alias("row"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rows = table(counted(rows).select("row", "__q"), "quality-counts")
     return judged(rows, references(rows)).where("quality.kept").select("row.*")
