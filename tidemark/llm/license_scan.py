@@ -1,11 +1,11 @@
 """License scans by an exact set-similarity join of text blocks with license templates.
 
-DataFrame functions only. A block is a line with as many of the words after it as the longest template has, so a statement may
-wrap anywhere. Tokens are ordered by how many blocks of the whole corpus hold them, rarest
-first. A template needs a share of its tokens in a block; of its rarest tokens, so many that the others alone
-don't suffice are its prefix, and a block without any of them can't match. Blocks that hold one are joined on it, held to
-the length and position bounds, and the overlap of what is left is counted. Templates that differ in a word or two are told
-apart by their marks, words that a block has to hold.
+DataFrame functions only. A block is any run of words half as long again as a template, so a statement may wrap anywhere and a long
+line is no block. Tokens are ordered by how many documents of the whole corpus hold them, rarest first. A template needs a
+share of its tokens in a block; of its rarest tokens, so many that the others alone don't suffice are its prefix, and a block
+without any of them can't match. So each place of a prefix token, with the template words around it, is joined on it, held to the length and
+position bounds, and the blocks around it are counted out. Templates that differ in a word or two are told apart by their
+marks, words that a block has to hold.
 """
 
 from __future__ import annotations
@@ -17,37 +17,34 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import ALNUM_WORD, ascii_lower, bind, table, words
 
-#: Usual license statements as words, with the label of each.
+#: Usual license statements as words, with the label of each and its marks, the words without which it is another one or none.
 TEMPLATES = [
-    ("apache", "licensed under the apache license version 2 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("cc-by", "licensed under cc by 4 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("lgpl", "this library is licensed under the gnu lesser general public license version 3"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("mpl", "subject to the terms of the mozilla public license version 2 0"),
-    ("reserved", "all rights reserved"),
+    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", ["affero"]),
+    ("apache", "licensed under the apache license version 2 0", ["apache"]),
+    ("apache", "apache license version 2 0", ["apache"]),
+    ("boost", "distributed under the boost software license version 1 0", ["boost"]),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ["redistribution"]),
+    ("bsd", "released under the bsd license", ["bsd"]),
+    ("cc-by", "licensed under cc by 4 0", ["by", "cc"]),
+    ("cc-by-nc", "licensed under cc by nc 4 0", ["cc", "nc"]),
+    ("cc-by-nd", "licensed under cc by nd 4 0", ["cc", "nd"]),
+    ("cc-by-sa", "licensed under cc by sa 4 0", ["cc", "sa"]),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ["waived"]),
+    ("gpl", "this work is licensed under the gnu general public license version 3", ["general"]),
+    ("gpl", "under the terms of the gnu general public license as published by the free software foundation", ["general"]),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["fee", "permission"]),
+    ("lgpl", "this library is licensed under the gnu lesser general public license version 3", ["lesser"]),
+    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", ["lesser"]),
+    ("mit", "released under the mit license", ["mit"]),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ["permission"]),
+    ("mpl", "subject to the terms of the mozilla public license version 2 0", ["mozilla"]),
+    ("reserved", "all rights reserved", ["reserved"]),
+    ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered"]),
 ]
-#: Words without which a template is another one or none, for each template's text; a block needs all of them whatever it shares.
-MARKS = {
-    "licensed under the apache license version 2 0": ["apache"],
-    "redistribution and use in source and binary forms with or without modification are permitted": ["redistribution"],
-    "licensed under cc by 4 0": ["cc"],
-    "licensed under cc by nc 4 0": ["cc", "nc"],
-    "licensed under cc by sa 4 0": ["cc", "sa"],
-    "this work is licensed under the gnu general public license version 3": ["general"],
-    "this library is licensed under the gnu lesser general public license version 3": ["lesser"],
-    "released under the mit license": ["mit"],
-    "permission is hereby granted free of charge to any person obtaining a copy of this software": ["permission"],
-    "subject to the terms of the mozilla public license version 2 0": ["mozilla"],
-    "all rights reserved": ["reserved"],
-}
 #: Phrases whose places are counted, with their labels.
 PHRASES = [(("cc", "by"), "cc-by"), (("general", "public", "license"), "gpl"), (("all", "rights", "reserved"), "reserved")]
-THRESHOLD = 0.8
+#: Share of a template's words that a block has to hold, and words of a block for each word of the template.
+THRESHOLD, SPREAD = 0.8, 1.5
 
 
 def phrase_places(w: Column) -> Column:
@@ -65,84 +62,95 @@ def phrase_places(w: Column) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size(w) - 1), here)
 
 
-def base_scan(text: Column) -> Column:
-    """Struct of n_words, places and base_labels; the lower-cased text is searched word by word only where a phrase's shape is found."""
+def scan(text: Column, templates) -> Column:
+    """Struct of n_words, places and base_labels, and of the template words of the text: tokens, each once, and spots, all of them with their
+    places, if the text holds a mark. The lower-cased text is searched word by word for phrases only where a phrase's shape is found."""
     gap = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
     shape = "|".join(gap.join(p) for p, _ in PHRASES)
 
-    def scan(w: Column, low: Column) -> Column:
+    vocabulary = sorted({x for _, t, _ in templates for x in t.split()})
+    marked = f"(?:^|{gap})(?:{'|'.join(sorted({m[-1] for _, _, m in templates}))})(?:{gap}|$)"
+
+    def of_words(w: Column, low: Column) -> Column:
         none = F.array().cast("array<int>")
         places = F.when(low.rlike(shape) & (F.size(w) > 0), phrase_places(w)).otherwise(none)
 
         def of(p: Column) -> Column:
             names = F.array(*[F.when(F.exists(p, lambda i: F.get(w, i) == phrase[0]), F.lit(label)) for phrase, label in PHRASES])
-            return F.struct(F.size(w).cast("long").alias("n_words"), p.alias("places"), F.array_compact(names).alias("base_labels"))
+            tokens = F.array_distinct(F.filter(w, lambda x: x.isin(vocabulary)))
+            spots = F.filter(F.transform(w, lambda x, i: F.struct(i.alias("pos"), x.alias("token"))), lambda s: s["token"].isin(vocabulary))
+            return F.struct(F.size(w).cast("long").alias("n_words"), p.alias("places"), F.array_compact(names).alias("base_labels"), tokens.alias("tokens"), F.when(low.rlike(marked), spots).alias("spots"))
 
         return bind(places, of)
 
-    return bind(ascii_lower(F.coalesce(text, F.lit(""))), lambda low: bind(words(low, ALNUM_WORD), lambda w: scan(w, low)))
+    return bind(ascii_lower(F.coalesce(text, F.lit(""))), lambda low: bind(words(low, ALNUM_WORD), lambda w: of_words(w, low)))
+
 
+def needed(text: str, threshold: float) -> int:
+    return math.ceil(threshold * len(set(text.split())) - 1e-9)
 
-def text_blocks(low: Column, templates) -> Column:
-    """Structs (line, block) of a lower-cased text. Texts without any template's mark can't match, so their lines stand alone."""
-    reach = max(len(text.split()) for _, text in templates)
-    gap = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]"
-    marks = [MARKS.get(text, [])[-1:] for _, text in templates]
-    marked = low.rlike(f"(?:^|{gap})(?:{'|'.join(sorted({m for x in marks for m in x}))})(?:{gap}|$)") if all(marks) else F.lit(True)
-    lines = F.transform(F.split(low, "\n", -1), lambda x, i: F.struct(i.alias("line"), x.alias("block")))
 
-    def wrapped(full: Column) -> Column:
-        def after(i: Column) -> Column:
-            return F.array_join(F.slice(words(F.array_join(F.transform(F.slice(full, i + 2, reach), lambda x: x["block"]), " "), ALNUM_WORD), 1, reach), " ")
+def block_size(text: str) -> int:
+    return math.ceil(SPREAD * len(text.split()))
 
-        return F.transform(full, lambda x, i: F.struct(x["line"].alias("line"), F.concat(x["block"], F.lit(" "), after(i)).alias("block")))
 
-    # Lines without words don't count among those that follow.
-    return F.when(marked, bind(F.filter(lines, lambda x: x["block"].rlike(ALNUM_WORD)), wrapped)).otherwise(lines)
+def scanned(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A table (doc, n_words, places, base_labels, tokens, spots): the texts are read once; places and template words are all that is kept of them."""
+    return table(docs.select(F.col(id_col).alias("doc"), scan(F.col(text_col), templates).alias("s")).select("doc", "s.*"), "license-scan")
 
 
-def template_links(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc, line, label, containment): every block and template with |block and template| >= threshold * |template| over sets of words, and all of the template's marks in the block, by the block's first line."""
-    sets = [(label, sorted(set(text.split())), MARKS.get(text, [])) for label, text in templates]
-    vocabulary = sorted({x for _, s, _ in sets for x in s})
-    low = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    blocks = docs.select(F.col(id_col).alias("doc"), F.explode(bind(low, lambda x: text_blocks(x, templates))).alias("b")).select("doc", "b.line", "b.block")
-    blocks = blocks.select("doc", "line", F.array_distinct(F.filter(words(F.col("block"), ALNUM_WORD), lambda x: x.isin(vocabulary))).alias("tokens"))
-    blocks = table(blocks.where(F.size("tokens") > 0), "license-block")  # the texts are read once; template words are all that is kept
-    counted = {r["token"]: r["n"] for r in blocks.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()}  # a row for each template word at most
+def template_links(rows: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows (doc, pos, label, containment) out of scanned(): a block near pos has |block and template| >= threshold * |template| over sets of words, and all of the template's marks.
+
+    containment is the largest of such a block. Every block that qualifies holds a prefix token, whose place is its row's pos.
+    """
+    vocabulary = sorted({x for _, t, _ in templates for x in t.split()})
+    counted = {r["token"]: r["n"] for r in rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()}  # a row for each template word at most
     rank = {x: i for i, x in enumerate(sorted(vocabulary, key=lambda x: (counted.get(x, 0), x)))}
     index = []
-    for label, s, marks in sets:
-        s = sorted(s, key=rank.get)
-        need = math.ceil(threshold * len(s) - 1e-9)
-        index += [(x, label, s, marks, need, i) for i, x in enumerate(s[: len(s) - need + 1])]
-    spark = docs.sparkSession
-    index = spark.createDataFrame(index, "token string, label string, template array<string>, marks array<string>, need int, i int")
-    prefix = sorted({r[0] for r in index.select("token").collect()}, key=rank.get)
+    for label, text, marks in templates:
+        s, need = sorted(set(text.split()), key=rank.get), needed(text, threshold)
+        index += [(x, label, s, marks, need, i, block_size(text)) for i, x in enumerate(s[: len(s) - need + 1])]
+    prefix, reach = sorted({x[0] for x in index}), max(block_size(t) for _, t, _ in templates)
+    index = rows.sparkSession.createDataFrame(index, "token string, label string, template array<string>, marks array<string>, need int, i int, m int")
     order = F.create_map(*[y for x in vocabulary for y in (F.lit(x), F.lit(rank[x]))])
-    near = blocks.where(F.arrays_overlap("tokens", F.array(*[F.lit(x) for x in prefix])))
-    near = near.withColumn("tokens", F.transform(F.array_sort(F.transform("tokens", lambda x: F.struct(order[x].alias("r"), x.alias("x")))), lambda s: s["x"]))
-    at = near.select("doc", "line", "tokens", F.posexplode("tokens").alias("j", "token"))
-    met = at.join(F.broadcast(index), "token").where(F.size("tokens") >= F.col("need"))  # the index has a fixed size
+
+    def around(k: Column) -> Column:
+        """The spots that a block with spot k in it may hold; there are 2 * reach at most."""
+        s = F.get("spots", k)
+        some = F.slice("spots", F.greatest(k - reach, F.lit(0)) + 1, F.lit(2 * reach + 1))
+        return F.struct(s["pos"].alias("pos"), s["token"].alias("token"), F.filter(some, lambda x: F.abs(x["pos"] - s["pos"]) < reach).alias("near"))
+
+    at = F.filter(F.sequence(F.lit(0), F.size("spots") - 1), lambda k: F.get("spots", k)["token"].isin(prefix))
+    held = rows.where("size(spots) > 0").select("doc", F.explode(F.transform(at, around)).alias("a")).select("doc", "a.*")
+    met = held.join(F.broadcast(index), "token")  # the index has a fixed size
+    met = met.withColumn("near", F.filter("near", lambda x: F.abs(x["pos"] - F.col("pos")) < F.col("m")))
+    met = met.withColumn("tokens", F.array_distinct(F.transform("near", lambda x: x["token"]))).where(F.size("tokens") >= F.col("need"))
+    met = met.withColumn("j", F.size(F.filter("tokens", lambda x: order[x] < order[F.col("token")])))
     met = met.where(1 + F.least(F.size("template") - F.col("i") - 1, F.size("tokens") - F.col("j") - 1) >= F.col("need") - F.least("i", "j"))
-    met = met.withColumn("both", F.size(F.array_intersect("tokens", "template"))).where("both >= need and size(array_except(marks, tokens)) = 0")
-    return met.select("doc", "line", "label", (F.col("both") / F.size("template")).alias("containment")).distinct()
+    met = met.where((F.size(F.array_intersect("tokens", "template")) >= F.col("need")) & (F.size(F.array_except("marks", "tokens")) == 0))
+
+    def block(start: Column) -> Column:
+        own = F.transform(F.filter("near", lambda x: (x["pos"] >= start["pos"]) & (x["pos"] < start["pos"] + F.col("m"))), lambda x: x["token"])
+        return bind(own, lambda b: F.when(F.size(F.array_except("marks", b)) == 0, F.size(F.array_intersect("template", b))))
+
+    best = F.array_max(F.transform("near", block))
+    return met.withColumn("both", best).where("both >= need").select("doc", "pos", "label", (F.col("both") / F.size("template")).alias("containment"))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Null and empty texts have no words, no places and no labels. score is the largest containment of a template in a block,
-    1 where a base phrase stands and 0 where nothing is found. Rows of one doc_id share the labels found in any of them.
-    Other columns are ignored.
+    1 where a base phrase stands and 0 where nothing is found. A base label stays whatever a template says: an LGPL statement has gpl
+    as well. Rows of one doc_id share the labels found in any of them. Other columns are ignored.
     """
-    links = template_links(docs, id_col=id_col, text_col=text_col)
-    links = links.groupBy("doc").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"))
-    base = docs.select(F.col(id_col).alias("id"), base_scan(F.col(text_col)).alias("b")).select("id", "b.*")
-    out = base.join(links, F.col("id").eqNullSafe(F.col("doc")), "left")
+    base = scanned(docs, id_col=id_col, text_col=text_col)
+    links = template_links(base).groupBy(F.col("doc").alias("of")).agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"))
+    out = base.join(links, F.col("doc").eqNullSafe(F.col("of")), "left")
     n = F.size("places").cast("long")
     every = F.array_sort(F.array_union("base_labels", F.coalesce("found", F.array().cast("array<string>"))))
     return out.select(
-        F.col("id").alias(id_col), "n_words", n.alias("n_base"), F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"),
+        F.col("doc").alias(id_col), "n_words", n.alias("n_base"), F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"),
         F.array_join(F.array_sort("base_labels"), ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), F.greatest(F.coalesce("best", F.lit(0.0)), (n > 0).cast("double")).alias("score"),
     )
