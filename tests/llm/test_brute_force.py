@@ -179,6 +179,61 @@ def test_pages_table(spark):
         assert got[r["page_id"]] == "\n\n".join(p for p in parts if p)
 
 
+def test_minimum_cut_against_all_labellings():
+    """The cut's labelling costs as little as the cheapest of all of them, on small random graphs."""
+    import random
+    from itertools import product
+
+    from tidemark.llm.html_extract import cut
+
+    def cost(scores, ties, labels):
+        return sum(s for s, k in zip(scores, labels, strict=True) if s > 0 and not k) - sum(s for s, k in zip(scores, labels, strict=True) if s < 0 and k) + sum(w for a, b, w in ties if labels[a] != labels[b])
+
+    rng = random.Random(5)
+    for _ in range(300):
+        n = rng.randint(1, 9)
+        scores = [rng.choice([rng.uniform(-4, 4), rng.uniform(-0.6, 0.6), 0.0]) for _ in range(n)]
+        ties = [(i, i + 1, 0.15) for i in range(n - 1)] + [(*sorted(rng.sample(range(n), 2)), rng.uniform(0, 1)) for _ in range(rng.randint(0, n) if n > 1 else 0)]
+        got = cut(scores, ties)
+        assert abs(cost(scores, ties, got) - min(cost(scores, ties, k) for k in product([False, True], repeat=n))) < 1e-6
+
+
+TITLE = "How the river was won"
+TEXT = ["The first paragraph tells at some length how the river was dammed, by whom and why it took so many years to finish.", "Short one.", "The last paragraph, again long enough to be taken for what it is, tells what became of the fish and of the people who lived on them."]
+BODY = f"<h1>{TITLE}</h1>" + "".join(f"<p>{t}</p>" for t in TEXT)
+MENU = "<ul>" + "".join(f"<li><a href='/{x}'>{x}</a></li>" for x in ("Home", "News", "Sport", "Contact us")) + "</ul>"
+COMMENT = "This reader has a great deal to say about rivers and fish and dams, and says it here at a length that a paragraph of the article has."
+LAYOUTS = {
+    "plain article": f"<nav>{MENU}</nav><article>{BODY}</article><footer>c</footer>",
+    "layout class around everything": f"<div class='site has-sidebar'><div class='menu'>{MENU}</div><div class='entry'>{BODY}</div><div class='sidebar'><p>{COMMENT}</p></div></div>",
+    "sidebar class around the page": f"<div class='sidebar-right layout'><div class='entry'>{BODY}</div></div>",
+    "form around the page": f"<form id='aspnetForm'><div class='navigation'>{MENU}</div><div id='mainContent'>{BODY}</div></form>",
+    "comments with articles": f"<main>{BODY}</main><section class='comments'><article class='comment'><p>{COMMENT}</p></article><article><div class='content'><p>{COMMENT}</p></div></article></section>",
+    "comments within the article": f"<article>{BODY}<div id='comments'><div class='content'><p>{COMMENT}</p></div></div></article>",
+    "notices and adverts": f"<div class='cookie-notice'><p>{COMMENT}</p></div><div class='ad'>{COMMENT}</div><article>{BODY}<aside><div class='content'><p>{COMMENT}</p></div></aside></article><div class='newsletter'><form><p>{COMMENT}</p></form></div>",
+    "no names at all": f"<div>{MENU}</div><div>{BODY}</div>",
+    "unclosed elements": f"<svg><object><select><option>x<nav>{MENU}</nav><article>{BODY}",
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_layouts(name):
+    from tidemark.llm.html_extract import main_blocks
+
+    assert main_blocks(f"<html><body>{LAYOUTS[name]}</body></html>") == [TITLE, *TEXT]
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    from tidemark.llm.html_extract import main_blocks
+
+    began = time.perf_counter()
+    for part in ("<svg>", "<option>a", "<div>", "<div></p>", "<li><ul>", "<!-", "<a ", "x<br>"):
+        main_blocks(part * 60_000)
+    assert time.perf_counter() - began < 60
+
+
 @pytest.mark.parametrize("name", sorted(oracles.SQL))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
@@ -190,12 +245,62 @@ def test_query_matches_sql(spark, name):
     assert sorted(mine.columns) == sorted(its.columns) and key(mine) == key(its)
 
 
+def test_small_shards_match_sql(spark):
+    """The query's limit is larger than a small table; here the directory has to split."""
+    from tidemark.llm.sharding import shard_plan
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{DATA}/documents.parquet'")
+    for limit in (1 << 12, 1 << 16):
+        mine = {tuple(r) for r in shard_plan(spark.read.parquet(f"{DATA}/documents.parquet"), limit).select("doc_id", "n_bytes", "depth", "prefix", "shard_bytes", "shard_docs").collect()}
+        its = {tuple(r) for r in con.execute(f"select doc_id, n_bytes, depth, prefix, shard_bytes, shard_docs from ({oracles.shards(limit)})").fetchall()}
+        assert mine == its and len({r[2:4] for r in mine}) > 4
+
+
+def contaminated(texts: dict, items: list, size: int) -> set:
+    """Documents in which a window of an item stands, by plain search."""
+    split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(LOWER))
+    windows = defaultdict(set)
+    for w in map(split, items):
+        for k in range(max(len(w) - size, 0) + 1) if w else ():
+            windows[len(w[k : k + size])].add(tuple(w[k : k + size]))
+    return {i for i, t in texts.items() for w in [split(t)] for n, some in windows.items() if any(tuple(w[k : k + n]) in some for k in range(len(w) - n + 1))}
+
+
+def mixed(texts: dict, sources: dict) -> dict:
+    """How often the mix takes each document: targets by sharing the excess again and again, copies by the hash of the id."""
+    size = {i: len(re.findall("[^\x20\x09-\x0d]+", t or "")) for i, t in texts.items()}
+    names = sorted(set(sources.values()), key=lambda x: (x is None, x or ""))
+    weight = {x: (5, 2, 1)[k % 3] for k, x in enumerate(names)}
+    own = {x: sum(size[i] for i in texts if sources[i] == x) for x in names}
+    target, left, open_ = dict.fromkeys(names, 0.0), 1.5 * sum(own.values()), set(names)
+    while open_:
+        shared = sum(weight[x] for x in open_)
+        full = {x for x in open_ if left * weight[x] / shared >= 2 * own[x]}
+        if not full:
+            target |= {x: left * weight[x] / shared for x in open_}
+            break
+        for x in full:
+            target[x] = 2.0 * own[x]
+        left -= sum(target[x] for x in full)
+        open_ -= full
+    out = {}
+    for i in texts:
+        rate = target[sources[i]] / own[sources[i]] if own[sources[i]] else 0.0
+        draw = int(hashlib.md5(f"mix-1:{i}".encode()).hexdigest()[:15], 16) / 2**60
+        out[i] = int(rate + 1e-12) + (draw < rate - int(rate + 1e-12))
+    return out
+
+
 def test_pipeline(spark):
+    """Every stage against brute force over what its predecessor kept."""
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    items = [r["text"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     names = docs.columns
     held = docs
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
         before = {r["doc_id"]: r["text"] for r in held.collect()}
+        sources = {r["doc_id"]: r["source"] for r in held.collect()}
         held = stage(spark, held, DATA).cache()
         after = {r["doc_id"]: r["text"] for r in held.collect()}
         assert set(after.items()) <= set(before.items()) and (held.columns == names or i == 4)
@@ -203,6 +308,11 @@ def test_pipeline(spark):
             assert set(after) == {r["doc_id"] for r in queries.op3_quality_rules(spark, DATA).where("kept").collect()}
         if i == 1:
             assert set(after) == {k for k, (_, c) in components(before, 5, 80, 100).items() if c == k}
+        if i == 2:
+            assert set(after) == set(before) - contaminated(before, items, 10)
+        if i == 3:
+            assert {r["doc_id"]: r["count"] for r in held.groupBy("doc_id").count().collect()} == {k: n for k, n in mixed(before, sources).items() if n}
         if i == 4:
             assert held.columns == [*names, "shard"] and held.groupBy("doc_id").agg({"shard": "max"}).count() == len(after)
+            assert all(r["n"] <= corpus_pipeline.SHARD_BYTES for r in held.selectExpr("shard", "octet_length(text) as b").groupBy("shard").agg({"b": "sum"}).toDF("shard", "n").collect())
     assert held.count() == corpus_pipeline.run(spark, DATA).count()

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.decontaminate import decontaminate, matches
+from tidemark.llm.decontaminate import decontaminate, matches, without_contaminated
 from tidemark.llm.html_extract import html_extract
 from tidemark.llm.license_scan import license_scan
 from tidemark.llm.line_dedup import line_dedup
@@ -42,7 +42,12 @@ def test_ngram_jaccard_rows_without_id(spark):
 def test_substring_dedup(docs, nothing):
     unique = docs.dropDuplicates(["doc_id", "text"])
     got = by_id(substring_dedup(unique, length=100), "n_bytes", "n_removed", "n_spans")
-    assert got[1][1] == 0 and got[2] == (got[1][0], got[1][0], 1) and got[4] == (0, 0, 0) and got[None][1] == 0 and got[11] == (300, 200, 1) or got[11] == (300, 299, 1)
+    from test_brute_force import repeats
+
+    n = len(docs.where("doc_id = 1").first()["text"])
+    want = repeats([(r["doc_id"], (r["text"] or "").encode()) for r in unique.where("doc_id is not null").collect()], 100)
+    assert {k: v for k, v in got.items() if k is not None} == {k: v[:3] for k, v in want.items()} and got[None] == (n, 0, 0)
+    assert got[1] == (n, 0, 0) and got[2] == (n, n, 1) and got[3] == (n + 6, n, 1) and got[4] == got[5] == (0, 0, 0) and got[11] == (300, 299, 1)
     assert substring_dedup(nothing).count() == 0
 
 
@@ -66,12 +71,29 @@ def test_quality(docs, nothing):
     assert quality_filter(docs).columns == docs.columns and quality_rules(nothing).count() == 0
 
 
+def test_quality_guards_and_references(spark):
+    """Few words or characters say nothing about a distribution, junk that fails the base rule is no reference, and without a reference nothing is rejected."""
+    import random
+
+    rng = random.Random(2)
+    plain = lambda n: " ".join(rng.choice(["the", "of", "river", "town", "and", "boat", "in", "a", "stone", "hill", "is", "tree", f"word{i % 7}x"]) for i in range(n))
+    odd = lambda n: " ".join(f"ZQ{rng.randrange(10**9)}" for _ in range(n))
+    rows = [(i, plain(120), "en") for i in range(40)] + [(100, odd(90), "en"), (101, odd(24) + " " + " ".join(f"Q{i}" for i in range(30)), "en"), (102, "spam spam spam " * 4000, "en"), (103, odd(90), "de"), (104, odd(90), None)]
+    got = by_id(quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")), "base_failed", "kept", "word_distance")
+    assert all(got[i][:2] == (False, True) for i in range(40)) and got[100][:2] == (False, False) and got[102][:2] == (True, False)
+    assert got[103][:2] == (False, True) and got[103][2] == 0.0 and got[104] == (False, True, None)
+    only = by_id(quality_rules(spark.createDataFrame([(1, "spam spam spam " * 400, "en"), (2, "few words", "en")], "doc_id long, text string, lang string")), "kept", "word_distance")
+    assert only == {1: (False, None), 2: (False, None)}
+
+
 def test_decontaminate(spark, docs, nothing):
     items = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog and then runs"), (2, "ONE"), (3, None), (4, "..."), (2, "one"), (None, "été")], ITEMS)
     rows = decontaminate(docs, items)
     got = by_id(rows, "n_words", "n_hit", "n_items", "contaminated")
     assert rows.count() == docs.count() and got[1] == (25, 11, 1, True) and got[7] == (1, 1, 1, True) and got[4] == (0, 0, 0, False) and got[None][1] == 11 and got[8][1] == 11
     assert decontaminate(docs, items.limit(0)).where("contaminated").count() == 0 and decontaminate(nothing, items).count() == 0
+    left = without_contaminated(docs, items)
+    assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [4, 5, 6, 10, 11] and without_contaminated(docs, items.limit(0)).count() == docs.count()
     near = spark.createDataFrame([(1, "brown fox leaps over the lazy")], ITEMS)
     assert matches(docs, near).count() == 0
     swapped = spark.createDataFrame([(1, "brown fox over jumps the lazy")], ITEMS)
@@ -103,8 +125,10 @@ def labels(spark, texts):
 def test_licenses_alike(spark):
     want = {
         "This work is licensed under the GNU General Public License, version 3.": "gpl", "This library is licensed under the GNU Lesser General Public License, version 3.": "gpl,lgpl",
-        "Licensed under CC BY 4.0": "cc-by", "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc", "Licensed under CC BY-SA 4.0.": "cc-by,cc-by-sa", "Released under the BSD license": "",
-        "Licensed under the Mozilla Public License, version 2.0": "", "Licensed under the Apache License, Version 2.0": "apache", "Released under the MIT License.": "mit",
+        "Licensed under CC BY 4.0": "cc-by", "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc", "Licensed under CC BY-SA 4.0.": "cc-by,cc-by-sa", "Released under the BSD license": "bsd",
+        "Licensed under the Mozilla Public License, version 2.0": "", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation": "agpl,gpl",
+        "published by the Free Software Foundation; under the terms of the GNU General Public License, either version 3 or later": "gpl", "Apache License 2.0": "apache", "the apache tribe": "",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc", "Students of the MIT wrote it, and a license came later": "", "Licensed under the Apache License, Version 2.0": "apache", "Released under the MIT License.": "mit",
     }
     assert labels(spark, want) == list(want.values())
 
@@ -114,6 +138,8 @@ def test_licenses_wrapped(spark):
     want = {
         f"{bsd}\nmodification, are permitted provided that": "bsd", f"intro\n# {apache}": "apache", "// Subject to the terms of the Mozilla Public\n//\n\n// License, version 2.0.": "mpl",
         bsd.replace(" ", "\n") + "\nmodification\nare\npermitted": "bsd", bsd: "", bsd + "\n" + "other words here " * 20 + "\nmodification, are permitted": "",
+        "licensed " + "x " * 50 + "under the apache " + "y " * 50 + "license version 2 0": "", "x " * 3000 + "licensed under the apache license version 2 0 " + "y " * 3000: "apache", "mit " * 2000 + "released under the mit license": "mit",
+        "Permission is hereby granted, free of charge,\nto any person obtaining a copy\nof this software": "mit",
     }
     assert labels(spark, want) == list(want.values())
 
@@ -132,7 +158,7 @@ def test_urls(spark):
     d = spark.createDataFrame(rows, "page_id long, url string, fetched string").withColumn("fetched", F.col("fetched").cast("timestamp")).withColumn("host", F.lit("other"))
     got = {r["page_id"]: (r["matched"], r["verdict"]) for r in url_filter(d, entries).collect()}
     assert got == {1: ("bad.com", "block"), 2: (None, "keep"), 3: ("ok.bad.com", "keep"), 4: (None, "keep"), 5: (None, "keep"), 6: (None, "keep"), 7: (None, "keep"), 8: (None, "keep")}
-    assert url_filter(d.limit(0), entries).count() == 0 and url_filter(d, entries.limit(0)).count() == 8
+    assert url_filter(d.limit(0), entries).count() == 0 and url_filter(d, entries.limit(0)).count() == 9
 
 
 def test_lines(spark, docs, nothing):
@@ -142,6 +168,24 @@ def test_lines(spark, docs, nothing):
     got = by_id(line_dedup(d), "n_lines", "n_dropped", "kept_text")
     assert got[1] == (3, 2, "own 1") and got[5][:2] == (3, 0) and got[6] == got[7] == (1, 0, "")
     assert line_dedup(docs).count() == docs.count() and line_dedup(nothing).count() == 0
+    # Five rows of one document and one of another are two documents; rows without id are one that is never the largest.
+    twice = spark.createDataFrame([(1, line)] * 5 + [(2, line)] + [(None, line)] * 3, "doc_id long, text string")
+    assert by_id(line_dedup(twice), "n_dropped") == {1: (0,), 2: (0,), None: (0,)}
+    assert sorted((r["doc_id"] or 0, r["n_dropped"]) for r in line_dedup(twice, min_docs=3).collect()) == [(0, 1)] * 3 + [(1, 1)] * 5 + [(2, 0)]
+
+
+@pytest.mark.parametrize("most, hot", [(32 << 20, 100_000), (100, 4), (0, 100_000)])
+def test_hot_keys_meet_what_others_do(spark, docs, monkeypatch, most, hot):
+    from tidemark.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", most)
+    monkeypatch.setattr(common, "HOT", hot)
+    left = spark.createDataFrame([(k, i) for k in range(8) for i in range(k)] + [(9, 0)], "k int, i int")
+    right = spark.createDataFrame([(k, k) for k in range(8)], "k int, n long")
+    assert sorted(tuple(r) for r in common.join_hot(left, right, ["k"], "n", 50).collect()) == [(k, i, k) for k in range(8) for i in range(k)]
+    assert sorted(tuple(r) for r in common.join_hot(left, right, ["k"], "n", 50, "left").where("n is null").collect()) == [(9, 0, None)]
+    test_lines(spark, docs, docs.limit(0))
+    test_urls(spark)
 
 
 @pytest.mark.parametrize("limit", [100, 1000, 10**9])
@@ -157,3 +201,21 @@ def test_sharding(docs, nothing, limit):
 def test_write_shards(spark, docs, tmp_path):
     write_shards(docs.select("doc_id", "text"), str(tmp_path / "s"), 1000)
     assert spark.read.parquet(str(tmp_path / "s")).count() == docs.count()
+
+
+def test_pipeline_stages(spark, docs, nothing, tmp_path):
+    """Every stage takes nulls, repeated rows, extra columns and empty tables, and its decisions take effect."""
+    import corpus_pipeline
+
+    spark.createDataFrame([("b", "quick brown fox jumps over the lazy dog and then runs")], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda d: sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in d.collect())
+    some = lambda *x: sorted((i is not None, i or 0) for i in x)
+    for i, (name, f) in enumerate(corpus_pipeline.STAGES):
+        out = f(spark, docs, str(tmp_path))
+        assert out.columns == ([*docs.columns, "shard"] if name == "sharding" else docs.columns)
+        assert f(spark, nothing, str(tmp_path)).count() == 0 and i < 5
+    assert ids(stages["quality rules"](spark, docs, "")) == []  # each is too short or repeats itself
+    assert ids(stages["n-gram Jaccard join"](spark, docs, "")) == some(None, 1, 4, 5, 6, 7, 7, 9, 10, 11)
+    assert ids(stages["benchmark decontamination"](spark, docs, str(tmp_path))) == some(4, 5, 6, 7, 7, 9, 10, 11)
+    assert set(ids(stages["mixing sources"](spark, docs, ""))) <= set(ids(docs)) and ids(stages["sharding"](spark, docs, "")) == ids(docs)

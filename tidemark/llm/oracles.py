@@ -5,10 +5,10 @@ op1 and op2 (connected components, byte strings) and op5 (page markup) are held
 
 from __future__ import annotations
 
-from tidemark.llm.license_scan import TEMPLATES, THRESHOLD
-from tidemark.llm.quality import CLASSES, COMMON_WORDS, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_COMMON, MIN_WORDS, SYMBOLS
+from tidemark.llm.license_scan import TEMPLATES
+from tidemark.llm.quality import CLASSES, COMMON_WORDS, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_CHARS, MIN_COMMON, MIN_WORDS, SYMBOLS
 
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 64 << 20
 
 _LOW = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -43,11 +43,11 @@ def _quality() -> str:
  h AS (SELECT doc_id, lang, w, t, [{classes}] AS a, CASE lang {lists} END AS words FROM d),
  i AS (SELECT doc_id, lang, list_transform(list_concat(a, [length(t) - list_sum(a)]), lambda x: x::DOUBLE) AS chars, list_transform(words, lambda x: len(list_filter(w, lambda y: y = x))) AS c, len(w) AS n FROM h),
  j AS (SELECT doc_id, lang, chars, list_transform(list_concat(c, [n - list_sum(c)]), lambda x: x::DOUBLE) AS common FROM i),
- f AS (SELECT lang, {sums("chars", n)} AS rc, {sums("common", m)} AS rw FROM j GROUP BY 1),
- s AS (SELECT j.doc_id, {distance("chars", "rc")} AS cd, CASE WHEN j.lang <> '' THEN {distance("common", "rw")} END AS wd FROM j JOIN f ON j.lang = f.lang),
- b AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, {_q(SYMBOLS)}))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM d JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
- e AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
- SELECT e.*, NOT base_failed AND NOT (coalesce(cd, 0) > {MAX_CLASS_DISTANCE} OR (n_words >= {MIN_COMMON} AND coalesce(wd, 0) > {MAX_WORD_DISTANCE})) AS kept FROM e JOIN s USING (doc_id)"""
+ b AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, {_q(SYMBOLS)}))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, length(t) AS n_chars FROM d JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
+ e AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b),
+ f AS (SELECT lang, {sums("chars", n)} AS rc, {sums("common", m)} AS rw FROM j JOIN e USING (doc_id) WHERE NOT base_failed GROUP BY 1),
+ s AS (SELECT j.doc_id, {distance("chars", "rc")} AS cd, CASE WHEN j.lang <> '' THEN {distance("common", "rw")} END AS wd FROM j LEFT JOIN f ON j.lang = f.lang)
+ SELECT e.* EXCLUDE (n_chars), NOT base_failed AND NOT ((n_chars >= {MIN_CHARS} AND coalesce(cd, 0) > {MAX_CLASS_DISTANCE}) OR (n_words >= {MIN_COMMON} AND coalesce(wd, 0) > {MAX_WORD_DISTANCE})) AS kept FROM e JOIN s USING (doc_id)"""
 
 
 def _decontamination() -> str:
@@ -61,14 +61,16 @@ def _decontamination() -> str:
 
 
 def _licenses() -> str:
-    sets = ", ".join(f"({_q(label)}, [{', '.join(map(_q, sorted(set(text.split()))))}])" for label, text in TEMPLATES)
-    line = r"regexp_extract_all(x, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
-    return rf"""WITH d AS (SELECT doc_id, {_ALNUM} AS w, {_LOW.format("text")} AS t FROM documents),
+    quoted = lambda x: f"[{', '.join(map(_q, x))}]"
+    sets = ", ".join(f"({_q(label)}, {quoted(text.split())}, {quoted(marks)})" for label, text, marks in TEMPLATES)
+    # Every run of words half as long again as a template, in each document that holds the marks at all, is held against it.
+    return rf"""WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
  p AS (SELECT doc_id, i - 1 AS i, CASE w[i] WHEN 'cc' THEN 'cc-by' WHEN 'general' THEN 'gpl' ELSE 'reserved' END AS label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)
   WHERE (w[i] = 'cc' AND w[i + 1] = 'by') OR (w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license') OR (w[i] = 'all' AND w[i + 1] = 'rights' AND w[i + 2] = 'reserved')),
  b AS (SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM p GROUP BY 1),
- l AS (SELECT doc_id, list_distinct({line}) AS s FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d)),
- m AS (SELECT doc_id, k.label, len(list_intersect(s, k.set))::DOUBLE / len(k.set) AS c FROM l, (VALUES {sets}) AS k(label, set) WHERE len(list_intersect(s, k.set)) >= ceil({THRESHOLD} * len(k.set) - 1e-9)),
+ k AS (SELECT label, list_distinct(words) AS words, marks, ((len(words) * 3 + 1) // 2)::INT AS m FROM (VALUES {sets}) AS v(label, words, marks)),
+ l AS (SELECT doc_id, label, words, marks, list_distinct(w[i:i + m - 1]) AS s FROM (SELECT doc_id, w, label, words, marks, m, unnest(range(1, len(w) + 1)) AS i FROM d, k WHERE list_has_all(w, marks))),
+ m AS (SELECT doc_id, label, len(list_intersect(s, words))::DOUBLE / len(words) AS c FROM l WHERE list_has_all(s, marks) AND 5 * len(list_intersect(s, words)) >= 4 * len(words)),
  u AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM p UNION SELECT doc_id, label FROM m) GROUP BY 1),
  s AS (SELECT doc_id, max(c) AS c FROM m GROUP BY 1)
  SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_base, a AS first_word, z AS last_word, coalesce(b.labels, '') AS base_labels, coalesce(u.labels, '') AS labels, greatest(coalesce(c, 0.0), CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS score
@@ -89,11 +91,14 @@ LINES = rf"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), c
  m AS (SELECT doc_id, i, line, keep IS NOT NULL AND doc_id <> keep AS gone FROM k LEFT JOIN c ON k.key = c.key)
  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY 1"""
 
-SHARDS = rf"""WITH d AS (SELECT doc_id, {_hash("CAST(doc_id AS VARCHAR)")} AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes FROM documents),
+
+def shards(limit: int) -> str:
+    return rf"""WITH d AS (SELECT doc_id, {_hash("CAST(doc_id AS VARCHAR)")} AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes FROM documents),
  l AS (SELECT doc_id, n_bytes, h, k::INT AS depth, (h >> (60 - k)::INT)::BIGINT AS prefix FROM d, range(0, 41) AS r(k)),
- b AS (SELECT depth, prefix, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS shard_docs FROM l GROUP BY 1, 2 HAVING sum(n_bytes) <= {SHARD_BYTES} OR min(h) = max(h))
+ b AS (SELECT depth, prefix, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS shard_docs FROM l GROUP BY 1, 2 HAVING sum(n_bytes) <= {limit} OR min(h) = max(h))
  SELECT doc_id, n_bytes, l.depth, l.prefix, shard_bytes, shard_docs FROM l JOIN b ON l.depth = b.depth AND l.prefix = b.prefix QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY l.depth) = 1"""
 
+
 URLS = rf"""WITH p AS (SELECT page_id, url, epoch_us(TIMESTAMP '2024-01-01') // 86400000000 + page_id * 7919 % 366 AS day, regexp_replace(regexp_extract({_LOW.format("url")}, '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1), '[.]+$', '') AS host FROM pages),
  s AS (SELECT page_id, url, day, host, unnest(list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.'))) AS key FROM p WHERE host <> ''),
  h AS (SELECT DISTINCT key, {_hash("key")} AS k FROM s WHERE contains(key, '.')),
@@ -111,5 +116,5 @@ SQL: dict[str, str] = {
     "op7_mixing_sources": MIXING,
     "op8_url_filters": URLS,
     "op9_line_dedup": LINES,
-    "op10_sharding": SHARDS,
+    "op10_sharding": shards(SHARD_BYTES),
 }

@@ -20,7 +20,7 @@ from tidemark.llm.sharding import shard_plan
 from tidemark.llm.substring_dedup import substring_dedup
 from tidemark.llm.url_filter import host, suffixes, url_filter
 
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = oracles.SHARD_BYTES
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,33 +28,40 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of four-word shingles have a Jaccard similarity of 0.85 or more."""
     return ngram_jaccard(_read(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document when every byte of a 100-byte string that starts earlier is gone."""
     out = substring_dedup(_read(spark, sf_dir, "documents"), length=100)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of each document."""
     out = quality_rules(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that stand in a ten-word window of a benchmark item."""
     out = decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), size=10)
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of each page."""
     return html_extract(_read(spark, sf_dir, "pages"))
 
 
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and labels of each document."""
     return license_scan(_read(spark, sf_dir, "documents"))
 
 
 def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each document a mix of all sources at 5, 2, 1 takes."""
     return mix_plan(_read(spark, sf_dir, "documents"))
 
 
@@ -74,16 +81,19 @@ def list_entries(pages: DataFrame) -> DataFrame:
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of a dated host list on each page at its fetch time."""
     pages = _read(spark, sf_dir, "pages")
     return url_filter(captures(pages), list_entries(pages)).select("page_id", "url", "host", "matched", "list", "verdict")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document without the lines of 40 characters and more that five documents hold, but for the largest of these."""
     out = line_dedup(_read(spark, sf_dir, "documents"), min_chars=40, min_docs=5)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of each document, of 64 MiB of text at most."""
     return shard_plan(_read(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
