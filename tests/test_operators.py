@@ -69,7 +69,15 @@ def test_drift_latches_and_reanchors(spark):
     steps = [("a", False), ("observe", False), ("a", False), ("b", False), ("b", True), ("a", False), ("z", False)]
     d = spark.createDataFrame([("s", i, k, ok) for i, (k, ok) in enumerate(steps)], "session string, rowid int, kind string, approved boolean")
     assert [r[0] for r in trajectory.judge(d, plan).orderBy("rowid").select("drift").collect()] == [None, None, "over_budget"] + ["unanchored"] * 4
-    assert [r[0] for r in trajectory.reanchored(d, plan, "approved").orderBy("rowid").select("drift").collect()][4:] == ["out_of_order", "unanchored", "unanchored"]
+    assert [r[0] for r in trajectory.reanchored(d, plan, "approved").orderBy("rowid").select("drift").collect()] == [None, None, "over_budget", "unanchored", "unanchored", "over_budget", "unanchored"]
+
+
+def test_reanchoring_refunds_no_budget(spark):
+    plan = trajectory.Plan(allow=("pay", "browse", "done"), most={"pay": 1}, terminal="done")
+    run = lambda steps: [r[0] for r in trajectory.reanchored(spark.createDataFrame([("s", i, *x) for i, x in enumerate(steps)], "session string, rowid int, kind string, ran boolean, ok boolean"), plan, "ok", executed="ran").orderBy("rowid").select("drift").collect()]
+    assert run([("pay", True, False), ("shell", True, False), ("browse", True, True), ("pay", True, False)]) == [None, "out_of_plan", "unanchored", "over_budget"]
+    assert run([("done", True, False), ("shell", True, True), ("browse", True, False)]) == [None, "out_of_plan", "after_terminal"]
+    assert run([("pay", False, False), ("pay", True, False), ("pay", True, None)]) == [None, None, "over_budget"]  # a refused step costs nothing
 
 
 def test_throttle_anchor_moves_with_emissions(spark):
@@ -81,8 +89,13 @@ def test_throttle_anchor_moves_with_emissions(spark):
 def test_queue_and_replays(spark):
     q = spark.createDataFrame([(1, 0), (2, 10), (3, 20)], "request_id long, enqueued_ms long")
     a = spark.createDataFrame([(1, 5, True), (1, 7, False), (2, 70_000, True), (9, 1, True)], "request_id long, replied_ms long, approve boolean")
-    assert {(r[0], r[2], r[3]) for r in sessions.confirm_queue(q, a).collect()} == {(1, "resolved", True), (2, "expired", None), (3, "expired", None), (9, "stale", True)}
-    assert {(r[0], r[2]) for r in sessions.confirm_queue(q, a.where("request_id = 9"), capacity=1).collect()} == {(1, "evicted"), (2, "evicted"), (3, "expired"), (9, "stale")}
+    assert sorted((r["request_id"], r["outcome"], str(r["approve"])) for r in sessions.confirm_queue(q, a).collect()) == [(1, "resolved", "True"), (1, "stale", "False"), (2, "expired", "None"), (2, "stale", "True"), (3, "expired", "None"), (9, "stale", "True")]
+    # An answered request is out of the queue: the third one pushes nobody out.
+    quick = spark.createDataFrame([(2, 15, True), (1, 30, False)], "request_id long, replied_ms long, approve boolean")
+    assert {(r["request_id"], r["outcome"]) for r in sessions.confirm_queue(q, quick, capacity=2).collect()} == {(1, "resolved"), (2, "resolved"), (3, "expired")}
+    two = sessions.confirm_queue(q.withColumn("o", F.col("request_id") % 2), quick.withColumn("o", F.col("request_id") % 2), capacity=1, owner="o")
+    assert {(r["o"], r["request_id"], r["outcome"]) for r in two.collect()} == {("1", 1, "evicted"), ("1", 1, "stale"), ("0", 2, "resolved"), ("1", 3, "expired")}
+    assert {(r["request_id"], r["outcome"]) for r in sessions.confirm_queue(q, a.where("request_id = 9"), capacity=1).collect()} == {(1, "evicted"), (2, "evicted"), (3, "expired"), (9, "stale")}
     n = spark.createDataFrame([("o", i, x) for i, x in enumerate("abacadb")], "o string, rowid int, n string")
     assert [r[0] for r in sessions.replays(n, "o", "n", window=2).orderBy("rowid").select("replay").collect()] == [False, False, True, False, False, False, False]
 
@@ -165,6 +178,38 @@ def test_frames(spark):
     assert pair.select(frames.compare_frames(F.col("a"), F.col("a")).alias("c")).first()["c"]["kind"] == "identical"
     comps = spark.range(1).select(frames.block_components(F.array(*map(F.lit, (0, 1, 17, 31, 47, 140)))).alias("c")).first()["c"]
     assert sorted(map(sorted, comps)) == [[0, 1, 17], [31, 47], [140]]
+    winding = [r * 16 + c for r in range(0, 9, 2) for c in range(16)] + [r * 16 + (15 if r % 4 == 1 else 0) for r in range(1, 9, 2)]
+    comps = spark.range(1).select(frames.block_components(F.array(*map(F.lit, winding))).alias("c")).first()["c"]
+    assert list(map(sorted, comps)) == [sorted(winding)]
+    assert spark.range(1).select(frames.block_components(F.array().cast("array<int>")).alias("c")).first()["c"] == []
+
+
+def test_malicious_hosts_keep_repeated_rows(spark):
+    d = spark.createDataFrame([(1, "A.bad.com"), (1, "A.bad.com"), (2, None), (3, "bad.com.org"), (4, "x.y.bad.com")], "id int, h string")
+    out = rules.malicious_hosts(d, F.col("h"), spark.createDataFrame([("BAD.com",), ("y.bad.com",), ("bad.com",)], "domain string"))
+    assert sorted((r["id"], r["malicious_domain"]) for r in out.collect() if r["id"] != 2) == [(1, "bad.com"), (1, "bad.com"), (3, None), (4, "y.bad.com")] and out.count() == 5
+    flow = rules.evaluate_flow(F.col("malicious_domain"), F.col("h"), F.lit(5_000_000))
+    assert {tuple(r) for r in out.where("id in (1, 3)").select(flow["rule_id"], flow["human_message"]).collect()} == {("INTEL-DOMAIN", "Suspicious egress host: a.bad.com"), ("PRIV-005", "Large upload 5000000 bytes to bad.com.org")}
+
+
+def test_closure_has_no_depth(spark):
+    chain = spark.createDataFrame([(str(i), str(i + 1)) for i in range(45)] + [("a", "b"), ("b", "a")], "node string, parent string")
+    got = {(r["node"], r["ancestor"]): r["depth"] for r in taint.closure(chain).collect()}
+    assert got[("0", "45")] == 45 and sum(k[0] == "0" for k in got) == 45 and got[("a", "b")] == 1 and got[("a", "a")] == 2
+
+
+def test_ranks_without_one_task(spark):
+    from tidemark.operators import scale
+
+    hosts_ = [f"{w}{i % 37}.{i}.org" for i, w in enumerate(["www.", "a", "é", "", "zz"] * 60)]
+    got = scale.ranked(spark.createDataFrame([(h,) for h in hosts_], "h string"), scale.text_key(F.col("h")), [F.col("h")], "id").collect()
+    assert [r["h"] for r in sorted(got, key=lambda r: r["id"])] == sorted(hosts_, key=lambda x: x.encode()) and sorted(r["id"] for r in got) == list(range(1, 301))
+
+
+def test_inside_intervals(spark):
+    rows = spark.createDataFrame([(t,) for t in (0, 5, 6, 9, 10, 15, 30)], "ts long")
+    spans = spark.createDataFrame([(5, 10), (0, 7), (20, 25)], "from_ms long, to_ms long")
+    assert sorted(r["ts"] for r in joins.inside(rows, spans, "ts").collect()) == [5, 6, 9]
 
 
 @pytest.mark.parametrize("box, kinds", [((0.0, 0.0, 50.0, 20.0), ["invisible_zone"]), ((900.0, 500.0, 50.0, 20.0), []), ((10.0, 500.0, 50.0, 400.0), [])])

@@ -97,6 +97,13 @@ def test_paths(spark):
     assert one(spark, paths.is_within, "/a/b", "/a/b/c") and not one(spark, paths.is_within, "/a/b", "/a/bc")
     s = lambda p, w: one(spark, lambda c: paths.sensitive_target(c, F.lit(w), F.lit("/home/u")), p)
     assert [s("/", False), s("/home/u", True), s("/etc/x", True), s("/etc/x", False), s("/home/u/.ssh/id", False), s("/tmp/x", True), s("/dev/sda1", False)] == ["root", "home", "system", None, "credentials", None, "device"]
+    assert [s(p, False) for p in ("/home/u/.git-credentials", "/home/u/.config/gh/hosts.yml", "/home/u/.docker/config.json", "/home/u/.docker/x", "/home/u/.sshfoo/x", "C:\\Users\\me\\AppData\\Roaming\\Microsoft\\Crypto\\k", "/dev/sdcard-backups")] == ["credentials"] * 3 + [None, None, "credentials", None]
+    assert [s(p, True) for p in ("/opt/x", "/private/x", "/private/var/x", "C:\\Windows\\x", "/var/folders/a/b/T/x", "/var/folders/a/b", "/var/tmp/x")] == [None, None, "system", "system", None, "system", "system"]
+    m = lambda o, u=False: one(spark, lambda c: paths.shell_metachar(c, F.lit(u)), o)
+    assert [m("a\n>b"), m("a&&b"), m("x$HOME"), m("a & b"), m("https://a.b/?x=1&y=2"), m("plain")] == ["\\n", "&&", "$H", "&", "&", None]
+    assert [m("https://a.b/?x=1&y=2", True), m("https://a.b/x& rm", True), m("https://a.b/x&y", True), m("HTTPS://a.b?x&y", True), m("https://& id", True)] == [None, "&", "&", None, "&"]
+    nul = spark.range(1).select(F.concat(F.lit("a"), F.decode(F.unhex(F.lit("00")), "UTF-8"), F.lit("b")).alias("c")).select(paths.shell_metachar(F.col("c"), F.lit(False))).first()[0]
+    assert nul == "\\0"
     policy = {"denied": ["shutdown"], "confirm": ["rm"], "allowlisted": ["cat"], "url_tools": ["curl"], "read": ["/work"], "write": ["/work"]}
     v = lambda t, *o: tuple(one(spark, lambda a, b: paths.shell_verdict(a, F.lit(None).cast("string"), b, F.lit("/home/u"), F.lit("/work"), policy), t, list(o), kind=["string", "array<string>"]))
     assert v("cat", "/work/a.txt") == ("allow", "SHELL-ALLOWLIST") and v("cat", "/other/a.txt") == ("deny", "SHELL-PATH-OUTSIDE") and v("cat", "a;b") == ("deny", "SHELL-METACHAR") and v("rm", "/work/a.txt") == ("ask", "SHELL-CONFIRM")

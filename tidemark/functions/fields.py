@@ -119,9 +119,16 @@ def decide_deeplink(uri: Column, prefixes: Column, verified: Column) -> Column:
     return F.when(~listed, "DL-UNKNOWN").when(verified, "DL-ALLOWLIST").otherwise("DL-UNVERIFIED")
 
 
-def rollout_selected(subject: Column, seed: str, basis_points: int) -> Column:
-    """Whether a subject falls into a rollout: four bytes of a hash modulo 10000."""
-    return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), subject), 256), 1, 8), 16, 10).cast("long") % 10000 < basis_points
+def json_text(value: Column) -> Column:
+    """A string as JSON."""
+    return F.regexp_extract(F.to_json(F.array(value)), r"(?s)^\[(.*)\]$", 1)
+
+
+def rollout_selected(device: Column, stream: str, salt: str, basis_points: int, domain: str = "tidemark.rollout.v1") -> Column:
+    """Whether a device falls into a rollout: the first four bytes, big-endian, of SHA-256 over the domain, a zero byte and the JSON list of stream, salt and
+    device, modulo 10000. The domain is whatever the packages' signer puts before what it hashes."""
+    said = F.concat(F.lit(f"{domain}\0["), json_text(F.lit(stream)), F.lit(","), json_text(F.lit(salt)), F.lit(","), json_text(device), F.lit("]"))
+    return F.conv(F.substring(F.sha2(said, 256), 1, 8), 16, 10).cast("long") % 10000 < basis_points
 
 
 def license_state(expires_ms: Column, revoked: Column, now_ms: Column, grace_ms: int = 7 * 86_400_000) -> Column:

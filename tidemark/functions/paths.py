@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import bind
 
-#: Directories and verbs that weigh.
-SYSTEM_DIRS = ("/bin", "/sbin", "/usr", "/etc", "/boot", "/lib", "/lib64", "/dev", "/proc", "/sys", "/var", "/opt", "/System", "/Library", "/Applications", "/private")
-SCRATCH = ("/tmp", "/var/tmp", "/private/tmp", "/var/folders", "/private/var/folders")
-CREDENTIAL_DIRS = (".ssh", ".aws", ".gnupg", ".kube", ".docker", ".config/gcloud", ".azure", ".netrc", ".pgpass", "Library/Keychains", ".password-store")
+#: System directories, where writing weighs; credentials, where reading does; names of block devices; verbs; what a shell reads.
+SYSTEM_DIRS = (
+    "/etc", "/bin", "/sbin", "/lib", "/lib64", "/usr", "/var", "/boot", "/sys", "/proc", "/dev", "/System", "/Library", "/Applications", "/private/etc", "/private/var",
+    "/windows", "/program files", "/program files (x86)", "/programdata",
+)
+CREDENTIAL_DIRS = ("/.ssh", "/.aws", "/.gnupg", "/.kube", "/.docker/config.json", "/library/keychains", "/appdata/roaming/microsoft/crypto", "/.config/gh", "/.netrc", "/.pgpass", "/.git-credentials")
+DEVICES = ("sd", "nvme", "hd", "disk", "vd")
 DELETE_VERBS = ("rm", "rmdir", "unlink", "del", "erase", "rd", "shred", "srm", "wipe", "-delete", "--delete", "remove-item", "mkfs", "dd", "truncate", "delete_system", "delete", "trash")
 WRITE_VERBS = ("write_file", "write", "tee", "cp", "copy", "mv", "move", "install", "touch", "mkdir", "chmod", "chown", "ln", "set-content", "add-content", "out-file", "patch")
 HARD_SEQUENCES = ("$(", "${", "&&", "||", ">>", "<<", "\r\n")
-HARD_CHARACTERS = (";", "|", "`", ">", "<", "\n", "\r")
+HARD_CHARACTERS = (";", "|", "`", "\n", "\r", "\0", "<", ">")
+#: How characters that don't show are named.
+SHOWN = {"\n": "\\n", "\r": "\\r", "\0": "\\0"}
 
 
 def resolve(operand: Column, home: Column, cwd: Column) -> Column:
@@ -42,20 +47,40 @@ def is_within(grant: Column, candidate: Column) -> Column:
     return (F.size(c) >= F.size(g)) & (F.slice(c, F.lit(1), F.size(g)) == g)
 
 
+def unix_view(path: Column) -> Column:
+    """A path with a drive as one without: lower case, forward slashes. Other paths stay."""
+    bare = F.regexp_replace(path, "^\\\\\\\\[?.]\\\\", "")
+    return F.when(bare.rlike("^[A-Za-z]:(?:[\\\\/]|$)"), F.concat(F.lit("/"), F.regexp_replace(F.lower(F.translate(F.substring(bare, 3, 8192), "\\", "/")), "^/+", ""))).otherwise(path)
+
+
+def holds_credentials(components: Column) -> Column:
+    """Whether the lower-cased components of a path hold those of a credential directory side by side."""
+    row = F.concat(F.lit("/"), F.array_join(components, "/"), F.lit("/"))
+    out = F.lit(False)
+    for d in CREDENTIAL_DIRS:
+        out = out | row.contains(f"{d}/")
+    return out
+
+
+def sensitive_literal(operand: Column) -> Column:
+    """Whether an operand, as it is written, goes through a credential directory, whatever its wildcards and homes stand for."""
+    return holds_credentials(F.filter(F.split(F.lower(F.trim(operand)), "[/\\\\]", -1), lambda c: ~c.isin("", ".", "..")))
+
+
 def sensitive_target(path: Column, writes: Column, home: Column) -> Column:
     """'root', 'home', 'system', 'credentials', 'device' or null, the first that applies."""
-    scratch = F.lit(False)
-    for d in SCRATCH:
-        scratch = scratch | is_within(F.lit(d), path)
-    system = F.lit(False)
-    for d in SYSTEM_DIRS:
-        system = system | is_within(F.lit(d), path)
-    low = F.lower(path)
-    secret = F.lit(False)
-    for d in CREDENTIAL_DIRS:
-        secret = secret | F.concat(low, F.lit("/")).contains(f"/{d.lower()}/")
-    device = low.rlike("^/dev/r?(sd|nvme|hd|disk|vd)[a-z0-9]*$")
-    return F.when(path == "/", "root").when((path == home) & writes, "home").when(writes & ~scratch & system, "system").when(secret, "credentials").when(device, "device")
+
+    def of(p: Column) -> Column:
+        low = F.lower(p)
+        # Temporary folders of single users lie in a system directory, five levels deep.
+        scratch = low.rlike("^/(?:private/)?var/folders/+[^/]+/+[^/]+/+[^/]")
+        system = F.lit(False)
+        for d in SYSTEM_DIRS:
+            system = system | is_within(F.lit(d), p)
+        device = low.rlike(f"^/dev/(?:{'|'.join(DEVICES)})[a-z0-9]*$") | F.lower(path).startswith("\\\\.\\physicaldrive")
+        return F.when(F.size(parts(p)) == 0, "root").when((p == unix_view(home)) & writes, "home").when(writes & ~scratch & system, "system").when(holds_credentials(parts(low)), "credentials").when(device, "device")
+
+    return bind(unix_view(path), of)
 
 
 def infer_intent(verb: Column, args: Column) -> Column:
@@ -74,12 +99,16 @@ def looks_like_path(operand: Column) -> Column:
     return F.when(s == "", True).when(value.rlike("^[A-Za-z0-9+.\\-]+://"), False).when(flag, False).otherwise(shape)
 
 
+#: One URL and nothing else: its & stand behind ? or #, and nothing in it is white space.
+ONE_URL = "^(?i:https?)://[A-Za-z0-9\\-.:_\\[\\]@]+(?:/[^?#&]*)?(?:[?#].*)?$"
+
+
 def shell_metachar(operand: Column, url: Column) -> Column:
     """The first construct that a shell would read: hard sequences, hard characters, variables, and & outside URLs. Null if there is none."""
-    found = [F.when(operand.contains(x), F.lit(x)) for x in (*HARD_SEQUENCES, *HARD_CHARACTERS)]
+    found = [F.when(operand.contains(x), F.lit(x)) for x in HARD_SEQUENCES] + [F.when(operand.contains(x), F.lit(SHOWN.get(x, x))) for x in HARD_CHARACTERS]
     variable = F.regexp_extract(operand, "(\\$[A-Za-z_])", 1)
-    parseable = operand.rlike("^[A-Za-z][A-Za-z0-9+.\\-]*://[^\\s/]+")
-    return F.coalesce(*found, F.when(variable != "", variable), F.when(operand.contains("&") & ~(url & parseable), F.lit("&")))
+    whole = F.trim(operand)
+    return F.coalesce(*found, F.when(variable != "", variable), F.when(operand.contains("&") & ~(url & whole.rlike(ONE_URL) & ~whole.rlike("(?U)\\s")), F.lit("&")))
 
 
 def filesystem_scope(path: Column, writes: Column, home: Column, read_grant: Column, write_grant: Column) -> Column:
@@ -103,7 +132,7 @@ def shell_verdict(tool: Column, verb: Column, operands: Column, home: Column, cw
     def of(c: Column) -> Column:
         some = lambda f: F.exists(c, f)
         grant = F.when(writes, lits("write")).otherwise(lits("read"))
-        sensitive = some(lambda p: sensitive_target(p["resolved"], writes, home).isNotNull()) | some(lambda p: p["resolved"].isNull() & sensitive_target(p["operand"], writes, home).isNotNull())
+        sensitive = some(lambda p: sensitive_target(p["resolved"], writes, home).isNotNull()) | some(lambda p: p["resolved"].isNull() & sensitive_literal(p["operand"]))
         outside = some(lambda p: ~F.exists(grant, lambda g: is_within(g, p["resolved"])))
         r = lambda d, i: F.struct(F.lit(d).alias("decision"), F.lit(i).alias("rule_id"))
         scoped = F.lit("read" in policy or "write" in policy)

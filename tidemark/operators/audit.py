@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tidemark.operators.scale import in_order
+
 SEPARATOR = "\x1f"
 #: The previous hash of the first row of a chain.
 GENESIS = "0" * 64
@@ -37,23 +38,20 @@ def receipt_hash(previous: Column, audit_id: Column, decision: Column, decided_a
     return F.sha2(F.concat_ws("\n", previous, audit_id, decision, decided_at_ms.cast("string")), 256)
 
 
-def chain(rows: DataFrame, content: Column, key: str = "log_id", order: str = "rowid") -> DataFrame:
-    """rows with prev_hash and record_hash of each log's chain. Each hash needs the one before, so every log is folded in order, and
-    logs spread over the cluster; a fold takes the contents and nothing else."""
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+class _Chain:
+    def __init__(self):
+        self.last = GENESIS
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable")
-        last, before, own = GENESIS, [], []
-        for c in part["content"]:
-            before.append(last)
-            last = hashlib.sha256(f"{last}\n{c}".encode()).hexdigest()
-            own.append(last)
-        return part[[key, order]].assign(prev_hash=before, record_hash=own)
+    def step(self, content):
+        before, self.last = self.last, hashlib.sha256(f"{self.last}\n{content}".encode()).hexdigest()
+        return before, self.last
 
-    schema = f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, prev_hash string, record_hash string"
-    hashes = rows.select(key, order, content.alias("content")).groupBy(key).applyInPandas(fold, schema)
-    return rows.drop("prev_hash", "record_hash").join(hashes, [key, order])
+
+def chain(rows: DataFrame, content: Column, key: str = "log_id", order: str = "rowid") -> DataFrame:
+    """rows with prev_hash and record_hash of each log's chain. Each hash needs the one before, so every log is folded in order with one hash as
+    state, and logs spread over the cluster."""
+    plain = rows.drop("prev_hash", "record_hash").withColumn("__content", content)
+    return in_order(plain, [key], [order], ["__content"], _Chain, {"prev_hash": "string", "record_hash": "string"}).drop("__content")
 
 
 def verified(rows: DataFrame, content: Column, key: str = "log_id", order: str = "rowid", hashed: str = "record_hash") -> DataFrame:
@@ -150,11 +148,11 @@ def top_messages(rows: DataFrame, n: int = 8, order: str = "rowid") -> DataFrame
     return rows.where(a.contains("block") | a.contains("alert")).orderBy(order).limit(n).select(order, F.concat(F.lit("["), F.col("rule_id"), F.lit("] "), F.col("human_message")).alias("message"))
 
 
-def report(rows: DataFrame) -> dict:
-    """The session report as one dictionary: counts, rules, apps and first messages. Its lists are by rule and app."""
+def report(rows: DataFrame, most: int = 1000) -> dict:
+    """The session report as one dictionary: counts, the `most` commonest rules and apps, and first messages. top_counts() has all rules and apps as rows."""
     out = report_counts(rows).first().asDict()
-    out["by_rule"] = [r.asDict() for r in top_counts(rows, "rule_id").toLocalIterator()]
-    out["by_source_app"] = [r.asDict() for r in top_counts(rows, "source_app").toLocalIterator()]
+    out["by_rule"] = [r.asDict() for r in top_counts(rows, "rule_id").limit(most).collect()]
+    out["by_source_app"] = [r.asDict() for r in top_counts(rows, "source_app").limit(most).collect()]
     out["top_messages"] = [r["message"] for r in top_messages(rows).collect()]
     return out
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from tidemark.functions.entities import SECRETS, luhn
 from tidemark.functions.text import matching_views
+from tidemark.operators.scale import in_order, ranked, text_key
 
 #: Findings that stop a page, injection wording in mails, and sizes.
 BLOCKING = ("invisible_text", "prompt_injection", "breakout", "trap_fill", "deeplink_hijack")
@@ -43,7 +41,7 @@ def gate(findings: Column) -> Column:
 def block_rules(hosts: DataFrame, start: int = 1) -> DataFrame:
     """(id, host) of distinct trimmed lower-case hosts, numbered in order."""
     own = hosts.select(F.lower(F.trim("host")).alias("host")).where("host <> ''").distinct()
-    return own.select((F.row_number().over(Window.orderBy("host")) + start - 1).alias("id"), "host")
+    return ranked(own, text_key(F.col("host")), [F.col("host")], "id").select((F.col("id") + start - 1).alias("id"), "host")
 
 
 def clamp_title(title: Column) -> Column:
@@ -57,22 +55,22 @@ def fingerprint(f: Column) -> Column:
     return F.concat_ws("|", F.coalesce(f["kind"], F.lit("")), F.coalesce(f["field_id"], F.lit("")), F.coalesce(f["profile_key"], F.lit("")), F.substring(said, 1, TEXT_PART))
 
 
-def new_findings(findings: DataFrame, page: str = "page_id", order: str = "rowid", most: int = MAX_FINGERPRINTS) -> DataFrame:
-    """findings (with a column fingerprint) with fresh: unseen on the page. The memory of a page is emptied when it is full, so each page is folded in order."""
+class _Fingerprints:
+    def __init__(self, most: int):
+        self.most, self.seen = most, set()
+
+    def step(self, x):
+        if x in self.seen:
+            return (False,)
+        if len(self.seen) >= self.most:
+            self.seen.clear()
+        self.seen.add(x)
+        return (True,)
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable")
-        seen: set[str] = set()
-        out = []
-        for x in part["fingerprint"]:
-            out.append(x not in seen)
-            if out[-1]:
-                if len(seen) >= most:
-                    seen.clear()
-                seen.add(x)
-        return part.assign(fresh=out)
 
-    return findings.groupBy(page).applyInPandas(fold, T.StructType([*findings.schema.fields, T.StructField("fresh", T.BooleanType())]))
+def new_findings(findings: DataFrame, page: str = "page_id", order: str = "rowid", most: int = MAX_FINGERPRINTS) -> DataFrame:
+    """findings (with a column fingerprint) with fresh: unseen on the page. The memory of a page is emptied when it is full, so each page is folded in order."""
+    return in_order(findings, [page], [order], ["fingerprint"], lambda: _Fingerprints(most), {"fresh": "boolean"})
 
 
 def prune_blocklist(rows: DataFrame, now_ms: int) -> DataFrame:
@@ -91,4 +89,4 @@ def findings_to_events(pages: DataFrame) -> DataFrame:
 def host_of_decision(rule_id: Column, message: Column) -> Column:
     """The host that a decision about a domain or scope names; null for other rules."""
     named = F.regexp_extract(message, "((?:[A-Za-z0-9\\-]+[.])+[A-Za-z]{2,24})", 1)
-    return F.when(rule_id.isin("INTEL-DOMAIN", "NET-DOMAIN", "SCOPE-HOST") & (named != ""), F.lower(named))
+    return F.when(rule_id.isin("INTEL-DOMAIN", "SCOPE-HOST") & (named != ""), F.lower(named))

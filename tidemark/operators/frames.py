@@ -158,15 +158,23 @@ def changed_blocks_residual(a: Column, b: Column) -> Column:
 
 
 def block_components(blocks: Column) -> Column:
-    """The four-neighbour components of a set of blocks of the grid: an array of arrays. Labels spread for as many rounds as the grid is long."""
-    start = F.transform(blocks, lambda b: F.struct(b.alias("b"), b.alias("l")))
-
-    def spread(labels: Column, _: Column) -> Column:
-        near = lambda x, y: (x["b"] == y["b"]) | (F.abs(x["b"] - y["b"]) == COLS) | ((F.abs(x["b"] - y["b"]) == 1) & (F.floor(x["b"] / COLS) == F.floor(y["b"] / COLS)))
-        return F.transform(labels, lambda x: F.struct(x["b"].alias("b"), F.array_min(F.transform(F.filter(labels, lambda y: near(x, y)), lambda y: y["l"])).alias("l")))
-
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(COLS + ROWS)), start, spread)
-    return bind(done, lambda d: F.transform(F.array_distinct(F.transform(d, lambda x: x["l"])), lambda k: F.transform(F.filter(d, lambda x: x["l"] == k), lambda x: x["b"])))
+    """The four-neighbour components of a set of blocks of the grid: an array of arrays. Each block takes the least label around it and then that
+    label's own label, until a round changes nothing."""
+    cells = COLS * ROWS
+    start = F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda i: F.when(F.array_contains(blocks, i), i))
+
+    def spread(labels: Column) -> Column:
+        at = lambda i, ok: F.when(ok, F.get(labels, i))
+        near = lambda l, i: F.least(l, at(i - 1, i % COLS > 0), at(i + 1, i % COLS < COLS - 1), at(i - COLS, i >= COLS), at(i + COLS, i < cells - COLS))
+        return bind(F.transform(labels, lambda l, i: F.when(l.isNotNull(), near(l, i))), lambda x: F.transform(x, lambda l: F.get(x, l)))
+
+    def once(state: Column, _: Column) -> Column:
+        more = bind(spread(state["labels"]), lambda x: F.struct(x.alias("labels"), (x != state["labels"]).alias("changed")))
+        return F.when(state["changed"], more).otherwise(state)
+
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(cells)), F.struct(start.alias("labels"), F.lit(True).alias("changed")), once, lambda s: s["labels"])
+    of = lambda d, k: F.filter(F.transform(d, lambda l, i: F.when(l == k, i)), lambda i: i.isNotNull())
+    return bind(done, lambda d: F.transform(F.array_distinct(F.array_compact(d)), lambda k: of(d, k)))
 
 
 def compare_frames(a: Column, b: Column) -> Column:

@@ -73,10 +73,12 @@ def backed(rows: DataFrame, ticks: DataFrame, ts: str = "ts", within_ms: int = H
     return out.select("__r.*", "last_tick", F.coalesce(F.col("__t") - F.col("last_tick") <= within_ms, F.lit(False)).alias("backed"))
 
 
-def inside(rows: DataFrame, intervals: DataFrame, ts: str) -> DataFrame:
-    """rows whose time lies inside an interval (exclusive). Intervals of one log are few; they are broadcast after a count, else joined by range."""
-    met = (F.col(ts) > F.col("from_ms")) & (F.col(ts) < F.col("to_ms"))
-    return rows.join(intervals, met, "left_semi")
+def inside(rows: DataFrame, intervals: DataFrame, ts: str, *by: str) -> DataFrame:
+    """rows whose time lies inside an interval (from_ms, to_ms), exclusive at both ends. One ordered pass over both for each key: a row is inside if
+    the furthest end of the intervals that began before it is behind it."""
+    both = rows.withColumn("__r", F.struct(*rows.columns)).select(*by, F.col(ts).alias("__t"), F.lit(0).alias("__side"), "__r").unionByName(intervals.select(*by, F.col("from_ms").alias("__t"), F.lit(1).alias("__side"), F.col("to_ms").alias("__to")), allowMissingColumns=True)
+    last = F.max("__to").over(Window.partitionBy(*by).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return both.withColumn("__last", last).where("__side = 0 and __t < __last").select("__r.*")
 
 
 def reconcile(trace: DataFrame, rows: DataFrame) -> DataFrame:
@@ -163,13 +165,25 @@ def dedupe(values: Column) -> Column:
     return F.filter(rows, lambda v, i: ~F.exists(F.slice(rows, F.lit(1), i), lambda u: F.lower(u) == F.lower(v)))
 
 
+#: Probes of a suite, which is configuration, at most.
+MAX_PROBES = 10_000
+
+
 def comparability(profiles: DataFrame, suite: DataFrame) -> DataFrame:
-    """Problems (agent_id, probe_id, problem) of answers (agent_id, probe_id, dimension) against a suite (probe_id, dimension)."""
-    agents = profiles.select("agent_id").distinct()
-    want = agents.join(suite.withColumnRenamed("dimension", "wanted"), F.lit(True))  # a suite has a few dozen probes
-    both = want.join(profiles, ["agent_id", "probe_id"], "full")
-    problem = F.when(F.col("wanted").isNull(), "unknown_probe").when(F.col("dimension").isNull(), "missing_probe").when(F.col("wanted") != F.col("dimension"), "wrong_dimension")
-    return both.select("agent_id", "probe_id", problem.alias("problem")).where("problem is not null")
+    """Problems (agent_id, probe_id, problem) of answers (agent_id, probe_id, dimension) against a suite (probe_id, dimension): probes it doesn't have or has under
+    another dimension, those that an agent leaves out, and agents that answer a probe twice."""
+    wanted = {r["probe_id"]: r["dimension"] for r in suite.select("probe_id", "dimension").limit(MAX_PROBES + 1).collect()}
+    if len(wanted) > MAX_PROBES:
+        raise ValueError(f"a suite has at most {MAX_PROBES} probes")
+    none = F.lit(None).cast("string")
+    dimension = F.create_map(*[F.lit(x) for kv in wanted.items() for x in kv])[F.col("probe_id")] if wanted else none
+    answers = profiles.groupBy("agent_id", "probe_id").agg(F.first("dimension").alias("dimension"), F.count("*").alias("n")).withColumn("wanted", dimension)
+    problem = F.when(F.col("wanted").isNull(), "unknown_probe").when(F.col("wanted") != F.col("dimension"), "wrong_dimension")
+    wrong = answers.select("agent_id", "probe_id", problem.alias("problem")).where("problem is not null")
+    again = answers.where("n > 1").select("agent_id", "probe_id", F.lit("duplicate_answer").alias("problem"))
+    every = F.array(*map(F.lit, wanted)).cast("array<string>")
+    left = answers.groupBy("agent_id").agg(F.collect_set("probe_id").alias("have")).select("agent_id", F.explode(F.array_except(every, "have")).alias("probe_id"), F.lit("missing_probe").alias("problem"))
+    return union_all(wrong, again, left)
 
 
 def nearest_label(observed: DataFrame, registry: DataFrame, fold, variants) -> DataFrame:

@@ -124,7 +124,7 @@ def device_policy(d: Column, agent: Column, allowed_agents: Sequence[str] | None
     """A device's policy over a decision: agents that aren't allowed are blocked, domain alerts promoted, critical decisions confirmed."""
     out = d
     if promote_domains:
-        out = F.when(out["rule_id"].isin("INTEL-DOMAIN", "NET-DOMAIN") & (out["action"] == "alert"), decision("block", out["severity"], out["rule_id"], out["human_message"], True)).otherwise(out)
+        out = F.when((out["rule_id"] == "INTEL-DOMAIN") & (out["action"] == "alert"), decision("block", out["severity"], out["rule_id"], out["human_message"], True)).otherwise(out)
     if confirm_critical:
         out = F.when((out["severity"] == "critical") & (out["action"] != "allow"), decision(out["action"], out["severity"], out["rule_id"], out["human_message"], True)).otherwise(out)
     if allowed_agents is not None:
@@ -168,17 +168,20 @@ def contains_any(text: Column, patterns: Sequence[str], ignore_case: bool = True
 
 
 def malicious_hosts(rows: DataFrame, host: Column, domains: DataFrame, into: str = "malicious_domain") -> DataFrame:
-    """rows with the longest listed domain that host is or is below; null if none. An equal join on the host's suffixes."""
-    keyed = rows.withColumn("__key", F.explode_outer(F.when(host.isNotNull(), suffixes(host)))).withColumn("__row", F.struct(*rows.columns))
+    """rows with the longest listed domain that host is or is below; null if none. The distinct hosts meet the list once, by an equal join on their
+    suffixes, and the rows meet what was found by their host. Rows that repeat stay."""
     listed = domains.select(F.lower("domain").alias("__domain")).distinct()
-    met = keyed.join(listed, F.col("__key") == F.col("__domain"), "left")
-    best = F.max(F.when(F.col("__domain").isNotNull(), F.struct(F.length("__domain").alias("n"), F.col("__domain").alias("domain"))))
-    return met.groupBy("__row").agg(best["domain"].alias(into)).select("__row.*", into)
+    keyed = rows.select(F.lower(host).alias("__host")).where("__host is not null").distinct().select("__host", F.explode(suffixes(F.col("__host"))).alias("__domain"))
+    best = F.max(F.struct(F.length("__domain").alias("n"), F.col("__domain").alias("domain")))
+    found = keyed.join(listed, "__domain").groupBy("__host").agg(best["domain"].alias(into))
+    return rows.withColumn("__host", F.lower(host)).join(found, "__host", "left").drop("__host")
 
 
 def evaluate_flow(malicious_domain: Column, host: Column, bytes_out: Column) -> Column:
     """Network flows: a malicious host first, then a large upload, else allowed."""
-    return F.when(malicious_domain.isNotNull(), decision("block", "critical", "NET-DOMAIN", F.concat(F.lit("connection to malicious domain "), host), True)).when(bytes_out >= LARGE_UPLOAD, decision("alert", "high", "NET-UPLOAD", F.concat(F.lit("large upload to "), host))).otherwise(decision(*ALLOW))
+    h = F.lower(host)
+    large = F.concat(F.lit("Large upload "), bytes_out.cast("string"), F.lit(" bytes to "), h)
+    return F.when(malicious_domain.isNotNull(), decision("block", "critical", "INTEL-DOMAIN", F.concat(F.lit("Suspicious egress host: "), h), True)).when(bytes_out >= LARGE_UPLOAD, decision("alert", "high", "PRIV-005", large)).otherwise(decision(*ALLOW))
 
 
 def decide(events: DataFrame, rules: Sequence[dict], domains: DataFrame, injections: Sequence[str] = (), deeplinks: Sequence[str] = (), high_keys: Sequence[str] = ()) -> DataFrame:

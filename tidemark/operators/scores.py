@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tidemark.operators.scale import ranked
 
 #: Penalties by necessity (required, plausible, unnecessary, forbidden), and weights.
 NECESSITY = ("required", "plausible", "unnecessary", "forbidden")
@@ -114,9 +115,10 @@ def agent_scores(events: DataFrame, privacy: DataFrame, agents: DataFrame) -> Da
 
 def leaderboard(scored: DataFrame) -> DataFrame:
     """Comparable agents ranked: those without declared attacks first, then by score, then by id. Others have no rank."""
-    order = Window.orderBy((F.col("attacks_declared") > 0).cast("int"), F.desc_nulls_last("rank_score"), "agent_id")
-    ranked = scored.where("comparable").withColumn("rank", F.row_number().over(order))
-    return ranked.unionByName(scored.where("not comparable").withColumn("rank", F.lit(None).cast("int")))
+    tier = (F.col("attacks_declared") > 0).cast("int")
+    key = tier * 10.0 - F.coalesce("rank_score", F.lit(-1.0))  # scores are 0 to 1
+    placed = ranked(scored.where("comparable"), key, [tier, F.desc_nulls_last("rank_score"), F.col("agent_id")], "rank")
+    return placed.unionByName(scored.where("not comparable").withColumn("rank", F.lit(None).cast("int")))
 
 
 def nearest_rank(column: str, q: float) -> Column:

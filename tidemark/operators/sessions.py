@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections import deque
+from collections import OrderedDict
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tidemark.operators.scale import in_order
+
 #: Metadata that a fingerprint leaves out, and windows.
 VOLATILE = ("frame_digest", "low_opacity_ratio", "capture_width", "capture_height", "overlay_evidence", "overlay_count", "repeat_count")
 WINDOW_MS, NONCES, ADAPTER_EVENTS = 30_000, 8192, 4096
@@ -21,28 +21,24 @@ def fingerprint(event_type: Column, app: Column, metadata: Column) -> Column:
     return F.xxhash64(event_type, app, F.array_sort(F.transform(F.map_entries(kept), lambda e: F.struct(e["key"], F.trim(e["value"])))))
 
 
+class _Throttle:
+    def __init__(self, window_ms: int):
+        self.window_ms, self.last, self.held = window_ms, None, 0
+
+    def step(self, t):
+        if self.last is None or t - self.last >= self.window_ms:
+            out, self.last, self.held = (True, self.held), t, 0
+        else:
+            self.held += 1
+            out = (False, self.held)
+        return out
+
+
 def throttle(events: DataFrame, keys: list[str], order: str = "timestamp_ms", window_ms: int = WINDOW_MS) -> DataFrame:
     """events with emit and repeats: the first of a key is emitted, then the first at least window_ms behind the last emitted one, with
-    how many were held back between. The anchor moves with each emission, so this is a fold, run for each key in order."""
-    columns = events.columns
-    schema = T.StructType([*events.schema.fields, T.StructField("emit", T.BooleanType()), T.StructField("repeats", T.IntegerType())])
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([order, *[c for c in columns if c == "rowid"]], kind="stable")
-        last, held = None, 0
-        emit, repeats = [], []
-        for t in part[order]:
-            if last is None or t - last >= window_ms:
-                emit.append(True)
-                repeats.append(held)
-                last, held = t, 0
-            else:
-                held += 1
-                emit.append(False)
-                repeats.append(held)
-        return part.assign(emit=emit, repeats=pd.array(repeats, dtype="int32"))
-
-    return events.groupBy(*keys).applyInPandas(fold, schema)
+    how many were held back between. The anchor moves with each emission, so this is a fold over each key in order; its state is one time and one number."""
+    by = [order, *[c for c in events.columns if c == "rowid" and c != order]]
+    return in_order(events, keys, by, [order], lambda: _Throttle(window_ms), {"emit": "boolean", "repeats": "int"})
 
 
 def suppressed_total(throttled: DataFrame) -> DataFrame:
@@ -54,24 +50,23 @@ def bursts(events: DataFrame, keys: list[str], time: str = "ts", gap: str = "30
     return events.groupBy(*keys, F.session_window(time, gap)).agg(F.min(time).alias("first"), F.max(time).alias("last"), F.count("*").alias("total")).drop("session_window")
 
 
+class _Nonces:
+    def __init__(self, window: int):
+        self.window, self.seen = window, OrderedDict()
+
+    def step(self, n):
+        if n in self.seen:
+            return (True,)
+        self.seen[n] = None
+        if len(self.seen) > self.window:
+            self.seen.popitem(last=False)
+        return (False,)
+
+
 def replays(events: DataFrame, owner: str, nonce: str, order: str = "rowid", window: int = NONCES) -> DataFrame:
     """events with replay: the nonce is among the last `window` that its owner got accepted. Which are accepted depends on those before, so
     each owner's nonces are folded in order, with a window of state."""
-    schema = T.StructType([*events.schema.fields, T.StructField("replay", T.BooleanType())])
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable")
-        queue, seen, out = deque(), set(), []
-        for n in part[nonce]:
-            out.append(n in seen)
-            if not out[-1]:
-                seen.add(n)
-                queue.append(n)
-                if len(queue) > window:
-                    seen.discard(queue.popleft())
-        return part.assign(replay=out)
-
-    return events.groupBy(owner).applyInPandas(fold, schema)
+    return in_order(events, [owner], [order], [nonce], lambda: _Nonces(window), {"replay": "boolean"})
 
 
 def once_per_session(findings: DataFrame, session: str, kind: str, order: str = "rowid") -> DataFrame:
@@ -104,10 +99,20 @@ def memory_reads(events: DataFrame, session: str = "session", order: str = "rowi
     return rows.withColumn("rule_id", F.when(~F.col("saved"), "PRIV-MEM-READ").when(wrong, "PRIV-MEM-USE").otherwise("ALLOW")).withColumn("correct", F.col("saved") & ~wrong)
 
 
+class _Union:
+    def __init__(self, n: int):
+        self.seen = [set() for _ in range(n)]
+
+    def step(self, *lists):
+        for seen, more in zip(self.seen, lists, strict=True):
+            seen.update(x for x in more or () if x is not None)
+        return tuple(sorted(x) for x in self.seen)
+
+
 def merged_risks(surveys: DataFrame, session: str = "session", order: str = "rowid", lists: tuple[str, ...] = ("broadcast_input_receivers", "foreign_a11y_services")) -> DataFrame:
-    """surveys with each risk list joined with all before it in the session."""
-    by = Window.partitionBy(session).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return surveys.withColumns({c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c).over(by)))) for c in lists})
+    """surveys with each risk list joined with all before it in the session: sorted distinct values. State is what was seen so far."""
+    out = in_order(surveys, [session], [order], lists, lambda: _Union(len(lists)), {f"__{c}": "array<string>" for c in lists})
+    return out.withColumns({c: F.col(f"__{c}") for c in lists}).drop(*[f"__{c}" for c in lists])
 
 
 def protection_state(enabled: Column, paused: Column, session_open: Column, heartbeat_age_ms: Column, ttl_ms: int = 10_000) -> Column:
@@ -115,17 +120,51 @@ def protection_state(enabled: Column, paused: Column, session_open: Column, hear
     return F.when(~enabled, "off").when(paused, "paused").when(~session_open, "idle").when(heartbeat_age_ms.isNull() | (heartbeat_age_ms > ttl_ms), "stalled").otherwise("active")
 
 
-def confirm_queue(requests: DataFrame, replies: DataFrame, ttl_ms: int = 60_000, capacity: int = 64) -> DataFrame:
-    """Requests (request_id, enqueued_ms) with their outcome: 'resolved' by the first reply in time, 'expired' behind ttl_ms, 'evicted' if capacity newer
-    ones came in before either; replies to anything else are 'stale' rows of their own."""
-    first = replies.groupBy("request_id").agg(F.min_by(F.struct("replied_ms", "approve"), "replied_ms").alias("reply"))
-    rows = requests.withColumn("pushed_out_ms", F.lead("enqueued_ms", capacity).over(Window.orderBy("enqueued_ms", "request_id"))).join(first, "request_id", "left")
-    end = F.least(F.col("enqueued_ms") + ttl_ms, F.coalesce("pushed_out_ms", F.col("enqueued_ms") + ttl_ms))
-    in_time = F.col("reply.replied_ms") <= end
-    outcome = F.when(in_time, "resolved").when(F.col("pushed_out_ms") < F.col("enqueued_ms") + ttl_ms, "evicted").otherwise("expired")
-    done = rows.select("request_id", "enqueued_ms", outcome.alias("outcome"), F.when(in_time, F.col("reply.approve")).alias("approve"))
-    lost = replies.join(requests.select("request_id"), "request_id", "left_anti").select("request_id", F.lit(None).cast("long").alias("enqueued_ms"), F.lit("stale").alias("outcome"), "approve")
-    return done.unionByName(lost)
+class _Queue:
+    """Live requests of one owner, oldest first, and which requests a step ended, as 'id|outcome|reply' texts."""
+
+    def __init__(self, ttl_ms: int, capacity: int):
+        self.ttl_ms, self.capacity, self.live = ttl_ms, capacity, OrderedDict()
+
+    def step(self, at, side, request, approve):
+        if side == 2:  # behind the last event nothing answers any more
+            ended = [f"{r}|expired|" for r in self.live]
+            self.live.clear()
+            return (ended,)
+        ended = [f"{r}|expired|" for r, since in self.live.items() if since > 0 and at - since > self.ttl_ms]
+        for x in ended:
+            del self.live[x.split("|")[0]]
+        if side == 0:
+            if len(self.live) >= self.capacity:
+                ended.append(f"{self.live.popitem(last=False)[0]}|evicted|")
+            self.live[request] = at
+        elif request in self.live:
+            del self.live[request]
+            ended.append(f"{request}|resolved|{'true' if approve else 'false'}")
+        else:
+            ended.append(f"{request}|stale|{'true' if approve else 'false'}")
+        return (ended,)
+
+
+def confirm_queue(requests: DataFrame, replies: DataFrame, ttl_ms: int = 60_000, capacity: int = 64, owner: str | None = None) -> DataFrame:
+    """Outcomes (request_id, enqueued_ms, outcome, approve, and owner if named) of requests (request_id, enqueued_ms) and of replies (request_id, replied_ms, approve).
+
+    Each owner's queue is folded in order of time, a request before a reply of the same time, with at most `capacity` live requests as state.
+    A request is 'resolved' by the first reply while it is live, 'expired' once more than ttl_ms went by (a request of time 0 never does before the end), and
+    'evicted' as the oldest live one when a new one finds the queue full; requests that were answered are out of the queue and push nobody out. What
+    is live at the end is 'expired'. A reply to anything that isn't live is 'stale', with a row of its own.
+    """
+    own = F.lit("") if owner is None else F.col(owner).cast("string")
+    kind = requests.schema["request_id"].dataType.simpleString()
+    asked = requests.select(own.alias("__o"), F.col("enqueued_ms").alias("__t"), F.lit(0).alias("__side"), F.col("request_id").cast("string").alias("__id"), F.lit(None).cast("boolean").alias("approve"))
+    told = replies.select(own.alias("__o"), F.col("replied_ms").alias("__t"), F.lit(1).alias("__side"), F.col("request_id").cast("string").alias("__id"), "approve")
+    ends = asked.select("__o").distinct().select("__o", F.lit(2**63 - 1).alias("__t"), F.lit(2).alias("__side"), F.lit(None).cast("string").alias("__id"), F.lit(None).cast("boolean").alias("approve"))
+    rows = in_order(asked.unionByName(told).unionByName(ends), ["__o"], ["__t", "__side", "__id"], ["__t", "__side", "__id", "approve"], lambda: _Queue(ttl_ms, capacity), {"ended": "array<string>"})
+    part = lambda i: F.get(F.split("e", "[|]"), F.lit(i))
+    done = rows.select("__o", F.explode("ended").alias("e")).select("__o", part(0).cast(kind).alias("request_id"), part(1).alias("outcome"), F.when(part(2) != "", part(2) == "true").alias("approve"))
+    since = requests.select(own.alias("__o"), "request_id", "enqueued_ms")
+    out = done.join(since, ["__o", "request_id"], "left").withColumn("enqueued_ms", F.when(F.col("outcome") != "stale", F.col("enqueued_ms")))
+    return out.select(*([] if owner is None else [F.col("__o").alias(owner)]), "request_id", "enqueued_ms", "outcome", "approve")
 
 
 def latest(rows: DataFrame, key: str, version: str) -> DataFrame:

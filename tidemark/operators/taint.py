@@ -9,15 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.scale import in_order
+
 TAINTED, VERIFIED = 0, 1
 PUBLIC, LOW, HIGH = 0, 1, 2
 MAX_PARENTS = 1024
-OUT = "session string, rowid long, op string, value_id string, integrity int, confidentiality int, verdict string"
 
 
 def join_labels(i1: Column, c1: Column, i2: Column, c2: Column) -> tuple[Column, Column]:
@@ -71,29 +71,32 @@ class Lattice:
         self.labels[value] = to
         return "ok"
 
-    def step(self, r) -> tuple[tuple[int, int] | None, str | None]:
-        if r.op == "introduce":
-            return self.put(r.value_id, (int(r.integrity), int(r.confidentiality))), None
-        if r.op == "derive":
-            parents = [] if r.parents is None else list(r.parents)
-            return (self.derive(r.value_id, parents), None) if len(parents) <= MAX_PARENTS else (self.put(r.value_id, (TAINTED, HIGH)), "too_many_parents")
-        if r.op == "memory_save":
-            self.memory[r.item_key] = r.value_id
-            return self.labels.get(r.value_id), None
-        if r.op == "memory_load":
-            label = self.labels.get(self.memory.get(r.item_key, ""))
-            return (self.put(r.value_id, label), None) if label else (None, "unknown")
-        if r.op == "declassify":
-            verdict = self.declassify(r.value_id, (int(r.integrity), int(r.confidentiality)), bool(r.approved), r.approved_by or "")
-            return self.labels.get(r.value_id), verdict
-        label = self.labels.get(r.value_id)
+    def step(self, *values):
+        label, verdict = self.apply(*values)
+        return (*(label or (None, None)), verdict)
+
+    def apply(self, op, value_id, integrity, confidentiality, parents, item_key, sink_kind, declared, clearance, approved, approved_by):
+        if op == "introduce":
+            return self.put(value_id, (integrity, confidentiality)), None
+        if op == "derive":
+            parents = parents or []
+            return (self.derive(value_id, parents), None) if len(parents) <= MAX_PARENTS else (self.put(value_id, (TAINTED, HIGH)), "too_many_parents")
+        if op == "memory_save":
+            self.memory[item_key] = value_id
+            return self.labels.get(value_id), None
+        if op == "memory_load":
+            label = self.labels.get(self.memory.get(item_key, ""))
+            return (self.put(value_id, label), None) if label else (None, "unknown")
+        if op == "declassify":
+            verdict = self.declassify(value_id, (integrity, confidentiality), bool(approved), approved_by or "")
+            return self.labels.get(value_id), verdict
+        label = self.labels.get(value_id)
         if label is None:
             return None, "unknown"
-        clearance = PUBLIC if r.sink_kind in ("clipboard", "network") else HIGH if r.declared else LOW
-        if not pd.isna(r.clearance):
-            clearance = min(clearance, int(r.clearance))
-        needed = VERIFIED if r.sink_kind in ("critical_action", "shell_arg") else TAINTED
-        return label, "no_write_down" if label[0] < needed else "confidentiality" if label[1] > clearance else "allow"
+        ceiling = PUBLIC if sink_kind in ("clipboard", "network") else HIGH if declared else LOW
+        ceiling = ceiling if clearance is None else min(ceiling, clearance)
+        needed = VERIFIED if sink_kind in ("critical_action", "shell_arg") else TAINTED
+        return label, "no_write_down" if label[0] < needed else "confidentiality" if label[1] > ceiling else "allow"
 
 
 def track(events: DataFrame) -> DataFrame:
@@ -103,16 +106,9 @@ def track(events: DataFrame) -> DataFrame:
     parents, item_key, sink_kind, declared, clearance, approved, approved_by.
     """
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        lattice = Lattice()
-        rows = []
-        for r in part.sort_values("rowid", kind="stable").itertuples(index=False):
-            label, verdict = lattice.step(r)
-            rows.append((r.session, r.rowid, r.op, r.value_id, *(label or (None, None)), verdict))
-        out = pd.DataFrame(rows, columns=[x.split()[0] for x in OUT.split(", ")])
-        return out.astype({"integrity": "Int32", "confidentiality": "Int32"})
-
-    return events.groupBy("session").applyInPandas(fold, OUT)
+    used = ["op", "value_id", "integrity", "confidentiality", "parents", "item_key", "sink_kind", "declared", "clearance", "approved", "approved_by"]
+    out = in_order(events.select("session", "rowid", *used), ["session"], ["rowid"], used, Lattice, {"__integrity": "int", "__confidentiality": "int", "verdict": "string"})
+    return out.select("session", "rowid", "op", "value_id", F.col("__integrity").alias("integrity"), F.col("__confidentiality").alias("confidentiality"), "verdict")
 
 
 def untrusted(events: DataFrame, verified_high: Column) -> DataFrame:
@@ -122,34 +118,32 @@ def untrusted(events: DataFrame, verified_high: Column) -> DataFrame:
     return rows.select("session", "rowid", F.lit("introduce").alias("op"), F.col("metadata")["value_id"].alias("value_id"), F.lit(TAINTED).alias("integrity"), F.when(verified_high, HIGH).otherwise(PUBLIC).alias("confidentiality"))
 
 
-def closure(edges: DataFrame, most: int = 32) -> DataFrame:
-    """(node, ancestor, depth) of edges (node, parent): every ancestor at its least depth, up to most levels. Each round is an equal
-    join of the new ancestors with the edges; the rounds end when none is new."""
+def closure(edges: DataFrame) -> DataFrame:
+    """(node, ancestor, depth) of edges (node, parent): every ancestor at its least depth, however deep. Each round is an equal
+    join of the new ancestors with the edges; the rounds end when none is new, also where edges go in circles."""
     spark = edges.sparkSession
-    edges = edges.select("node", "parent").where("parent is not null").distinct()
-    every = edges.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
-    new = every
-    for depth in range(2, most + 1):
+    cut = (lambda d: d.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda d: d.persist())
+    edges = cut(edges.select("node", "parent").where("parent is not null").distinct())
+    every = new = edges.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
+    depth = 1
+    while not new.isEmpty():
+        depth += 1
         step = new.join(edges.select(F.col("node").alias("ancestor"), F.col("parent").alias("next")), "ancestor").select("node", F.col("next").alias("ancestor"), F.lit(depth).alias("depth")).distinct()
-        new = step.join(every.select("node", "ancestor"), ["node", "ancestor"], "left_anti")
-        if spark.sparkContext.getCheckpointDir():
-            new = new.checkpoint()
-        if new.isEmpty():
-            break
-        every = every.unionByName(new)
+        new = cut(step.join(every.select("node", "ancestor"), ["node", "ancestor"], "left_anti"))
+        every = cut(every.unionByName(new)) if depth % 16 == 0 else every.unionByName(new)
     return every
 
 
-def remaining(nodes: DataFrame, most: int = 32) -> DataFrame:
+def remaining(nodes: DataFrame) -> DataFrame:
     """What each node of a delegation tree (node, parent, limit, used) may still use: the least of limit - used over itself and its ancestors."""
-    up = closure(nodes, most).select("node", "ancestor").unionByName(nodes.select("node", F.col("node").alias("ancestor")))
+    up = closure(nodes).select("node", "ancestor").unionByName(nodes.select("node", F.col("node").alias("ancestor")))
     left = nodes.select(F.col("node").alias("ancestor"), (F.col("limit") - F.col("used")).alias("left"))
     return up.join(left, "ancestor").groupBy("node").agg(F.min("left").alias("remaining"))
 
 
-def revoked(nodes: DataFrame, roots: DataFrame, most: int = 32) -> DataFrame:
+def revoked(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """The nodes of the subtrees below roots (node), the roots included."""
-    below = closure(nodes, most).join(roots.select(F.col("node").alias("ancestor")), "ancestor", "left_semi").select("node")
+    below = closure(nodes).join(roots.select(F.col("node").alias("ancestor")), "ancestor", "left_semi").select("node")
     return below.unionByName(roots.select("node")).distinct()
 
 

@@ -1,7 +1,8 @@
 """Plan drift over ordered steps, as window expressions.
 
 Steps count only until the first drift of a session (after that everything is unanchored), so the first drift follows from running
-counts and the rest from a running flag: no row-by-row state is needed. A re-approval starts a new segment.
+counts and the rest from a running flag: no row-by-row state is needed. With re-approvals the counts depend on which steps conformed, so those
+sessions are folded in order.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.scale import in_order
+
 OBSERVATIONS = ("observe", "recall_memory")
 
 
@@ -49,10 +52,52 @@ def judge(steps: DataFrame, plan: Plan, session: str = "session", order: str = "
     return rows.withColumn("drift", F.when(k.isin(list(observations)), F.lit(None).cast("string")).when(fallen, "unanchored").otherwise(F.col("__own"))).drop("__own")
 
 
-def reanchored(steps: DataFrame, plan: Plan, approved: str, session: str = "session", order: str = "rowid", **more) -> DataFrame:
-    """judge() with re-approvals: a row whose column approved is true clears the latch for the rows behind it; counts start anew there."""
-    rows = steps.withColumn("__segment", F.sum(F.col(approved).cast("int")).over(Window.partitionBy(session).orderBy(order))).withColumn("__key", F.struct(session, "__segment"))
-    return judge(rows, plan, "__key", order, **more).drop("__segment", "__key")
+class _Reanchored:
+    """Counts, end and latch of one session under a plan; kinds are few, so the state is small."""
+
+    def __init__(self, plan: Plan, observations: tuple[str, ...]):
+        self.plan, self.observations = plan, observations
+        self.counts, self.conforming = {}, {}
+        self.ended = self.latched = False
+
+    def judge(self, kind):
+        p = self.plan
+        if kind in self.observations:
+            return None
+        if self.latched:
+            return "unanchored"
+        if kind not in p.allow:
+            return "out_of_plan"
+        if kind in p.most and self.counts.get(kind, 0) >= p.most[kind]:
+            return "over_budget"
+        if kind in p.order and any(not self.counts.get(x) for x in p.order[: p.order.index(kind)]):
+            return "out_of_order"
+        return "after_terminal" if self.ended else None
+
+    def step(self, kind, executed, approved):
+        drift = self.judge(kind)
+        if drift:
+            self.latched = True
+        else:
+            self.conforming[kind] = self.conforming.get(kind, 0) + 1
+            if executed and kind not in self.observations:
+                self.counts[kind] = self.counts.get(kind, 0) + 1
+                self.ended = self.ended or kind == self.plan.terminal
+        if approved:
+            self.latched, self.counts = False, dict(self.conforming)
+            self.ended = self.plan.terminal in self.counts
+        return (drift,)
+
+
+def reanchored(steps: DataFrame, plan: Plan, approved: str, session: str = "session", order: str = "rowid", kind: str = "kind", executed: str | None = None, observations: tuple[str, ...] = OBSERVATIONS) -> DataFrame:
+    """judge() with re-approvals: a row whose column approved is true is judged as it stands and then clears the latch for the rows behind it.
+
+    Counts and the end of the task are built anew from all steps of the session that conformed, so an approval refunds no budget. The fold's state is a
+    few counts for each session.
+    """
+    rows = steps.withColumn("__ran", F.col(executed) if executed else F.lit(True)).withColumn("__approved", F.coalesce(approved, F.lit(False)))
+    out = in_order(rows, [session], [order], [kind, "__ran", "__approved"], lambda: _Reanchored(plan, observations), {"drift": "string"})
+    return out.drop("__ran", "__approved")
 
 
 def drift_score(judged: DataFrame, session: str = "session", kind: str = "kind", observations: tuple[str, ...] = OBSERVATIONS) -> DataFrame:

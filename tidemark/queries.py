@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions import entities, fields, hosts, paths, text
 from tidemark.operators import audit, browser, evals, frames, joins, registry, rules, scores, sessions, taint, trajectory
@@ -185,13 +186,13 @@ def x5_replays(spark, sf_dir):
     return sessions.replays(rows, "user_id", "nonce", "event_id", window=16).select("user_id", "event_id", "replay")
 
 
-@query("""WITH RECURSIVE e AS (SELECT user_id, event_type, epoch_us(ts) // 1000 AS t FROM events), f AS (SELECT user_id, event_type, min(t) AS t FROM e GROUP BY 1, 2
- UNION ALL SELECT f.user_id, f.event_type, (SELECT min(e.t) FROM e WHERE e.user_id = f.user_id AND e.event_type = f.event_type AND e.t >= f.t + 86400000) FROM f WHERE f.t IS NOT NULL)
- SELECT user_id, event_type, count(*) AS emitted FROM f WHERE t IS NOT NULL GROUP BY 1, 2""")
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_type, event_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY epoch_us(ts) // 1000, event_id) AS i FROM events),
+ f AS (SELECT user_id, event_type, event_id, i, t AS anchor, true AS emit, 0 AS repeats FROM e WHERE i = 1
+ UNION ALL SELECT e.user_id, e.event_type, e.event_id, e.i, CASE WHEN e.t - anchor >= 86400000 THEN e.t ELSE anchor END, e.t - anchor >= 86400000, CASE WHEN emit THEN CASE WHEN e.t - anchor >= 86400000 THEN 0 ELSE 1 END ELSE CASE WHEN e.t - anchor >= 86400000 THEN repeats ELSE repeats + 1 END END
+ FROM f JOIN e ON e.user_id = f.user_id AND e.event_type = f.event_type AND e.i = f.i + 1) SELECT event_id, emit, repeats FROM f""")
 def x8_throttle(spark, sf_dir):
-    rows = read(spark, sf_dir, "events").select("user_id", "event_type", F.unix_millis("ts").alias("timestamp_ms"))
-    out = sessions.throttle(rows, ["user_id", "event_type"], window_ms=86_400_000)
-    return out.groupBy("user_id", "event_type").agg(F.count_if("emit").alias("emitted"))
+    rows = read(spark, sf_dir, "events").select("user_id", "event_type", F.unix_millis("ts").alias("timestamp_ms"), F.col("event_id").alias("rowid"))
+    return sessions.throttle(rows, ["user_id", "event_type"], window_ms=86_400_000).select(F.col("rowid").alias("event_id"), "emit", "repeats")
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOURS THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
@@ -294,12 +295,14 @@ def f11_hosts(spark, sf_dir):
 
 @query(f"""WITH d AS (SELECT DISTINCT {HOST_SQL} AS domain FROM pages WHERE page_id % 11 = 0 UNION SELECT 'example.net'), p AS (SELECT page_id, {HOST_SQL} AS host, length(html) * 1000 AS bytes_out FROM pages),
  m AS (SELECT page_id, host, bytes_out, (SELECT d.domain FROM d WHERE p.host = d.domain OR p.host LIKE '%.' || d.domain ORDER BY length(d.domain) DESC LIMIT 1) AS domain FROM p)
- SELECT page_id, domain, CASE WHEN domain IS NOT NULL THEN 'NET-DOMAIN' WHEN bytes_out >= 5000000 THEN 'NET-UPLOAD' ELSE 'ALLOW' END AS rule_id FROM m""")
+ SELECT page_id, domain, CASE WHEN domain IS NOT NULL THEN 'INTEL-DOMAIN' WHEN bytes_out >= 5000000 THEN 'PRIV-005' ELSE 'ALLOW' END AS rule_id,
+ CASE WHEN domain IS NOT NULL THEN 'Suspicious egress host: ' || lower(host) WHEN bytes_out >= 5000000 THEN 'Large upload ' || bytes_out || ' bytes to ' || lower(host) ELSE '' END AS message FROM m""")
 def f10_evaluate_flow(spark, sf_dir):
     p = read(spark, sf_dir, "pages").select("page_id", hosts.url_host(F.col("url")).alias("host"), (F.length("html") * 1000).alias("bytes_out"))
     d = p.where("page_id % 11 = 0").select(F.col("host").alias("domain")).unionByName(spark.createDataFrame([("example.net",)], "domain string"))
     rows = rules.malicious_hosts(p, F.col("host"), d, "domain")
-    return rows.select("page_id", "domain", rules.evaluate_flow(F.col("domain"), F.col("host"), F.col("bytes_out"))["rule_id"].alias("rule_id"))
+    d = rules.evaluate_flow(F.col("domain"), F.col("host"), F.col("bytes_out"))
+    return rows.select("page_id", "domain", d["rule_id"].alias("rule_id"), d["human_message"].alias("message"))
 
 
 RULES = [
@@ -339,8 +342,6 @@ def t8_luhn(spark, sf_dir):
  t AS (SELECT conv_id, turn, list_distinct(list_filter(list_transform(string_split_regex(text, '[^\\p{L}\\p{N}]+'), lambda x: lower(x)), lambda x: length(x) >= 2)) AS a, list_distinct(list_filter(list_transform(string_split_regex(next, '[^\\p{L}\\p{N}]+'), lambda x: lower(x)), lambda x: length(x) >= 2)) AS b FROM w WHERE next IS NOT NULL)
  SELECT conv_id, turn, CAST(len(a) AS INT) AS tree_tokens, CAST(len(b) AS INT) AS screen_tokens, CAST(len(list_intersect(a, b)) AS INT) AS shared, round(len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))), 9) AS jaccard FROM t WHERE len(a) >= 4 AND len(b) >= 4""")
 def t37_compare_views(spark, sf_dir):
-    from pyspark.sql.window import Window
-
     c = read(spark, sf_dir, "conversations").withColumn("next", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("next is not null")
     c = c.withColumn("c", text.compare_views(F.col("text"), F.col("next"))).where("c is not null")
     return c.select("conv_id", "turn", "c.tree_tokens", "c.screen_tokens", "c.shared", F.round("c.jaccard", 9).alias("jaccard"))
@@ -379,10 +380,10 @@ def f30_paths(spark, sf_dir):
     return p.select("page_id", paths.is_within(F.concat(F.lit("/"), first, F.lit("/en")), F.col("path")).alias("inside"), paths.infer_intent(F.lit("open"), F.array("path")).alias("intent"))
 
 
-@query("SELECT c_custkey, CASE WHEN contains(lower(c_mktsegment), 'auto') THEN 'seg' ELSE 'none' END AS kind, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'high' ELSE 'low' END AS tier, (('0x' || substr(sha256('r1:' || CAST(c_custkey AS VARCHAR)), 1, 8))::BIGINT % 10000) < 2500 AS selected FROM customer")
+@query("SELECT c_custkey, CASE WHEN contains(lower(c_mktsegment), 'auto') THEN 'seg' ELSE 'none' END AS kind, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'high' ELSE 'low' END AS tier, (('0x' || substr(sha256(encode('tidemark.rollout.v1') || '\\x00'::BLOB || encode('[\"stable\",\"s1\",\"device-' || CAST(c_custkey AS VARCHAR) || '\"]')), 1, 8))::BIGINT % 10000) < 2500 AS selected FROM customer")
 def m5_rollout_and_tiers(spark, sf_dir):
     c = read(spark, sf_dir, "customer")
-    return c.select("c_custkey", F.when(text.any_of(F.lower("c_mktsegment"), ["auto"]), "seg").otherwise("none").alias("kind"), fields.tier(F.col("c_mktsegment"), ["BUILDING", "MACHINERY"]).alias("tier"), fields.rollout_selected(F.col("c_custkey").cast("string"), "r1", 2500).alias("selected"))
+    return c.select("c_custkey", F.when(text.any_of(F.lower("c_mktsegment"), ["auto"]), "seg").otherwise("none").alias("kind"), fields.tier(F.col("c_mktsegment"), ["BUILDING", "MACHINERY"]).alias("tier"), fields.rollout_selected(F.concat(F.lit("device-"), F.col("c_custkey").cast("string")), "stable", "s1", 2500).alias("selected"))
 
 
 # ---- scores ----
@@ -473,13 +474,14 @@ def x31_revoked_subtree(spark, sf_dir):
 # ---- frames ----
 
 
-@query("""WITH b AS (SELECT vec_id, list_reduce(list_transform(range(1, 33), lambda i: CASE WHEN embedding[i] > 0 THEN 1 ELSE 0 END::BIGINT), lambda h, x: h * 2 + x) AS h FROM embeddings)
- SELECT a.vec_id, bit_count(xor(a.h, b.h))::INT AS distance FROM b a JOIN b ON b.vec_id = a.vec_id + 1""")
+@query("""WITH b AS (SELECT vec_id, label, list_transform(embedding, lambda x: x > 0) AS v FROM embeddings), r AS (SELECT label, arg_min(v, vec_id) AS v FROM b GROUP BY 1)
+ SELECT vec_id, b.label, list_sum(list_transform(range(1, 65), lambda i: (b.v[i] <> r.v[i])::INT))::INT AS distance, list_sum(list_transform(b.v, lambda x: x::INT)) NOT BETWEEN 8 AND 56 AS degenerate FROM b JOIN r ON b.label = r.label""")
 def v14_hash_distance(spark, sf_dir):
-    bits = F.transform(F.slice("embedding", 1, 32), lambda x: (x > 0).cast("long"))
-    e = read(spark, sf_dir, "embeddings").select("vec_id", F.aggregate(bits, F.lit(0).cast("long"), lambda h, x: F.shiftleft(h, 1).bitwiseOR(x)).alias("h"))
-    o = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("h").alias("o"))
-    return e.join(o, "vec_id").select("vec_id", frames.hash_distance(F.col("h"), F.col("o")).cast("int").alias("distance"))
+    """Sign bits of all 64 values of every vector against the first vector of its label."""
+    bits = F.transform("embedding", lambda x: (x > 0).cast("long"))
+    e = read(spark, sf_dir, "embeddings").select("vec_id", "label", F.aggregate(bits, F.lit(0).cast("long"), lambda h, x: F.shiftleft(h, 1).bitwiseOR(x)).alias("h"))
+    first = e.groupBy("label").agg(F.min_by("h", "vec_id").alias("o"))
+    return e.join(first, "label").select("vec_id", "label", frames.hash_distance(F.col("h"), F.col("o")).cast("int").alias("distance"), frames.degenerate_hash(F.col("h")).alias("degenerate"))
 
 
 BOX_SQL = "SELECT p_partkey AS id, p_brand AS k, (p_partkey * 37 % 4000)::DOUBLE AS x, (p_partkey * 91 % 4000)::DOUBLE AS y, p_size::DOUBLE * 4 AS w, p_size::DOUBLE * 3 AS h FROM part"
@@ -525,15 +527,24 @@ def t45_content_views(spark, sf_dir):
     return registry.content_views(d).select("id", "sha256", "bytes", "utf8_valid", "state")
 
 
-@query("""WITH e AS (SELECT event_id, event_type, epoch_us(ts) // 1000 AS ms FROM events), q AS (SELECT event_id AS request_id, ms AS enqueued_ms FROM e WHERE event_type = 'error'), r AS (SELECT event_id - 1 AS request_id, ms AS replied_ms, event_id % 2 = 0 AS approve FROM e WHERE event_type = 'click'),
- w AS (SELECT q.request_id, q.enqueued_ms, lead(q.enqueued_ms, 64) OVER (ORDER BY q.enqueued_ms, q.request_id) AS out_ms FROM q), j AS (SELECT w.*, r.replied_ms, r.approve, least(enqueued_ms + 3600000000, coalesce(out_ms, enqueued_ms + 3600000000)) AS until FROM w LEFT JOIN r USING (request_id))
- SELECT request_id, CASE WHEN replied_ms <= until THEN 'resolved' WHEN out_ms < enqueued_ms + 3600000000 THEN 'evicted' ELSE 'expired' END AS outcome, CASE WHEN replied_ms <= until THEN approve END AS approve FROM j
- UNION ALL SELECT request_id, 'stale', approve FROM r WHERE request_id NOT IN (SELECT request_id FROM q)""")
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, epoch_us(ts) // 1000 AS ms FROM events),
+ a AS (SELECT user_id, ms AS t, 0 AS side, event_id AS id, NULL::BOOLEAN AS yes FROM e WHERE event_type IN ('error', 'view') UNION ALL
+  SELECT user_id, ms, 1, asked, event_id % 2 = 0 FROM (SELECT *, last_value(CASE WHEN event_type IN ('error', 'view') THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS asked FROM e) WHERE event_type IN ('click', 'signup') AND asked IS NOT NULL),
+ o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, side, CAST(id AS VARCHAR)) AS i FROM a),
+ q AS (SELECT user_id, 0::BIGINT AS i, [{'id': 0::BIGINT, 't': 0::BIGINT}][2:] AS live, [{'id': 0::BIGINT, 'o': '', 'y': true}][2:] AS done FROM (SELECT DISTINCT user_id FROM o)
+  UNION ALL SELECT user_id, i, CASE WHEN side = 0 THEN list_append(CASE WHEN len(kept) >= 3 THEN kept[2:] ELSE kept END, {'id': id, 't': t}) ELSE list_filter(kept, lambda x: x.id <> id) END,
+   list_concat(list_transform(gone, lambda x: {'id': x.id, 'o': 'expired', 'y': NULL::BOOLEAN}), CASE WHEN side = 1 THEN [{'id': id, 'o': CASE WHEN len(list_filter(kept, lambda x: x.id = id)) > 0 THEN 'resolved' ELSE 'stale' END, 'y': yes}] WHEN len(kept) >= 3 THEN [{'id': kept[1].id, 'o': 'evicted', 'y': NULL::BOOLEAN}] ELSE [] END)
+   FROM (SELECT q.user_id, o.i, o.t, side, o.id, yes, list_filter(live, lambda x: o.t - x.t <= 86400000) AS kept, list_filter(live, lambda x: o.t - x.t > 86400000) AS gone FROM q JOIN o ON o.user_id = q.user_id AND o.i = q.i + 1)),
+ d AS (SELECT user_id, unnest(done) AS r FROM q UNION ALL SELECT user_id, unnest(list_transform(live, lambda x: {'id': x.id, 'o': 'expired', 'y': NULL::BOOLEAN})) FROM q QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1)
+ SELECT CAST(user_id AS VARCHAR) AS user_id, r.id AS request_id, r.o AS outcome, r.y AS approve FROM d""")
 def x11_confirm_queue(spark, sf_dir):
+    """Each user's errors and views wait for an answer, clicks and signups answer the last of them, in queues of three for a day."""
     e = read(spark, sf_dir, "events").withColumn("ms", F.unix_millis("ts"))
-    q = e.where("event_type = 'error'").select(F.col("event_id").alias("request_id"), F.col("ms").alias("enqueued_ms"))
-    r = e.where("event_type = 'click'").select((F.col("event_id") - 1).alias("request_id"), F.col("ms").alias("replied_ms"), (F.col("event_id") % 2 == 0).alias("approve"))
-    return sessions.confirm_queue(q, r, ttl_ms=3_600_000_000).select("request_id", "outcome", "approve")
+    asks = F.col("event_type").isin("error", "view")
+    last = F.last(F.when(asks, F.col("event_id")), ignorenulls=True).over(Window.partitionBy("user_id").orderBy("ms", "event_id").rowsBetween(Window.unboundedPreceding, -1))
+    q = e.where(asks).select("user_id", F.col("event_id").alias("request_id"), F.col("ms").alias("enqueued_ms"))
+    r = e.withColumn("asked", last).where(F.col("event_type").isin("click", "signup") & F.col("asked").isNotNull()).select("user_id", F.col("asked").alias("request_id"), F.col("ms").alias("replied_ms"), (F.col("event_id") % 2 == 0).alias("approve"))
+    return sessions.confirm_queue(q, r, ttl_ms=86_400_000, capacity=3, owner="user_id").select("user_id", "request_id", "outcome", "approve")
 
 
 @query("""SELECT event_id, coalesce(event_type IN ('purchase', 'signup') AND last_value(CASE WHEN event_type = 'error' THEN event_id % 2 = 0 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS guarded FROM events""")
@@ -553,7 +564,7 @@ def r40_prepare_versions(spark, sf_dir):
     return registry.prepare(e, drafts)[0].select("item_key", "version", "label")
 
 
-@query("""WITH s AS (SELECT 'n' || n_nationkey AS id, n_regionkey, n_name FROM nation), c AS (SELECT DISTINCT 'n' || (c_custkey % 30) AS ref, c_custkey FROM customer WHERE c_custkey <= 100)
+@query("""WITH s AS (SELECT 'n' || n_nationkey AS id, n_regionkey, n_name FROM nation), c AS (SELECT DISTINCT 'n' || (c_custkey % 30) AS ref, c_custkey FROM customer)
  SELECT 'c' || c_custkey AS id, ref, 'unknown_surface' AS problem FROM c WHERE ref NOT IN (SELECT id FROM s)""")
 def j3_dangling_references(spark, sf_dir):
     c = read(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.array(F.concat(F.lit("n"), (F.col("c_custkey") % 30).cast("string"))).alias("refs"))
@@ -567,9 +578,16 @@ def r26_diff_baseline(spark, sf_dir):
     return joins.diff_lines(p.where("page_id % 3 <> 0").select(F.col("url").alias("value")), p.where("page_id % 5 <> 0").select(F.col("url").alias("value")))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS session, event_id AS rowid_, event_type AS k, 'v' || (event_id % 5) AS v, event_id % 2 AS g, event_id % 3 AS c, ['v' || (event_id % 3), 'v' || (event_id % 4)] AS p, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+ f AS (SELECT session, 0::BIGINT AS rowid_, 0::BIGINT AS i, MAP {'': {'g': 0::BIGINT, 'c': 0::BIGINT}} AS m, NULL::BIGINT AS g, NULL::BIGINT AS c, NULL::VARCHAR AS verdict FROM (SELECT DISTINCT session FROM e)
+ UNION ALL SELECT session, rowid_, i, CASE WHEN new.g IS NULL THEN m ELSE map_concat(m, MAP {v: new}) END, coalesce(new.g, m[v].g), coalesce(new.c, m[v].c),
+  CASE WHEN k IN ('signup', 'view') THEN NULL WHEN m[v].g IS NULL THEN 'unknown' WHEN k <> 'error' AND m[v].g < 1 THEN 'no_write_down' WHEN k = 'error' AND m[v].c > 0 THEN 'confidentiality' ELSE 'allow' END
+ FROM (SELECT *, CASE WHEN own.g IS NULL THEN own ELSE {'g': least(own.g, coalesce(m[v].g, own.g)), 'c': greatest(own.c, coalesce(m[v].c, own.c))} END AS new FROM (SELECT e.*, m, CASE WHEN k = 'signup' THEN {'g': e.g, 'c': e.c}
+  WHEN k = 'view' THEN CASE WHEN m[p[1]].g IS NULL OR m[p[2]].g IS NULL THEN {'g': 0::BIGINT, 'c': 2::BIGINT} ELSE {'g': least(m[p[1]].g, m[p[2]].g), 'c': greatest(m[p[1]].c, m[p[2]].c)} END ELSE {'g': NULL::BIGINT, 'c': NULL::BIGINT} END AS own
+  FROM f JOIN e ON e.session = f.session AND e.i = f.i + 1)))
+ SELECT session, rowid_ AS rowid, g::INT AS integrity, c::INT AS confidentiality, verdict FROM f WHERE i > 0""")
 def x19_provenance(spark, sf_dir):
-    """Labels of values derived along each user's events; folded in order, so held against cases in tests."""
+    """Labels of values introduced, derived and sent along each user's events."""
     e = read(spark, sf_dir, "events")
     op = F.when(F.col("event_type") == "signup", "introduce").when(F.col("event_type") == "view", "derive").otherwise("flow")
     value = lambda k: F.concat(F.lit("v"), (F.col("event_id") % k).cast("string"))
@@ -577,10 +595,11 @@ def x19_provenance(spark, sf_dir):
         F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("rowid"), op.alias("op"), value(5).alias("value_id"), (F.col("event_id") % 2).cast("int").alias("integrity"), (F.col("event_id") % 3).cast("int").alias("confidentiality"),
         F.array(value(3), value(4)).alias("parents"), F.lit(None).cast("string").alias("item_key"), F.when(F.col("event_type") == "error", "network").otherwise("shell_arg").alias("sink_kind"), F.lit(True).alias("declared"), F.lit(None).cast("int").alias("clearance"), F.lit(None).cast("boolean").alias("approved"), F.lit(None).cast("string").alias("approved_by"),
     )
-    return taint.track(rows).groupBy("verdict", "integrity", "confidentiality").agg(F.count("*").alias("n"))
+    return taint.track(rows).select("session", "rowid", "integrity", "confidentiality", "verdict")
 
 
-@query()
+@query("""WITH seg AS (SELECT DISTINCT c_mktsegment AS label, lower(c_mktsegment) AS app_id FROM customer)
+ SELECT c_custkey AS id, app_id, CASE WHEN c_custkey % 2 = 0 THEN 'typo' ELSE 'exact' END AS match FROM customer JOIN seg ON label = c_mktsegment""")
 def j17_label_lookalikes(spark, sf_dir):
     """Customers' segments against their own names with a letter doubled; the typo keys of the registry are joined by equality."""
     seg = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("label"))
