@@ -16,7 +16,7 @@ def test_envelopes(spark, tmp_path):
     rows = envelopes.read(spark, str(tmp_path))
     good, bad = envelopes.convert(rows, "browser")
     got = {r["event_type"]: (r["source_app"], r["metadata"]) for r in good.collect()}
-    assert got["ui_text"] == ("Mail", {"ui_text": "hi"}) and got["form_fill"] == ("ext", {"profile_key": "email", "required": "false", "value_filled": "true"})
+    assert got["ui_tree_delta"] == ("Mail", {"ui_text": "hi"}) and got["form_fill"] == ("ext", {"field_id": "", "profile_key": "email", "required": "false", "value_filled": "true", "is_trap": "false"})
     assert [(r["position"], r["error"]) for r in bad.collect()] == [(2, "unknown event type: odd")]
     with pytest.raises(Exception, match="unknown event type"):
         envelopes.convert_strict(rows, "browser").collect()

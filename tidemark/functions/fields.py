@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.hosts import host_in_scope, url_host
 from tidemark.functions.text import any_of, bind
 
 #: Words of traps, and of profile keys in the order they are tried.
@@ -96,27 +97,64 @@ def event_data_key(metadata: Column) -> Column:
     return F.coalesce(blank(metadata["profile_key"]), blank(metadata["item_key"]), blank(behind))
 
 
-def check_scope(app: Column, key: Column, host: Column, apps: Column, keys: Column, hosts: Column, host_app: Column, in_scope) -> Column:
-    """'SCOPE-APP', 'SCOPE-DATA', 'SCOPE-HOST' or null: what lies outside a grant; null grants allow everything, the session's own app is exempt."""
-    return (
-        F.when(apps.isNotNull() & ~F.coalesce(app == host_app, F.lit(False)) & ~app_in_grant(app, apps), "SCOPE-APP")
-        .when(keys.isNotNull() & key.isNotNull() & ~key_in_grant(key, keys), "SCOPE-DATA")
-        .when(hosts.isNotNull() & host.isNotNull() & ~F.exists(hosts, lambda h: in_scope(host, h)), "SCOPE-HOST")
-    )
+#: Event types in which an app acts, so that its grant is asked.
+ACTING = ("screen_frame", "ui_tree_delta", "process_focus", "network_flow", "clipboard_change", "form_fill", "deeplink", "permission_request")
+
+
+def scope_app(event_type: Column, app: Column, grant: Column, host_app: Column) -> Column:
+    """'APP-NOT-IN-TASK' where an app acts outside a grant. No grant allows everything, and the session's own app is exempt."""
+    own = F.coalesce(F.lower(F.trim(app)) == F.lower(F.trim(host_app)), F.lit(False)) & (F.trim(host_app) != "")
+    return F.when(grant.isNotNull() & event_type.isin(*ACTING) & ~F.coalesce(own, F.lit(False)) & ~F.coalesce(app_in_grant(app, grant), F.lit(False)), "APP-NOT-IN-TASK")
+
+
+def scope_key(key: Column, grant: Column) -> Column:
+    """'SCOPE-DATA' for a key outside a data grant."""
+    return F.when(grant.isNotNull() & key.isNotNull() & ~key_in_grant(key, grant), "SCOPE-DATA")
+
+
+def scope_host(event_type: Column, metadata: Column, grant: Column) -> Column:
+    """'SCOPE-HOST' for a destination outside a host grant: the url of a network flow, the sink (or url) of a data flow to the network. One that can't be named is outside."""
+    said = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    network = (event_type == "data_flow") & (F.lower(F.trim(metadata["sink_kind"])) == "network")
+    to = F.when(event_type == "network_flow", said(metadata["url"])).when(network, said(F.coalesce(metadata["sink"], metadata["url"])))
+    inside = F.coalesce(F.exists(grant, lambda g: host_in_scope(url_host(to), g)), F.lit(False))
+    return F.when(grant.isNotNull() & to.isNotNull() & ~inside, "SCOPE-HOST")
+
+
+def canonical_digest(digest: Column) -> Column:
+    """A SHA-256 digest as 64 lower-case hex digits, colons and blanks dropped; null for anything else."""
+    d = F.lower(F.regexp_replace(digest, "[:\\s]", ""))
+    return F.when(d.rlike("^[0-9a-f]{64}$"), d)
 
 
-def identify(packages: Column, signers: Column, package: Column, signer: Column, label: Column, labels: Column) -> Column:
-    """Identity of an app against its registry row (null arrays: unregistered)."""
+def identify(name: Column, packages: Column, signers: Column, package: Column, attested: Column, presented: Column) -> Column:
+    """Identity of an app by its package and attested signers against its registry row (null packages: none has it); a verified one must present its own name or package."""
+    held = F.array_compact(F.transform(attested, canonical_digest))
+    known = F.array_compact(F.transform(signers, canonical_digest))
+    shown = F.lower(F.trim(presented))
+    other = (shown != "") & (F.lower(presented) != F.lower(name)) & (F.lower(presented) != F.lower(package))
     return (
-        F.when(packages.isNull(), "unregistered").when(signer.isNull(), "unattested").when(F.size(signers) == 0, "no_signer_on_record").when(~F.array_contains(signers, signer), "signer_mismatch")
-        .when(label.isNotNull() & ~F.exists(labels, lambda x: F.lower(x) == F.lower(label)), "name_mismatch").otherwise("verified")
+        F.when(packages.isNull() | ~F.coalesce(F.array_contains(packages, F.trim(package)), F.lit(False)), "unregistered").when(F.size(signers) == 0, "no_signer_on_record").when(F.coalesce(F.size(held), F.lit(0)) <= 0, "unattested")
+        .when(~F.arrays_overlap(held, known), "signer_mismatch").when(F.coalesce(other, F.lit(False)), "name_mismatch").otherwise("verified")
     )
 
 
-def decide_deeplink(uri: Column, prefixes: Column, verified: Column) -> Column:
-    """'DL-ALLOWLIST' for a listed prefix of a verified app, 'DL-UNVERIFIED' of another, 'DL-UNKNOWN' otherwise."""
-    listed = F.coalesce(F.exists(prefixes, lambda p: F.lower(uri).startswith(F.lower(p))), F.lit(False))
-    return F.when(~listed, "DL-UNKNOWN").when(verified, "DL-ALLOWLIST").otherwise("DL-UNVERIFIED")
+def deeplink_matches(uri: Column, prefix: Column) -> Column:
+    return F.lower(uri).startswith(F.lower(prefix))
+
+
+def decide_deeplink(uri: Column, prefixes: Column, verified: Column, require_attestation: bool = False) -> Column:
+    """Rule of a deep link from an app with some registered prefixes (null: the app isn't registered, empty: any link is its own).
+
+    'DL-ALLOWLIST' outside a registered app's prefixes, 'DL-UNVERIFIED' if it has to attest itself and hasn't, 'DL-UNKNOWN' for schemes of unregistered apps;
+    else 'ALLOW'. Web links need no registration.
+    """
+    web = F.lower(F.get(F.split(uri, "://", -1), F.lit(0))).isin("http", "https", "")
+    listed = (F.size(prefixes) == 0) | F.exists(prefixes, lambda p: deeplink_matches(uri, p))
+    against = F.when(listed, "ALLOW").otherwise("DL-ALLOWLIST")
+    free = F.when(web, "ALLOW")
+    unproven = free.otherwise("DL-UNVERIFIED") if require_attestation else against
+    return F.when(prefixes.isNull(), free.otherwise("DL-UNKNOWN")).when(F.coalesce(verified, F.lit(False)), against).otherwise(unproven)
 
 
 def json_text(value: Column) -> Column:
@@ -132,11 +170,17 @@ def rollout_selected(device: Column, stream: str, salt: str, basis_points: int,
 
 
 def license_state(expires_ms: Column, revoked: Column, now_ms: Column, grace_ms: int = 7 * 86_400_000) -> Column:
-    return F.when(revoked, "revoked").when(now_ms <= expires_ms, "valid").when(now_ms <= expires_ms + grace_ms, "grace").otherwise("expired")
+    return F.when(revoked, "revoked").when(now_ms <= expires_ms, "active").when(now_ms - expires_ms <= grace_ms, "in_grace").otherwise("expired")
+
+
+#: Tokens that everyone tries first, and the least length of one that guards something.
+KNOWN_TOKENS = ("dev-secret", "devsecret", "secret", "changeme", "change-me", "password", "token", "test", "testing", "admin", "letmein")
+MIN_TOKEN = 24
 
 
-def token_weakness(token: Column, known: Sequence[str] = ("changeme", "password", "token", "secret", "dev-token"), least: int = 24) -> Column:
-    return F.when(F.lower(token).isin(list(known)), "known").when(F.length(token) < least, "short")
+def token_weakness(token: Column, known: Sequence[str] = KNOWN_TOKENS, least: int = MIN_TOKEN) -> Column:
+    t = F.trim(token)
+    return F.when(F.lower(t).isin(list(known)), "well_known").when(F.length(t) < least, "too_short")
 
 
 def constrain_sensitivity(values: Column) -> Column:
@@ -145,7 +189,17 @@ def constrain_sensitivity(values: Column) -> Column:
     return F.get(order, F.array_max(F.transform(values, lambda v: F.coalesce(F.nullif(F.array_position(order, v), F.lit(0)), F.lit(4)).cast("int"))) - 1)
 
 
-def classify_send(recipients: Column, attachments: Column, text: Column) -> Column:
-    """'incomplete', 'attachment', 'recipients', 'size' or null: why a mail has to be looked at."""
-    ok = F.size(recipients).between(1, 100) & F.forall(recipients, lambda r: r.rlike("^[^@\\s]+@[^@\\s]+[.][A-Za-z]{2,24}$"))
-    return F.when(text.isNull(), "incomplete").when(attachments > 0, "attachment").when(~F.coalesce(ok, F.lit(False)), "recipients").when(F.length(text) > 65_536, "size")
+#: Limits of a mail, and the shape of an address.
+MAX_RECIPIENTS, MAX_RECIPIENT = 100, 512
+ADDRESS = "^[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+(?:[.][A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+)*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:[.][A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+$"
+
+
+def recipients_complete(recipients: Column) -> Column:
+    """Whether 1 to 100 recipients (structs role, value) are all to, cc or bcc with an address, alone or behind a name."""
+
+    def ok(r: Column) -> Column:
+        v = F.trim(r["value"])
+        named = F.regexp_extract(v, "^[^<>\\r\\n]+<([^<>]+)>$", 1)
+        return F.coalesce(r["role"].isin("to", "cc", "bcc") & (F.length(r["value"]) <= MAX_RECIPIENT) & F.when(named != "", named).otherwise(v).rlike(ADDRESS), F.lit(False))
+
+    return F.coalesce(F.size(recipients).between(1, MAX_RECIPIENTS) & F.forall(recipients, ok), F.lit(False))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import bind
+
 LARGE_UPLOAD = 5_000_000
 
 
@@ -44,26 +46,54 @@ def suffixes(host: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
 
 
+#: Scheme, user and password, host, port, path and query of a web address.
+WEB = r"^(?i:(https?))://(?:([^/?#@]*)@)?([^/?#:@]+)(?::([0-9]+))?(/[^?#]*)?(?:[?]([^#]*))?"
+
+
+def _web(url: Column) -> Column:
+    part = lambda i: F.regexp_extract(url, WEB, i)
+    port = F.when(((F.lower(part(1)) == "https") & (part(4) == "443")) | ((F.lower(part(1)) == "http") & (part(4) == "80")), F.lit("")).otherwise(part(4))
+    return F.struct(F.lower(part(1)).alias("scheme"), part(2).alias("user"), F.lower(part(3)).alias("host"), port.alias("port"), F.when(part(5) != "", part(5)).otherwise(F.lit("/")).alias("path"), part(6).alias("query"))
+
+
 def minimize_url(url: Column) -> Column:
-    """Query and fragment dropped, token-like path parts elided, the path cut to 120 characters."""
-    bare = F.regexp_replace(url, "[?#].*$", "")
-    origin, path = F.regexp_extract(bare, "^([a-z][a-z0-9+.\\-]*://[^/]*)", 1), F.regexp_replace(bare, "^[a-z][a-z0-9+.\\-]*://[^/]*", "")
-    token = lambda p: (F.length(p) >= 16) & p.rlike("^[A-Za-z0-9_\\-]+$") & p.rlike("[0-9]")
-    return F.concat(origin, F.substring(F.array_join(F.transform(F.split(path, "/", -1), lambda p: F.when(token(p), F.lit("…")).otherwise(p)), "/"), 1, 120))
+    """Scheme, host and path of a web address: user, query and fragment dropped, token-like path parts elided, the path cut to 120 characters. Empty for anything else."""
+
+    def of(u: Column) -> Column:
+        token = lambda p: (F.length(p) >= 16) & (p.rlike("^[0-9a-fA-F]{16,}$") | p.rlike("^[A-Za-z0-9_-]{20,}$"))
+        path = F.array_join(F.transform(F.split(u["path"], "/", -1), lambda p: F.when(token(p), F.lit("…")).otherwise(p)), "/")
+        cut = F.when(F.length(path) > 120, F.concat(F.substring(path, 1, 120), F.lit("…"))).otherwise(path)
+        return F.when(u["scheme"] == "", "").otherwise(F.concat(u["scheme"], F.lit("://"), u["host"], F.when(u["port"] != "", F.concat(F.lit(":"), u["port"])).otherwise(F.lit("")), cut))
+
+    return F.coalesce(bind(_web(url), of), F.lit(""))
 
 
 def mail_provider(url: Column) -> Column:
-    """'gmail' or 'outlook' for an https mail page without user and port, else null."""
-    m = F.regexp_extract(F.lower(url), "^https://([^/@:?#]+)/mail(?:[/?#]|$)", 1)
-    return F.when(m == "mail.google.com", "gmail").when(m.isin("outlook.live.com", "outlook.office.com", "outlook.office365.com"), "outlook")
+    """'gmail' or 'outlook' for an https mail page without user and port, else empty."""
+    ok = lambda u: (u["scheme"] == "https") & (u["user"] == "") & (u["port"] == "") & u["path"].rlike("^/mail(?:/|$)")
+    name = lambda u: F.when(u["host"] == "mail.google.com", "gmail").when(u["host"].isin("outlook.live.com", "outlook.office.com", "outlook.office365.com"), "outlook").otherwise("")
+    return F.coalesce(bind(_web(url), lambda u: F.when(ok(u), name(u)).otherwise("")), F.lit(""))
 
 
 def classify_link(url: Column, label: Column) -> Column:
-    """'not_https', 'userinfo', 'label_mismatch' or null for a link behind at most three redirect wrappers."""
-    target = url
-    for _ in range(3):
-        inner = F.coalesce(F.url_decode(F.regexp_extract(target, "[?&](?:url|q|u|target)=(https?%3[Aa][^&#]+|https?://[^&#]+)", 1)), F.lit(""))
-        target = F.when(inner != "", inner).otherwise(target)
-    shown = F.lower(F.regexp_extract(label, "(?i)\\b((?:[a-z0-9\\-]+\\.)+[a-z]{2,24})\\b", 1))
-    host = F.lower(F.coalesce(bare_host(target), F.lit("")))
-    return F.when(~F.lower(target).startswith("https://"), "not_https").when(target.rlike("^https://[^/?#]*@"), "userinfo").when((shown != "") & (shown != host) & ~host.endswith(F.concat(F.lit("."), shown)), "label_mismatch")
+    """'mail_link' for a link that isn't plain https to the host that its label shows, behind two redirect wrappers at most; else empty. A mailto link only opens an editor."""
+
+    def inner(u: Column) -> Column:
+        """What a redirect wrapper leads to; null for other addresses, empty for a wrapper that leads nowhere."""
+        name = F.when(u["host"].endswith(".safelinks.protection.outlook.com"), "url").when((u["host"] == "www.google.com") & (u["path"] == "/url"), "q")
+        value = lambda n: F.url_decode(F.regexp_extract(u["query"], rf"(?:^|&){n}=([^&]*)", 1))
+        return F.when(name == "url", value("url")).when(name == "q", value("q"))
+
+    def final(step: Column) -> Column:
+        shown = F.trim(F.coalesce(label, F.lit("")))
+        other = lambda u: shown.rlike(r"^(?i:https?)://\S+$") & (_web(shown)["host"] != u["host"])
+        return bind(_web(step["target"]), lambda u: F.when(step["bad"] | (u["scheme"] != "https") | (u["user"] != "") | other(u), "mail_link").otherwise(""))
+
+    def follow(step: Column, i: int) -> Column:
+        """The step behind wrapper i, if there is one; a third one is one too many."""
+        lost = lambda to: to.isNotNull() & ((to == "") | (F.length(to) > 4096) | F.lit(i == 2))
+        after = lambda to: F.struct(F.when(to != "", to).otherwise(step["target"]).alias("target"), (step["bad"] | lost(to)).alias("bad"))
+        return bind(bind(bind(_web(step["target"]), inner), after), lambda s: follow(s, i + 1) if i < 2 else final(s))
+
+    first = bind(F.struct(url.alias("target"), (F.length(url) > 4096).alias("bad")), lambda s: follow(s, 0))
+    return F.when(url.isNull(), "mail_link").when(F.lower(url).startswith("mailto:"), "").otherwise(first)

@@ -234,8 +234,8 @@ def typo_variants(folded: Column) -> Column:
 
 
 def is_newer_version(new: Column, old: Column) -> Column:
-    """Whether a version of dotted numbers is greater, missing components being 0."""
-    parts = lambda v: F.transform(F.split(F.regexp_replace(v, "^[vV]", ""), "[.]"), lambda p: F.when(p.rlike("^[0-9]{1,18}$"), p).otherwise(F.lit("0")).cast("long"))
+    """Whether a version is greater by its numbers between dots, dashes and underscores; parts that aren't numbers don't count, missing ones are 0."""
+    parts = lambda v: F.transform(F.filter(F.split(v, "[._-]", -1), lambda p: p.rlike("^[0-9]{1,18}$")), lambda p: p.cast("long"))
     pad = lambda a, b: F.concat(a, F.array_repeat(F.lit(0).cast("long"), F.greatest(F.size(b) - F.size(a), F.lit(0))))
     return bind(F.struct(parts(new).alias("a"), parts(old).alias("b")), lambda s: pad(s["a"], s["b"]) > pad(s["b"], s["a"]))
 

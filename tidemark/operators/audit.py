@@ -81,10 +81,28 @@ def head(rows: DataFrame, key: str = "log_id", order: str = "rowid") -> DataFram
 
 
 def check_against(current: DataFrame, witness: DataFrame, key: str = "log_id") -> DataFrame:
-    """A log's head against one seen earlier: 'ok', 'rolled_back', 'forked' or 'missing'."""
+    """State of each log of which a head was seen earlier, the first that applies: 'missing', 'rolled_back', 'forked', and where both have receipt_count and
+    receipt_hash 'receipts_deleted' and 'receipt_replaced'; else 'ok'."""
     c, w = current.alias("c"), witness.alias("w")
-    state = F.when(F.col("c.position").isNull(), "missing").when((F.col("c.position") < F.col("w.position")) | (F.col("c.count") < F.col("w.count")), "rolled_back").when((F.col("c.position") == F.col("w.position")) & (F.col("c.record_hash") != F.col("w.record_hash")), "forked").otherwise("ok")
-    return w.join(c, F.col(f"w.{key}") == F.col(f"c.{key}"), "left").select(F.col(f"w.{key}").alias(key), state.alias("state"))
+    at = lambda n: (F.col(f"c.{n}"), F.col(f"w.{n}"))
+    (cp, wp), (cn, wn), (ch, wh) = at("position"), at("count"), at("record_hash")
+    state = F.when(cp.isNull(), "missing").when((cp < wp) | (cn < wn), "rolled_back").when((cp == wp) & (cn == wn) & (ch != wh), "forked")
+    if "receipt_count" in current.columns and "receipt_count" in witness.columns:
+        (cr, wr), (cx, wx) = at("receipt_count"), at("receipt_hash")
+        state = state.when(cr < wr, "receipts_deleted").when((cr == wr) & (wx != "") & (cx != wx), "receipt_replaced")
+    return w.join(c, F.col(f"w.{key}") == F.col(f"c.{key}"), "left").select(F.col(f"w.{key}").alias(key), state.otherwise("ok").alias("state"))
+
+
+def check_inclusion(rows: DataFrame, witness: DataFrame, key: str = "log_id") -> DataFrame:
+    """witness (log_id, record_hash) with included: its hash is still some row's on the chain. An empty hash always is."""
+    held = rows.select(key, F.col("record_hash")).distinct().withColumn("__there", F.lit(True))
+    return witness.join(held, [key, "record_hash"], "left").withColumn("included", F.col("__there").isNotNull() | (F.col("record_hash") == "")).drop("__there")
+
+
+def signing_message(domain: str, *fields: Column) -> Column:
+    """The bytes that a signature is over: the domain and each field with its length before it, so no field can reach into the next one."""
+    framed = [F.concat(F.octet_length(f.cast("string")).cast("string"), F.lit(":"), f.cast("string")) for f in (F.lit(domain), *fields)]
+    return F.encode(F.concat(*framed), "UTF-8")
 
 
 def recent(rows: DataFrame, n: int, order: str = "rowid") -> DataFrame:

@@ -2,35 +2,66 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.entities import SECRETS, luhn
-from tidemark.functions.text import matching_views
+from tidemark.functions.entities import luhn
+from tidemark.functions.fields import recipients_complete
+from tidemark.functions.text import bind
 from tidemark.operators.scale import in_order, ranked, text_key
 
-#: Findings that stop a page, injection wording in mails, and sizes.
+#: Findings that stop a page, what mails are searched for, and sizes.
 BLOCKING = ("invisible_text", "prompt_injection", "breakout", "trap_fill", "deeplink_hijack")
-INJECTION = ("ignore previous instructions", "ignore all previous", "system override", "disregard the above")
+INJECTION = (
+    r"(?i)ignore\s+(?:(?:all|any|the)\s+)?(?:previous|prior)\s+instructions|system\s+override|忽略(?:之前|先前|以上|所有)的?(?:指令|指示)|無視(?:先前|之前)的?指示|"
+    r"\[AG_(?:INVISIBLE_TEXT|TRANSPARENT_OVERLAY)\]"
+)
+SECRET = (
+    r"(?i)-----BEGIN (?:[A-Z ]+ )?PRIVATE KEY-----|\b(?:sk-[A-Za-z0-9_-]{20,}|gh[pousr]_[A-Za-z0-9]{20,}|AKIA[A-Z0-9]{16})\b|\b(?:password|passwd|api[_ -]?key|access[_ -]?token)\s*[:=]\s*\S{4,}|"
+    r"(?:密码|密碼|口令)\s*[:：=]\s*\S{4,}"
+)
+DROPPED = "[\\x{AD}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{206F}\\x{FEFF}\\x{E0000}-\\x{E001F}\\x{E007F}]"
 MAX_TEXT, MAX_FINGERPRINTS, TEXT_PART, TITLE = 65_536, 500, 80, 120
 
 
+@F.pandas_udf("string")
+def nfkc(texts: pd.Series) -> pd.Series:
+    """Compatibility composition, which has no built-in expression; ASCII is the same in it."""
+    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+
+
 def inspection_text(value: Column) -> Column:
-    """What mail checks read: the matching views in one text."""
-    return F.array_join(matching_views(value), " ")
+    """What mail checks read: compatibility characters composed, tag characters decoded, invisible ones dropped."""
+    tags, shown = "".join(chr(0xE0000 + x) for x in range(0x20, 0x7F)), "".join(map(chr, range(0x20, 0x7F)))
+    return F.regexp_replace(F.translate(nfkc(value), tags, shown), DROPPED, "")
+
+
+def mail_card(value: Column) -> Column:
+    """Whether a run of digits, blanks and dashes is a card number by its checksum, and not one digit repeated."""
+    digits = F.regexp_replace(value, "[ -]", "")
+    return digits.rlike("^[0-9]{13,19}$") & ~digits.rlike("^(.)\\1+$") & luhn(digits)
 
 
 def inspect_text(value: Column) -> Column:
-    """'uninspectable', 'mail_injection', 'mail_sensitive' or null."""
-    shown = inspection_text(value)
-    low = F.lower(shown)
-    injected = F.lit(False)
-    for p in INJECTION:
-        injected = injected | low.contains(p)
-    secret = shown.rlike("|".join(f"(?<![A-Za-z0-9_\\-]){p}[A-Za-z0-9_]{{{n}}}" for p, n in SECRETS))
-    digits = F.transform(F.regexp_extract_all(shown, F.lit("(?<![0-9])[0-9](?:[ \\-]?[0-9]){12,18}(?![0-9])"), F.lit(0)), lambda d: F.regexp_replace(d, "[ \\-]", ""))
-    card = F.exists(digits, lambda d: luhn(d) & ~d.rlike("^(.)\\1*$"))
-    return F.when(F.length(value) > MAX_TEXT, "uninspectable").when(injected, "mail_injection").when(secret | card, "mail_sensitive")
+    """Kinds found in a mail's text: mail_uninspectable alone for null and over-long ones, else mail_injection and mail_sensitive."""
+
+    def of(t: Column) -> Column:
+        cards = F.exists(F.regexp_extract_all(t, F.lit("(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"), F.lit(0)), mail_card)
+        return F.array_compact(F.array(F.when(t.rlike(INJECTION), F.lit("mail_injection")), F.when(t.rlike(SECRET) | cards, F.lit("mail_sensitive"))))
+
+    return F.when(value.isNull() | (F.length(value) > MAX_TEXT), F.array(F.lit("mail_uninspectable"))).otherwise(bind(inspection_text(value), of))
+
+
+def classify_send(complete: Column, attachments: Column, other_parts: Column, recipients: Column, subject: Column, body: Column) -> Column:
+    """Why a mail has to be looked at, the first that applies: mail_uninspectable, mail_attachment, mail_recipients, or what its text holds; else empty."""
+    too_long = subject.isNull() | body.isNull() | (F.length(subject) + F.length(body) > MAX_TEXT)
+    return (
+        F.when(~F.coalesce(complete, F.lit(False)), "mail_uninspectable").when((attachments > 0) | F.coalesce(other_parts, F.lit(False)), "mail_attachment").when(~recipients_complete(recipients), "mail_recipients")
+        .when(too_long, "mail_uninspectable").otherwise(F.coalesce(F.get(inspect_text(F.concat(subject, F.lit("\n"), body)), F.lit(0)), F.lit("")))
+    )
 
 
 def gate(findings: Column) -> Column:
@@ -86,7 +117,13 @@ def findings_to_events(pages: DataFrame) -> DataFrame:
     return f.select(F.concat_ws("-", "page_id", "i").alias("event_id"), F.lit("browser").alias("platform"), F.when(fill, "form_fill").otherwise("ui_text").alias("event_type"), F.col("app").alias("source_app"), meta.alias("metadata"))
 
 
+#: What this engine's messages put before a host.
+BAD_DOMAIN, OUTSIDE = "Malicious domain blocked: ", "destination '"
+
+
 def host_of_decision(rule_id: Column, message: Column) -> Column:
-    """The host that a decision about a domain or scope names; null for other rules."""
-    named = F.regexp_extract(message, "((?:[A-Za-z0-9\\-]+[.])+[A-Za-z]{2,24})", 1)
-    return F.when(rule_id.isin("INTEL-DOMAIN", "SCOPE-HOST") & (named != ""), F.lower(named))
+    """Struct (host, kind) that a decision about a malicious domain or a destination out of scope names; null for others and for hosts that can't be named."""
+    bad = F.when(message.startswith(BAD_DOMAIN), F.regexp_extract(F.substring(message, len(BAD_DOMAIN) + 1, 1 << 20), "^\\s*(\\S+)", 1))
+    outside = F.when(message.startswith(OUTSIDE), F.trim(F.get(F.split(F.substring(message, len(OUTSIDE) + 1, 1 << 20), "'", -1), F.lit(0))))
+    made = lambda h, k: F.when((h != "") & (h != "<unnameable>"), F.struct(h.alias("host"), F.lit(k).alias("kind")))
+    return F.when(rule_id == "INTEL-DOMAIN", made(bad, "malicious")).when(rule_id == "SCOPE-HOST", made(outside, "out_of_scope"))

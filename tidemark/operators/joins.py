@@ -153,16 +153,25 @@ def diff_lines(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def narrow(ceiling: Column, requested: Column, match) -> tuple[Column, Column]:
-    """(granted, refused) of two arrays: null asks for or allows everything, empty nothing; match(ceiling entry, requested entry)."""
-    ok = lambda r: F.exists(ceiling, lambda c: match(c, r))
-    both = ceiling.isNotNull() & requested.isNotNull()
-    return F.when(both, F.filter(requested, ok)).otherwise(F.coalesce(requested, ceiling)), F.when(both, F.filter(requested, lambda r: ~ok(r))).otherwise(F.array().cast("array<string>"))
+    """(granted, refused) of a request under a ceiling, both arrays; match(requested entry, ceiling entry).
+
+    Without a ceiling (null) nothing is constrained and the request doesn't matter; without a request the ceiling is granted; an empty request gets nothing.
+    """
+    granted = F.filter(ceiling, lambda c: F.exists(requested, lambda r: match(r, c)))
+    refused = F.filter(requested, lambda r: ~F.exists(ceiling, lambda c: match(r, c)))
+    none = F.array().cast("array<string>")
+    return F.when(ceiling.isNotNull(), dedupe(F.when(requested.isNull(), ceiling).otherwise(granted))), F.when(ceiling.isNotNull() & requested.isNotNull(), dedupe(refused)).otherwise(none)
 
 
 def dedupe(values: Column) -> Column:
     """Values without later ones that equal an earlier one but for case and outer white space; blank ones go."""
-    rows = F.filter(F.transform(values, lambda x: F.trim(x)), lambda v: v != "")
-    return F.filter(rows, lambda v, i: ~F.exists(F.slice(rows, F.lit(1), i), lambda u: F.lower(u) == F.lower(v)))
+    rows = F.filter(values, lambda v: F.trim(v) != "")
+    return F.filter(rows, lambda v, i: ~F.exists(F.slice(rows, F.lit(1), i), lambda u: F.lower(F.trim(u)) == F.lower(F.trim(v))))
+
+
+def intersect_permissions(a: Column, b: Column) -> Column:
+    """What two lists of permissions have in common, in the order of the first. Null stands for everything, empty for nothing."""
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.filter(a, lambda x: F.array_contains(b, x)))
 
 
 #: Probes of a suite, which is configuration, at most.

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.hosts import LARGE_UPLOAD, bare_host, suffixes
 from tidemark.functions.text import bind, matching_views
-from tidemark.schemas import DECISION, SEVERITIES, action_rank, severity_rank, step_gravity
+from tidemark.schemas import DECISION, LOW_KEYS, SEVERITIES, action_rank, severity_rank, step_gravity
 
 FLOW_KINDS = {"network": "network_egress", "shell_arg": "run_shell", "critical_action": "confirm_payment", "memory": "persist_memory"}
 EVENT_KINDS = {
@@ -120,15 +120,20 @@ def constrain_with_package(primary: Column, extra: Column) -> Column:
     return F.when((extra["action"] == "allow") & ~extra["require_confirm"], primary).otherwise(made)
 
 
-def device_policy(d: Column, agent: Column, allowed_agents: Sequence[str] | None = None, promote_domains: bool = False, confirm_critical: bool = False) -> Column:
-    """A device's policy over a decision: agents that aren't allowed are blocked, domain alerts promoted, critical decisions confirmed."""
+def device_policy(d: Column, agent: Column, allowed_agents: Sequence[str] = (), block_domains: bool = False, confirm_critical: bool = False, policy: str = "policy") -> Column:
+    """A device's policy over a decision, which can only tighten it: agents that aren't listed (if any are) are blocked, malicious domains too, and critical
+    decisions that aren't plain permissions need a confirmation. Without a session (null agent) the list says nothing."""
     out = d
-    if promote_domains:
-        out = F.when((out["rule_id"] == "INTEL-DOMAIN") & (out["action"] == "alert"), decision("block", out["severity"], out["rule_id"], out["human_message"], True)).otherwise(out)
+    if block_domains:
+        hit = (out["rule_id"] == "INTEL-DOMAIN") & out["action"].isin("alert", "log_only")
+        out = F.when(hit, decision("block", out["severity"], out["rule_id"], F.concat(out["human_message"], F.lit(" [policy: block_malicious_domains]")), out["require_confirm"])).otherwise(out)
     if confirm_critical:
-        out = F.when((out["severity"] == "critical") & (out["action"] != "allow"), decision(out["action"], out["severity"], out["rule_id"], out["human_message"], True)).otherwise(out)
-    if allowed_agents is not None:
-        out = F.when(~agent.isin(list(allowed_agents)), decision("block", "high", "DEVICE-AGENT", "agent is not allowed on this device", True)).otherwise(out)
+        hit = (out["severity"] == "critical") & (out["action"] != "allow") & ~out["require_confirm"]
+        out = F.when(hit, decision(out["action"], out["severity"], out["rule_id"], F.concat(out["human_message"], F.lit(" [policy: require_confirm_critical]")), True)).otherwise(out)
+    if allowed_agents:
+        listed = F.lower(F.trim(agent)).isin([a.lower() for a in allowed_agents])
+        said = F.concat(F.lit("agent '"), agent, F.lit(f"' is not in device policy {policy} allowed_agents [{', '.join(allowed_agents)}]"))
+        out = F.when(agent.isNotNull() & ~listed, decision("block", "high", "POLICY-AGENT-NOT-ALLOWED", said)).otherwise(out)
     return out
 
 
@@ -138,8 +143,8 @@ def worst_severity(findings: Column) -> Column:
     return F.get(F.array(*map(F.lit, SEVERITIES)), top)
 
 
-def step_kind(event_type: Column, metadata: Column, rules: Sequence[dict], high_keys: Sequence[str]) -> Column:
-    """The kind of step an event is: the gravest kind that a rule's text declares, else by event type. Unknown keys count as high."""
+def step_kind(event_type: Column, metadata: Column, rules: Sequence[dict], high_keys: Sequence[str], low_keys: Sequence[str] = LOW_KEYS) -> Column:
+    """The kind of step an event is: the gravest kind that a rule's text declares, of equals the last, else by event type. Unknown keys count as high."""
     declared = F.lit(None).cast("struct<gravity:int,position:int,kind:string>")
     text = metadata["ui_text"]
     kinds = []
@@ -149,7 +154,7 @@ def step_kind(event_type: Column, metadata: Column, rules: Sequence[dict], high_
             kinds.append(F.when(text.isNotNull() & ok, F.struct(step_gravity(F.lit(r["step_kind"])).alias("gravity"), F.lit(i).alias("position"), F.lit(r["step_kind"]).alias("kind"))))
     if kinds:
         declared = F.array_max(F.array_compact(F.array(*kinds)))
-    known = ["name", "food_preference", "language"]
+    known = list(low_keys)
     fill = F.when(F.coalesce(metadata["value_filled"], F.lit("")) != "true", "observe").when(metadata["profile_key"].isin(known) & ~metadata["profile_key"].isin(list(high_keys)), "disclose_low").otherwise("disclose_high")
     flow = F.lit("observe")
     for k, v in FLOW_KINDS.items():
@@ -196,7 +201,7 @@ def decide(events: DataFrame, rules: Sequence[dict], domains: DataFrame, injecti
     threat = contains_any(text, injections) | contains_any(text, deeplinks, False)
     key = F.coalesce(m["item_key"], F.lit("unknown"))
     own = (
-        F.when(e == "window_focus", decision("log_only", "info", "APP-FOCUS", F.concat(F.lit("Foreground app: "), F.col("source_app"))))
+        F.when(e == "process_focus", decision("log_only", "info", "APP-FOCUS", F.concat(F.lit("Foreground app: "), F.col("source_app"))))
         .when(e == "permission_request", F.when(key.isin(list(high_keys)), from_mode("require_confirm", "PRIV-OP", F.concat(F.lit("Agent requested HIGH-tier profile key '"), key, F.lit("'")), "high")).otherwise(decision(*ALLOW)))
         .when(e == "memory_write", decision("block", "medium", "PRIV-004", "Agent attempting to persist user preference/memory", True))
         .when(e == "user_query", decision("allow", "info", "USER-QUERY", "Agent asked the user instead of guessing"))
@@ -206,7 +211,7 @@ def decide(events: DataFrame, rules: Sequence[dict], domains: DataFrame, injecti
         F.when(e == "agent_session_start", decision("log_only", "info", "SESSION-START", "Agent session started")),
         F.when(e == "agent_session_end", decision("log_only", "info", "SESSION-END", "Agent session ended")),
         F.when(F.coalesce(threat, F.lit(False)), F.coalesce(ruled, decision("block", "high", "INTEL-INJECT", "Threat intel matched injection/deeplink pattern", True))),
-        F.when(F.col("malicious_domain").isNotNull(), decision("block", "critical", "INTEL-DOMAIN", F.concat(F.lit("malicious domain: "), host), True)),
+        F.when(F.col("malicious_domain").isNotNull(), decision("block", "critical", "INTEL-DOMAIN", F.concat(F.lit("Malicious domain blocked: "), host), True)),
         ruled,
         own,
     )

@@ -115,9 +115,28 @@ def merged_risks(surveys: DataFrame, session: str = "session", order: str = "row
     return out.withColumns({c: F.col(f"__{c}") for c in lists}).drop(*[f"__{c}" for c in lists])
 
 
-def protection_state(enabled: Column, paused: Column, session_open: Column, heartbeat_age_ms: Column, ttl_ms: int = 10_000) -> Column:
-    """'off', 'paused', 'idle', 'stalled' or 'active', the first that applies."""
-    return F.when(~enabled, "off").when(paused, "paused").when(~session_open, "idle").when(heartbeat_age_ms.isNull() | (heartbeat_age_ms > ttl_ms), "stalled").otherwise("active")
+def protection_state(i: Column, ttl_ms: int = 10_000, grace_ms: int = 5_000) -> Column:
+    """Struct (state, reasons) of a protection's inputs: session_active, pending_confirm, paused, permission_missing, capability_missing, observers_available,
+    observers_running, observer_error, last_heartbeat_ms, started_ms, now_ms, audit_enabled, audit_error.
+
+    'stopped', 'confirmation_pending', 'paused' and 'permission_required' come first, in this order; then anything that doesn't work makes it 'degraded', with all reasons; an
+    observer that has just started is 'starting', and the rest 'active'.
+    """
+    made = lambda state, *reasons: F.struct(F.lit(state).alias("state"), F.array(*map(F.lit, reasons)).cast("array<string>").alias("reasons"))
+    beat = i["last_heartbeat_ms"]
+    fresh = F.coalesce(i["now_ms"] - i["started_ms"] <= grace_ms, F.lit(False)) & (i["observers_running"] > 0)
+    broken = F.array_compact(
+        F.array(
+            F.when(i["capability_missing"], F.lit("required_capability_unavailable")), F.when(i["observers_running"] == 0, F.lit("observer_not_running")), F.when(i["observer_error"].isNotNull(), F.lit("observer_error")),
+            F.when(i["now_ms"] - beat > ttl_ms, F.lit("heartbeat_stale")), F.when(beat.isNull() & ~fresh, F.lit("heartbeat_never")), F.when(~i["audit_enabled"], F.lit("audit_disabled")).when(i["audit_error"].isNotNull(), F.lit("audit_unwritable")),
+        )
+    )
+    missing = F.array_compact(F.array(F.lit("required_observation_permission"), F.when(i["capability_missing"], F.lit("required_capability_unavailable"))))
+    return (
+        F.when(~i["session_active"], made("stopped", "no_session")).when(i["pending_confirm"], made("confirmation_pending", "confirm_pending")).when(i["paused"], made("paused", "engine_paused"))
+        .when(i["permission_missing"], F.struct(F.lit("permission_required").alias("state"), missing.alias("reasons"))).when((i["observers_available"] == 0) & ~i["capability_missing"], made("permission_required", "no_observer_available"))
+        .when(F.size(broken) > 0, F.struct(F.lit("degraded").alias("state"), broken.alias("reasons"))).when(beat.isNull(), made("starting")).otherwise(made("active"))
+    )
 
 
 class _Queue:

@@ -113,7 +113,7 @@ def track(events: DataFrame) -> DataFrame:
 
 def untrusted(events: DataFrame, verified_high: Column) -> DataFrame:
     """Introduce rows for values seen on screens, networks and clipboards: tainted, and high where the text holds a verified entity."""
-    seen = F.col("event_type").isin("ui_text", "network_meta", "clipboard")
+    seen = F.col("event_type").isin("ui_tree_delta", "screen_frame", "network_flow", "clipboard_change")
     rows = events.where(seen & F.col("metadata")["value_id"].isNotNull())
     return rows.select("session", "rowid", F.lit("introduce").alias("op"), F.col("metadata")["value_id"].alias("value_id"), F.lit(TAINTED).alias("integrity"), F.when(verified_high, HIGH).otherwise(PUBLIC).alias("confidentiality"))
 

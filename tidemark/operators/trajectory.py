@@ -108,6 +108,6 @@ def drift_score(judged: DataFrame, session: str = "session", kind: str = "kind",
 
 def transitions(events: DataFrame, session: str = "session", order: str = "rowid", app: str = "source_app", focus: Column | None = None) -> DataFrame:
     """events with transition: the acting app differs from the one focused last before it."""
-    focused = F.col("event_type") == "window_focus" if focus is None else focus
+    focused = F.col("event_type") == "process_focus" if focus is None else focus
     last = F.last(F.when(focused, F.col(app)), ignorenulls=True).over(Window.partitionBy(session).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
     return events.withColumn("focused_app", last).withColumn("transition", F.coalesce((~focused) & (F.col(app) != F.col("focused_app")), F.lit(False)))

@@ -8,10 +8,11 @@ from pyspark.sql import types as T
 
 #: Event types, severities and actions in ascending order, step kinds with their gravity.
 EVENT_TYPES = (
-    "ui_text", "form_fill", "overlay_marker", "deeplink", "permission_request", "network_meta", "network_flow", "process_exec",
-    "memory_write", "memory_read", "agent_session_start", "agent_session_end", "environment_survey", "ui_tree_delta", "user_query",
-    "clipboard", "data_derive", "data_flow", "screenshot", "window_focus",
+    "screen_frame", "ui_tree_delta", "process_focus", "network_flow", "clipboard_change", "agent_session_start", "agent_session_end", "form_fill", "deeplink", "permission_request",
+    "memory_write", "memory_read", "environment_survey", "data_derive", "file_write", "file_delete", "process_exec", "data_flow", "declassify", "user_query",
 )
+LOW_KEYS = ("name", "food_preference", "language")
+HIGH_KEYS = ("phone_number", "email", "id_number", "home_address", "payment_info", "date_of_birth", "passport_number")
 SEVERITIES = ("info", "low", "medium", "high", "critical")
 ACTIONS = ("allow", "log_only", "alert", "block")
 STEP_GRAVITY = {"transfer_funds": 6, "confirm_payment": 5, "run_shell": 4, "network_egress": 3, "disclose_high": 2, "persist_memory": 1}

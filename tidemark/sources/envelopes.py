@@ -9,15 +9,19 @@ from tidemark.functions.fields import classify_field
 
 ITEM = (
     "struct<type:string,app:string,text:string,field_id:string,profile_key:string,required:boolean,value_filled:boolean,is_trap:boolean,probe_type:string,url:string,"
-    "session_id:string,package:string,marker:string,uri:string,item_key:string,necessity:string,granted:boolean,dest_host:string,bytes:bigint,"
-    "broadcast_input_receivers:array<string>,foreign_a11y_services:array<string>,text_capturing_services:array<string>,scan_errors:array<string>>"
+    "session_id:string,package:string,marker:string,uri:string,item_key:string,necessity:string,granted:boolean,bytes:bigint,hint:string,"
+    "signer_sha256:string,attest_error:string,app_label:string,icon_dhash:string,face_error:string,task_profile:string,task_apps:string,task_data_keys:string,task_hosts:string,"
+    "broadcast_input_receivers:array<string>,foreign_a11y_services:array<string>,text_capturing_services:array<string>,assistive_system_services:array<string>,log_readers:array<string>,"
+    "log_readers_enumerable:boolean,broadcast_actions:array<string>,scan_errors:array<string>>"
 )
 ENVELOPE = f"type string, source string, events array<{ITEM}>"
-BROWSER = {"ui_text": "ui_text", "form_fill": "form_fill"}
+BROWSER = {"ui_text": "ui_tree_delta", "form_fill": "form_fill"}
 DEVICE = BROWSER | {
-    "session_start": "agent_session_start", "session_end": "agent_session_end", "overlay_marker": "overlay_marker", "deeplink": "deeplink", "permission_request": "permission_request",
-    "env_survey": "environment_survey", "network_meta": "network_meta",
+    "session_start": "agent_session_start", "session_end": "agent_session_end", "overlay_marker": "ui_tree_delta", "deeplink": "deeplink", "permission_request": "permission_request",
+    "env_survey": "environment_survey", "network_meta": "network_flow",
 }
+#: Markers of what a survey found.
+SURVEY_MARKERS = (("broadcast_input_receivers", "[AG_BROADCAST_INPUT_SINK]"), ("foreign_a11y_services", "[AG_FOREIGN_A11Y_SERVICE]"), ("log_readers", "[AG_LOG_READER]"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -33,19 +37,37 @@ def _kind(item: Column, kinds: dict[str, str]) -> Column:
 
 
 def _metadata(i: Column) -> Column:
-    """Metadata of an item: null entries left out, lists joined by commas, value_filled true and required false unless told."""
-    fill = i["type"] == "form_fill"
-    flag = lambda name, d: F.when(fill, F.coalesce(i[name], F.lit(d)).cast("string"))
-    text = F.when(i["type"] == "overlay_marker", F.coalesce(i["marker"], i["text"])).otherwise(i["text"])
+    """Metadata of an item by its type: what isn't told is left out, or has the default of its type; lists are joined by commas."""
+    kind = i["type"]
+    on = lambda names, v: F.when(kind.isin(*names.split()), v)
+    text = lambda v, d="": F.coalesce(v, F.lit(d))
+    said = lambda v: F.when(F.trim(v) != "", F.trim(v))
+    some = lambda n: F.coalesce(F.size(i[n]), F.lit(-1))
+    survey = "env_survey"
+    markers = F.array_join(F.array_compact(F.array(*[F.when(some(n) > 0, F.lit(m)) for n, m in SURVEY_MARKERS])), " ")
+    shown = (
+        F.when(kind == "ui_text", text(i["text"])).when(kind == "overlay_marker", F.coalesce(i["marker"], i["text"], F.lit(""))).when(kind == "deeplink", text(i["uri"]))
+        .when(kind == survey, markers).when(kind == "network_meta", F.coalesce(i["hint"], i["text"], F.lit("")))
+    )
+    surveyed = ((some("broadcast_input_receivers") >= 0) | (some("foreign_a11y_services") >= 0)) & (some("scan_errors") <= 0)
+    joined = lambda n, by=",", least=0: on(survey, F.when(some(n) >= least, F.array_join(i[n], by)))
     entries = [
-        ("ui_text", text), ("field_id", i["field_id"]), ("profile_key", i["profile_key"]), ("required", flag("required", False)), ("value_filled", flag("value_filled", True)), ("is_trap", F.when(fill, i["is_trap"].cast("string"))),
-        ("probe_type", i["probe_type"]), ("url", i["url"]), ("uri", i["uri"]), ("package", i["package"]), ("item_key", i["item_key"]), ("necessity", i["necessity"]), ("granted", i["granted"].cast("string")),
-        ("dest_host", i["dest_host"]), ("bytes_out", i["bytes"].cast("string")), ("env_surveyed", F.when(i["type"] == "env_survey", (F.size(F.coalesce(i["scan_errors"], F.array().cast("array<string>"))) == 0).cast("string"))),
-        *[(n, F.array_join(i[n], ",")) for n in ("broadcast_input_receivers", "foreign_a11y_services", "text_capturing_services", "scan_errors")],
+        ("package", i["package"]), ("url", i["url"]), ("bytes", i["bytes"].cast("string")), *[(n, said(i[n])) for n in ("signer_sha256", "attest_error", "app_label", "icon_dhash", "face_error")],
+        *[(n, on("session_start", said(i[n]))) for n in ("task_profile", "task_apps", "task_data_keys", "task_hosts")], ("ui_text", shown), ("overlay_marker", on("overlay_marker", F.lit("true"))),
+        ("field_id", on("form_fill", text(i["field_id"]))), ("profile_key", on("form_fill", text(i["profile_key"]))), *[(n, on("form_fill", F.coalesce(i[n], F.lit(d)).cast("string"))) for n, d in (("required", False), ("value_filled", True), ("is_trap", False))],
+        ("probe_type", on("form_fill", i["probe_type"])), ("uri", on("deeplink", text(i["uri"]))), ("item_key", on("permission_request", text(i["item_key"]))), ("necessity", on("permission_request", text(i["necessity"], "unnecessary"))),
+        ("granted", on("permission_request", F.coalesce(i["granted"], F.lit(False)).cast("string"))), *[(n, joined(n)) for n in ("broadcast_input_receivers", "foreign_a11y_services", "text_capturing_services", "log_readers")],
+        *[(n, joined(n, ",", 1)) for n in ("assistive_system_services", "broadcast_actions")], ("scan_errors", joined("scan_errors", "; ", 1)), ("log_readers_enumerable", on(survey, i["log_readers_enumerable"].cast("string"))), ("env_surveyed", on(survey, surveyed.cast("string"))),
     ]
     return F.map_filter(F.create_map(*[x for k, v in entries for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
 
 
+def _app(item: Column, source: Column, platform: str) -> Column:
+    """The acting app: its name, else its package, else the envelope's source, else the platform."""
+    said = lambda v: F.when(F.trim(v) != "", F.trim(v))
+    return F.coalesce(said(item["app"]), item["package"], source, F.lit(platform))
+
+
 def items(envelopes: DataFrame) -> DataFrame:
     return envelopes.select("*", F.posexplode("events").alias("position", "item"))
 
@@ -56,7 +78,7 @@ def convert(envelopes: DataFrame, platform: str, kinds: dict[str, str] = BROWSER
     bad = rows.where("kind is null").select(id_col, "position", F.concat(F.lit("unknown event type: "), F.coalesce("item.type", F.lit("null"))).alias("error"))
     good = rows.where("kind is not null").select(
         F.concat_ws("-", id_col, "position").alias("event_id"), F.lit(0).cast("long").alias("timestamp_ms"), F.lit(platform).alias("platform"), F.col("kind").alias("event_type"),
-        F.coalesce("item.app", "source", F.lit("")).alias("source_app"), F.col("item.session_id").alias("agent_context_id"), _metadata(F.col("item")).alias("metadata"),
+        _app(F.col("item"), F.col("source"), platform).alias("source_app"), F.col("item.session_id").alias("agent_context_id"), _metadata(F.col("item")).alias("metadata"),
     )
     return good, bad
 
@@ -66,7 +88,7 @@ def convert_strict(envelopes: DataFrame, platform: str, kinds: dict[str, str] =
     rows = items(envelopes).withColumn("kind", F.coalesce(_kind(F.col("item"), kinds), F.raise_error(F.concat(F.lit("unknown event type: "), F.coalesce("item.type", F.lit("null"))))))
     return rows.select(
         F.concat_ws("-", id_col, "position").alias("event_id"), F.lit(0).cast("long").alias("timestamp_ms"), F.lit(platform).alias("platform"), F.col("kind").alias("event_type"),
-        F.coalesce("item.app", "source", F.lit("")).alias("source_app"), F.col("item.session_id").alias("agent_context_id"), _metadata(F.col("item")).alias("metadata"),
+        _app(F.col("item"), F.col("source"), platform).alias("source_app"), F.col("item.session_id").alias("agent_context_id"), _metadata(F.col("item")).alias("metadata"),
     )
 
 
