@@ -130,7 +130,7 @@ def scan_iban(text: Column) -> Column:
         joined = F.transform(F.filter(spans, lambda s: F.forall(s, lambda x: F.length(x).between(2, 4))), lambda s: F.array_join(s, ""))
         return F.filter(F.concat(t, joined), lambda x: F.length(x).between(15, 34) & iban_checks(x))
 
-    made = F.transform(bind(tokens, windows), lambda x: _entity("iban", F.concat(F.substring(x, 1, 2), F.lit("••"), redact_tail(x, 4)), True))
+    made = F.transform(F.array_distinct(bind(tokens, windows)), lambda x: _entity("iban", F.concat(F.substring(x, 1, 2), F.lit("••"), redact_tail(x, 4)), True))
     return _guard(text, "[A-Za-z]{2}[^A-Za-z0-9]*[0-9]{2}", made)
 
 

@@ -92,9 +92,9 @@ def key_in_grant(key: Column, grant: Column) -> Column:
 
 def event_data_key(metadata: Column) -> Column:
     """profile_key, else item_key, else what stands behind 'profile:' in value_id; null if blank."""
-    behind = F.regexp_extract(F.coalesce(metadata["value_id"], F.lit("")), "^profile:(.+)$", 1)
+    behind = F.regexp_extract(F.trim(F.coalesce(metadata["value_id"], F.lit(""))), "^profile:(.+)$", 1)
     blank = lambda c: F.when(F.trim(c) != "", F.trim(c))
-    return F.coalesce(blank(metadata["profile_key"]), blank(metadata["item_key"]), blank(behind))
+    return F.coalesce(blank(F.coalesce(metadata["profile_key"], metadata["item_key"])), blank(behind))
 
 
 #: Event types in which an app acts, so that its grant is asked.

@@ -111,6 +111,12 @@ def shell_metachar(operand: Column, url: Column) -> Column:
     return F.coalesce(*found, F.when(variable != "", variable), F.when(operand.contains("&") & ~(url & whole.rlike(ONE_URL) & ~whole.rlike("(?U)\\s")), F.lit("&")))
 
 
+def path_claims(verb: Column, operands: Column, home: Column, cwd: Column) -> Column:
+    """Structs (operand, resolved, intent) of the operands of a command that look like paths; resolved is null where it can't be told."""
+    intent = infer_intent(verb, operands)
+    return F.transform(F.filter(operands, looks_like_path), lambda o: F.struct(o.alias("operand"), resolve(o, home, cwd).alias("resolved"), intent.alias("intent")))
+
+
 def filesystem_scope(path: Column, writes: Column, home: Column, read_grant: Column, write_grant: Column) -> Column:
     """FS-NO-PATH, FS-UNPROVABLE, FS-SENSITIVE, FS-UNSCOPED or FS-OUTSIDE, the first that applies to an operand and its resolved path; null if it is inside."""
     grant = F.when(writes, write_grant).otherwise(read_grant)

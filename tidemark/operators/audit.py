@@ -196,3 +196,32 @@ def next_sequence(rows: DataFrame, new: DataFrame, order: str, column: str = "se
     last = rows.groupBy(key).agg(F.max(column).alias("__last"))
     n = F.row_number().over(Window.partitionBy(key).orderBy(order))
     return new.join(last, key, "left").withColumn(column, (F.coalesce("__last", F.lit(0)) + n).cast("long")).drop("__last")
+
+
+def of_type(rows: DataFrame, event_type: str, n: int, order: str = "rowid") -> DataFrame:
+    """The first n rows of an event type."""
+    return rows.where(F.col("event_type") == event_type).orderBy(order).limit(n)
+
+
+def around_hash(rows: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Rows whose own or previous hash is one of hashes (record_hash): two equal joins instead of one on either column."""
+    wanted = hashes.select(F.col("record_hash").alias("__h")).distinct()
+    own = rows.join(wanted, F.col("record_hash") == F.col("__h"), "left_semi")
+    return own.unionByName(rows.join(wanted, (F.col("prev_hash") == F.col("__h")) & ~F.col("record_hash").eqNullSafe(F.col("__h")), "left_semi")).distinct()
+
+
+def preferred(rows: DataFrame, by: str, wanted: Column, order: str) -> DataFrame:
+    """One row for each value of by: one for which wanted holds if there is any, else the first by order."""
+    return rows.groupBy(by).agg(F.min_by(F.struct("*"), F.struct(F.when(wanted, 0).otherwise(1), F.col(order))).alias("r")).select("r.*")
+
+
+def reassembled(chunks: DataFrame, file: str = "file_index", order: str = "chunk_index", data: str = "data") -> DataFrame:
+    """(file, text, chunks) out of chunks put together in order; a file's chunks have to fit a row, as the file does."""
+    got = chunks.groupBy(file).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("i"), F.col(data).alias("d")))).alias("c"))
+    return got.select(file, F.array_join(F.transform("c", lambda x: x["d"]), "").alias("text"), F.size("c").alias("chunks"))
+
+
+def history(rows: DataFrame, key: str, version: str) -> DataFrame:
+    """rows of each key in order of version: step from 1, and latest on the last one."""
+    by = Window.partitionBy(key).orderBy(version)
+    return rows.withColumn("step", F.row_number().over(by)).withColumn("latest", F.lead(version).over(by).isNull())

@@ -110,11 +110,11 @@ def prune_blocklist(rows: DataFrame, now_ms: int) -> DataFrame:
 
 
 def findings_to_events(pages: DataFrame) -> DataFrame:
-    """ui_text and form_fill events of pages (page_id, app, is_mail, findings: array of structs with kind, text, marker, profile_key); mail pages give none."""
+    """ui_tree_delta and form_fill events of pages (page_id, app, is_mail, findings: array of structs with kind, text, marker, profile_key); mail pages give none."""
     f = pages.where(~F.col("is_mail")).select("page_id", "app", F.posexplode("findings").alias("i", "f"))
     fill = F.col("f.kind") == "form_fill"
     meta = F.when(fill, F.create_map(F.lit("profile_key"), F.col("f.profile_key"))).otherwise(F.create_map(F.lit("ui_text"), F.coalesce("f.marker", "f.text")))
-    return f.select(F.concat_ws("-", "page_id", "i").alias("event_id"), F.lit("browser").alias("platform"), F.when(fill, "form_fill").otherwise("ui_text").alias("event_type"), F.col("app").alias("source_app"), meta.alias("metadata"))
+    return f.select(F.concat_ws("-", "page_id", "i").alias("event_id"), F.lit("browser").alias("platform"), F.when(fill, "form_fill").otherwise("ui_tree_delta").alias("event_type"), F.col("app").alias("source_app"), meta.alias("metadata"))
 
 
 #: What this engine's messages put before a host.

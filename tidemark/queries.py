@@ -355,15 +355,15 @@ def t4_entities(spark, sf_dir):
 
 
 @query()
-def t25_anomalies(spark, sf_dir):
+def t25_documents(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", F.explode(text.scan_anomalies(F.col("text"))).alias("a"))
     return d.groupBy("a.kind").agg(F.count("*").alias("docs"), F.sum("a.count").alias("n"))
 
 
-@query()
+@query("SELECT role, count(*) AS n, count(*) FILTER (contains(regexp_replace(lower(text), '\\s', '', 'g'), '<|') OR contains(regexp_replace(lower(text), '\\s', '', 'g'), '[inst]')) AS broken FROM conversations GROUP BY 1")
 def t27_breakouts(spark, sf_dir):
     c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", text.detect_breakout(F.col("text")).alias("breakout"))
-    return c.groupBy("role", "breakout").agg(F.count("*").alias("n"))
+    return c.groupBy("role").agg(F.count("*").alias("n"), F.count("breakout").alias("broken"))
 
 
 @query()
@@ -609,8 +609,12 @@ def j17_label_lookalikes(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    from tidemark import cases, operator_queries  # noqa: F401, the latter registers its own
+
+    return _QUERIES | cases.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    from tidemark import cases, operator_queries  # noqa: F401
+
+    return _SQL | cases.SQL
