@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import ALNUM, IGNORABLE, bind, redact_tail
+from tidemark.functions.text import ALNUM, IGNORABLE, any_of, bind, redact_tail
 
 A = f"[{ALNUM}]"
 #: What stands before a match: up to 40 characters.
@@ -27,14 +27,15 @@ ID_CHECKS = "10X98765432"
 
 
 def scan_view(text: Column) -> Column:
-    """Invisible separators dropped, special spaces and full-width letters and digits of four scripts folded to ASCII."""
-    text = F.regexp_replace(F.regexp_replace(text, IGNORABLE, ""), "[\\x{2028}-\\x{202E}\\x{180B}-\\x{180E}]", "")
-    pairs = {"\xa0": " ", " ": " ", " ": " "}
+    """Invisible separators dropped, special spaces and full-width letters and digits of four scripts folded to ASCII. Texts without any of them stay as they are."""
+    dropped = IGNORABLE[:-1] + "\\x{2028}-\\x{202E}\\x{180B}-\\x{180E}]"
+    pairs = {"\xa0": " ", "\u2007": " ", "\u202f": " "}
     pairs |= {chr(0xFF21 + i): chr(65 + i) for i in range(26)} | {chr(0xFF41 + i): chr(97 + i) for i in range(26)}
     for base in (0xFF10, 0x660, 0x6F0, 0x966):
         pairs |= {chr(base + i): str(i) for i in range(10)}
-    folded = F.translate(text, "".join(pairs), "".join(pairs.values()))
-    return F.when(text.rlike("[^\\x00-\\x7F]"), folded).otherwise(text)
+    folded = F.translate(F.regexp_replace(text, dropped, ""), "".join(pairs), "".join(pairs.values()))
+    some = dropped[:-1] + "\\xA0\\x{2007}\\x{202F}\\x{FF10}-\\x{FF5A}\\x{660}-\\x{669}\\x{6F0}-\\x{6F9}\\x{966}-\\x{96F}]"
+    return F.when(text.rlike(some), folded).otherwise(text)
 
 
 def _all(text: Column, pattern: str, group: int = 0) -> Column:
@@ -95,10 +96,14 @@ def card_window(groups: Column) -> Column:
     return F.coalesce(single, window)
 
 
+#: Seven digits in a row, with or without separators: what every scanner of digits needs, and a text seldom has.
+SEVEN = f"[0-9](?:{SEPARATORS}?[0-9]){{6}}"
+
+
 def scan_digit_runs(text: Column) -> Column:
     """Payment cards (Luhn and issuer) and, failing that, phone numbers (after + or a key word)."""
     run = f"(?<!{A})[0-9]++(?:{SEPARATORS}[0-9]++)*+{A}?"
-    found = F.arrays_zip(_all(text, run).alias("run"), _all(text, BEFORE + run, 1).alias("before"))
+    found = F.arrays_zip(_all(text, run).alias("run"), _all(text, f"(?=[0-9])(?<!{A}){BEFORE}{run}", 1).alias("before"))
 
     def one(r: Column) -> Column:
         groups = F.split(r["run"], SEPARATORS, -1)
@@ -108,7 +113,7 @@ def scan_digit_runs(text: Column) -> Column:
         card = F.when(F.length(digits) >= 13, card_window(groups))
         return bind(card, lambda c: F.when(c.isNotNull(), _entity("payment_card", redact_tail(c, 4), sure)).when(phone, _entity("phone_number", redact_tail(digits, 3), False)))
 
-    return _guard(text, f"[0-9](?:{SEPARATORS}?[0-9]){{6}}", F.array_compact(F.transform(F.filter(found, lambda r: r["run"].rlike("[0-9]$")), one)))
+    return _guard(text, SEVEN, F.array_compact(F.transform(F.filter(found, lambda r: r["run"].rlike("[0-9]$")), one)))
 
 
 def iban_checks(token: Column) -> Column:
@@ -120,18 +125,21 @@ def iban_checks(token: Column) -> Column:
     return token.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$") & (rest == 1)
 
 
+#: Two letters with two digits behind them, the digits in the same token or the next one.
+IBAN_HEAD = "(?<![A-Za-z0-9])(?=[A-Za-z]{2}(?:[0-9]{2}|[0-9]?[^A-Za-z0-9]+[0-9]))"
+
+
 def scan_iban(text: Column) -> Column:
-    """IBANs in one token, or in neighbouring tokens of two to four characters put together."""
-    tokens = F.transform(_all(text, "[A-Za-z0-9]+"), F.upper)
+    """IBANs in one token, or in neighbouring tokens of two to four characters put together. Only what stands behind such a head is cut into tokens."""
+    heads = _all(text, f"{IBAN_HEAD}(?=((?:[A-Za-z0-9]++[^A-Za-z0-9]++){{0,16}}+[A-Za-z0-9]*+))[A-Za-z]", 1)
 
-    def windows(t: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(1), F.size(t)), lambda a: F.get(t, a - 1).rlike("^[A-Z]{2}[A-Z0-9]{0,2}$"))
-        spans = F.flatten(F.transform(starts, lambda a: F.transform(F.sequence(F.lit(4), F.lit(17)), lambda k: F.slice(t, a, k))))
-        joined = F.transform(F.filter(spans, lambda s: F.forall(s, lambda x: F.length(x).between(2, 4))), lambda s: F.array_join(s, ""))
-        return F.filter(F.concat(t, joined), lambda x: F.length(x).between(15, 34) & iban_checks(x))
+    def readings(head: Column) -> Column:
+        tokens = F.filter(F.split(F.upper(head), "[^A-Z0-9]+", -1), lambda x: x != "")
+        joined = lambda t: F.transform(F.filter(F.transform(F.sequence(F.lit(4), F.lit(17)), lambda k: F.slice(t, F.lit(1), k)), lambda s: F.forall(s, lambda x: F.length(x).between(2, 4))), lambda s: F.array_join(s, ""))
+        return bind(tokens, lambda t: F.filter(F.concat(F.slice(t, 1, 1), joined(t)), lambda x: F.length(x).between(15, 34) & iban_checks(x)))
 
-    made = F.transform(F.array_distinct(bind(tokens, windows)), lambda x: _entity("iban", F.concat(F.substring(x, 1, 2), F.lit("••"), redact_tail(x, 4)), True))
-    return _guard(text, "[A-Za-z]{2}[^A-Za-z0-9]*[0-9]{2}", made)
+    made = F.transform(F.array_distinct(F.flatten(F.transform(heads, readings))), lambda x: _entity("iban", F.concat(F.substring(x, 1, 2), F.lit("••"), redact_tail(x, 4)), True))
+    return _guard(text, f"{IBAN_HEAD}[A-Za-z]", made)
 
 
 def scan_national_id(text: Column) -> Column:
@@ -152,7 +160,7 @@ def scan_emails(text: Column) -> Column:
     pattern = "([A-Za-z0-9._%+\\-]+)@(?=([A-Za-z0-9.\\-]*))"
     parts = F.arrays_zip(_all(text, pattern, 1).alias("local"), F.transform(_all(text, pattern, 2), lambda d: F.regexp_replace(d, "[.]+$", "")).alias("domain"))
     made = F.transform(F.filter(parts, lambda p: p["domain"].rlike("[.][A-Za-z]{2,24}$")), lambda p: _entity("email", F.concat(F.substring(p["local"], 1, 1), F.lit("…@"), p["domain"]), False))
-    return _guard(text, "@", made)
+    return F.when(text.contains("@"), made.cast(ENTITY)).otherwise(_none())
 
 
 def scan_ssn(text: Column) -> Column:
@@ -164,13 +172,13 @@ def scan_api_secrets(text: Column) -> Column:
     shapes = [f"{p}(?=[A-Za-z0-9_]{{{n}}})" for p, n in SECRETS]
     found = F.transform(_all(text, f"(?<![A-Za-z0-9_\\-])(?:{'|'.join(shapes)})"), lambda p: _entity("api_secret", F.concat(p, F.lit("…")), True))
     pem = F.when(text.contains("-----BEGIN") & text.contains("PRIVATE KEY-----"), F.array(_entity("api_secret", F.lit("pem_private_key"), True)).cast(ENTITY)).otherwise(_none())
-    return F.concat(_guard(text, "|".join(p for p, _ in SECRETS), found), pem)
+    return F.concat(F.when(any_of(text, [p for p, _ in SECRETS]), found.cast(ENTITY)).otherwise(_none()), pem)
 
 
 def scan_passports(text: Column) -> Column:
     """Tokens of 6 to 9 letters and digits, both, after a key word."""
     token = f"(?<!{A})[A-Za-z0-9]++"
-    found = F.arrays_zip(_all(text, token).alias("t"), _all(text, BEFORE + token, 1).alias("before"))
+    found = F.arrays_zip(_all(text, token).alias("t"), _all(text, f"(?=[A-Za-z0-9])(?<!{A}){BEFORE}{token}", 1).alias("before"))
     usable = F.filter(found, lambda r: r["t"].rlike("^[A-Za-z0-9]{6,9}$") & r["t"].rlike("[0-9]") & r["t"].rlike("[A-Za-z]") & keyword_in(r["before"], PASSPORT_WORDS))
     return _guard(text, "(?i)passport|护照", F.transform(usable, lambda r: _entity("passport_number", redact_tail(r["t"], 2), False)))
 
@@ -178,18 +186,24 @@ def scan_passports(text: Column) -> Column:
 def scan_birth_dates(text: Column) -> Column:
     """Dates of 6 to 8 digits with two separators after a key word."""
     run = "(?<![0-9])[0-9]++(?:[\\-/.年月][0-9]++)*+"
-    found = F.arrays_zip(_all(text, run).alias("t"), _all(text, BEFORE + run, 1).alias("before"))
+    found = F.arrays_zip(_all(text, run).alias("t"), _all(text, f"(?=[0-9])(?<![0-9]){BEFORE}{run}", 1).alias("before"))
     digits = lambda t: F.length(F.regexp_replace(t, "[^0-9]", ""))
     usable = F.filter(found, lambda r: digits(r["t"]).between(6, 8) & (F.length(r["t"]) - digits(r["t"]) >= 2) & keyword_in(r["before"], BIRTH_WORDS))
     return _guard(text, "(?i)dob|birth|出生|生日", F.transform(usable, lambda r: _entity("date_of_birth", F.lit("date_near_birth_keyword"), False)))
 
 
-SCANNERS = (scan_api_secrets, scan_digit_runs, scan_iban, scan_national_id, scan_emails, scan_ssn, scan_passports, scan_birth_dates)
+#: The scanners behind one look each: those of digits, those of key words, and the others with a look of their own.
+OF_DIGITS, OF_KEYWORDS, OTHERS = (scan_digit_runs, scan_national_id, scan_ssn), (scan_passports, scan_birth_dates), (scan_api_secrets, scan_iban, scan_emails)
 
 
 def recognise(text: Column) -> Column:
     """All distinct entities of a text by (kind, redacted); empty for null and empty texts."""
-    return bind(scan_view(F.coalesce(text, F.lit(""))), lambda t: F.array_sort(F.array_distinct(F.concat(*[s(t) for s in SCANNERS]))))
+
+    def of(t: Column) -> Column:
+        some = lambda guard, scanners: F.when(t.rlike(guard), F.concat(*[s(t) for s in scanners])).otherwise(_none())
+        return F.array_sort(F.array_distinct(F.concat(some(SEVEN, OF_DIGITS), some("(?i)passport|dob|birth|护照|出生|生日", OF_KEYWORDS), *[s(t) for s in OTHERS])))
+
+    return bind(scan_view(F.coalesce(text, F.lit(""))), of)
 
 
 def has_verified(entities: Column) -> Column:

@@ -111,24 +111,36 @@ def detect_breakout(text: Column, envelope: str = ENVELOPE) -> Column:
 
 
 def scan_anomalies(text: Column) -> Column:
-    """array<struct<kind, count>> of the anomalies of a text, in the fixed order of the checks; empty for null."""
+    """array<struct<kind, count>> of the anomalies of a text, in the fixed order of the checks; empty for null. A text of ASCII alone is read for two of
+    the kinds only, and each other check runs behind a look at what it counts."""
     tag = lambda s: "".join(f"\\x{{{0xE0000 + ord(x):X}}}" for x in s)
     flags = "|".join(map(tag, ("gbeng", "gbsct", "gbwls")))
-    count = lambda p, t=text: F.coalesce(F.regexp_count(t, F.lit(p)), F.lit(0))
-    bare = F.regexp_replace(text, f"\\x{{1F3F4}}(?:{flags})\\x{{E007F}}(?!{TAGS})", "")
-    shown = count(f"(?<=[^\\x00-\\x7F{SELECTORS}])[{SELECTORS}]", bare)
-    longest = lambda p: F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), F.length)), F.lit(0))
     latin, cyrillic = "[\\p{IsLatin}&&\\p{IsAlphabetic}]", "[\\p{IsCyrillic}&&\\p{IsAlphabetic}]"
-    words = F.when(text.rlike(cyrillic), F.regexp_extract_all(text, F.lit("[\\p{IsAlphabetic}&&[\\p{IsLatin}\\p{IsCyrillic}]]+"), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    mixed = F.size(F.filter(words, lambda w: w.rlike(cyrillic) & (F.regexp_count(w, F.lit(latin)) >= 2)))
-    pure = F.size(F.filter(words, lambda w: w.rlike(cyrillic) & ~w.rlike(latin)))
-    homoglyph = mixed + F.when(count(latin) > count(cyrillic), pure).otherwise(0)
-    low = F.lower(text)
-    glitch = sum((low.contains(g).cast("int") for g in GLITCH_TOKENS), F.lit(0))
-    stack, token = longest(f"{COMBINING}{{{MAX_STACK},}}"), longest(f"(?U)\\S{{{MAX_TOKEN + 1},}}")
-    found = [("invisible_text", count(INVISIBLE, bare) - shown), ("bidi_override", count("[\\x{202D}\\x{202E}]")), ("homoglyph", homoglyph), ("combining_stack", stack), ("oversized_token", token), ("glitch_token", F.coalesce(glitch, F.lit(0)))]
-    rows = F.array(*[F.struct(F.lit(k).alias("kind"), n.cast("int").alias("count")) for k, n in found])
-    return F.filter(rows, lambda a: a["count"] > 0)
+    count = lambda t, p: F.coalesce(F.regexp_count(t, F.lit(p)), F.lit(0))
+    longest = lambda t, p: F.coalesce(F.array_max(F.transform(F.regexp_extract_all(t, F.lit(p), F.lit(0)), F.length)), F.lit(0))
+    behind = lambda guard, n: F.when(guard, n).otherwise(F.lit(0))
+
+    def invisible(t: Column) -> Column:
+        bare = F.when(t.contains("\U0001f3f4"), F.regexp_replace(t, f"\\x{{1F3F4}}(?:{flags})\\x{{E007F}}(?!{TAGS})", "")).otherwise(t)
+        return bind(bare, lambda x: count(x, INVISIBLE) - count(x, f"(?<=[^\\x00-\\x7F{SELECTORS}])[{SELECTORS}]"))
+
+    def homoglyphs(t: Column) -> Column:
+        words = F.regexp_extract_all(t, F.lit("[\\p{IsAlphabetic}&&[\\p{IsLatin}\\p{IsCyrillic}]]+"), F.lit(0))
+        mixed = lambda w: w.rlike(cyrillic) & (F.regexp_count(w, F.lit(latin)) >= 2)
+        pure = lambda w: w.rlike(cyrillic) & ~w.rlike(latin)
+        return bind(words, lambda w: F.size(F.filter(w, mixed)) + F.when(count(t, latin) > count(t, cyrillic), F.size(F.filter(w, pure))).otherwise(0))
+
+    def of(s: Column) -> Column:
+        t, odd = s["t"], s["odd"]
+        glitch = bind(F.lower(t), lambda low: sum((low.contains(g).cast("int") for g in GLITCH_TOKENS), F.lit(0)))
+        found = [
+            ("invisible_text", behind(odd & t.rlike(INVISIBLE), invisible(t))), ("bidi_override", behind(odd, count(t, "[\\x{202D}\\x{202E}]"))), ("homoglyph", behind(odd & t.rlike(cyrillic), homoglyphs(t))),
+            ("combining_stack", behind(odd & t.rlike(f"{COMBINING}{{{MAX_STACK}}}"), longest(t, f"{COMBINING}{{{MAX_STACK},}}"))), ("oversized_token", behind(F.length(t) > MAX_TOKEN, longest(t, f"(?U)(?<!\\S)\\S{{{MAX_TOKEN + 1},}}"))), ("glitch_token", glitch),
+        ]
+        rows = F.array(*[F.struct(F.lit(k).alias("kind"), n.cast("int").alias("count")) for k, n in found])
+        return F.filter(rows, lambda a: a["count"] > 0)
+
+    return bind(F.struct(text.alias("t"), text.rlike("[^\\x00-\\x7F]").alias("odd")), of)
 
 
 def anomaly_rank(kind: Column) -> Column:
