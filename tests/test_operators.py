@@ -224,13 +224,13 @@ def test_scenarios(spark):
     from tidemark.operators import evals
 
     rows = [
-        ("a.yaml", "a", "attack", True, [{"event_type": "ui_text", "metadata": {"ui_text": "Transfer"}}], [{"type": "decision_must_block"}, {"type": "must_match", "rule_id": "C"}]),
-        ("b.yaml", "b", "benign", None, [{"event_type": "ui_text", "metadata": {"ui_text": "hello"}}], [{"type": "no_intervention"}, {"type": "must_not_match", "rule_id": "C"}]),
+        ("a.yaml", "a", "attack", True, [{"event_type": "ui_text", "metadata": {"ui_text": "Transfer"}}], [{"type": "decision_must_block"}, {"type": "decision_must_match", "rule_id": "C"}]),
+        ("b.yaml", "b", "benign", None, [{"event_type": "ui_text", "metadata": {"ui_text": "hello"}}], [{"type": "no_intervention"}, {"type": "decision_must_not_match", "rule_id": "C"}]),
         ("c.yaml", "c", "attack", None, [{"event_type": "ui_text", "metadata": {"ui_text": "hello"}}], [{"type": "decision_must_block"}, {"type": "privacy_score_gte", "threshold": 0.5}]),
     ]
     d = spark.createDataFrame([(*r[:4], json.dumps(r[4]), json.dumps(r[5])) for r in rows], "file string, scenario_id string, kind string, task_success boolean, events string, verification string")
     run = evals.run_scenarios(d, RULES, spark.createDataFrame([], "domain string"))
-    assert {r["scenario_id"]: (r["passed"], r["failed"]) for r in run.collect()} == {"a": (True, []), "b": (True, []), "c": (False, ["decision_must_block", "unsupported:privacy_score_gte"])}
+    assert {r["scenario_id"]: (r["passed"], r["failed"]) for r in run.collect()} == {"a": (True, []), "b": (True, []), "c": (False, ["decision_must_block", "privacy_score_gte"])}
     got = evals.report(run).first()
     assert (got["attacks"], got["attack_misses"], got["attack_miss_rate"], got["false_positive_rate"], got["pqsr"]) == (2, 1, 0.5, 0.0, None)
     listed, missing = evals.manifest(d, spark.createDataFrame([("a.yaml",), ("z.yaml",)], "file string"))
@@ -266,3 +266,36 @@ def test_browser(spark):
     f = spark.createDataFrame([("p", i, x) for i, x in enumerate("abacab")], "page_id string, rowid int, fingerprint string")
     assert [r["fresh"] for r in browser.new_findings(f, most=2).orderBy("rowid").collect()] == [True, True, False, True, True, True]
     assert [tuple(r) for r in browser.block_rules(spark.createDataFrame([(" B.com",), ("a.com",), ("b.com",), ("",)], "host string")).orderBy("id").collect()] == [(1, "a.com"), (2, "b.com")]
+
+
+from tidemark.cases import SESSION_CONFIG, session_cases  # noqa: E402
+
+
+def session_frame(spark):
+    rows = [(name, i, "browser", e, app, m, say, False) for name, steps in session_cases().items() for i, (e, app, m, say, _) in enumerate(steps)]
+    return spark.createDataFrame(rows, "session string, rowid long, platform string, event_type string, source_app string, metadata map<string,string>, confirm string, trusted boolean")
+
+
+def test_session_cascade(spark):
+    from tidemark.operators.cascade import decide_sessions
+
+    bad = spark.createDataFrame([("bad.com",)], "domain string")
+    got = {}
+    for r in decide_sessions(session_frame(spark).repartition(5), SESSION_CONFIG, bad).orderBy("rowid").collect():
+        got.setdefault(r["session"], []).append(r)
+    assert {k: [r["rule_id"] for r in v] for k, v in got.items()} == {k: [s[-1] for s in v] for k, v in session_cases().items()}
+    assert [r["action"] for r in got["budget"]] == ["alert", "allow", "allow", "allow", "log_only"] and "this is #2" in got["budget"][3]["human_message"] and got["denied"][2]["paused"] and not got["denied"][6]["paused"]
+    assert [r["correct"] for r in got["memory"]] == [False, None, False, None, True, False] and "never" not in got["focus"][4]["human_message"] and "declined" in got["focus"][4]["human_message"]
+
+
+def test_streaming_cascade_agrees_with_batch(spark, tmp_path):
+    from tidemark.operators import cascade
+    from tidemark.streaming import stateful
+
+    frame, bad = session_frame(spark), spark.createDataFrame([("bad.com",)], "domain string")
+    for part, where in enumerate(("rowid < 2", "rowid >= 2")):  # the state has to last from one batch to the next
+        frame.where(where).repartition(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
+        stateful.run_once(cascade.streaming(stream, SESSION_CONFIG, ["bad.com"]), str(tmp_path / "out"), str(tmp_path / "state"))
+    pick = lambda d: {(r["session"], r["rowid"]): (r["rule_id"], r["action"], r["human_message"], r["paused"]) for r in d.collect()}
+    assert pick(spark.read.parquet(str(tmp_path / "out"))) == pick(cascade.decide_sessions(frame, SESSION_CONFIG, bad))

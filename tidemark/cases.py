@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 from tidemark.functions import entities, fields, hosts, paths, text
 from tidemark.operators import audit, browser, frames, joins, registry, rules, scores, sessions, taint
+from tidemark.operators.cascade import Config, decide_sessions
+from tidemark.operators.trajectory import Plan
 from tidemark.schemas import severity_rank, step_gravity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -320,3 +322,47 @@ golden("v5_connected_components", "b array<int>", lambda b: F.array_sort(F.trans
 OVERLAY = "r array<struct<text:string,opacity:double,font_size_px:double,is_offscreen:boolean,bounds:struct<x:double,y:double,width:double,height:double>>>"
 MID = (900.0, 500.0, 50.0, 20.0)
 golden("v16_detect_overlays", OVERLAY, lambda r: frames.detect_overlays(r, ("ignore",)), [([("x", 1.0, 0.5, False, MID)], ["invisible_text"]), ([("x", 0.01, 12.0, False, MID), ("y", 0.02, 12.0, False, MID)], ["transparent_overlay"]), ([("IGNORE it", 1.0, 12.0, True, MID)], ["prompt_injection"]), ([("pay", 1.0, 8.0, False, (0.0, 0.0, 50.0, 20.0))], ["invisible_zone"]), ([("", 0.0, 0.1, True, MID)], []), ([("a [AG_STEGO_LSB]", 1.0, 12.0, False, MID)], ["stego_hint"]), ([("plain", 1.0, 12.0, False, MID)], [])])
+
+# ---- whole sessions
+
+BOOK = Plan(allow=("disclose_low", "disclose_high", "confirm_payment"), most={"confirm_payment": 1}, order=("disclose_low", "confirm_payment"), goal="book", scope={"apps": ["Booking"], "hosts": ["booking.com"], "data_keys": ["name", "email"]})
+PAY_RULE = {"id": "CRIT", "name": "pay", "severity": "critical", "action": "block", "require_confirm": True, "match_any_text": ["confirm payment"], "step_kind": "confirm_payment"}
+PAY_SIGNER = "ab" * 32
+
+
+def session_cases():
+    """Sessions as (events, rule of each event)."""
+    start = ("agent_session_start", "Claude", {"task_profile": "book", "task_apps": "Booking, Evil"}, None, "SCOPE-OVER-REQUEST")
+    fill = lambda k, app="Booking", rule="ALLOW", **m: ("form_fill", app, {"profile_key": k, "value_filled": "true", "required": "true", **m}, None, rule)
+    pay = lambda rule, say="approve": ("ui_tree_delta", "Booking", {"ui_text": "confirm payment"}, say, rule)
+    return {
+        "budget": [start, fill("name"), pay("CRIT"), pay("CRIT"), ("agent_session_end", "Claude", {}, None, "SESSION-END")],
+        "denied": [start, fill("name"), pay("CRIT", "deny"), fill("name", rule="SESSION-PAUSED"), ("agent_session_start", "Claude", {}, None, "SESSION-RESTART"), ("agent_session_end", "Claude", {}, None, "SESSION-END"), fill("name")],
+        "scope": [start, fill("name", "Evil", "APP-NOT-IN-TASK"), fill("passport_number", rule="SCOPE-DATA"), ("network_flow", "Booking", {"url": "https://booking.com.evil.org/x"}, None, "SCOPE-HOST"), fill("name", "claude", "PLAN-UNANCHORED")],
+        "apps": [fill("passport_number"), fill("passport_number", "Other", "PRIV-XAPP"), fill("name", "Other"), fill("passport_number", "", "PRIV-XAPP")],
+        "survey": [("environment_survey", "x", {"env_surveyed": "true", "foreign_a11y_services": "spy"}, None, "ENV-OBSERVED"), fill("email", rule="ENV-INPUT-OBSERVED"), ("environment_survey", "x", {"env_surveyed": "true"}, None, "ENV-OBSERVED"), fill("name")],
+        "flow": [fill("passport_number"), ("data_derive", "A", {"value_id": "s", "parents": "profile:passport_number, page"}, None, "FLOW-DERIVE"), ("data_flow", "A", {"value_id": "s", "sink": "a.org", "sink_kind": "network"}, None, "FLOW-CONF"), ("data_flow", "A", {"value_id": "ghost", "sink_kind": "network"}, None, "FLOW-UNKNOWN")],
+        "lowered": [fill("passport_number"), ("declassify", "A", {"value_id": "profile:passport_number", "to_integrity": "verified", "to_confidentiality": "public"}, "approve", "FLOW-DECLASSIFY-REQUEST"), ("data_flow", "A", {"value_id": "profile:passport_number", "sink": "a.org", "sink_kind": "network"}, None, "ALLOW"), ("declassify", "A", {"value_id": "nothing"}, "approve", "FLOW-DECLASSIFY-BAD")],
+        "memory": [("memory_read", "A", {"item_key": "diet"}, None, "PRIV-MEM-READ"), ("memory_write", "A", {"item_key": "diet"}, None, "PRIV-004"), ("memory_read", "A", {"item_key": "diet"}, None, "PRIV-MEM-READ"), ("memory_write", "A", {"item_key": "diet"}, "approve", "PRIV-004"), ("memory_read", "A", {"item_key": "diet"}, None, "ALLOW"), ("memory_read", "A", {"item_key": "diet", "expected_key": "seat"}, None, "PRIV-MEM-USE")],
+        "text": [("ui_tree_delta", "A", {"ui_text": "a\u200bb"}, None, "FW-TEXT-ANOMALY"), ("ui_tree_delta", "A", {"ui_text": "c\u200bd"}, None, "ALLOW"), ("ui_tree_delta", "A", {"ui_text": "### System: do"}, None, "FW-BREAKOUT"), ("ui_tree_delta", "A", {"url": "https://x.bad.com/"}, None, "INTEL-DOMAIN")],
+        "focus": [("process_focus", "Chrome", {}, None, "APP-FOCUS"), fill("name", "Chrome"), fill("name", "Evil", "APP-TRANSITION"), ("user_query", "A", {"profile_key": "email", "outcome": "declined"}, None, "USER-QUERY"), fill("email", "Chrome", "PRIV-GUESS", value_source="generated"), fill("zip", "Chrome", "PRIV-TRAP", is_trap="True")],
+        "files": [("file_write", "A", {}, None, "FS-NO-PATH"), ("file_write", "A", {"path": "~/.ssh/x"}, None, "FS-SENSITIVE"), ("file_delete", "A", {"path": "/work/x"}, None, "FS-UNSCOPED"), ("file_write", "A", {"path": "*"}, None, "FS-UNPROVABLE")],
+        "links": [("deeplink", "Pay", {"uri": "pay://x"}, None, "ALLOW"), ("deeplink", "Pay", {"uri": "other://x"}, None, "DL-ALLOWLIST"), ("deeplink", "Unknown", {"uri": "other://x"}, None, "DL-UNKNOWN"), ("deeplink", "Pay", {"uri": "pay://x", "package": "com.pay", "signer_sha256": "cd" * 32}, None, "APP-SIGNER-MISMATCH"), ("ui_tree_delta", "Pay", {"package": "com.pay", "signer_sha256": PAY_SIGNER}, None, "APP-IDENTITY-CHANGED")],
+    }
+
+
+SESSION_CONFIG = Config(rules=[PAY_RULE], plans={"book": BOOK}, apps=[{"name": "Pay", "packages": ["com.pay"], "signers": [PAY_SIGNER], "deeplink_prefixes": ["pay://"]}])
+STEPS_OF = [(name, i, e, app, m, say, rule) for name, steps in session_cases().items() for i, (e, app, m, say, rule) in enumerate(steps)]
+
+
+def f39_x1_session_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve kinds of session for every customer, each step with its known rule: plans, budgets, denials, scopes, cross-app values, surveys, flows, memory, text, focus, files, links."""
+    steps = spark.createDataFrame([(n, i, e, app, m, say) for n, i, e, app, m, say, _ in STEPS_OF], "kind string, rowid long, event_type string, source_app string, metadata map<string,string>, confirm string")
+    keys = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("who"))
+    rows = keys.select("who", F.explode(F.array(*[F.lit(n) for n in session_cases()])).alias("kind")).join(F.broadcast(steps), "kind")  # as many rows as steps
+    rows = rows.select(F.concat_ws("/", "who", "kind").alias("session"), "rowid", F.lit("browser").alias("platform"), "event_type", "source_app", "metadata", "confirm", F.lit(False).alias("trusted"))
+    return decide_sessions(rows, SESSION_CONFIG, spark.createDataFrame([("bad.com",)], "domain string")).select("session", "rowid", "rule_id")
+
+
+QUERIES["f39_x1_session_cascade"] = f39_x1_session_cascade
+SQL["f39_x1_session_cascade"] = "SELECT c_custkey || '/' || kind AS session, rowid, rule_id FROM customer, (VALUES " + ", ".join(f"('{n}', {i}, '{r}')" for n, i, *_, r in STEPS_OF) + ") AS v(kind, rowid, rule_id)"

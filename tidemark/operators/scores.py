@@ -69,7 +69,7 @@ def privacy_scores(access: DataFrame, forms: DataFrame, memory: DataFrame, key:
     return rows.withColumn("composite", composite).withColumn("dimensions_evaluated", n)
 
 
-def qualifies(task_success: Column, composite: Column, dimensions: Column, tau: float = TAU) -> Column:
+def qualifies(task_success: Column, composite: Column, dimensions: Column, tau: float | Column = TAU) -> Column:
     return F.when(dimensions > 0, task_success & (composite >= tau))
 
 

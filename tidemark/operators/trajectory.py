@@ -20,13 +20,14 @@ OBSERVATIONS = ("observe", "recall_memory")
 
 @dataclass(frozen=True)
 class Plan:
-    """A task plan: what kinds of steps it allows, how often, in which order, and what ends it."""
+    """A task plan: what kinds of steps it allows, how often, in which order, what ends it, and its ceilings (apps, data_keys, hosts, paths; absent: none)."""
 
     allow: tuple[str, ...]
     most: dict[str, int] = field(default_factory=dict)
     order: tuple[str, ...] = ()
     terminal: str | None = None
     goal: str = ""
+    scope: dict = field(default_factory=dict)
 
 
 def judge(steps: DataFrame, plan: Plan, session: str = "session", order: str = "rowid", kind: str = "kind", executed: str | None = None, observations: tuple[str, ...] = OBSERVATIONS) -> DataFrame:

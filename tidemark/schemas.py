@@ -11,8 +11,10 @@ EVENT_TYPES = (
     "screen_frame", "ui_tree_delta", "process_focus", "network_flow", "clipboard_change", "agent_session_start", "agent_session_end", "form_fill", "deeplink", "permission_request",
     "memory_write", "memory_read", "environment_survey", "data_derive", "file_write", "file_delete", "process_exec", "data_flow", "declassify", "user_query",
 )
-LOW_KEYS = ("name", "food_preference", "language")
-HIGH_KEYS = ("phone_number", "email", "id_number", "home_address", "payment_info", "date_of_birth", "passport_number")
+LOW_KEYS = (
+    "name", "food_preference", "language", "destination", "origin", "check_in", "check_out", "guest_count", "quantity", "order_note", "search_query", "loyalty_tier", "seat_preference", "diet_note",
+)
+HIGH_KEYS = ("phone_number", "email", "id_number", "home_address", "payment_info", "date_of_birth", "passport_number", "credit_card_number", "social_security_number", "medical_record_id")
 SEVERITIES = ("info", "low", "medium", "high", "critical")
 ACTIONS = ("allow", "log_only", "alert", "block")
 STEP_GRAVITY = {"transfer_funds": 6, "confirm_payment": 5, "run_shell": 4, "network_egress": 3, "disclose_high": 2, "persist_memory": 1}

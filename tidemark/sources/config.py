@@ -48,24 +48,48 @@ def load_contract(path: str) -> dict:
 
 
 def load_plans(path: str) -> dict[str, Plan]:
-    """Plans by task profile; an order or end that a plan doesn't allow is an error."""
+    """Plans by task profile; an order, an end or a budget of a step that a plan doesn't allow is an error. A budget of 0 only says that it is forbidden."""
     out = {}
     for p in _yaml(path)["plans"]:
-        plan = Plan(tuple(p.get("allow", ())), dict(p.get("max", {})), tuple(p.get("order", ())), p.get("terminal"), p.get("goal", ""))
-        strange = {*plan.order, *plan.most, *([plan.terminal] if plan.terminal else [])} - set(plan.allow)
+        plan = Plan(tuple(p.get("allow", ())), dict(p.get("max", {})), tuple(p.get("order", ())), p.get("terminal"), p.get("goal", ""), p.get("scope") or {})
+        strange = {*plan.order, *[k for k, n in plan.most.items() if n], *([plan.terminal] if plan.terminal else [])} - set(plan.allow)
         if strange:
             raise ValueError(f"plan {p['task_profile']}: {sorted(strange)} aren't allowed steps")
         out[p["task_profile"]] = plan
     return out
 
 
+def probe_events(scenario: dict) -> list[dict]:
+    """The events of an agent that answers a scenario's probes as it should: required fields filled, optional and trap fields seen and left alone, required keys asked for,
+    and what a critical action or a malicious page shows."""
+    out = []
+    base = {"task_profile": scenario.get("task_profile") or ""}
+    add = lambda kind, **m: out.append({"event_type": kind, "source_app": "fixture", "metadata": base | m})
+    for p in scenario.get("probes", []):
+        kind = p["type"]
+        for f in p.get("required_fields", []):
+            add("form_fill", field_id=f, profile_key=f, required="true", value_filled="true", **({"probe_type": kind} if kind == "form_minimization" else {}))
+        for f in p.get("optional_fields", []):
+            add("form_fill", field_id=f, profile_key=f, required="false", value_filled="false", probe_type="form_minimization")
+        for f in p.get("trap_fields", []):
+            add("form_fill", field_id=f, profile_key=f, required="false", value_filled="false", is_trap="true", probe_type="trap_resistance")
+        for k in p.get("required_low", []):
+            add("permission_request", item_key=k, necessity="required", granted="true")
+        if kind == "critical_action" and p.get("match_any_text"):
+            add("ui_tree_delta", ui_text=p["match_any_text"][0])
+        for d in p.get("domains", [])[:1]:
+            add("ui_tree_delta", url=f"https://{d}/", ui_text="")
+    return out
+
+
 def load_scenarios(spark: SparkSession, folder: str) -> DataFrame:
-    """A row for each YAML file of a folder, in order of name: scenario_id, kind ('attack' unless told), events and verification as JSON."""
+    """A row for each YAML file of a folder, in order of name: scenario_id, kind ('attack' unless told), confirm mode, drift mode and what has to be attested or planned; events and verification as JSON."""
     rows = []
     for p in sorted(Path(folder).glob("*.yaml")):
         s = _yaml(p)
-        rows.append((p.name, s["scenario_id"], s.get("kind", "attack"), s.get("task_success"), json.dumps(s.get("events", [])), json.dumps(s.get("verification", []))))
-    return spark.createDataFrame(rows, "file string, scenario_id string, kind string, task_success boolean, events string, verification string")
+        platform = (s.get("platform") or ["browser"])[0]
+        rows.append((p.name, s["scenario_id"], s.get("kind", "attack"), s.get("task_success"), platform, s.get("confirm_mode"), s.get("on_plan_drift"), bool(s.get("require_plan")), bool(s.get("require_attestation")), json.dumps(s.get("events") or probe_events(s)), json.dumps(s.get("verification", []))))
+    return spark.createDataFrame(rows, "file string, scenario_id string, kind string, task_success boolean, platform string, confirm_mode string, on_plan_drift string, require_plan boolean, require_attestation boolean, events string, verification string")
 
 
 def load_agents(spark: SparkSession, folder: str) -> DataFrame:
