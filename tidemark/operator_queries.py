@@ -393,3 +393,43 @@ def s6_s8_snapshots(spark, sf_dir):
     shown = envelopes.snapshot_events(rows).select(F.col("event_id").cast("long").alias("page_id"), "event_type", F.col("metadata")["ui_text"].alias("said"))
     fills = envelopes.snapshot_form_fills(rows).select(F.split("event_id", "-")[0].cast("long").alias("page_id"), "event_type", F.concat_ws("|", F.col("metadata")["profile_key"], "source_app", F.col("metadata")["value_filled"]).alias("said"))
     return shown.unionByName(fills)
+
+
+@query(f"WITH {AUDIT_SQL} SELECT count(*) AS records, count(DISTINCT agent_session_id) AS sessions, max(rowid_) AS last_rowid, arg_max(timestamp_ms, rowid_) AS last_ms, count(*) FILTER (action = 'Block') AS blocked, count(*) FILTER (action IN ('Block', 'Alert') AND user_decision IS NULL) AS waiting FROM audit")
+def a23_status(spark, sf_dir):
+    return audit.status(audit_rows(spark, sf_dir))
+
+
+@query("SELECT 'a' || user_id % 6 AS adapter_id, count(*) FILTER (event_type = 'view') AS verified, count(*) FILTER (event_type = 'click') AS unsigned, count(*) FILTER (event_type = 'error') AS rejected FROM events GROUP BY 1")
+def r21_ingress_counts(spark, sf_dir):
+    t = F.col("event_type")
+    return registry.ingress_counts(read(spark, sf_dir, "events").select(F.concat(F.lit("a"), (F.col("user_id") % 6).cast("string")).alias("adapter_id"), F.when(t == "view", "verified").when(t == "click", "unsigned").when(t == "error", "rejected").alias("outcome")))
+
+
+@query("""WITH l AS (SELECT user_id AS service, arg_max(event_type, event_id) AS t, 'd' || max(event_id) % 3 AS digest FROM events GROUP BY 1), h AS (SELECT user_id AS service, unnest(['read', 'drop']) AS tool, 'd' || user_id % 3 AS digest FROM (SELECT DISTINCT user_id FROM events))
+ SELECT h.service, tool, h.digest, CASE WHEN tool = 'drop' OR l.t NOT IN ('view', 'click') THEN 'gone' WHEN l.digest <> h.digest THEN 'changed' ELSE 'ok' END AS state FROM h JOIN l USING (service)""")
+def r34_j9_verify_bindings(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    d = lambda c: F.concat(F.lit("d"), (F.col(c) % 3).cast("string"))
+    rows = e.select(F.col("user_id").alias("service"), F.col("event_id").alias("rowid"), F.when(F.col("event_type").isin("view", "click"), "approved").otherwise("pending").alias("state"), d("event_id").alias("digest"), F.array(F.lit("read"), F.lit("write")).alias("tools"))
+    held = e.select("user_id").distinct().select(F.col("user_id").alias("service"), F.explode(F.array(F.lit("read"), F.lit("drop"))).alias("tool"), d("user_id").alias("digest"))
+    return registry.verify_bindings(held, rows)
+
+
+@query("SELECT user_id AS source_id, min(event_id) AS rowid FROM events WHERE event_type = 'view' GROUP BY 1 UNION ALL SELECT user_id, min(event_id) FROM events WHERE event_type <> 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'view') GROUP BY 1")
+def x33_observed(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("source_id"), F.col("event_id").alias("rowid"), "event_type")
+    held = e.where("event_type = 'view'").groupBy("source_id").agg(F.min("rowid").alias("rowid"))
+    return registry.observed(held, e.where("event_type <> 'view'").drop("event_type"))
+
+
+@query("""WITH t AS (SELECT 't' || n_nationkey AS id, 's' || n_regionkey AS ref FROM nation), c AS (SELECT CASE WHEN c_custkey % 50 = 0 THEN ' ' ELSE 'c' || c_custkey // 2 END AS id, 't' || c_custkey % 40 AS ref FROM customer)
+ SELECT 'techniques' AS entity, id, ref, 'unknown_stages' AS problem FROM t WHERE ref = 's4' UNION ALL SELECT 'cases', id, ref, 'unknown_techniques' FROM c WHERE ref NOT IN (SELECT id FROM t) UNION ALL SELECT 'cases', id, NULL, 'duplicate_id' FROM c GROUP BY 2 HAVING count(*) > 1
+ UNION ALL SELECT 'cases', id, NULL, 'blank_id' FROM c WHERE id = ' '""")
+def j3_validate_catalog(spark, sf_dir):
+    name = lambda p, x: F.concat(F.lit(p), x.cast("string"))
+    c = F.col("c_custkey")
+    stages = read(spark, sf_dir, "region").where("r_regionkey < 4").select(name("s", F.col("r_regionkey")).alias("id"))
+    techniques = read(spark, sf_dir, "nation").select(name("t", F.col("n_nationkey")).alias("id"), F.array(name("s", F.col("n_regionkey"))).alias("stages"))
+    cases = read(spark, sf_dir, "customer").select(F.when(c % 50 == 0, " ").otherwise(name("c", F.floor(c / 2))).alias("id"), F.array(name("t", c % 40)).alias("techniques"))
+    return joins.validate_catalog({"stages": stages, "techniques": techniques, "cases": cases})

@@ -225,3 +225,9 @@ def history(rows: DataFrame, key: str, version: str) -> DataFrame:
     """rows of each key in order of version: step from 1, and latest on the last one."""
     by = Window.partitionBy(key).orderBy(version)
     return rows.withColumn("step", F.row_number().over(by)).withColumn("latest", F.lead(version).over(by).isNull())
+
+
+def status(rows: DataFrame) -> DataFrame:
+    """The log's state in one row: records, sessions, the newest row and its time, what was blocked, and what still waits for an answer."""
+    waiting = F.col("user_decision").isNull() & F.col("action").isin("Block", "Alert")
+    return rows.agg(F.count("*").alias("records"), F.countDistinct("agent_session_id").alias("sessions"), F.max("rowid").alias("last_rowid"), F.max_by("timestamp_ms", "rowid").alias("last_ms"), F.count_if(F.col("action") == "Block").alias("blocked"), F.count_if(waiting).alias("waiting"))

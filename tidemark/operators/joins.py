@@ -28,6 +28,23 @@ def dangling(rows: DataFrame, refs: str, ids: DataFrame, id_col: str = "id", wha
     return each.join(known, "ref", "left_anti").select("id", "ref", F.lit(what).alias("problem"))
 
 
+#: References of a knowledge catalog: entity, its column of references, the entity they name.
+CATALOG = (("techniques", "stages", "stages"), ("cases", "techniques", "techniques"), ("rules", "techniques", "techniques"), ("scenarios", "rules", "rules"), ("coverage", "rules", "rules"), ("coverage", "scenarios", "scenarios"))
+
+
+def validate_catalog(entities: dict[str, DataFrame], relations=CATALOG) -> DataFrame:
+    """Problems (entity, id, ref, problem) of a catalog of frames (id, and arrays of references): repeated ids, blank ids, and references to nothing."""
+    none = F.lit(None).cast("string")
+    out = []
+    for name, rows in entities.items():
+        out.append(duplicates(rows, "id").select(F.lit(name).alias("entity"), "id", none.alias("ref"), F.lit("duplicate_id").alias("problem")))
+        out.append(rows.where(F.trim(F.coalesce("id", F.lit(""))) == "").select(F.lit(name).alias("entity"), "id", none.alias("ref"), F.lit("blank_id").alias("problem")))
+    for name, column, target in relations:
+        if name in entities and target in entities:
+            out.append(dangling(entities[name], column, entities[target], what=f"unknown_{target}").select(F.lit(name).alias("entity"), "id", "ref", "problem"))
+    return union_all(*out)
+
+
 def verify_coverage(surfaces: DataFrame, papers: DataFrame, rules: DataFrame, scenarios: DataFrame, emitted: DataFrame) -> DataFrame:
     """Problems (id, ref, problem) of surfaces (id, paper, status, rules, scenarios, note): unknown papers, rules and scenarios, failing
     scenarios, rules that nothing emits, missing notes, and attack scenarios that no surface claims.

@@ -146,3 +146,27 @@ def content_views(captures: DataFrame) -> DataFrame:
     shown = F.make_valid_utf8(F.col("raw").cast("string"))
     views = F.slice(F.array_distinct(F.concat(text.matching_views(shown), F.when(shown == F.col("visible"), F.array().cast("array<string>")).otherwise(text.matching_views(F.col("visible"))))), 1, 64)
     return captures.select("id", "origin", F.sha2("raw", 256).alias("sha256"), F.octet_length("raw").alias("bytes"), decoded.isNotNull().alias("utf8_valid"), state.alias("state"), views.alias("views"))
+
+
+def bindings(rows: DataFrame, service: str = "service") -> DataFrame:
+    """(service, tool, digest) of every tool of a service whose latest registry row (service, rowid, state, digest, tools) is approved."""
+    now = latest(rows, service, "rowid").where("state = 'approved'")
+    return now.select(service, F.explode("tools").alias("tool"), "digest")
+
+
+def verify_bindings(held: DataFrame, rows: DataFrame, service: str = "service") -> DataFrame:
+    """held bindings (service, tool, digest) with state: 'ok', 'changed' where the registered manifest is another one by now, or 'gone'."""
+    now = bindings(rows, service).withColumnRenamed("digest", "now")
+    state = F.when(F.col("now").isNull(), "gone").when(F.col("now") != F.col("digest"), "changed").otherwise("ok")
+    return held.join(now, [service, "tool"], "left").withColumn("state", state).drop("now")
+
+
+def observed(sources: DataFrame, new: DataFrame, id_col: str = "source_id") -> DataFrame:
+    """sources with those rows of new whose id isn't there yet; of several with one id the first by rowid."""
+    first = new.groupBy(id_col).agg(F.min_by(F.struct("*"), "rowid").alias("r")).select("r.*")
+    return sources.unionByName(first.join(sources.select(id_col), id_col, "left_anti").select(sources.columns))
+
+
+def ingress_counts(rows: DataFrame, adapter: str = "adapter_id") -> DataFrame:
+    """How many events of each adapter came verified, unsigned and rejected (column outcome)."""
+    return rows.groupBy(adapter).agg(*[F.count_if(F.col("outcome") == k).alias(k) for k in ("verified", "unsigned", "rejected")])
