@@ -254,16 +254,17 @@ def j11_diff_files(spark, sf_dir):
     return joins.diff_files(old, new)
 
 
-@query("""WITH s AS (SELECT event_id // 3 AS a, event_id, event_id % 3 AS k, user_id FROM events), g AS (SELECT a, max(CASE WHEN k = 0 THEN event_id END) AS d, max(CASE WHEN k = 1 THEN event_id END) AS s, max(CASE WHEN k = 2 AND a % 4 <> 0 THEN event_id END) AS f, min(user_id) AS u FROM s GROUP BY 1)
- SELECT CAST(a AS VARCHAR) AS action_id, CASE WHEN f IS NOT NULL THEN 'tool_returned_effects_unknown' WHEN s IS NOT NULL THEN 'started_without_result' ELSE 'decided_not_started' END AS state FROM g""")
+@query("""WITH s AS (SELECT event_id // 3 AS a, event_id, event_id % 3 AS k FROM events), g AS (SELECT a, max(CASE WHEN k = 0 THEN event_id END) AS d, max(CASE WHEN k = 1 THEN event_id END) AS s, max(CASE WHEN k = 2 AND a % 4 <> 0 THEN event_id END) AS f FROM s GROUP BY 1),
+ r AS (SELECT *, d IS NOT NULL AND a % 5 = 0 AS refuse, CASE WHEN f IS NOT NULL THEN CASE WHEN d IS NULL AND s IS NULL THEN 'terminal_without_prior' ELSE 'tool_returned_effects_unknown' END WHEN s IS NOT NULL THEN 'started_without_result' WHEN a % 5 = 0 THEN 'refused' ELSE 'decided_not_started' END AS state, NOT (s IS NOT NULL AND d IS NOT NULL AND a % 5 = 0) AS valid FROM g)
+ SELECT CAST(a AS VARCHAR) AS action_id, state, valid, CASE WHEN NOT valid THEN 'unknown' WHEN state = 'refused' THEN 'blocked' WHEN state = 'tool_returned_effects_unknown' THEN 'record' ELSE 'unknown' END AS classification, greatest(coalesce(d, -1), coalesce(s, -1), coalesce(f, -1)) AS last FROM r WHERE d IS NOT NULL OR s IS NOT NULL OR f IS NOT NULL""")
 def j8_execution_view(spark, sf_dir):
     e = read(spark, sf_dir, "events").withColumn("a", F.floor(F.col("event_id") / 3)).withColumn("k", F.col("event_id") % 3)
     rows = e.where("k <> 2 or a % 4 <> 0").select(
         F.concat(F.col("a").cast("string"), F.when(F.col("k") == 0, "/decision").when(F.col("k") == 2, "/result").otherwise("")).alias("id"), F.col("event_id").alias("rowid"),
         F.when(F.col("k") == 0, "GatewayDecision").when(F.col("k") == 1, "GatewayExecutionStarted").otherwise("GatewayExecutionFinished").alias("event_type"),
-        F.when(F.col("k") == 0, "execute").when(F.col("k") == 1, "started").otherwise("success").alias("action"), (F.col("k") == 2).alias("dispatched"),
+        F.when(F.col("k") == 0, F.when(F.col("a") % 5 == 0, "refuse").otherwise("execute")).when(F.col("k") == 1, "started").otherwise("success").alias("action"), (F.col("k") == 2).alias("dispatched"),
     )
-    return joins.execution_view(rows).select("action_id", "state")
+    return joins.execution_view(rows)
 
 
 @query("""WITH r AS (SELECT event_id, user_id, CAST(floor(value) AS BIGINT) % 3 AS digest, CASE event_id % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'approved' ELSE 'revoked' END AS state FROM events),
@@ -373,11 +374,13 @@ def t23_log_safe(spark, sf_dir):
 
 
 @query("""WITH p AS (SELECT page_id, '/' || regexp_replace(url, '^[a-z]+://', '') AS path FROM pages), c AS (SELECT page_id, list_filter(string_split(path, '/'), lambda x: x <> '') AS c FROM p)
- SELECT page_id, len(c) >= 2 AND c[2] = 'en' AS inside, 'read' AS intent FROM c""")
+ SELECT page_id, len(c) >= 2 AND c[2] = 'en' AS inside, CASE page_id % 4 WHEN 0 THEN 'read' WHEN 1 THEN 'delete' WHEN 2 THEN 'write' ELSE 'delete' END AS intent FROM c""")
 def f30_paths(spark, sf_dir):
     p = read(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("/"), F.regexp_replace("url", "^[a-z]+://", "")).alias("path"))
     first = F.get(paths.parts(F.col("path")), F.lit(0))
-    return p.select("page_id", paths.is_within(F.concat(F.lit("/"), first, F.lit("/en")), F.col("path")).alias("inside"), paths.infer_intent(F.lit("open"), F.array("path")).alias("intent"))
+    verb = F.get(F.array(*map(F.lit, ("ls", "rm", "tee", "find"))), (F.col("page_id") % 4).cast("int"))
+    args = F.when(F.col("page_id") % 4 == 3, F.array(F.lit("-delete"))).otherwise(F.array(F.lit("x1")))
+    return p.select("page_id", paths.is_within(F.concat(F.lit("/"), first, F.lit("/en")), F.col("path")).alias("inside"), paths.infer_intent(verb, args).alias("intent"))
 
 
 @query("SELECT c_custkey, CASE WHEN contains(lower(c_mktsegment), 'auto') THEN 'seg' ELSE 'none' END AS kind, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'high' ELSE 'low' END AS tier, (('0x' || substr(sha256(encode('tidemark.rollout.v1') || '\\x00'::BLOB || encode('[\"stable\",\"s1\",\"device-' || CAST(c_custkey AS VARCHAR) || '\"]')), 1, 8))::BIGINT % 10000) < 2500 AS selected FROM customer")
@@ -521,10 +524,13 @@ def m12_scenario_runs(spark, sf_dir):
     return evals.report(run).select("total", "passed", "attacks", "attack_misses", "benign_interventions")
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS id, sha256(text) AS sha256, octet_length(encode(text))::INT AS bytes, true AS utf8_valid, CASE WHEN doc_id % 4 = 0 THEN 'truncated' ELSE 'complete' END AS state FROM documents")
+@query("""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN encode(text) || '\\xFF'::BLOB ELSE encode(text) END AS raw, doc_id % 5 <> 0 AS fine FROM documents)
+ SELECT CAST(doc_id AS VARCHAR) AS id, sha256(raw) AS sha256, octet_length(raw)::INT AS bytes, fine AS utf8_valid, CASE WHEN doc_id % 4 = 0 THEN 'truncated' WHEN NOT fine THEN 'unsupported_encoding' ELSE 'complete' END AS state, CASE WHEN fine THEN 1 ELSE 2 END AS n_views FROM d""")
 def t45_content_views(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.lit("stdout").alias("origin"), F.col("text").cast("binary").alias("raw"), (F.col("doc_id") % 4 != 0).alias("complete"), F.col("text").alias("visible"))
-    return registry.content_views(d).select("id", "sha256", "bytes", "utf8_valid", "state")
+    """Every fifth stream ends in a byte that is no UTF-8, so it is read besides what is visible."""
+    raw = F.when(F.col("doc_id") % 5 == 0, F.concat(F.col("text").cast("binary"), F.unhex(F.lit("FF")))).otherwise(F.col("text").cast("binary"))
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.lit("stdout").alias("origin"), raw.alias("raw"), (F.col("doc_id") % 4 != 0).alias("complete"), F.col("text").alias("visible"))
+    return registry.content_views(d).select("id", "sha256", "bytes", "utf8_valid", "state", F.size("views").alias("n_views"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, epoch_us(ts) // 1000 AS ms FROM events),
