@@ -139,12 +139,12 @@ def repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize("bucket, frequent, piece", [(20_000, 64, 1 << 20), (1, 64, 1 << 20), (20_000, 2, 1 << 20), (20_000, 64, 700)])
+@pytest.mark.parametrize("bucket, frequent, piece", [(20_000, 64, sd.PIECE), (1, 64, sd.PIECE), (20_000, 2, sd.PIECE), (20_000, 64, 700)])
 def test_substrings_table(spark, monkeypatch, bucket, frequent, piece):
     monkeypatch.setattr(sd, "BUCKET", bucket)
     monkeypatch.setattr(sd, "FREQUENT", frequent)
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    if piece != 1 << 20:
+    if piece == 700:
         import pyarrow as pa
 
         monkeypatch.setattr(sd, "PIECE", piece)

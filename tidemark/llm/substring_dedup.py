@@ -33,7 +33,7 @@ BUCKET = 20_000
 #: batch is counted at all; strings with more than BUCKET runs in such batches are frequent as well.
 FREQUENT, COUNTED = 64, 8
 #: Window starts worked on at a time; 22 bits of a sort key hold a place in such a piece.
-PIECE = 1 << 20
+PIECE = 1 << 18
 PLACE = np.uint64((1 << 22) - 1)
 
 _powers: dict[str, np.ndarray] = {}
