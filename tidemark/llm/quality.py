@@ -3,7 +3,8 @@
 DataFrame functions only. A document's histograms of character classes and of its language's commonest words are compared with
 those of its language by Jensen-Shannon distance. A language's reference is the sum over all its documents that pass the base rule, so
 repetitive and tiny junk has no part in it; there is one row for each listed language and one for the rest, so what the driver reads has a
-fixed size. Texts are read once: their counts go to a table, from which references and verdicts come.
+fixed size. quality_rules reads texts once: their counts go to a table, from which references and verdicts come. quality_filter reads them
+twice, because a table of whole rows would be another copy of the corpus.
 """
 
 from __future__ import annotations
@@ -108,7 +109,7 @@ def language(lang: Column) -> Column:
 
 
 def counted(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """A table of docs with a struct column __q of what is counted in each text: language, code points, base features, base_failed and histograms."""
+    """docs with a struct column __q of what is counted in each text: language, code points, base features, base_failed and histograms."""
     lang = language(F.col(lang_col))
     rows = docs.select("*", lang.alias("__l"), base_features(F.col(text_col)).alias("__b"), histograms(F.col(text_col), lang).alias("__h"))
     b = F.col("__b")
@@ -156,5 +157,5 @@ def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     """The rows of docs that are kept, columns as they are."""
     names = [f"`{c}`" for c in docs.columns]
     rows = docs.select(F.struct(*names).alias("row"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = table(counted(rows).select("row", "__q"), "quality-counts")
+    rows = counted(rows).select("row", "__q")
     return judged(rows, references(rows)).where("quality.kept").select("row.*")

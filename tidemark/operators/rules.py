@@ -203,7 +203,7 @@ def decide(events: DataFrame, rules: Sequence[dict], domains: DataFrame, injecti
     own = (
         F.when(e == "process_focus", decision("log_only", "info", "APP-FOCUS", F.concat(F.lit("Foreground app: "), F.col("source_app"))))
         .when(e == "permission_request", F.when(key.isin(list(high_keys)), from_mode("require_confirm", "PRIV-OP", F.concat(F.lit("Agent requested HIGH-tier profile key '"), key, F.lit("'")), "high")).otherwise(decision(*ALLOW)))
-        .when(e == "memory_write", decision("block", "medium", "PRIV-004", "Agent attempting to persist user preference/memory", True))
+        .when(e == "memory_write", decision("block", "medium", "PRIV-004", "something about the user is to be kept in memory", True))
         .when(e == "user_query", decision("allow", "info", "USER-QUERY", "Agent asked the user instead of guessing"))
         .otherwise(decision(*ALLOW))
     )
