@@ -77,8 +77,8 @@ def probe_events(scenario: dict) -> list[dict]:
             add("permission_request", item_key=k, necessity="required", granted="true")
         if kind == "critical_action" and p.get("match_any_text"):
             add("ui_tree_delta", ui_text=p["match_any_text"][0])
-        for d in p.get("domains", [])[:1]:
-            add("ui_tree_delta", url=f"https://{d}/", ui_text="")
+        if kind == "intel_domain" and p.get("match_any_text"):
+            add("ui_tree_delta", url=f"https://{p['match_any_text'][0]}/", ui_text="")
     return out
 
 
