@@ -111,34 +111,47 @@ def language(lang: Column) -> Column:
 def counted(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs with a struct column __q of what is counted in each text: language, code points, base features, base_failed and histograms."""
     lang = language(F.col(lang_col))
-    rows = docs.select("*", lang.alias("__l"), base_features(F.col(text_col)).alias("__b"), histograms(F.col(text_col), lang).alias("__h"))
-    b = F.col("__b")
-    failed = (b["n_words"] < MIN_WORDS) | (100 * b["n_repeat_words"] > 50 * b["n_words"])
-    counts = F.struct(F.col("__l").alias("lang"), F.coalesce(F.length(text_col), F.lit(0)).alias("n_chars"), "__b.*", failed.alias("base_failed"), "__h.*")
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], counts.alias("__q"))
+
+    def of(s: Column) -> Column:
+        b, h = s["b"], s["h"]
+        failed = (b["n_words"] < MIN_WORDS) | (100 * b["n_repeat_words"] > 50 * b["n_words"])
+        base = [b[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+        return F.struct(s["l"].alias("lang"), s["n"].alias("n_chars"), *base, failed.alias("base_failed"), h["chars"].alias("chars"), h["common"].alias("common"))
+
+    parts = F.struct(lang.alias("l"), F.coalesce(F.length(text_col), F.lit(0)).alias("n"), base_features(F.col(text_col)).alias("b"), histograms(F.col(text_col), lang).alias("h"))
+    return docs.select("*", bind(parts, of).alias("__q"))
 
 
 def references(rows: DataFrame) -> list:
-    """Summed histograms of counted() rows that pass the base rule: a row (lang, chars, common) for each listed language, and lang '' for all other values."""
+    """Summed histograms of counted() rows that pass the base rule: a row (lang, chars, common) for each listed language, and lang '' for all other values.
+
+    Sums take nulls for the other rows; a filter would be pushed below the counting and count every text twice.
+    """
     n, m = len(CLASSES) + 3, max(map(len, COMMON_WORDS.values())) + 1
-    q = rows.where("not __q.base_failed").select("__q.lang", "__q.chars", "__q.common")
-    return q.groupBy("lang").agg(F.array(*[F.sum(F.get("chars", F.lit(i))) for i in range(n)]).alias("chars"), F.array(*[F.sum(F.get("common", F.lit(i))) for i in range(m)]).alias("common")).collect()
-
-
-def judged(rows: DataFrame, found: list, into: str = "quality") -> DataFrame:
-    """counted() rows with a struct column of the base features, both distances, base_failed and kept."""
-    q = F.col("__q")
-    ref = F.lit(None).cast("struct<chars:array<bigint>,common:array<bigint>>")
-    for r in found:
-        common = F.array(*[F.lit(x).cast("long") for x in r["common"]]) if r["lang"] else F.lit(None).cast("array<bigint>")
-        ref = F.when(q["lang"] == r["lang"], F.struct(F.array(*[F.lit(x).cast("long") for x in r["chars"]]).alias("chars"), common.alias("common"))).otherwise(ref)
-    far = bind(ref, lambda x: F.struct(distance(q["chars"], x["chars"]).alias("class_distance"), distance(q["common"], x["common"]).alias("word_distance")))
-    out = rows.withColumn("__d", far)
-    d = F.col("__d")
-    strange = ((q["n_chars"] >= MIN_CHARS) & (F.coalesce(d["class_distance"], F.lit(0.0)) > MAX_CLASS_DISTANCE)) | ((q["n_words"] >= MIN_COMMON) & (F.coalesce(d["word_distance"], F.lit(0.0)) > MAX_WORD_DISTANCE))
-    base = [q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    kept = (~q["base_failed"] & ~strange).alias("kept")
-    return out.select(*[F.col(f"`{c}`") for c in rows.columns if c != "__q"], F.struct(*base, "__d.*", q["base_failed"].alias("base_failed"), kept).alias(into))
+    used = bind(F.col("__q"), lambda q: F.struct(q["lang"].alias("lang"), F.when(~q["base_failed"], q["chars"]).alias("chars"), F.when(~q["base_failed"], q["common"]).alias("common")))
+    q = rows.select(used.alias("q")).select("q.*")
+    sums = q.groupBy("lang").agg(F.array(*[F.sum(F.get("chars", F.lit(i))) for i in range(n)]).alias("chars"), F.array(*[F.sum(F.get("common", F.lit(i))) for i in range(m)]).alias("common"), F.count("chars").alias("passed"))
+    return [r for r in sums.collect() if r["passed"]]  # a row for each language
+
+
+def verdict(q: Column, found: list) -> Column:
+    """Struct of the base features, both distances, base_failed and kept of a counted() struct; one expression in which the counts stand once."""
+
+    def of(q: Column) -> Column:
+        ref = F.lit(None).cast("struct<chars:array<bigint>,common:array<bigint>>")
+        for r in found:
+            common = F.array(*[F.lit(x).cast("long") for x in r["common"]]) if r["lang"] else F.lit(None).cast("array<bigint>")
+            ref = F.when(q["lang"] == r["lang"], F.struct(F.array(*[F.lit(x).cast("long") for x in r["chars"]]).alias("chars"), common.alias("common"))).otherwise(ref)
+        far = bind(ref, lambda x: F.struct(distance(q["chars"], x["chars"]).alias("class_distance"), distance(q["common"], x["common"]).alias("word_distance")))
+        base = [q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+
+        def judged(d: Column) -> Column:
+            strange = ((q["n_chars"] >= MIN_CHARS) & (F.coalesce(d["class_distance"], F.lit(0.0)) > MAX_CLASS_DISTANCE)) | ((q["n_words"] >= MIN_COMMON) & (F.coalesce(d["word_distance"], F.lit(0.0)) > MAX_WORD_DISTANCE))
+            return F.struct(*base, d["class_distance"].alias("class_distance"), d["word_distance"].alias("word_distance"), q["base_failed"].alias("base_failed"), (~q["base_failed"] & ~strange).alias("kept"))
+
+        return bind(far, judged)
+
+    return bind(q, of)
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -150,7 +163,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = table(counted(docs).select("id", "__q"), "quality-counts")
-    return judged(rows, references(rows)).select(F.col("id").alias(id_col), "quality.*")
+    return rows.select(F.col("id").alias(id_col), verdict(F.col("__q"), references(rows)).alias("quality")).select(id_col, "quality.*")
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -158,4 +171,4 @@ def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     names = [f"`{c}`" for c in docs.columns]
     rows = docs.select(F.struct(*names).alias("row"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = counted(rows).select("row", "__q")
-    return judged(rows, references(rows)).where("quality.kept").select("row.*")
+    return rows.where(verdict(F.col("__q"), references(rows))["kept"]).select("row.*")
