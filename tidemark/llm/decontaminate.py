@@ -98,7 +98,8 @@ def matches(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 0, id
             return F.flatten(F.transform("at", placed))
         return F.filter("at", lambda c: window_id(F.slice(w, c["start"] + 1, c["len"])) == c["wid"])
 
-    held = docs.join(found, ["doc", "row"]).select("doc", "row", bind(words(ascii_lower(F.col("text")), ALNUM_WORD), here).alias("at"))
+    # Texts meet their candidates by a sorted join at every size: what is true of a small table is then true of a large one.
+    held = docs.join(found.hint("merge"), ["doc", "row"]).select("doc", "row", bind(words(ascii_lower(F.col("text")), ALNUM_WORD), here).alias("at"))
     places = held.select("doc", "row", F.explode("at").alias("c")).select("doc", "row", "c.start", "c.wid", "c.len").distinct()
     return places.join(small(win.select("wid", "item").distinct(), 64), "wid").select("doc", "row", "start", "len", "item")
 
