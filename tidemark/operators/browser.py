@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.entities import luhn
 from tidemark.functions.fields import recipients_complete
@@ -27,7 +28,7 @@ DROPPED = "[\\x{AD}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{206F}\\x{
 MAX_TEXT, MAX_FINGERPRINTS, TEXT_PART, TITLE = 65_536, 500, 80, 120
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Compatibility composition, which has no built-in expression; ASCII is the same in it."""
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
