@@ -109,6 +109,23 @@ URLS = rf"""WITH p AS (SELECT page_id, url, epoch_us(TIMESTAMP '2024-01-01') //
  m AS (SELECT page_id, s.key, list FROM s JOIN v ON s.key = v.key AND action = 'add' AND day >= moment AND (until IS NULL OR day < until) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(s.key) DESC, list) = 1)
  SELECT p.page_id, url, host, key AS matched, list, CASE WHEN list = 'block' THEN 'block' ELSE 'keep' END AS verdict FROM p LEFT JOIN m USING (page_id)"""
 
+
+AUDIT = rf"""WITH RECURSIVE t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+ e AS (SELECT t, min(doc_id) AS first FROM t GROUP BY 1),
+ g AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+ d AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+  || CASE WHEN 100 * len(regexp_extract_all(t.t, '[A-Z]')) > 2 * length(t.t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t.t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > first THEN 'E' ELSE '' END AS fails
+  FROM t JOIN e ON t.t = e.t LEFT JOIN g USING (doc_id)),
+ c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM d GROUP BY 1, 2),
+ o AS (SELECT '' AS o UNION ALL SELECT o || f FROM o, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) AS l(f) WHERE NOT contains(o, f)),
+ s AS (SELECT o AS filter_order, k::INT AS step, o[k] AS f, o[1:k - 1] AS before FROM o, range(1, 6) AS r(k) WHERE length(o) = 5),
+ r AS (SELECT part, filter_order, step, f, sum(n) FILTER (translate(fails, before || f, '') = fails)::BIGINT AS kept, sum(n) FILTER (contains(fails, f) AND translate(fails, before, '') = fails)::BIGINT AS removed,
+  sum(n) FILTER (contains(fails, f) AND translate(fails, before, '') <> fails)::BIGINT AS redundant, sum(n) FILTER (fails = f)::BIGINT AS unique_fails,
+  sum(good) FILTER (contains(fails, f) AND translate(fails, before, '') = fails)::BIGINT AS good_lost, sum(toxic) FILTER (contains(fails, f) AND translate(fails, before, '') = fails)::BIGINT AS toxic_lost
+  FROM c, s GROUP BY 1, 2, 3, 4)
+ SELECT part, filter_order, step, coalesce(kept, 0) AS kept, coalesce(removed, 0) AS removed, coalesce(redundant, 0) AS redundant, coalesce(unique_fails, 0) AS unique_fails, coalesce(good_lost, 0) AS good_lost, coalesce(toxic_lost, 0) AS toxic_lost,
+ coalesce(sum(removed) OVER (PARTITION BY part, f), 0)::BIGINT AS shapley FROM r"""
+
 SQL: dict[str, str] = {
     "op3_quality_rules": _quality(),
     "op4_benchmark_decontamination": _decontamination(),
@@ -117,4 +134,5 @@ SQL: dict[str, str] = {
     "op8_url_filters": URLS,
     "op9_line_dedup": LINES,
     "op10_sharding": shards(SHARD_BYTES),
+    "op13_filter_interaction_audit": AUDIT,
 }

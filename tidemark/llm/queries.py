@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import oracles
 from tidemark.llm.common import key_hash
 from tidemark.llm.decontaminate import decontaminate
+from tidemark.llm.filter_audit import audited_documents, filter_audit
 from tidemark.llm.html_extract import html_extract
 from tidemark.llm.license_scan import license_scan
 from tidemark.llm.line_dedup import line_dedup
@@ -97,8 +98,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_plan(_read(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove at each step of each of their orders, by source."""
+    return filter_audit(audited_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")), list("ABCDE"), "source", ["good", "toxic"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_ngram_jaccard_join, op2_suffix_array_dedup, op3_quality_rules, op4_benchmark_decontamination, op5_html_extraction, op6_license_scans, op7_mixing_sources, op8_url_filters, op9_line_dedup, op10_sharding]
+    found = [op1_ngram_jaccard_join, op2_suffix_array_dedup, op3_quality_rules, op4_benchmark_decontamination, op5_html_extraction, op6_license_scans, op7_mixing_sources, op8_url_filters, op9_line_dedup, op10_sharding, op13_filter_interaction_audit]
     return {f.__name__: f for f in found}
 
 
