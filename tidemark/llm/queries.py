@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import oracles
 from tidemark.llm.common import key_hash
+from tidemark.llm.cross_polytope import nearest
 from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.filter_audit import audited_documents, filter_audit
 from tidemark.llm.html_extract import html_extract
@@ -104,13 +105,18 @@ def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame
     return conversation_trie(_read(spark, sf_dir, "conversations"))
 
 
+def op12_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of each twentieth vector among all others."""
+    return nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters remove at each step of each of their orders, by source."""
     return filter_audit(audited_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")), list("ABCDE"), "source", ["good", "toxic"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_ngram_jaccard_join, op2_suffix_array_dedup, op3_quality_rules, op4_benchmark_decontamination, op5_html_extraction, op6_license_scans, op7_mixing_sources, op8_url_filters, op9_line_dedup, op10_sharding, op11_conversation_prefix_trie, op13_filter_interaction_audit]
+    found = [op1_ngram_jaccard_join, op2_suffix_array_dedup, op3_quality_rules, op4_benchmark_decontamination, op5_html_extraction, op6_license_scans, op7_mixing_sources, op8_url_filters, op9_line_dedup, op10_sharding, op11_conversation_prefix_trie, op12_approximate_nearest_neighbours, op13_filter_interaction_audit]
     return {f.__name__: f for f in found}
 
 
