@@ -68,14 +68,14 @@ def shard_plan(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: st
 
 
 def shard(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text", shard_col: str = "shard") -> DataFrame:
-    """docs with the column shard_col: the shard's prefix bits behind its depth, as in 3-101."""
+    """docs with the column shard_col: the shard's prefix bits behind its depth, as in 3-101. A column that docs has by that name, in any case, is replaced."""
     rows = table(docs.select(key_hash(F.col(id_col)).alias("h"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes")), "shard-rows")
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key_hash(F.col(id_col)).alias("h"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != shard_col.lower()]).alias("row"), key_hash(F.col(id_col)).alias("h"))
     name = F.concat(F.col("depth").cast("string"), F.lit("-"), F.expr("lpad(conv(prefix, 10, 2), depth, '0')"))
     return assign(whole, directory(rows, limit)).select("row.*", name.alias(shard_col))
 
 
 def write_shards(docs: DataFrame, path: str, limit: int, **names) -> None:
     """One folder of Parquet for each shard; rows of a shard are written by one task."""
-    out = shard(docs, limit, **names)
-    out.repartition("shard").write.partitionBy("shard").parquet(path)
+    name = names.get("shard_col", "shard")
+    shard(docs, limit, **names).repartition(name).write.partitionBy(name).parquet(path)
