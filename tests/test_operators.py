@@ -1,6 +1,7 @@
 """Operators on small frames: ties, nulls, tampered logs, provenance, queues, frames, trees, traces."""
 
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -192,17 +193,110 @@ def test_malicious_hosts_keep_repeated_rows(spark):
     assert {tuple(r) for r in out.where("id in (1, 3)").select(flow["rule_id"], flow["human_message"]).collect()} == {("INTEL-DOMAIN", "Suspicious egress host: a.bad.com"), ("PRIV-005", "Large upload 5000000 bytes to bad.com.org")}
 
 
-def test_closure_has_no_depth(spark):
-    chain = spark.createDataFrame([(str(i), str(i + 1)) for i in range(45)] + [("a", "b"), ("b", "a")], "node string, parent string")
-    got = {(r["node"], r["ancestor"]): r["depth"] for r in taint.closure(chain).collect()}
-    assert got[("0", "45")] == 45 and sum(k[0] == "0" for k in got) == 45 and got[("a", "b")] == 1 and got[("a", "a")] == 2
+def test_lineage_and_climb_by_pointer_doubling(spark):
+    n = 100_000
+    chain = spark.range(n).select((F.col("id") + 1).cast("string").alias("node"), F.when(F.col("id") > 0, F.col("id").cast("string")).alias("parent"), ((F.col("id") * 7919 + 13) % 100_003).alias("limit"), F.lit(0).cast("long").alias("used"))
+    limits = [(i * 7919 + 13) % 100_003 for i in range(n)]
+    got = {int(r["node"]): r["remaining"] for r in taint.remaining(chain).where("node in ('1', '500', '50000', '100000')").collect()}
+    assert got == {k: min(limits[:k]) for k in (1, 500, 50_000, 100_000)}
+    far = {r["node"]: (r["root"], r["depth"]) for r in taint.lineage(chain).where("node in ('2', '77', '100000')").collect()}
+    assert far == {"2": ("1", 1), "77": ("1", 76), "100000": ("1", 99_999)}
+    assert taint.revoked(chain, spark.createDataFrame([("99990",), ("gone",)], "node string")).count() == 12
+    loop = spark.createDataFrame([("a", "b", 3, 0), ("b", "a", 2, 0)], "node string, parent string, limit long, used long")
+    with pytest.raises(ValueError, match="circle"):
+        taint.remaining(loop)
+    orphan = spark.createDataFrame([("a", "nobody", 3, 1), ("b", "a", None, 0), ("c", "b", 9, 0)], "node string, parent string, limit long, used long")
+    assert {r["node"]: r["remaining"] for r in taint.remaining(orphan).collect()} == {"a": 2, "b": 2, "c": 2}
+    assert {r["node"] for r in taint.revoked(orphan, spark.createDataFrame([("nobody",)], "node string")).collect()} == {"nobody", "a", "b", "c"}
+
+
+@pytest.fixture
+def many_partitions(spark):
+    held = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    for k, v in held.items():
+        spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def uses(n: int, seed: int) -> list:
+    """Uses of 60 keys, one of them a third of all, in stretches that dwell on a few keys; times repeat and run through the table in no order."""
+    rng = random.Random(seed)
+    rows = [(i, i // 3, rng.choice(["hot", None, *[f"k{rng.randrange(60) if i // 200 % 2 else rng.randrange(9)}"] * 2])) for i in range(n)]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("fan, capacity", [(2, 5), (8, 12), (1024, 0), (1024, 40)])
+def test_cache_is_exact(spark, monkeypatch, many_partitions, fan, capacity):
+    from collections import OrderedDict
+
+    from tidemark.operators import cache, scale
+
+    monkeypatch.setattr(scale, "FAN", fan)
+    rows = uses(400 if fan == 2 else 900, capacity)
+    got = {r["rowid"]: (r["hit"], r["evicts"], r["life"], r["use"]) for r in cache.lru(spark.createDataFrame(rows, "rowid long, t long, key string"), "key", [F.col("t"), F.col("rowid")], capacity).collect()}
+    held, want = OrderedDict(), {}
+    for use, (i, _, key) in enumerate(sorted(rows, key=lambda r: (r[1], r[0]))):
+        hit, out = key in held, None
+        if not hit:
+            if len(held) >= max(1, capacity):
+                out = held.popitem(last=False)[0]
+            held[key] = use
+        held.move_to_end(key)
+        want[i] = (hit, out, held[key], use)
+    assert got == want
+
+
+def test_cache_of_little(spark):
+    from tidemark.operators import cache
+
+    d = spark.createDataFrame([(1, "a"), (2, "a")], "rowid long, key string")
+    assert sorted((r["rowid"], r["hit"], r["reuse"]) for r in cache.lru(d, "key", [F.col("rowid")], 1).collect()) == [(1, False, None), (2, True, 0)]
+    assert cache.lru(d.limit(0), "key", [F.col("rowid")], 3).count() == 0
+
+
+def test_bounded_throttle(spark, many_partitions):
+    """Against the table itself, entry by entry."""
+    from tidemark.operators import cache
+
+    rows = [(i, 700 * (i // 2), k) for i, _, k in uses(600, 3) if k]
+    got = {r["rowid"]: (r["emit"], r["repeats"]) for r in cache.observe(spark.createDataFrame(rows, "rowid long, timestamp_ms long, key string"), "key", window_ms=20_000, capacity=10).collect()}
+    table, want = {}, {}
+    for i, t, key in sorted(rows, key=lambda r: (r[1], r[0])):
+        if key in table:
+            e = table[key]
+            e["last"] = i
+            if t - e["emit"] >= 20_000:
+                want[i], e["held"], e["emit"] = (True, e["held"]), 0, t
+            else:
+                e["held"] += 1
+                want[i] = (False, e["held"])
+            continue
+        if len(table) >= 10:
+            del table[min(table, key=lambda k: table[k]["last"])]
+        table[key] = {"last": i, "emit": t, "held": 0}
+        want[i] = (True, 0)
+    assert got == want and len({v for v in want.values()}) > 5
+
+
+@pytest.mark.parametrize("fan", [4, 1024])
+def test_dominance_counts(spark, monkeypatch, many_partitions, fan):
+    from tidemark.operators import scale
+
+    monkeypatch.setattr(scale, "FAN", fan)
+    rng = random.Random(fan)
+    x, y = rng.sample(range(2000), 700), rng.sample(range(5000), 700)
+    got = {(r["x"], r["y"]): r["n"] for r in scale.dominance(spark.createDataFrame(list(zip(x, y, strict=True)), "x long, y long"), "n").collect()}
+    assert got == {(a, b): sum(c < a and d > b for c, d in zip(x, y, strict=True)) for a, b in zip(x, y, strict=True)}
 
 
 def test_ranks_without_one_task(spark):
     from tidemark.operators import scale
 
     hosts_ = [f"{w}{i % 37}.{i}.org" for i, w in enumerate(["www.", "a", "é", "", "zz"] * 60)]
-    got = scale.ranked(spark.createDataFrame([(h,) for h in hosts_], "h string"), scale.text_key(F.col("h")), [F.col("h")], "id").collect()
+    got = scale.ranked(spark.createDataFrame([(h,) for h in hosts_], "h string").repartition(5), [F.col("h")], "id").collect()
     assert [r["h"] for r in sorted(got, key=lambda r: r["id"])] == sorted(hosts_, key=lambda x: x.encode()) and sorted(r["id"] for r in got) == list(range(1, 301))
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import audit, browser, evals, joins, registry, rules, sessions, taint, trajectory
+from tidemark.operators import audit, browser, cache, evals, joins, registry, rules, sessions, taint, trajectory
 from tidemark.queries import AUDIT_SQL, CHAIN_SQL, audit_rows, query, read
 from tidemark.sources import config, envelopes
 
@@ -100,6 +101,35 @@ def x30_reserve(spark, sf_dir):
     return registry.reserve(asked, limits).select(F.col("rowid").alias("event_id"), "granted")
 
 
+@query("""WITH e AS (SELECT event_id, user_id % 97 * 7 + CAST(floor(value) AS BIGINT) % 7 AS k, row_number() OVER (ORDER BY ts, event_id) - 1 AS n FROM events), p AS (SELECT *, lag(n) OVER (PARTITION BY k ORDER BY n) AS l, lead(n) OVER (PARTITION BY k ORDER BY n) AS f FROM e),
+ d AS (SELECT a.n, count(DISTINCT b.k) AS reuse FROM p a JOIN p b ON b.n > a.l AND b.n < a.n GROUP BY 1), r AS (SELECT p.*, CASE WHEN l IS NOT NULL THEN coalesce(reuse, 0) END AS reuse FROM p LEFT JOIN d USING (n)), h AS (SELECT *, coalesce(reuse < 40, false) AS hit FROM r),
+ v AS (SELECT m.n, u.k, row_number() OVER (PARTITION BY m.n ORDER BY u.n DESC) AS place FROM h m JOIN h u ON u.n < m.n AND (u.f IS NULL OR u.f >= m.n) WHERE NOT m.hit)
+ SELECT event_id, reuse, hit, max(h.n) FILTER (NOT hit) OVER (PARTITION BY h.k ORDER BY h.n) AS life, v.k AS evicts FROM h LEFT JOIN v ON v.n = h.n AND v.place = 40""")
+def x10_cache_evictions(spark, sf_dir):
+    """All events through one cache of 40 keys: what is found there, since when, and which key has to go."""
+    e = read(spark, sf_dir, "events").select("event_id", "ts", (F.col("user_id") % 97 * 7 + F.floor("value") % 7).alias("k"))
+    return cache.lru(e, "k", [F.col("ts"), F.col("event_id")], 40).select("event_id", "reuse", "hit", "life", "evicts")
+
+
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id AS k, epoch_us(ts) // 1000 AS t, row_number() OVER (ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events), p AS (SELECT *, lag(n) OVER (PARTITION BY k ORDER BY n) AS l FROM e),
+ d AS (SELECT a.n, count(DISTINCT b.k) AS reuse FROM p a JOIN p b ON b.n > a.l AND b.n < a.n GROUP BY 1), h AS (SELECT p.*, l IS NOT NULL AND coalesce(reuse, 0) < 8 AS hit FROM p LEFT JOIN d USING (n)),
+ g AS (SELECT *, sum((NOT hit)::INT) OVER (PARTITION BY k ORDER BY n) AS life FROM h), q AS (SELECT *, row_number() OVER (PARTITION BY k, life ORDER BY n) AS i FROM g),
+ s AS (SELECT event_id, k, life, i, t AS anchor, true AS emit, 0 AS repeats FROM q WHERE i = 1
+ UNION ALL SELECT q.event_id, q.k, q.life, q.i, CASE WHEN t - anchor >= 1800000 THEN t ELSE anchor END, t - anchor >= 1800000, CASE WHEN t - anchor >= 1800000 THEN CASE WHEN emit THEN 0 ELSE repeats END WHEN emit THEN 1 ELSE repeats + 1 END FROM s JOIN q ON q.k = s.k AND q.life = s.life AND q.i = s.i + 1)
+ SELECT event_id, emit, repeats::INT AS repeats FROM s""")
+def x8_x10_bounded_throttle(spark, sf_dir):
+    """Each user's events once in half an hour, from a table of eight users."""
+    e = read(spark, sf_dir, "events").select("user_id", F.unix_millis("ts").alias("timestamp_ms"), F.col("event_id").alias("rowid"))
+    return cache.observe(e, "user_id", window_ms=1_800_000, capacity=8).select(F.col("rowid").alias("event_id"), "emit", "repeats")
+
+
+@query("SELECT event_id AS node, first_value(event_id) OVER w AS root, row_number() OVER w - 1 AS depth FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id) QUALIFY row_number() OVER w > 1")
+def r37_lineage(spark, sf_dir):
+    """Each event comes from the one before of its user: where a chain began and how far away that is."""
+    e = read(spark, sf_dir, "events").select(F.col("event_id").alias("node"), F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id")).alias("parent"))
+    return taint.lineage(e).select("node", "root", "depth")
+
+
 PLAN = trajectory.Plan(allow=("view", "click", "purchase", "signup"), most={"purchase": 2}, order=("view", "click", "purchase"), terminal="signup")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from tidemark.functions.entities import luhn
 from tidemark.functions.fields import recipients_complete
 from tidemark.functions.text import bind
-from tidemark.operators.scale import in_order, ranked, text_key
+from tidemark.operators.scale import in_order, ranked
 
 #: Findings that stop a page, what mails are searched for, and sizes.
 BLOCKING = ("invisible_text", "prompt_injection", "breakout", "trap_fill", "deeplink_hijack")
@@ -73,7 +73,7 @@ def gate(findings: Column) -> Column:
 def block_rules(hosts: DataFrame, start: int = 1) -> DataFrame:
     """(id, host) of distinct trimmed lower-case hosts, numbered in order."""
     own = hosts.select(F.lower(F.trim("host")).alias("host")).where("host <> ''").distinct()
-    return ranked(own, text_key(F.col("host")), [F.col("host")], "id").select((F.col("id") + start - 1).alias("id"), "host")
+    return ranked(own, [F.col("host")], "id").select((F.col("id") + start - 1).alias("id"), "host")
 
 
 def clamp_title(title: Column) -> Column:

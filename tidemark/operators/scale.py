@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,23 +47,157 @@ def in_order(rows: DataFrame, keys: Sequence[str], order: Sequence[str], uses: S
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, T.StructType([*rows.schema.fields, *fields]))
 
 
-#: Parts that a global rank is cut into.
-PARTS = 64
+def table(df: DataFrame, name: str) -> DataFrame:
+    """df as Parquet in the folder of spark.checkpoint.dir, read back: lineage is cut, and a lost executor costs its tasks only. A local session without that folder gets one."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+        spark.conf.set("spark.checkpoint.dir", shared)
+    path = f"{shared.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def ranked(rows: DataFrame, key: Column, order: Sequence[Column], into: str) -> DataFrame:
-    """rows numbered from 1 by order. key is a number that never falls along order; its quantiles only decide which rows are numbered
-    together, so any rows with one key are, and each part's numbers go on from the rows before it."""
-    cuts = rows.select(F.percentile_approx(key, [i / PARTS for i in range(1, PARTS)])).first()[0] or []
-    part = sum(((key > x).cast("int") for x in sorted(set(cuts))), F.lit(0))
-    rows = rows.withColumn("__part", part)
-    before, offset = 0, F.lit(0)
-    for r in rows.groupBy("__part").agg(F.count("*").alias("n")).orderBy("__part").collect():  # PARTS rows at most
-        offset = F.when(F.col("__part") == r["__part"], before).otherwise(offset)
-        before += r["n"]
-    return rows.withColumn(into, (F.row_number().over(Window.partitionBy("__part").orderBy(*order)) + offset).cast("int")).drop("__part")
+def _placed(rows: DataFrame, order: Sequence[Column], run: Callable, added: dict[str, str], name: str) -> DataFrame:
+    """A table of rows dealt out by ranges of order and sorted, with the columns that run(part, batches) adds, and __part, which grows along order."""
 
+    def own(batches):
+        return run(TaskContext.get().partitionId(), (b for b in batches if b.num_rows))
 
-def text_key(text: Column) -> Column:
-    """A number that never falls along the byte order of texts: their first seven bytes."""
-    return F.conv(F.rpad(F.substring(F.hex(F.encode(text, "UTF-8")), 1, 14), 14, "0"), 16, 10).cast("long")
+    fields = [T.StructField(n, T._parse_datatype_string(t)) for n, t in (added | {"__part": "int"}).items()]
+    return table(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(own, T.StructType([*rows.schema.fields, *fields])), name)
+
+
+def _with(batch: pa.RecordBatch, more: dict[str, np.ndarray], part: int) -> pa.RecordBatch:
+    columns = [pa.array(x, mask=np.isnan(x)).cast(pa.int64()) if x.dtype.kind == "f" else pa.array(x) for x in more.values()]
+    return pa.RecordBatch.from_arrays([*batch.columns, *columns, pa.array(np.full(batch.num_rows, part, np.int32))], names=[*batch.schema.names, *more, "__part"])
+
+
+def numbered(rows: DataFrame, order: Sequence[Column], into: str) -> DataFrame:
+    """rows with their place from 0 in order. Rows are numbered where range partitioning puts them; what all partitions before hold is one row for each."""
+
+    def run(part, batches):
+        n = 0
+        for b in batches:
+            yield _with(b, {into: np.arange(n, n + b.num_rows)}, part)
+            n += b.num_rows
+
+    local = _placed(rows, order, run, {into: "long"}, "numbered")
+    sizes = local.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return local.join(F.broadcast(sizes), "__part").withColumn(into, F.col(into) + F.col("__before")).select(*rows.columns, into)
+
+
+def lagged(rows: DataFrame, key: str, at: str, into: str) -> DataFrame:
+    """rows with the value of the long column `at` in the row before of the same key (a long), in ascending order of it; null for a key's first. Keys of any size are spread."""
+    where = [rows.columns.index(c) for c in (key, at)]
+
+    def run(part, batches):
+        last = None
+        for b in batches:
+            k, x = (b.column(i).to_numpy() for i in where)
+            past = np.concatenate([[np.nan], x[:-1].astype(np.float64)])
+            past[1:][k[1:] != k[:-1]] = np.nan
+            if last is not None and last[0] == k[0]:
+                past[0] = last[1]
+            last = k[-1], x[-1]
+            yield _with(b, {into: past}, part)
+
+    local = _placed(rows, [F.col(key), F.col(at)], run, {into: "long"}, "lagged")
+    ends = local.groupBy("__part").agg(F.max_by(F.struct(key, at), F.struct(key, at)).alias("e"), F.min(F.struct(key, at)).alias("s"))
+    w = Window.orderBy("__part")
+    past = ends.select("s.*", F.lag("e").over(w).alias("e")).where(F.col(f"e.{key}") == F.col(f"s.{key}")).select(key, at, F.col(f"e.{at}").alias("__past"))
+    return local.join(F.broadcast(past), [key, at], "left").select(*rows.columns, F.coalesce(into, "__past").alias(into))
+
+
+def carried(rows: DataFrame, order: Sequence[Column], value: str, into: str) -> DataFrame:
+    """rows with the last non-null value of a long column up to each row in order; null before the first."""
+    where = rows.columns.index(value)
+
+    def run(part, batches):
+        last = np.nan
+        for b in batches:
+            x = b.column(where).cast(pa.float64()).to_numpy(zero_copy_only=False)
+            at = np.maximum.accumulate(np.where(np.isnan(x), -1, np.arange(len(x))))
+            x = np.where(at < 0, last, x[at])
+            last = x[-1]
+            yield _with(b, {into: x}, part)
+
+    local = _placed(rows, order, run, {into: "long"}, "carried")
+    ends = local.groupBy("__part").agg(F.max_by(into, F.struct(*order)).alias("e"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    past = ends.select("__part", F.last("e", ignorenulls=True).over(before).alias("__past"))
+    return local.join(F.broadcast(past), "__part").select(*rows.columns, F.coalesce(into, "__past").alias(into))
+
+
+#: Pieces that a block of time is cut into at each level of dominance().
+FAN = 1024
+
+
+def dominance(points: DataFrame, into: str) -> DataFrame:
+    """points (x, y) with how many points lie before and above each: smaller x, larger y. x are different whole numbers from 0, y different ones as well.
+
+    Divide and conquer over x: at each level a block is cut into FAN pieces and gone through by falling y, and every point counts what came before it in
+    earlier pieces of its block. So each level is one sort and a fold whose state is FAN numbers; the levels are log(n) to the base FAN, and
+    blocks of any size are spread over partitions, whose counts by piece are added up apart.
+    """
+    most = points.agg(F.max("x")).first()[0]
+    points, size = points.withColumn(into, F.lit(0).cast("long")), 1
+    while size <= (most or 0):
+        points, size = _level(points, into, size), size * FAN
+    return points
+
+
+def _level(points: DataFrame, into: str, size: int) -> DataFrame:
+    names, fan = points.columns, FAN
+    rows = points.withColumn("__block", F.expr(f"x div {size * fan}")).withColumn("__piece", F.expr(f"x div {size} % {fan}").cast("int")).withColumn("__down", -F.col("y"))
+    at = [rows.columns.index(c) for c in ("__block", "__piece")]
+
+    def run(part, batches):
+        now, seen = None, np.zeros(fan, np.int64)
+        for b in batches:
+            block, piece = (b.column(i).to_numpy() for i in at)
+            found = np.zeros(b.num_rows, np.int64)
+            cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            for i, j in zip(cuts, [*cuts[1:], b.num_rows], strict=True):
+                if block[i] != now:
+                    now, seen = block[i], np.zeros(fan, np.int64)
+                p = piece[i:j]
+                found[i:j] = (np.cumsum(seen) - seen)[p] + _smaller_before(p, fan)
+                seen = seen + np.bincount(p, minlength=fan)
+            yield _with(b, {"__found": found}, part)
+
+    local = _placed(rows, [F.col("__block"), F.col("__down")], run, {"__found": "long"}, "dominance")
+    spread = local.groupBy("__block").agg(F.min("__part").alias("a"), F.max("__part").alias("z")).where("a < z").select("__block")  # at most one for each partition
+    counts = local.join(F.broadcast(spread), "__block", "left_semi").groupBy("__block", "__part", "__piece").agg(F.count("*").alias("n"))
+    parts = counts.select("__block", "__part").distinct()
+    # For each block over several partitions: what earlier partitions (larger y) hold of earlier pieces. FAN rows for each partition at most.
+    grid = parts.select("__block", "__part", F.explode(F.sequence(F.lit(0), F.lit(fan - 1))).alias("__piece")).join(counts, ["__block", "__part", "__piece"], "left")
+    past = Window.partitionBy("__block", "__piece").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    lower = Window.partitionBy("__block", "__part").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.withColumn("m", F.coalesce(F.sum("n").over(past), F.lit(0))).select("__block", "__part", "__piece", F.coalesce(F.sum("m").over(lower), F.lit(0)).alias("__more"))
+    out = local.join(grid.where("__more > 0"), ["__block", "__part", "__piece"], "left")
+    return out.select(*[c for c in names if c != into], (F.col(into) + F.col("__found") + F.coalesce("__more", F.lit(0))).alias(into))
+
+
+def _smaller_before(p: np.ndarray, fan: int) -> np.ndarray:
+    """For each value how many smaller ones stand before it: bit by bit, those that agree above a bit, have 0 there, and meet one with 1."""
+    out = np.zeros(len(p), np.int64)
+    for bit in range((fan - 1).bit_length()):
+        order = np.argsort(p >> (bit + 1), kind="stable")
+        one = (p[order] >> bit) & 1
+        zeros = np.cumsum(1 - one)
+        above = p[order] >> (bit + 1)
+        starts = np.flatnonzero(np.concatenate([[True], above[1:] != above[:-1]]))
+        base = np.repeat(zeros[starts] - (1 - one[starts]), np.diff(np.append(starts, len(p))))
+        out[order] += np.where(one == 1, zeros - base, 0)
+    return out
+
+
+def ranked(rows: DataFrame, order: Sequence[Column], into: str) -> DataFrame:
+    """rows numbered from 1 by order."""
+    return numbered(rows, order, into).withColumn(into, (F.col(into) + 1).cast("int"))

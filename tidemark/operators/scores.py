@@ -116,8 +116,7 @@ def agent_scores(events: DataFrame, privacy: DataFrame, agents: DataFrame) -> Da
 def leaderboard(scored: DataFrame) -> DataFrame:
     """Comparable agents ranked: those without declared attacks first, then by score, then by id. Others have no rank."""
     tier = (F.col("attacks_declared") > 0).cast("int")
-    key = tier * 10.0 - F.coalesce("rank_score", F.lit(-1.0))  # scores are 0 to 1
-    placed = ranked(scored.where("comparable"), key, [tier, F.desc_nulls_last("rank_score"), F.col("agent_id")], "rank")
+    placed = ranked(scored.where("comparable"), [tier, F.desc_nulls_last("rank_score"), F.col("agent_id")], "rank")
     return placed.unionByName(scored.where("not comparable").withColumn("rank", F.lit(None).cast("int")))
 
 

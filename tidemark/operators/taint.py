@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators.scale import in_order
+from tidemark.operators.scale import in_order, table
 
 TAINTED, VERIFIED = 0, 1
 PUBLIC, LOW, HIGH = 0, 1, 2
@@ -118,32 +118,49 @@ def untrusted(events: DataFrame, verified_high: Column) -> DataFrame:
     return rows.select("session", "rowid", F.lit("introduce").alias("op"), F.col("metadata")["value_id"].alias("value_id"), F.lit(TAINTED).alias("integrity"), F.when(verified_high, HIGH).otherwise(PUBLIC).alias("confidentiality"))
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """(node, ancestor, depth) of edges (node, parent): every ancestor at its least depth, however deep. Each round is an equal
-    join of the new ancestors with the edges; the rounds end when none is new, also where edges go in circles."""
-    spark = edges.sparkSession
-    cut = (lambda d: d.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda d: d.persist())
-    edges = cut(edges.select("node", "parent").where("parent is not null").distinct())
-    every = new = edges.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
-    depth = 1
-    while not new.isEmpty():
-        depth += 1
-        step = new.join(edges.select(F.col("node").alias("ancestor"), F.col("parent").alias("next")), "ancestor").select("node", F.col("next").alias("ancestor"), F.lit(depth).alias("depth")).distinct()
-        new = cut(step.join(every.select("node", "ancestor"), ["node", "ancestor"], "left_anti"))
-        every = cut(every.unionByName(new)) if depth % 16 == 0 else every.unionByName(new)
-    return every
+def climbed(nodes: DataFrame, low: str, most: int = 64) -> DataFrame:
+    """nodes (node, parent, ...) with the column low reduced to its least value over each node and all its ancestors; nulls don't count.
+
+    Pointer doubling: each round a node takes the least value of the node its pointer leads to, and that node's pointer. A round is one join of as many rows as there
+    are nodes with a pointer left, so a chain of n nodes needs log2(n) rounds; no ancestor list is ever made. A parent without a row of its own ends the climb.
+    Nodes are unique. More than `most` rounds are only needed where pointers go in circles, which raises.
+    """
+    rows = table(nodes.select("node", F.col("parent").alias("up"), F.col(low).alias("low")), "climb")
+    for _ in range(most):
+        open_ = rows.where("up is not null")
+        if open_.isEmpty():
+            return nodes.drop(low).join(rows.select("node", F.col("low").alias(low)), "node")
+        # A pointer that many nodes share is joined with one row; Spark splits such a key where it is large.
+        above = rows.select(F.col("node").alias("up"), F.col("low").alias("more"), F.col("up").alias("next"), F.lit(True).alias("there"))
+        step = open_.join(above, "up", "left").select("node", F.col("next").alias("up"), F.least("low", "more").alias("low"))
+        rows = table(rows.where("up is null").unionByName(step), "climb")
+    raise ValueError("the parents of some nodes go in a circle")
+
+
+def lineage(edges: DataFrame, most: int = 64) -> DataFrame:
+    """(node, root, depth) of a forest's edges (node, parent): the highest ancestor of each node and how far away it is, by pointer doubling. Circles raise."""
+    edges = edges.where("parent is not null").select("node", "parent").distinct()
+    rows = table(edges.select("node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth"), F.lit(False).alias("done")), "climb")
+    for _ in range(most):
+        if rows.where("not done").isEmpty():
+            return rows.select("node", F.col("up").alias("root"), "depth")
+        above = rows.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        step = rows.where("not done").join(above, "up", "left")
+        step = step.select("node", F.coalesce("next", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNull().alias("done"))
+        rows = table(rows.where("done").unionByName(step), "climb")
+    raise ValueError("the parents of some nodes go in a circle")
 
 
 def remaining(nodes: DataFrame) -> DataFrame:
     """What each node of a delegation tree (node, parent, limit, used) may still use: the least of limit - used over itself and its ancestors."""
-    up = closure(nodes).select("node", "ancestor").unionByName(nodes.select("node", F.col("node").alias("ancestor")))
-    left = nodes.select(F.col("node").alias("ancestor"), (F.col("limit") - F.col("used")).alias("left"))
-    return up.join(left, "ancestor").groupBy("node").agg(F.min("left").alias("remaining"))
+    return climbed(nodes.select("node", "parent", (F.col("limit") - F.col("used")).alias("remaining")), "remaining").select("node", "remaining")
 
 
 def revoked(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """The nodes of the subtrees below roots (node), the roots included."""
-    below = closure(nodes).join(roots.select(F.col("node").alias("ancestor")), "ancestor", "left_semi").select("node")
+    """The nodes of the subtrees below roots (node), the roots included, also such as have no row of their own: those with a root among their ancestors or itself."""
+    marked = nodes.select("node", "parent").join(roots.select("node", F.lit(0).alias("hit")).distinct(), "node", "left")
+    orphans = marked.join(roots.select(F.col("node").alias("parent"), F.lit(0).alias("above")).distinct(), "parent", "left")
+    below = climbed(orphans.select("node", "parent", F.least("hit", "above").alias("hit")), "hit").where("hit = 0").select("node")
     return below.unionByName(roots.select("node")).distinct()
 
 
