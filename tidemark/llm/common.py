@@ -97,6 +97,34 @@ def join_hot(left: DataFrame, right: DataFrame, on: list[str], n: str, row_bytes
     return left.join(hot, on).unionByName(rest.join(right.where(F.col(n) < HOT), on, how))
 
 
+#: 64-bit words of a sieve: 4 MiB of bits, a few times that when broadcast, whatever it is filled with.
+SIEVE_WORDS = 1 << 19
+
+
+def sieved(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """df with the column maybe, false only where the key `on` isn't among keys; so texts without a partner needn't be shuffled to find that out.
+
+    The keys' hashes set bits of a bitmap of fixed size, which is broadcast. With m keys about m / (64 * SIEVE_WORDS) of the others are true as well.
+    """
+    h = F.xxhash64(*[F.col(c) for c in on])
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+    word = F.pmod(F.shiftright(h, 6), F.lit(SIEVE_WORDS)).alias("__word")
+    bits = keys.select(word, bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    out = df.select("*", word).join(F.broadcast(bits), "__word", "left")
+    return out.withColumn("maybe", F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))).drop("__word", "__bits")
+
+
+def without(df: DataFrame, gone: DataFrame, on: dict[str, Column]) -> DataFrame:
+    """The rows of df whose key, given by on as column of gone -> expression over df, isn't in gone; columns as they are. Null keys are in no table.
+
+    Rows outside a sieve of gone stay where they are; only the others are shuffled to be sure. gone is read twice, so it should be a table.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")
+    marked = sieved(df.select(whole, *[c.alias(k) for k, c in on.items()]), gone, list(on))
+    inside = marked.where("maybe").join(gone.hint("merge"), list(on), "left_anti")
+    return marked.where("not maybe").select("__row.*").unionByName(inside.select("__row.*"))
+
+
 #: Edges that one task contracts on its own.
 CHUNK = 500_000
 

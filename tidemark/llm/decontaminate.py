@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ALNUM_WORD, ascii_lower, bind, small, table, words
+from tidemark.llm.common import ALNUM_WORD, ascii_lower, bind, sieved, small, table, without, words
 
 #: Terms of a window whose postings are intersected before a document is looked at.
 LEAD = 2
@@ -98,8 +98,9 @@ def matches(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 0, id
             return F.flatten(F.transform("at", placed))
         return F.filter("at", lambda c: window_id(F.slice(w, c["start"] + 1, c["len"])) == c["wid"])
 
-    # Texts meet their candidates by a sorted join at every size: what is true of a small table is then true of a large one.
-    held = docs.join(found.hint("merge"), ["doc", "row"]).select("doc", "row", bind(words(ascii_lower(F.col("text")), ALNUM_WORD), here).alias("at"))
+    # Only texts that a sieve of the candidates lets through are shuffled, at every size.
+    some = sieved(docs, found, ["doc", "row"]).where("maybe").select("doc", "row", "text")
+    held = some.join(found.hint("merge"), ["doc", "row"]).select("doc", "row", bind(words(ascii_lower(F.col("text")), ALNUM_WORD), here).alias("at"))
     places = held.select("doc", "row", F.explode("at").alias("c")).select("doc", "row", "c.start", "c.wid", "c.len").distinct()
     return places.join(small(win.select("wid", "item").distinct(), 64), "wid").select("doc", "row", "start", "len", "item")
 
@@ -130,5 +131,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str
 def without_contaminated(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs in which no window of an item stands, columns as they are. Rows are judged by their own id and text, also where ids are null or repeat."""
     found = table(matches(docs, items, size, 0, id_col, text_col, item_col, item_text_col).select("doc", "row").distinct(), "leak-found")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("row"))
-    return rows.join(small(found, 64), ["doc", "row"], "left_anti").select("all.*")
+    return without(docs, found, {"doc": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "row": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import components, contiguous, mix, table
+from tidemark.llm.common import components, contiguous, mix, sieved, table
 
 #: Documents in a tile; a task holds two tiles.
 TILE = 1024
@@ -354,8 +354,9 @@ def ngram_jaccard(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100
     near = together(members.select("doc", "n", "sketch").join(tiled(members, tile), "doc")).mapInArrow(sketch_links(num, den), "a long, b long")
     close = components(near, "jaccard-close")
     members = table(members.select("doc", "band").join(close.select(F.col("node").alias("doc"), F.col("component").alias("cluster")), "doc"), "jaccard-member")
-    # Texts meet their tiles by a sorted join at every size: what is true of a small table is then true of a large one.
-    found = table(together(docs.join(tiled(members, tile).hint("merge"), "doc")).mapInArrow(tile_links(width, num, den), "a long, b long"), "jaccard-link")
+    # Only texts that a sieve of the members lets through are shuffled, at every size.
+    texts = sieved(docs, members, ["doc"]).where("maybe").select("doc", "text")
+    found = table(together(texts.join(tiled(members, tile).hint("merge"), "doc")).mapInArrow(tile_links(width, num, den), "a long, b long"), "jaccard-link")
     same = sizes.join(first, ["n", "f1", "f2"]).where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
     final = components(found.unionByName(same), "jaccard-component")
     ids = sizes.groupBy("doc").agg(F.max("n").alias("n"))

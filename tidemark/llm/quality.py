@@ -3,8 +3,7 @@
 DataFrame functions only. A document's histograms of character classes and of its language's commonest words are compared with
 those of its language by Jensen-Shannon distance. A language's reference is the sum over all its documents that pass the base rule, so
 repetitive and tiny junk has no part in it; there is one row for each listed language and one for the rest, so what the driver reads has a
-fixed size. quality_rules reads texts once: their counts go to a table, from which references and verdicts come. quality_filter reads them
-twice, because a table of whole rows would be another copy of the corpus.
+fixed size. Texts are counted once: their counts go to a table, from which references and verdicts come.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, WORD, bind, table, words
+from tidemark.llm.common import SPACE, WORD, bind, table, without, words
 
 #: Common function words of each language.
 COMMON_WORDS = {
@@ -167,8 +166,14 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs that are kept, columns as they are."""
-    names = [f"`{c}`" for c in docs.columns]
-    rows = docs.select(F.struct(*names).alias("row"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = counted(rows).select("row", "__q")
-    return rows.where(verdict(F.col("__q"), references(rows))["kept"]).select("row.*")
+    """The rows of docs that are kept, columns as they are.
+
+    Texts are counted once, into a table of counts. A verdict depends on text and language alone, so what is rejected is known by two hashes of both.
+    """
+    text, lang = F.coalesce(F.col(text_col), F.lit("")), language(F.col(lang_col))
+    on = {"h1": F.xxhash64(text, lang), "h2": F.xxhash64(lang, text)}
+    rows = docs.select(text.alias("text"), F.col(lang_col).alias("lang"), *[c.alias(k) for k, c in on.items()])
+    rows = table(counted(rows).select("h1", "h2", "__q"), "quality-counts")
+    judged = rows.select("h1", "h2", verdict(F.col("__q"), references(rows))["kept"].alias("kept"))
+    gone = table(judged.where("not kept").select("h1", "h2").distinct(), "quality-rejected")
+    return without(docs, gone, on)
