@@ -223,6 +223,42 @@ def test_layouts(name):
     assert main_blocks(f"<html><body>{LAYOUTS[name]}</body></html>") == [TITLE, *TEXT]
 
 
+INNER = {
+    "headings with anchors": ("<h2 id='share-prices'>Prices</h2><h3 id='login'>In</h3><h3 id='menu' class='comments'>Cards</h3>", ["Prices", "In", "Cards"]),
+    "names that say something else": ("<p class='related-work'>Others.</p><p class='legal-history'>Courts.</p>", ["Others.", "Courts."]),
+    "sections with anchors": ("<section id='legal'><h2>Law</h2><p>All of it.</p></section>", ["Law", "All of it."]),
+    "formulas": ("<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math>.</p>", ["So x=2."]),
+    "dialogue": ("<p>Yes.</p><p>No.</p><p>Why?</p><p>Because.</p>", ["Yes.", "No.", "Why?", "Because."]),
+    "tables": ("<table>" + "".join(f"<tr><td>a{i}</td><td>{i}</td></tr>" for i in range(20)) + "</table>", [x for i in range(20) for x in (f"a{i}", f"{i}")]),
+    "lists": ("<ul>" + "".join(f"<li>item {i}</li>" for i in range(20)) + "</ul>", [f"item {i}" for i in range(20)]),
+    "definitions": ("<dl><dt>Dam</dt><dd>A wall.</dd></dl>", ["Dam", "A wall."]),
+}
+
+
+@pytest.mark.parametrize("around", ["<nav>{m}</nav><article>{b}</article><footer>c</footer>", "<div>{m}</div><div>{b}</div><div><a href='/t'>Terms of use</a></div>", "<div id='menu'>{m}</div><div class='entry-content'>{b}</div>"])
+@pytest.mark.parametrize("name", INNER)
+def test_articles_keep_what_is_in_them(name, around):
+    from tidemark.llm.html_extract import main_blocks
+
+    part, want = INNER[name]
+    body = f"<h1>{TITLE}</h1><p>{TEXT[0]}</p>{part}<p>{TEXT[2]}</p>"
+    assert main_blocks(f"<html><body>{around.format(m=MENU, b=body)}</body></html>") == [TITLE, TEXT[0], *want, TEXT[2]]
+    ends = f"<h1>{TITLE}</h1><p>{TEXT[0]}</p>{part}"
+    assert main_blocks(f"<html><body>{around.format(m=MENU, b=ends)}</body></html>") == [TITLE, TEXT[0], *want]
+
+
+def test_little_pages_and_unnamed_comments():
+    from tidemark.llm.html_extract import main_blocks
+
+    assert main_blocks("<p>Just a short note.</p>") == ["Just a short note."] and main_blocks(f"<div>{MENU}</div><p>Short.</p>") == ["Short."]
+    for heading in ("12 responses", "Leave a reply", "Comments (3)", "No comments"):
+        page = f"<body><div>{MENU}</div><div>{BODY}</div><section><h2>{heading}</h2><p>{COMMENT}</p><p>Me too.</p></section></body>"
+        assert main_blocks(page) == [TITLE, *TEXT]
+    told = f"<article><h1>{TITLE}</h1><p>{TEXT[0]}</p><section><h2>Responses to climate change</h2><p>{TEXT[2]}</p></section></article>"
+    assert main_blocks(told)[2:] == ["Responses to climate change", TEXT[2]]
+    assert main_blocks(f"<article>{BODY}<div class='ad-slot-2'><p>Buy.</p></div><p class='advert'>Buy.</p><div class='share-buttons'>Share</div><section id='comments'><p>{COMMENT}</p></section></article>") == [TITLE, *TEXT]
+
+
 def test_hostile_pages_take_linear_time():
     import time
 
