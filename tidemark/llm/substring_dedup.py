@@ -344,28 +344,34 @@ def repeated_spans(docs: DataFrame, length: int = 100, gram: int = GRAM) -> Data
     return copies.unionByName(sorted_).unionByName(dealt)
 
 
-def once(known: DataFrame) -> DataFrame:
-    """known (doc, text) with one row for each that repeats as a whole; only the rows of ids that come twice are compared."""
+def standing(known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """known (doc, text) with one row for each id, and known itself with held: whether a row's text is the one that stands for its id.
+
+    That is the longest of an id's texts, the last in byte order of equally long ones. Only ids that come twice are compared.
+    """
     twice = table(known.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc"), "repeat-twice")
     if twice.isEmpty():
-        return known
-    twice = small(twice, 16)
-    return known.join(twice, "doc", "left_anti").unionByName(table(known.join(twice, "doc", "left_semi").distinct(), "repeat-once"))
+        return known, known.withColumn("held", F.lit(True))
+    text = F.coalesce("text", F.lit(""))
+    first = known.join(small(twice, 16), "doc", "left_semi").groupBy("doc").agg(F.max(F.struct(F.octet_length(text).alias("n"), text.alias("text"))).alias("m"))
+    first = table(first.select("doc", "m.text"), "repeat-first")
+    marked = known.join(first.withColumnRenamed("text", "first"), "doc", "left").select("doc", "text", (F.col("first").isNull() | (text == F.col("first"))).alias("held"))
+    return known.join(small(twice, 16), "doc", "left_anti").unionByName(first), marked
 
 
 def substring_dedup(docs: DataFrame, length: int = 100, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row (doc_id, n_bytes, n_removed, n_spans, kept) for each row of docs; kept holds the bytes that stay.
 
     Texts are UTF-8 bytes, null is empty. A byte goes if a string of length bytes that covers it also starts earlier: in a smaller doc_id, or
-    earlier in the same one; strings may overlap and never cross documents. Ids are whole numbers and have to be unique but for rows that repeat
-    as a whole, which count once and have one row. Rows without id stay as they are and are held against nothing. Other columns are ignored.
+    earlier in the same one; strings may overlap and never cross documents. Ids are whole numbers. Rows that repeat as a whole count once and have
+    one result each. Of different texts with one doc_id the longest stands for the document; the other texts stay as they are and are held against
+    nothing, as are rows without id. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    known = rows.where("doc is not null")
-    spans = repeated_spans(once(known), length, gram)
-    spans = table(spans, "repeat-span")
+    once, marked = standing(rows.where("doc is not null"))
+    spans = table(repeated_spans(once, length, gram), "repeat-span")
     spans = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = known.join(spans, "doc", "left").select("doc", "text", "spans")
+    joined = marked.join(spans, "doc", "left").select("doc", "text", F.when(F.col("held"), F.col("spans")).alias("spans"))
     lost = rows.where("doc is null").select("doc", "text", F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
     out = joined.unionByName(lost).mapInArrow(cut_documents, "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumnRenamed("doc", id_col)
