@@ -219,3 +219,38 @@ def test_pipeline_stages(spark, docs, nothing, tmp_path):
     assert ids(stages["n-gram Jaccard join"](spark, docs, "")) == some(None, 1, 4, 5, 6, 7, 7, 9, 10, 11)
     assert ids(stages["benchmark decontamination"](spark, docs, str(tmp_path))) == some(4, 5, 6, 7, 7, 9, 10, 11)
     assert set(ids(stages["mixing sources"](spark, docs, ""))) <= set(ids(docs)) and ids(stages["sharding"](spark, docs, "")) == ids(docs)
+
+
+def test_substring_dedup_of_one_id_with_other_texts(spark):
+    text = lambda n, k: "".join(chr(97 + (i * i * (k + 1) + i * k) % 26) + str(i * k % 97) for i in range(n))[:n]
+    t, long, short = text(170, 2), text(400, 5), text(30, 7)
+    rows = [(3, t), (3, long), (2, t), (5, long[:250]), (5, short), (5, None), (6, short)]
+    for order in (rows, rows[::-1]):
+        got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in substring_dedup(spark.createDataFrame(order, "doc_id long, text string"), length=100).collect())
+        # The longest text stands for its id: of 5 it repeats 3's; the other texts of 3 and 5 stay whole, and none is cut by another's spans.
+        assert got == [(2, 170, 0), (3, 170, 0), (3, 400, 0), (5, 0, 0), (5, 30, 0), (5, 250, 250), (6, 30, 0)]
+
+
+def test_license_scan_without_ids(spark):
+    rows = [(None, "Released under the MIT license"), (None, "Released under the BSD license"), (None, "nothing"), (1, "Released under the MIT license"), (1, "nothing")]
+    got = sorted((r["labels"], r["n_words"]) for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [("", 1), ("", 1), ("bsd", 5), ("mit", 5), ("mit", 5)]
+
+
+def test_shard_replaces_a_column_of_its_name(spark, tmp_path):
+    d = spark.createDataFrame([(1, "a", "old"), (2, "b", "old")], "doc_id long, text string, Shard string")
+    assert shard(d, 10).columns == ["doc_id", "text", "shard"] and {r["shard"] for r in shard(d, 10).collect()} == {"0-"}
+    write_shards(d, str(tmp_path / "out"), 10)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_sieve_and_without(spark, monkeypatch):
+    from tidemark.llm import common
+
+    rows = spark.createDataFrame([(i % 50, i, "x") for i in range(200)] + [(None, 1, "x")], "k long, `row` int, maybe string")
+    gone = spark.createDataFrame([(i,) for i in range(0, 50, 7)], "k long")
+    for words in (1 << 19, 1):  # one word: nearly everything is shuffled
+        monkeypatch.setattr(common, "SIEVE_WORDS", words)
+        out = common.without(rows, gone, {"k": F.col("k")})
+        assert out.columns == rows.columns and sorted((r["k"] is None, r["k"] or 0, r["row"]) for r in out.collect()) == sorted([(False, i % 50, i) for i in range(200) if i % 50 % 7] + [(True, 0, 1)])
+        assert common.without(rows, gone.limit(0), {"k": F.col("k")}).count() == 201

@@ -95,12 +95,13 @@ def block_size(text: str) -> int:
 
 
 def scanned(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A table (doc, n_words, places, base_labels, tokens, spots): the texts are read once; places and template words are all that is kept of them."""
-    return table(docs.select(F.col(id_col).alias("doc"), scan(F.col(text_col), templates).alias("s")).select("doc", "s.*"), "license-scan")
+    """A table (doc, row, n_words, places, base_labels, tokens, spots): the texts are read once; places and template words are all that is kept of them. row is a hash of the text."""
+    row = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("row")
+    return table(docs.select(F.col(id_col).alias("doc"), row, scan(F.col(text_col), templates).alias("s")).select("doc", "row", "s.*"), "license-scan")
 
 
 def template_links(rows: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows (doc, pos, label, containment) out of scanned(): a block near pos has |block and template| >= threshold * |template| over sets of words, and all of the template's marks.
+    """Rows (doc, row, pos, label, containment) out of scanned(): a block near pos has |block and template| >= threshold * |template| over sets of words, and all of the template's marks.
 
     containment is the largest of such a block. Every block that qualifies holds a prefix token, whose place is its row's pos.
     """
@@ -122,7 +123,7 @@ def template_links(rows: DataFrame, templates=TEMPLATES, threshold: float = THRE
         return F.struct(s["pos"].alias("pos"), s["token"].alias("token"), F.filter(some, lambda x: F.abs(x["pos"] - s["pos"]) < reach).alias("near"))
 
     at = F.filter(F.sequence(F.lit(0), F.size("spots") - 1), lambda k: F.get("spots", k)["token"].isin(prefix))
-    held = rows.where("size(spots) > 0").select("doc", F.explode(F.transform(at, around)).alias("a")).select("doc", "a.*")
+    held = rows.where("size(spots) > 0").select("doc", "row", F.explode(F.transform(at, around)).alias("a")).select("doc", "row", "a.*")
     met = held.join(F.broadcast(index), "token")  # the index has a fixed size
     met = met.withColumn("near", F.filter("near", lambda x: F.abs(x["pos"] - F.col("pos")) < F.col("m")))
     met = met.withColumn("tokens", F.array_distinct(F.transform("near", lambda x: x["token"]))).where(F.size("tokens") >= F.col("need"))
@@ -135,7 +136,7 @@ def template_links(rows: DataFrame, templates=TEMPLATES, threshold: float = THRE
         return bind(own, lambda b: F.when(F.size(F.array_except("marks", b)) == 0, F.size(F.array_intersect("template", b))))
 
     best = F.array_max(F.transform("near", block))
-    return met.withColumn("both", best).where("both >= need").select("doc", "pos", "label", (F.col("both") / F.size("template")).alias("containment"))
+    return met.withColumn("both", best).where("both >= need").select("doc", "row", "pos", "label", (F.col("both") / F.size("template")).alias("containment"))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,11 +144,11 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null and empty texts have no words, no places and no labels. score is the largest containment of a template in a block,
     1 where a base phrase stands and 0 where nothing is found. A base label stays whatever a template says: an LGPL statement has gpl
-    as well. Rows of one doc_id share the labels found in any of them. Other columns are ignored.
+    as well. Every row is judged by its own text, also where doc_id is null or comes twice. Other columns are ignored.
     """
     base = scanned(docs, id_col=id_col, text_col=text_col)
-    links = template_links(base).groupBy(F.col("doc").alias("of")).agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"))
-    out = base.join(links, F.col("doc").eqNullSafe(F.col("of")), "left")
+    links = template_links(base).groupBy(F.col("doc").alias("of"), F.col("row").alias("its")).agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"))
+    out = base.join(links, F.col("doc").eqNullSafe(F.col("of")) & (F.col("row") == F.col("its")), "left")
     n = F.size("places").cast("long")
     every = F.array_sort(F.array_union("base_labels", F.coalesce("found", F.array().cast("array<string>"))))
     return out.select(
