@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import audit, browser, cache, evals, joins, registry, rules, sessions, taint, trajectory
+from tidemark.functions import ed25519, json_schema
+from tidemark.operators import audit, browser, cache, evals, joins, registry, rules, sessions, signatures, taint, trajectory
 from tidemark.queries import AUDIT_SQL, CHAIN_SQL, audit_rows, query, read
 from tidemark.sources import config, envelopes
 
@@ -130,6 +133,44 @@ def r37_lineage(spark, sf_dir):
     return taint.lineage(e).select("node", "root", "depth")
 
 
+@query(f"""WITH {AUDIT_SQL}, s AS (SELECT log_id, rowid_, id, row_number() OVER (PARTITION BY log_id ORDER BY rowid_) AS seq FROM audit), g AS (SELECT * FROM s WHERE rowid_ % 211 <> 7),
+ p AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY rowid_) AS n FROM g), q AS (SELECT *, seq = n + coalesce(max(seq - n) OVER (PARTITION BY log_id ORDER BY rowid_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS placed FROM p),
+ t AS (SELECT *, CASE WHEN rowid_ % 97 = 3 THEN 'unsigned' WHEN rowid_ % 89 = 5 THEN 'other_key' WHEN rowid_ % 101 = 2 THEN 'refused' ELSE 'verified' END AS state FROM q),
+ u AS (SELECT *, state = 'verified' AND placed AND rowid_ % 307 <> 1 AS ok FROM t)
+ SELECT log_id, bool_and(ok) AS ok, count(*) AS total, count(*) FILTER (state <> 'unsigned') AS signed, count(*) FILTER (state = 'unsigned') AS unsigned, count(*) FILTER (state = 'other_key') AS other_key, count(*) FILTER (state = 'verified') AS verified,
+ arg_min(id, rowid_) FILTER (NOT ok) AS first_failure_id FROM u GROUP BY 1""")
+def m2_verify_record_signatures(spark, sf_dir):
+    """Every user's log signed, with records deleted, altered, unsigned, signed by another key, and with signatures of other records."""
+    seed = hashlib.sha256(b"a key for queries").digest()
+    rows = audit.chain(audit_rows(spark, sf_dir), audit.canonical_content())
+    rows = signatures.signed(rows.withColumn("seq", F.row_number().over(Window.partitionBy("log_id").orderBy("rowid"))), seed)
+    i = F.col("rowid")
+    sig = F.when(i % 97 == 3, "").when(i % 101 == 2, F.concat(F.substring("record_sig", 1, 64), F.reverse(F.substring("record_sig", 65, 64)))).otherwise(F.col("record_sig"))
+    rows = rows.withColumn("record_sig", sig).withColumn("signer_key_id", F.when(i % 89 == 5, "0123456789abcdef").otherwise(F.col("signer_key_id")))
+    rows = rows.withColumn("human_message", F.when(i % 307 == 1, "edited").otherwise(F.col("human_message"))).where(i % 211 != 7)
+    return signatures.verify_signatures(rows, ed25519.public_key(seed))
+
+
+CALLS = {
+    "click": {"type": "object", "required": ["user", "props"], "additionalProperties": False, "properties": {"user": {"type": "integer", "maximum": 120}, "value": {"type": "number", "exclusiveMaximum": 90}, "props": {"type": "object", "required": ["k"], "properties": {"k": {"multipleOf": 3}}}, "day": {"pattern": "^2024-01-[012]"}}},
+    "view": {"type": "object", "properties": {"tags": {"type": "array", "maxItems": 3, "uniqueItems": True, "items": {"anyOf": [{"const": "t0"}, {"minLength": 3}]}}}},
+    "purchase": {"type": "object", "minProperties": 5, "properties": {"value": {"type": ["integer", "null"]}, "user": {"enum": [1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144]}}},
+}
+
+
+@query("""WITH e AS (SELECT event_id, event_type, user_id, value, strftime(ts, '%Y-%m-%d') AS day, json_extract(props, '$.k')::BIGINT AS k, list_transform(range(event_id % 5), lambda i: 't' || CAST((event_id // 5 + i * i) % 12 AS VARCHAR)) AS tags FROM events)
+ SELECT event_id, CASE event_type WHEN 'click' THEN CASE WHEN event_id % 9 = 0 THEN ': required props' WHEN user_id > 120 THEN '/user: maximum' WHEN value >= 90 THEN '/value: exclusiveMaximum' WHEN k % 3 <> 0 THEN '/props/k: multipleOf' WHEN day >= '2024-01-30' THEN '/day: pattern' WHEN len(tags) > 0 THEN '/tags: false' END
+ WHEN 'view' THEN CASE WHEN len(tags) > 3 THEN '/tags: maxItems' WHEN len(list_distinct(tags)) < len(tags) THEN '/tags: uniqueItems' ELSE '/tags/' || CAST(list_position(list_transform(tags, lambda t: t <> 't0' AND length(t) < 3), true) - 1 AS VARCHAR) || ': anyOf' END
+ WHEN 'purchase' THEN CASE WHEN 3 + (event_id % 9 <> 0)::INT + (len(tags) > 0)::INT < 5 THEN ': minProperties' WHEN value <> floor(value) THEN '/value: type' WHEN user_id NOT IN (1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144) THEN '/user: enum' END ELSE ': tool' END AS error FROM e""")
+def j12_validate_arguments(spark, sf_dir):
+    """Tool calls made of events, each held against its tool's schema."""
+    e = read(spark, sf_dir, "events")
+    tags = F.when(F.col("event_id") % 5 > 0, F.transform(F.sequence(F.lit(0), F.col("event_id") % 5 - 1), lambda i: F.concat(F.lit("t"), ((F.floor(F.col("event_id") / 5) + i * i) % 12).cast("string"))))
+    props = F.when(F.col("event_id") % 9 != 0, F.from_json("props", "k long"))
+    call = F.to_json(F.struct(F.col("user_id").alias("user"), "value", props.alias("props"), F.date_format("ts", "yyyy-MM-dd").alias("day"), tags.alias("tags")))
+    return e.select("event_id", json_schema.arguments_error(F.col("event_type"), call, CALLS).alias("error"))
+
+
 PLAN = trajectory.Plan(allow=("view", "click", "purchase", "signup"), most={"purchase": 2}, order=("view", "click", "purchase"), terminal="signup")
 
 
