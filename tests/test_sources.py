@@ -66,15 +66,6 @@ def test_streaming_throttle_agrees_with_batch(spark, tmp_path):
     assert got == {tuple(r) for r in sessions.throttle(rows, ["key"]).select("key", "timestamp_ms", "emit", "repeats").collect()}
 
 
-def test_streaming_sessions(spark, tmp_path):
-    events = [("s", 1, "agent_session_start", None), ("s", 2, "agent_session_start", None), ("s", 3, "ui_text", "deny"), ("s", 4, "ui_text", None), ("s", 5, "agent_session_end", None), ("s", 6, "ui_text", None)]
-    spark.createDataFrame(events, "session string, rowid long, event_type string, reply string").repartition(1).write.json(str(tmp_path / "in"))
-    stream = spark.readStream.schema("session string, rowid long, event_type string, reply string").json(str(tmp_path / "in"))
-    stateful.run_once(stateful.session_machine(stream), str(tmp_path / "out"), str(tmp_path / "state"))
-    got = [r[0] for r in spark.read.parquet(str(tmp_path / "out")).orderBy("rowid").select("rule_id").collect()]
-    assert got == ["SESSION-START", "SESSION-RESTART", "DENIED", "PAUSED", "SESSION-END", "ALLOW"]
-
-
 def test_streaming_without_replays(spark, tmp_path):
     spark.sql("select 1 as k, timestamp'2024-01-01' as ts union all select 1, timestamp'2024-01-01 00:01' union all select 2, timestamp'2024-01-01'").repartition(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("k int, ts timestamp").parquet(str(tmp_path / "in"))

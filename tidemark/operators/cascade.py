@@ -2,20 +2,17 @@
 
 `prepared` computes everything that an event tells by itself (matching rule, threat patterns, malicious host, text scan, paths, hosts, identity, deep link)
 with built-in expressions, so texts are read by Spark and never by the fold. `decide_sessions` then runs each session's rows in order through `Session`, which
-holds what the session has granted, filled, saved, derived and done so far, and nothing of the rows themselves. `streaming` does the same with the state kept by
-Structured Streaming.
+holds what the session has granted, filled, saved, derived and done so far, and nothing of the rows themselves; it grows with the session's keys, apps and value ids.
+`streaming/sessions.py` does the same on streams of events and replies.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions import fields, hosts, paths
 from tidemark.functions import text as texts
@@ -153,6 +150,10 @@ below = lambda host, entry: host == entry.lower() or host.endswith("." + entry.l
 alike = lambda a, b: not a or not b or a.lower() in b.lower() or b.lower() in a.lower()
 
 
+#: What of a session's state grows with its keys, apps and values: mappings, but for the set of saved keys. labels and memory belong to its lattice.
+KEPT = ("pinned", "filled", "asked", "saved", "labels", "memory")
+
+
 class Session:
     """State of one session and the decision on its next event. Everything it keeps is about keys, apps, values and steps, not about rows."""
 
@@ -181,16 +182,14 @@ class Session:
         self.off_plan, self.ended = None, False
         self.risk: dict[str, set] = {k: set() for k in RISKS}
         self.surveyed = False
-        self.pending_save = self.pending_lower = None
+        self.pending_save = self.pending_lower = self.request = None
 
     def freeze(self) -> dict:
-        """The state as plain values; the configuration isn't part of it."""
-        own = {k: v for k, v in vars(self).items() if k not in ("c", "plan", "values")}
-        return own | {"values": (self.values.labels, self.values.memory), "planned": self.plan is not None}
+        """What a session keeps besides what grows with its keys and values (KEPT): plain values; the configuration isn't part of it."""
+        return {k: v for k, v in vars(self).items() if k not in ("c", "plan", "values", *KEPT)} | {"planned": self.plan is not None}
 
     def thaw(self, state: dict) -> Session:
         state = dict(state)
-        self.values.labels, self.values.memory = state.pop("values")
         planned = state.pop("planned")
         vars(self).update(state)
         self.plan = (self.c.plans or {}).get(self.profile) if planned else None
@@ -445,6 +444,8 @@ class Session:
         if new:
             self.reported.add(new[0])
             d = merged(d, by_mode(self.c.mode("on_text_anomaly"), "FW-TEXT-ANOMALY", f"text anomaly: {', '.join(e['anomalies'])}", "low"))
+        asks = d["require_confirm"] and d["action"] in ("block", "alert") and not e["confirm"]
+        self.request = {"d": dict(d), "anchor": anchor, "off": off, "kind": e["step"], "save": self.pending_save, "lower": self.pending_lower} if asks else None
         d = self.commit(e["step"], off, self.confirmed(dict(d), e["confirm"], anchor, off, e["step"]), e["confirm"])
         return (*d.values(), self.paused, correct, self.reached)
 
@@ -466,6 +467,15 @@ class Session:
             d["human_message"] += " — trajectory re-anchored"
         return d
 
+    def answered(self, request: dict, answer: str) -> tuple:
+        """The decision that an earlier request has after its answer. An approved step that was counted as refused is counted now."""
+        self.pending_save, self.pending_lower = request["save"], request["lower"]
+        kind, d = request["kind"], self.confirmed(dict(request["d"]), answer, request["anchor"], request["off"], request["kind"])
+        if self.open and kind is not None and kind not in OBSERVATIONS and not request["off"] and request["d"]["action"] == "block" and d["action"] != "block":
+            self.counts[kind] = self.counts.get(kind, 0) + 1
+            self.ended = self.ended or bool(self.plan) and kind == self.plan.terminal
+        return (*d.values(), self.paused, None, True)
+
     def commit(self, kind, off, d, answer) -> dict:
         """Counts a step that conforms; one that was refused costs nothing. A drift latches unless it was just approved."""
         if kind is None or not self.open:
@@ -487,25 +497,3 @@ def decide_sessions(events: DataFrame, config: Config, domains: DataFrame, sessi
     says if asked), trusted (a verified adapter sent it)."""
     rows = prepared(events, config, domains)
     return in_order(rows, [session], [order], USED, lambda: Session(config), ADDED).select(*events.columns, *ADDED)
-
-
-def streaming(events: DataFrame, config: Config, domains: Sequence[str] = (), session: str = "session", order: str = "rowid") -> DataFrame:
-    """Streaming form of decide_sessions with a list of malicious domains: (session, rowid, and what decide_sessions adds). Within a micro-batch a session's events go by order."""
-    rows = prepared(events, config, domains).select(F.col(session).cast("string").alias("session"), F.col(order).cast("long").alias("rowid"), *USED)
-
-    def plain(x):
-        x = x.tolist() if hasattr(x, "tolist") else x.asDict() if hasattr(x, "asDict") else x
-        return None if isinstance(x, float) and x != x else x
-
-    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        machine = Session(config)
-        if state.exists:
-            machine.thaw(pickle.loads(state.get[0]))
-        out = [(key[0], r.rowid, *machine.step(*map(plain, r[2:]))) for r in pd.concat(list(parts)).sort_values("rowid").itertuples(index=False)]
-        state.update((pickle.dumps(machine.freeze()),))
-        yield pd.DataFrame(out, columns=["session", "rowid", *ADDED])
-
-    schema = "session string, rowid long, " + ", ".join(f"{n} {t}" for n, t in ADDED.items())
-    return rows.groupBy("session").applyInPandasWithState(fold, schema, "machine binary", "append", GroupStateTimeout.NoTimeout)
-
-

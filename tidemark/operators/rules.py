@@ -189,35 +189,6 @@ def evaluate_flow(malicious_domain: Column, host: Column, bytes_out: Column) ->
     return F.when(malicious_domain.isNotNull(), decision("block", "critical", "INTEL-DOMAIN", F.concat(F.lit("Suspicious egress host: "), h), True)).when(bytes_out >= LARGE_UPLOAD, decision("alert", "high", "PRIV-005", large)).otherwise(decision(*ALLOW))
 
 
-def decide(events: DataFrame, rules: Sequence[dict], domains: DataFrame, injections: Sequence[str] = (), deeplinks: Sequence[str] = (), high_keys: Sequence[str] = ()) -> DataFrame:
-    """events with a struct column decision: the first that applies of session start and end, threat patterns in the text (a rule that
-    matches as well wins), malicious URL host, text rules, and the event type's own default."""
-    e, m = F.col("event_type"), F.col("metadata")
-    host = bare_host(m["url"])
-    rows = malicious_hosts(events, host, domains)
-    text = m["ui_text"]
-    rule = most_specific_rule(text, e, F.col("platform"), rules)
-    ruled = F.when(rule.isNotNull(), decision(rule["action"], rule["severity"], rule["rule_id"], rule["human_message"], rule["require_confirm"]))
-    threat = contains_any(text, injections) | contains_any(text, deeplinks, False)
-    key = F.coalesce(m["item_key"], F.lit("unknown"))
-    own = (
-        F.when(e == "process_focus", decision("log_only", "info", "APP-FOCUS", F.concat(F.lit("Foreground app: "), F.col("source_app"))))
-        .when(e == "permission_request", F.when(key.isin(list(high_keys)), from_mode("require_confirm", "PRIV-OP", F.concat(F.lit("Agent requested HIGH-tier profile key '"), key, F.lit("'")), "high")).otherwise(decision(*ALLOW)))
-        .when(e == "memory_write", decision("block", "medium", "PRIV-004", "something about the user is to be kept in memory", True))
-        .when(e == "user_query", decision("allow", "info", "USER-QUERY", "Agent asked the user instead of guessing"))
-        .otherwise(decision(*ALLOW))
-    )
-    first = F.coalesce(
-        F.when(e == "agent_session_start", decision("log_only", "info", "SESSION-START", "Agent session started")),
-        F.when(e == "agent_session_end", decision("log_only", "info", "SESSION-END", "Agent session ended")),
-        F.when(F.coalesce(threat, F.lit(False)), F.coalesce(ruled, decision("block", "high", "INTEL-INJECT", "Threat intel matched injection/deeplink pattern", True))),
-        F.when(F.col("malicious_domain").isNotNull(), decision("block", "critical", "INTEL-DOMAIN", F.concat(F.lit("Malicious domain blocked: "), host), True)),
-        ruled,
-        own,
-    )
-    return rows.withColumn("decision", first).drop("malicious_domain")
-
-
 def revalidate(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows (event_id, decision) of events whose (event_type, source_app, ui_text) differ between decision and execution."""
     mark = lambda d: d.select("event_id", F.struct("event_type", "source_app", F.col("metadata")["ui_text"].alias("t")).alias("m"))

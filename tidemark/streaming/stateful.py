@@ -1,7 +1,7 @@
 """Streaming forms of the session operators.
 
-Each is the streaming counterpart of a batch operator and keeps bounded state for each key: throttling, bursts, replays within a
-watermark, and the session machine.
+Each is the streaming counterpart of a batch operator and keeps bounded state for each key: throttling, bursts, and replays within a
+watermark. Whole sessions are in streaming/sessions.py.
 """
 
 from __future__ import annotations
@@ -49,37 +49,6 @@ def without_replays(events: DataFrame, keys: list[str], time: str = "ts", within
     return events.withWatermark(time, within).dropDuplicatesWithinWatermark(keys)
 
 
-SESSION = "session string, rowid long, rule_id string, state string"
-
-
-def session_machine(events: DataFrame) -> DataFrame:
-    """Streaming sessions: events (session, rowid, event_type, reply) to (session, rowid, rule_id, state).
-
-    A start opens a session, a second one is refused; a denied critical reply pauses it, and a paused session blocks everything but
-    session events until it ends.
-    """
-
-    def fold(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (now,) = state.get if state.exists else ("closed",)
-        rows = []
-        for r in pd.concat(list(parts)).sort_values("rowid").itertuples(index=False):
-            rule = "ALLOW"
-            if r.event_type == "agent_session_start":
-                rule, now = ("SESSION-START", "open") if now == "closed" else ("SESSION-RESTART", now)
-            elif r.event_type == "agent_session_end":
-                rule, now = "SESSION-END", "closed"
-            elif now == "paused":
-                rule = "PAUSED"
-            elif r.reply == "deny":
-                rule, now = "DENIED", "paused"
-            rows.append((k[0], r.rowid, rule, now))
-        state.update((now,))
-        yield pd.DataFrame(rows, columns=["session", "rowid", "rule_id", "state"])
-
-    rows = events.select("session", "rowid", "event_type", "reply")
-    return rows.groupBy("session").applyInPandasWithState(fold, SESSION, "now string", "append", GroupStateTimeout.NoTimeout)
-
-
 def run_once(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Everything that is there now, appended to Parquet at path; a restart goes on from the checkpoint."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
