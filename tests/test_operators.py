@@ -255,6 +255,60 @@ def test_cache_of_little(spark):
     assert cache.lru(d.limit(0), "key", [F.col("rowid")], 3).count() == 0
 
 
+def test_append_survives_replays(spark, tmp_path):
+    """A stream whose batches are run again gives the log that one run gives; a batch that broke off between its two folders is put right."""
+    rows = log(spark, 12).unionByName(log(spark, 5).withColumn("log_id", F.lit("m")))
+    stream = None
+    for lo, hi in ((0, 4), (4, 9), (9, 12)):
+        rows.where(f"rowid >= {lo} and rowid < {hi}").repartition(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        audit.append_stream(stream, str(tmp_path / "log"), str(tmp_path / "state")).awaitTermination()
+    pick = lambda d: sorted((r["log_id"], r["rowid"], r["seq"], r["prev_hash"], r["record_hash"]) for r in d.collect())
+    want = pick(audit.chain(rows, audit.canonical_content()).withColumn("seq", F.col("rowid") + 1))
+    at = str(tmp_path / "log")
+    assert pick(spark.read.parquet(f"{at}/rows")) == want
+    for part in ("rows", "heads"):
+        import shutil
+
+        shutil.rmtree(f"{at}/{part}/batch=2")
+    audit.append(rows.where("rowid >= 9"), at, 2)
+    audit.append(rows.where("rowid >= 9"), at, 2)
+    assert pick(spark.read.parquet(f"{at}/rows")) == want
+    assert audit.verify_chain(spark.read.parquet(f"{at}/rows")).where("not ok").count() == 0
+
+
+def test_report_has_all_rules_or_none(spark, monkeypatch):
+    rows = log(spark, 6).withColumn("rule_id", F.concat(F.lit("R"), "id"))
+    assert len(audit.report(rows)["by_rule"]) == 6 and audit.report_rows(rows).where("part = 'rule'").count() == 6
+    monkeypatch.setattr(audit, "MOST_LISTED", 5)
+    with pytest.raises(ValueError, match="report_rows"):
+        audit.report(rows)
+
+
+def test_ticks_and_intervals_without_key_are_spread(spark, many_partitions):
+    rng = random.Random(4)
+    rows = spark.createDataFrame([(i, rng.randrange(3000)) for i in range(400)], "n long, ts long")
+    ticks = [rng.randrange(3000) for _ in range(60)]
+    gaps = [(a, a + rng.randrange(200)) for a in (rng.randrange(3000) for _ in range(25))]
+    got = {r["n"]: (r["last_tick"], r["backed"]) for r in joins.backed(rows, spark.createDataFrame([(t,) for t in ticks], "ts long"), "ts", 30).collect()}
+    last = {r["n"]: max((t for t in ticks if t <= r["ts"]), default=None) for r in rows.collect()}
+    assert got == {r["n"]: (last[r["n"]], last[r["n"]] is not None and r["ts"] - last[r["n"]] <= 30) for r in rows.collect()}
+    within = {r["n"] for r in joins.inside(rows, spark.createDataFrame(gaps, "from_ms long, to_ms long"), "ts").collect()}
+    assert within == {r["n"] for r in rows.collect() if any(a < r["ts"] < b for a, b in gaps)}
+    marks = sorted({rng.randrange(9000): rng.choice(["session_start", "session_end"]) for _ in range(50)}.items())
+    closed = {(r["from_ms"], r["to_ms"]) for r in joins.closed_intervals(spark.createDataFrame(marks, "ts long, kind string")).collect()}
+    assert closed == {(t + joins.END_GRACE_MS, next((u for u, k in marks if u > t and k == "session_start"), 2**62)) for t, kind in marks if kind == "session_end"}
+
+
+def test_reserve_in_order_of_requests(spark):
+    from tidemark.operators import registry
+
+    limits = spark.createDataFrame([("r", ["r"], 10), ("a", ["a", "r"], 7), ("b", ["b", "r"], 7)], "node string, path array<string>, limit long")
+    asked = [("a", 1, 5), ("b", 2, 4), ("a", 3, 2), ("b", 4, 1), ("zz", 5, 1), ("r", 6, None), ("r", 7, 0)]
+    got = {r["rowid"]: r["granted"] for r in registry.reserve(spark.createDataFrame(asked, "node string, rowid long, amount long"), limits).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: True, 6: False, 7: True}
+
+
 def test_bounded_throttle(spark, many_partitions):
     """Against the table itself, entry by entry."""
     from tidemark.operators import cache

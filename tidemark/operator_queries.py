@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import ed25519, json_schema
 from tidemark.operators import audit, browser, cache, evals, joins, registry, rules, sessions, signatures, taint, trajectory
+from tidemark.operators.scale import own_path
 from tidemark.queries import AUDIT_SQL, CHAIN_SQL, audit_rows, query, read
 from tidemark.sources import config, envelopes
 
@@ -151,6 +152,18 @@ def m2_verify_record_signatures(spark, sf_dir):
     return signatures.verify_signatures(rows, ed25519.public_key(seed))
 
 
+@query(CHAIN_SQL + " SELECT log_id, rowid_ AS rowid, i AS seq, prev_hash, record_hash FROM h")
+def q18_append_with_replays(spark, sf_dir):
+    """The log in three batches, each run twice: numbers and chain are those of one run over all rows."""
+    rows, path = audit_rows(spark, sf_dir), own_path(spark, "log")
+    n = rows.agg(F.max("rowid")).first()[0] + 1
+    for batch in range(3):
+        part = rows.where((F.col("rowid") * 3 >= n * batch) & (F.col("rowid") * 3 < n * (batch + 1)))
+        for _ in range(2):
+            audit.append(part, path, batch)
+    return spark.read.parquet(f"{path}/rows").select("log_id", "rowid", "seq", "prev_hash", "record_hash")
+
+
 CALLS = {
     "click": {"type": "object", "required": ["user", "props"], "additionalProperties": False, "properties": {"user": {"type": "integer", "maximum": 120}, "value": {"type": "number", "exclusiveMaximum": 90}, "props": {"type": "object", "required": ["k"], "properties": {"k": {"multipleOf": 3}}}, "day": {"pattern": "^2024-01-[012]"}}},
     "view": {"type": "object", "properties": {"tags": {"type": "array", "maxItems": 3, "uniqueItems": True, "items": {"anyOf": [{"const": "t0"}, {"minLength": 3}]}}}},

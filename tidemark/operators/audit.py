@@ -40,18 +40,19 @@ def receipt_hash(previous: Column, audit_id: Column, decision: Column, decided_a
 
 class _Chain:
     def __init__(self):
-        self.last = GENESIS
+        self.last = None
 
-    def step(self, content):
-        before, self.last = self.last, hashlib.sha256(f"{self.last}\n{content}".encode()).hexdigest()
+    def step(self, content, head):
+        before = self.last or head or GENESIS
+        self.last = hashlib.sha256(f"{before}\n{content}".encode()).hexdigest()
         return before, self.last
 
 
-def chain(rows: DataFrame, content: Column, key: str = "log_id", order: str = "rowid") -> DataFrame:
-    """rows with prev_hash and record_hash of each log's chain. Each hash needs the one before, so every log is folded in order with one hash as
-    state, and logs spread over the cluster."""
-    plain = rows.drop("prev_hash", "record_hash").withColumn("__content", content)
-    return in_order(plain, [key], [order], ["__content"], _Chain, {"prev_hash": "string", "record_hash": "string"}).drop("__content")
+def chain(rows: DataFrame, content: Column, key: str = "log_id", order: str = "rowid", head: str | None = None) -> DataFrame:
+    """rows with prev_hash and record_hash of each log's chain, which goes on from the column head if it is named. Each hash needs the one before, so every log is folded
+    in order with one hash as state, and logs spread over the cluster."""
+    plain = rows.drop("prev_hash", "record_hash").withColumn("__content", content).withColumn("__from", F.col(head) if head else F.lit(None).cast("string"))
+    return in_order(plain, [key], [order], ["__content", "__from"], _Chain, {"prev_hash": "string", "record_hash": "string"}).drop("__content", "__from")
 
 
 def verified(rows: DataFrame, content: Column, key: str = "log_id", order: str = "rowid", hashed: str = "record_hash") -> DataFrame:
@@ -166,11 +167,24 @@ def top_messages(rows: DataFrame, n: int = 8, order: str = "rowid") -> DataFrame
     return rows.where(a.contains("block") | a.contains("alert")).orderBy(order).limit(n).select(order, F.concat(F.lit("["), F.col("rule_id"), F.lit("] "), F.col("human_message")).alias("message"))
 
 
-def report(rows: DataFrame, most: int = 1000) -> dict:
-    """The session report as one dictionary: counts, the `most` commonest rules and apps, and first messages. top_counts() has all rules and apps as rows."""
+def report_rows(rows: DataFrame) -> DataFrame:
+    """(part, name, count): the whole report's counts by 'rule' and 'source_app' as rows, however many there are."""
+    counts = lambda part, c: rows.groupBy(F.lit(part).alias("part"), F.col(c).alias("name")).agg(F.count("*").alias("count"))
+    return counts("rule", "rule_id").unionByName(counts("source_app", "source_app"))
+
+
+#: Rules or apps beyond which a report is no document any more.
+MOST_LISTED = 10_000
+
+
+def report(rows: DataFrame) -> dict:
+    """The session report as one dictionary: counts, all rules and apps, and first messages. Beyond MOST_LISTED rules or apps it raises; report_rows() has them as rows then."""
     out = report_counts(rows).first().asDict()
-    out["by_rule"] = [r.asDict() for r in top_counts(rows, "rule_id").limit(most).collect()]
-    out["by_source_app"] = [r.asDict() for r in top_counts(rows, "source_app").limit(most).collect()]
+    for name, column in (("by_rule", "rule_id"), ("by_source_app", "source_app")):
+        found = top_counts(rows, column).limit(MOST_LISTED + 1).collect()
+        if len(found) > MOST_LISTED:
+            raise ValueError(f"more than {MOST_LISTED} values of {column}: write report_rows() instead")
+        out[name] = [r.asDict() for r in found]
     out["top_messages"] = [r["message"] for r in top_messages(rows).collect()]
     return out
 
@@ -181,9 +195,28 @@ def render_markdown(report: dict, title: str = "Session report") -> str:
     return "\n".join([*lines, "", *[f"- {m}" for m in report["top_messages"]], ""])
 
 
-def append(rows: DataFrame, path: str) -> None:
-    """Appends rows to the log at path, partitioned by log."""
-    rows.write.mode("append").partitionBy("log_id").parquet(path)
+def append(rows: DataFrame, path: str, batch: int, content: Column | None = None, order: str = "rowid") -> None:
+    """Appends batch number `batch` of rows to the log at path: numbered (seq) and chained (prev_hash, record_hash) on from each log's head.
+
+    Rows lie below path/rows/batch=N and the heads of all logs after batch N below path/heads/batch=N. A batch only reads the heads of the one before it and
+    overwrites its own folders, so a batch that is run again, after a failure at any point, changes nothing. Batches come in order.
+    """
+    spark = rows.sparkSession
+    empty = spark.createDataFrame([], "log_id string, seq long, record_hash string")
+    old = spark.read.schema(empty.schema).parquet(f"{path}/heads/batch={batch - 1}") if batch > 0 else empty
+    content = canonical_content() if content is None else content
+    new = next_sequence(old, rows.drop("seq"), order)
+    new = chain(new.join(old.select("log_id", F.col("record_hash").alias("__head")), "log_id", "left"), content, order="seq", head="__head").drop("__head")
+    at = f"{path}/rows/batch={batch}"
+    new.write.mode("overwrite").parquet(at)
+    now = spark.read.schema(new.schema).parquet(at).groupBy("log_id").agg(F.max("seq").alias("seq"), F.max_by("record_hash", "seq").alias("record_hash"))
+    kept = old.join(now.select("log_id"), "log_id", "left_anti").unionByName(now)
+    kept.write.mode("overwrite").parquet(f"{path}/heads/batch={batch}")
+
+
+def append_stream(stream: DataFrame, path: str, checkpoint: str, content: Column | None = None, order: str = "rowid"):
+    """A streaming query that appends every micro-batch by append(): what is replayed after a failure is written once."""
+    return stream.writeStream.foreachBatch(lambda rows, n: append(rows, path, n, content, order)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

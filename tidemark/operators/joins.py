@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.scale import carried
+
 #: Tolerances in milliseconds, and observation rows of the audit log.
 END_GRACE_MS, HEARTBEAT_MS = 2_000, 10_000
 OBSERVATIONS = ("UiTreeDelta", "FormFill", "NetworkFlow", "Screenshot")
@@ -77,25 +79,30 @@ def verify_claims(claims: DataFrame, documents: DataFrame, tests: DataFrame) ->
 def closed_intervals(trace: DataFrame) -> DataFrame:
     """(from_ms, to_ms) in which no session was open: from the grace behind each end to the next start."""
     marks = trace.where(F.col("kind").isin("session_start", "session_end")).select("ts", (F.col("kind") == "session_start").alias("start"))
-    after = Window.orderBy("ts", "start").rowsBetween(1, Window.unboundedFollowing)
-    next_start = F.min(F.when(F.col("start"), F.col("ts"))).over(after)
-    return marks.withColumn("to_ms", F.coalesce(next_start, F.lit(2**62))).where("not start").select((F.col("ts") + END_GRACE_MS).alias("from_ms"), "to_ms")
+    marks = marks.withColumn("__s", F.when(F.col("start"), F.col("ts")))
+    marks = carried(marks, [F.desc("ts"), F.desc("start")], "__s", "next")  # from the end of the trace, the last start seen is the next one
+    return marks.where("not start").select((F.col("ts") + END_GRACE_MS).alias("from_ms"), F.coalesce("next", F.lit(2**62)).alias("to_ms"))
+
+
+def _so_far(both: DataFrame, value: Column, into: str, by: tuple[str, ...]) -> DataFrame:
+    """both (__t, __side, ...) with the largest value up to each row: within each key, or through all rows, which are then spread over partitions by time."""
+    if not by:
+        return carried(both.withColumn("__v", value), [F.col("__t"), F.col("__side")], "__v", into, largest=True).drop("__v")
+    return both.withColumn(into, F.max(value).over(Window.partitionBy(*by).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
 
 def backed(rows: DataFrame, ticks: DataFrame, ts: str = "ts", within_ms: int = HEARTBEAT_MS, *by: str) -> DataFrame:
     """rows with last_tick, the latest tick at or before them, and backed: it is at most within_ms ago. One ordered pass over both."""
     both = rows.withColumn("__r", F.struct(*rows.columns)).select(*by, F.col(ts).alias("__t"), F.lit(1).alias("__side"), "__r").unionByName(ticks.select(*by, F.col(ts).alias("__t"), F.lit(0).alias("__side")), allowMissingColumns=True)
-    last = F.max(F.when(F.col("__side") == 0, F.col("__t"))).over(Window.partitionBy(*by).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = both.withColumn("last_tick", last).where("__side = 1")
+    out = _so_far(both, F.when(F.col("__side") == 0, F.col("__t")), "last_tick", by).where("__side = 1")
     return out.select("__r.*", "last_tick", F.coalesce(F.col("__t") - F.col("last_tick") <= within_ms, F.lit(False)).alias("backed"))
 
 
 def inside(rows: DataFrame, intervals: DataFrame, ts: str, *by: str) -> DataFrame:
-    """rows whose time lies inside an interval (from_ms, to_ms), exclusive at both ends. One ordered pass over both for each key: a row is inside if
+    """rows whose time lies inside an interval (from_ms, to_ms), exclusive at both ends. One ordered pass over both: a row is inside if
     the furthest end of the intervals that began before it is behind it."""
     both = rows.withColumn("__r", F.struct(*rows.columns)).select(*by, F.col(ts).alias("__t"), F.lit(0).alias("__side"), "__r").unionByName(intervals.select(*by, F.col("from_ms").alias("__t"), F.lit(1).alias("__side"), F.col("to_ms").alias("__to")), allowMissingColumns=True)
-    last = F.max("__to").over(Window.partitionBy(*by).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return both.withColumn("__last", last).where("__side = 0 and __t < __last").select("__r.*")
+    return _so_far(both, F.col("__to"), "__last", by).where("__side = 0 and __t < __last").select("__r.*")
 
 
 def reconcile(trace: DataFrame, rows: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import entities, text
+from tidemark.operators.scale import in_order
 from tidemark.operators.sessions import latest
 
 SCANNED = ("ui_text", "uri", "url", "clipboard_text", "ocr_text")
@@ -108,28 +109,33 @@ def catalog_summary(techniques: DataFrame) -> DataFrame:
     return techniques.groupBy("evidence", "status").agg(F.count("*").alias("n"))
 
 
+class _Room:
+    """What is left of each node below one root. Limits come before requests."""
+
+    def __init__(self):
+        self.left: dict[str, int] = {}
+
+    def step(self, side, node, path, amount):
+        if side == 0:
+            self.left[node] = amount
+            return (None,)
+        ok = amount is not None and all(self.left.get(n, 0) >= amount for n in path)
+        for n in path if ok else ():
+            self.left[n] -= amount
+        return (ok,)
+
+
 def reserve(requests: DataFrame, limits: DataFrame) -> DataFrame:
     """requests (node, rowid, amount) with granted: node and all its ancestors had room for the amount, given all that was granted before.
 
-    limits: node, path (array of the node and its ancestors), limit. Requests of one root depend on each other, so each root's are folded in order.
+    limits: node, path (array of the node and its ancestors), limit. Requests of one root depend on each other, so each root's are folded in order of rowid behind its
+    limits; the state is a number for each node of the root, however many requests there are. Requests for nodes without limit are left out.
     """
-    import pandas as pd
-
-    rows = requests.join(limits.select("node", "path"), "node").withColumn("root", F.element_at("path", -1))
-    tops = limits.select(F.element_at("path", -1).alias("root"), "node", "limit")
-    schema = "node string, rowid long, amount long, granted boolean"
-
-    def fold(asked: pd.DataFrame, most: pd.DataFrame) -> pd.DataFrame:
-        left = dict(zip(most["node"], most["limit"], strict=True))
-        out = []
-        for r in asked.sort_values("rowid").itertuples(index=False):
-            ok = all(left.get(n, 0) >= r.amount for n in r.path)
-            for n in r.path if ok else ():
-                left[n] -= r.amount
-            out.append((r.node, r.rowid, r.amount, ok))
-        return pd.DataFrame(out, columns=["node", "rowid", "amount", "granted"])
-
-    return rows.groupBy("root").cogroup(tops.groupBy("root")).applyInPandas(fold, schema)
+    root = F.element_at("path", -1).alias("root")
+    most = limits.select(root, F.lit(0).alias("__side"), "node", "path", F.lit(None).cast("long").alias("rowid"), F.col("limit").cast("long").alias("amount"))
+    asked = requests.join(limits.select("node", "path"), "node").select(root, F.lit(1).alias("__side"), "node", "path", F.col("rowid").cast("long").alias("rowid"), F.col("amount").cast("long").alias("amount"))
+    rows = in_order(most.unionByName(asked), ["root"], ["__side", "rowid"], ["__side", "node", "path", "amount"], _Room, {"granted": "boolean"})
+    return rows.where("__side = 1").select("node", "rowid", "amount", "granted")
 
 
 def env_guard(events: DataFrame, session: str = "session", order: str = "rowid") -> DataFrame:

@@ -174,12 +174,14 @@ def contains_any(text: Column, patterns: Sequence[str], ignore_case: bool = True
 
 def malicious_hosts(rows: DataFrame, host: Column, domains: DataFrame, into: str = "malicious_domain") -> DataFrame:
     """rows with the longest listed domain that host is or is below; null if none. The distinct hosts meet the list once, by an equal join on their
-    suffixes, and the rows meet what was found by their host. Rows that repeat stay."""
+    suffixes, and the rows meet what was found by their host. Rows that repeat stay. Rows without host, most of a log, get keys of their own
+    that match nothing, so they don't meet in one task."""
     listed = domains.select(F.lower("domain").alias("__domain")).distinct()
     keyed = rows.select(F.lower(host).alias("__host")).where("__host is not null").distinct().select("__host", F.explode(suffixes(F.col("__host"))).alias("__domain"))
     best = F.max(F.struct(F.length("__domain").alias("n"), F.col("__domain").alias("domain")))
     found = keyed.join(listed, "__domain").groupBy("__host").agg(best["domain"].alias(into))
-    return rows.withColumn("__host", F.lower(host)).join(found, "__host", "left").drop("__host")
+    nowhere = F.concat(F.lit("\n"), F.monotonically_increasing_id().cast("string"))
+    return rows.withColumn("__host", F.coalesce(F.lower(host), nowhere)).join(found, "__host", "left").drop("__host")
 
 
 def evaluate_flow(malicious_domain: Column, host: Column, bytes_out: Column) -> Column:

@@ -9,7 +9,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -47,18 +47,22 @@ def in_order(rows: DataFrame, keys: Sequence[str], order: Sequence[str], uses: S
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, T.StructType([*rows.schema.fields, *fields]))
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """df as Parquet in the folder of spark.checkpoint.dir, read back: lineage is cut, and a lost executor costs its tasks only. A local session without that folder gets one."""
-    spark = df.sparkSession
+def own_path(spark: SparkSession, name: str) -> str:
+    """A new path in this application's part of the folder that driver and executors share."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         shared = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", shared)
-    path = f"{shared.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{shared.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def table(df: DataFrame, name: str) -> DataFrame:
+    """df as Parquet in the folder of spark.checkpoint.dir, read back: lineage is cut, and a lost executor costs its tasks only. A local session without that folder gets one."""
+    path = own_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _placed(rows: DataFrame, order: Sequence[Column], run: Callable, added: dict[str, str], name: str) -> DataFrame:
@@ -72,7 +76,7 @@ def _placed(rows: DataFrame, order: Sequence[Column], run: Callable, added: dict
 
 
 def _with(batch: pa.RecordBatch, more: dict[str, np.ndarray], part: int) -> pa.RecordBatch:
-    columns = [pa.array(x, mask=np.isnan(x)).cast(pa.int64()) if x.dtype.kind == "f" else pa.array(x) for x in more.values()]
+    columns = [pa.array(x.data, mask=np.ma.getmaskarray(x)) if isinstance(x, np.ma.MaskedArray) else pa.array(x) for x in more.values()]
     return pa.RecordBatch.from_arrays([*batch.columns, *columns, pa.array(np.full(batch.num_rows, part, np.int32))], names=[*batch.schema.names, *more, "__part"])
 
 
@@ -100,12 +104,10 @@ def lagged(rows: DataFrame, key: str, at: str, into: str) -> DataFrame:
         last = None
         for b in batches:
             k, x = (b.column(i).to_numpy() for i in where)
-            past = np.concatenate([[np.nan], x[:-1].astype(np.float64)])
-            past[1:][k[1:] != k[:-1]] = np.nan
-            if last is not None and last[0] == k[0]:
-                past[0] = last[1]
+            before = np.concatenate([[last[1] if last else 0], x[:-1]])
+            other = np.concatenate([[last is None or last[0] != k[0]], k[1:] != k[:-1]])
             last = k[-1], x[-1]
-            yield _with(b, {into: past}, part)
+            yield _with(b, {into: np.ma.array(before, mask=other)}, part)
 
     local = _placed(rows, [F.col(key), F.col(at)], run, {into: "long"}, "lagged")
     ends = local.groupBy("__part").agg(F.max_by(F.struct(key, at), F.struct(key, at)).alias("e"), F.min(F.struct(key, at)).alias("s"))
@@ -114,24 +116,31 @@ def lagged(rows: DataFrame, key: str, at: str, into: str) -> DataFrame:
     return local.join(F.broadcast(past), [key, at], "left").select(*rows.columns, F.coalesce(into, "__past").alias(into))
 
 
-def carried(rows: DataFrame, order: Sequence[Column], value: str, into: str) -> DataFrame:
-    """rows with the last non-null value of a long column up to each row in order; null before the first."""
+def carried(rows: DataFrame, order: Sequence[Column], value: str, into: str, largest: bool = False) -> DataFrame:
+    """rows with the last non-null value of a long column up to each row in order, or the largest; null before the first. The smallest long counts as null."""
     where = rows.columns.index(value)
 
+    nothing = np.iinfo(np.int64).min
+
     def run(part, batches):
-        last = np.nan
+        last, n = nothing, 0
         for b in batches:
-            x = b.column(where).cast(pa.float64()).to_numpy(zero_copy_only=False)
-            at = np.maximum.accumulate(np.where(np.isnan(x), -1, np.arange(len(x))))
-            x = np.where(at < 0, last, x[at])
-            last = x[-1]
-            yield _with(b, {into: x}, part)
-
-    local = _placed(rows, order, run, {into: "long"}, "carried")
-    ends = local.groupBy("__part").agg(F.max_by(into, F.struct(*order)).alias("e"))
+            x = b.column(where).fill_null(nothing).to_numpy()
+            x = np.concatenate([[last], x])
+            if largest:
+                x = np.maximum.accumulate(x)
+            else:
+                x = x[np.maximum.accumulate(np.where(x == nothing, 0, np.arange(len(x))))]
+            x, last = x[1:], x[-1]
+            yield _with(b, {into: np.ma.array(x, mask=x == nothing), "__i": np.arange(n, n + b.num_rows)}, part)
+            n += b.num_rows
+
+    local = _placed(rows, order, run, {into: "long", "__i": "long"}, "carried")
+    ends = local.groupBy("__part").agg(F.max_by(into, "__i").alias("e"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    past = ends.select("__part", F.last("e", ignorenulls=True).over(before).alias("__past"))
-    return local.join(F.broadcast(past), "__part").select(*rows.columns, F.coalesce(into, "__past").alias(into))
+    past = ends.select("__part", (F.max("e") if largest else F.last("e", ignorenulls=True)).over(before).alias("__past"))
+    now = F.greatest(into, "__past") if largest else F.coalesce(into, "__past")
+    return local.join(F.broadcast(past), "__part").select(*rows.columns, now.alias(into))
 
 
 #: Pieces that a block of time is cut into at each level of dominance().
