@@ -309,6 +309,40 @@ def test_reserve_in_order_of_requests(spark):
     assert got == {1: True, 2: True, 3: False, 4: True, 6: False, 7: True}
 
 
+@pytest.mark.parametrize("most", [0, 4, 11])
+def test_near_hashes_are_all_pairs(spark, most):
+    rng = random.Random(most)
+    known = [(k, rng.getrandbits(64) - 2**63) for k in range(40)] + [(40, -1), (41, 0), (42, None)]
+    seen = [(i, None if i == 7 else known[i % 42][1] ^ sum(1 << b for b in rng.sample(range(63), rng.randrange(14)))) for i in range(150)] + [(150, known[3][1]), (151, known[3][1])]
+    got = {(r["id"], r["key"]): r["distance"] for r in joins.near_hashes(spark.createDataFrame(seen, "id long, h long"), spark.createDataFrame(known, "key long, h long"), most).collect()}
+    far = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1")
+    assert got == {(i, k): far(a, b) for i, a in seen for k, b in known if a is not None and b is not None and far(a, b) <= most}
+
+
+def test_lookalike_faces_stand_for_the_session(spark):
+    from tidemark.operators.cascade import Config, decide_sessions
+
+    apps = [{"name": "WeChat", "packages": ["com.wechat"], "labels": ["微信"], "signers": ["aa" * 32], "icon_dhash": ["3333333333333333"]}, {"name": "Stripe", "packages": ["com.stripe"], "signers": ["bb" * 32], "icon_dhash": ["f0f0f0f0f0f0f0f0"]}]
+    cases = {
+        "clone": [("com.evil", "微信", "3333333333333333", "APP-LOOKALIKE", "block"), ("com.evil", None, None, "APP-LOOKALIKE", "block"), ("com.evil", "Notes", None, "APP-LOOKALIKE", "block")],
+        "icon": [("com.helper", "Pay Helper", "3333333333333331", "APP-LOOKALIKE", "log_only"), ("com.helper", "WeChatt", "3333333333333331", "APP-LOOKALIKE", "block"), ("com.helper", "Pay Helper", "3333333333333331", "APP-LOOKALIKE", "block")],
+        "folded": [("com.evil", "ＷеＣhat", None, "APP-LOOKALIKE", "block")],
+        "own": [("com.wechat", "微信", "3333333333333333", None, None), ("com.wechat", "微信", None, None, None), ("com.wechat", "Stripe", "3333333333333333", "APP-LOOKALIKE", "block")],
+        "names": [("com.work", "WeChat Work", None, None, None), ("com.strip", "Strip", None, None, None), ("com.far", "x", "33333333333333cd", None, None)],
+        "typo": [("com.evil", "Wechta", "zz", "APP-LOOKALIKE", "block")],
+    }
+    rows = [(name, i, "android", "ui_tree_delta", "app", {k: v for k, v in (("package", p), ("app_label", label), ("icon_dhash", icon)) if v is not None}, None, False) for name, steps in cases.items() for i, (p, label, icon, _, _) in enumerate(steps)]
+    rows.append(("unread", 0, "android", "ui_tree_delta", "app", {"package": "com.x", "face_error": "hidden"}, None, False))
+    d = spark.createDataFrame(rows, "session string, rowid long, platform string, event_type string, source_app string, metadata map<string,string>, confirm string, trusted boolean")
+    out = {(r["session"], r["rowid"]): r for r in decide_sessions(d, Config(apps=apps), spark.createDataFrame([], "domain string")).collect()}
+    for name, steps in cases.items():
+        for i, (*_, rule, action) in enumerate(steps):
+            r = out[name, i]
+            assert (r["rule_id"] == rule and r["action"] == action) if rule else r["rule_id"] != "APP-LOOKALIKE", (name, i, r)
+    assert "not in the app registry" in out["clone", 0]["human_message"] and "dressed as 'WeChat'" in out["icon", 0]["human_message"] and "advisory" in out["icon", 0]["human_message"]
+    assert out["unread", 0]["rule_id"] == "APP-FACE-UNREADABLE" and "APP-FACE-UNPROVEN" in out["own", 0]["human_message"] + out["own", 0]["rule_id"]
+
+
 def test_bounded_throttle(spark, many_partitions):
     """Against the table itself, entry by entry."""
     from tidemark.operators import cache

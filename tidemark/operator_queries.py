@@ -164,6 +164,20 @@ def q18_append_with_replays(spark, sf_dir):
     return spark.read.parquet(f"{path}/rows").select("log_id", "rowid", "seq", "prev_hash", "record_hash")
 
 
+ICONS = """(SELECT vec_id, list_transform(embedding, lambda x: (x > 0)::INT) AS b FROM embeddings)"""
+
+
+@query(f"""WITH k AS {ICONS}, o AS (SELECT vec_id AS id, list_transform(range(1, 65), lambda i: CASE WHEN (i * 7 + vec_id) % 64 < vec_id % 7 THEN 1 - b[i] ELSE b[i] END) AS b FROM k),
+ d AS (SELECT id, vec_id AS key, list_sum(list_transform(range(1, 65), lambda i: (o.b[i] <> k.b[i])::INT))::INT AS distance FROM o, k)
+ SELECT id, min(key) AS key, distance FROM d WHERE distance <= 4 GROUP BY id, distance QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance) = 1""")
+def j17_nearest_icons(spark, sf_dir):
+    """Sign bits of vectors as icons, up to six of them flipped, against all of them."""
+    long = lambda bits: F.aggregate(bits, F.lit(0).cast("long"), lambda h, x: F.shiftleft(h, 1).bitwiseOR(x))
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: (x > 0).cast("long")).alias("b"))
+    flipped = F.transform("b", lambda x, i: F.when(((i + 1) * 7 + F.col("vec_id")) % 64 < F.col("vec_id") % 7, 1 - x).otherwise(x))
+    return joins.nearest_hash(e.select(F.col("vec_id").alias("id"), long(flipped).alias("h")), e.select(F.col("vec_id").alias("key"), long(F.col("b")).alias("h")))
+
+
 CALLS = {
     "click": {"type": "object", "required": ["user", "props"], "additionalProperties": False, "properties": {"user": {"type": "integer", "maximum": 120}, "value": {"type": "number", "exclusiveMaximum": 90}, "props": {"type": "object", "required": ["k"], "properties": {"k": {"multipleOf": 3}}}, "day": {"pattern": "^2024-01-[012]"}}},
     "view": {"type": "object", "properties": {"tags": {"type": "array", "maxItems": 3, "uniqueItems": True, "items": {"anyOf": [{"const": "t0"}, {"minLength": 3}]}}}},

@@ -8,6 +8,7 @@ holds what the session has granted, filled, saved, derived and done so far, and
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import fields, hosts, paths
 from tidemark.functions import text as texts
+from tidemark.operators import frames
 from tidemark.operators import rules as rule_ops
 from tidemark.operators.registry import content_scan
 from tidemark.operators.scale import in_order
@@ -73,6 +75,29 @@ def _registered(config: Config, metadata: Column) -> tuple[Column, Column, Colum
     return name, F.when(package != "", F.coalesce(identity, F.lit("unregistered"))), rule
 
 
+def _faces(config: Config, label: Column, icon: Column) -> tuple[Column, Column, Column]:
+    """(faces, icon_of, icon_far) of an app's display label and icon hash (16 hex digits): which registered apps it is named like, 'name|exact' or 'name|typo' in order of
+    the registry, and whose icon is the nearest that matches, the first of equals. faces is null if neither label nor icon was seen."""
+    h = F.when(F.trim(icon).rlike("^[0-9A-Fa-f]{16}$"), F.conv(F.trim(icon), 16, -10).cast("long"))
+
+    def named(f: Column) -> Column:
+        hits = []
+        for a in config.apps:
+            own = [texts.fold_label(F.lit(x)) for x in (a["name"], *a.get("labels", []))]
+            exact = functools.reduce(lambda x, y: x | y, [f == k for k in own])
+            typo = functools.reduce(lambda x, y: x | y, [F.array_contains(texts.typo_variants(k), f) for k in own])
+            hits.append(F.when(exact, f"{a['name']}|exact").when(typo, f"{a['name']}|typo"))
+        return F.when(f != "", F.array_compact(F.array(*hits)))
+
+    none = F.array().cast("array<string>")
+    known = [(a["name"], int(x, 16) - (1 << 64 if int(x, 16) >> 63 else 0)) for a in config.apps for x in a.get("icon_dhash", [])]
+    near = F.array_compact(F.array(*[F.when(frames.icons_match(h, F.lit(k).cast("long")), F.struct(frames.hash_distance(h, F.lit(k).cast("long")).alias("far"), F.lit(i).alias("i"), F.lit(n).alias("name"))) for i, (n, k) in enumerate(known)])) if known else None
+    best = F.array_min(near) if known else None
+    seen = (F.trim(label) != "") | h.isNotNull()
+    faces = F.when(seen, F.coalesce(texts.bind(texts.fold_label(label), named), none)) if config.apps else F.lit(None).cast("array<string>")
+    return faces, best["name"] if known else F.lit(None).cast("string"), best["far"] if known else F.lit(None).cast("int")
+
+
 def prepared(events: DataFrame, config: Config, domains: DataFrame | Sequence[str]) -> DataFrame:
     """events (session, rowid, platform, event_type, source_app, metadata, confirm, trusted) with what each tells by itself. Malicious domains are a frame (domain),
     which is joined, or for streams, which can't be joined that way, a list of some thousands at most."""
@@ -94,11 +119,12 @@ def prepared(events: DataFrame, config: Config, domains: DataFrame | Sequence[st
     network = (e == "data_flow") & (F.lower(F.trim(m["sink_kind"])) == "network")
     to = F.when(e == "network_flow", F.trim(m["url"])).when(network, F.trim(F.coalesce(m["sink"], m["url"])))
     name, identity, link = _registered(config, m)
+    faces, icon_of, icon_far = _faces(config, m["app_label"], m["icon_dhash"])
     kinds_seen = F.transform(F.array_sort(F.transform(F.col("scan.anomalies"), lambda k: F.struct((-texts.anomaly_rank(k)).alias("r"), k.alias("k")))), lambda x: x["k"])
     return rows.withColumns(
         {
             "first": first, "step": rule_ops.step_kind(e, m, config.rules, config.high_keys, config.low_keys), "anomalies": kinds_seen, "breakout": F.get("scan.breakouts", F.lit(0)), "sensitive": F.size("scan.entities") > 0,
-            "fs": F.when(e.isin("file_write", "file_delete"), F.coalesce(fs, F.lit("FS-OK"))), "resolved": resolved, "to": F.when(to != "", to), "to_host": hosts.normalize_host(hosts.url_host(to)), "data_key": fields.event_data_key(m), "known_as": name, "identity": identity, "link": link,
+            "fs": F.when(e.isin("file_write", "file_delete"), F.coalesce(fs, F.lit("FS-OK"))), "resolved": resolved, "to": F.when(to != "", to), "to_host": hosts.normalize_host(hosts.url_host(to)), "data_key": fields.event_data_key(m), "known_as": name, "identity": identity, "link": link, "faces": faces, "icon_of": icon_of, "icon_far": icon_far,
         }
     ).drop("__ruled", "scan", "malicious_domain")
 
@@ -128,7 +154,7 @@ def merged(a: dict, b: dict | None) -> dict:
 ALLOW = D("allow", "info", "ALLOW")
 RISKS = ("broadcast_input_receivers", "foreign_a11y_services", "text_capturing_services", "log_readers")
 CONFIDENTIALITY = {"public": PUBLIC, "low": LOW, "high": HIGH}
-USED = ["event_type", "source_app", "metadata", "first", "step", "anomalies", "breakout", "sensitive", "fs", "resolved", "to", "to_host", "data_key", "known_as", "identity", "link", "confirm", "trusted"]
+USED = ["event_type", "source_app", "metadata", "first", "step", "anomalies", "breakout", "sensitive", "fs", "resolved", "to", "to_host", "data_key", "known_as", "identity", "link", "faces", "icon_of", "icon_far", "confirm", "trusted"]
 ADDED = {"action": "string", "severity": "string", "rule_id": "string", "human_message": "string", "require_confirm": "boolean", "paused": "boolean", "correct": "boolean", "recorded": "boolean"}
 
 
@@ -151,7 +177,7 @@ alike = lambda a, b: not a or not b or a.lower() in b.lower() or b.lower() in a.
 
 
 #: What of a session's state grows with its keys, apps and values: mappings, but for the set of saved keys. labels and memory belong to its lattice.
-KEPT = ("pinned", "filled", "asked", "saved", "labels", "memory")
+KEPT = ("pinned", "filled", "asked", "saved", "faces", "labels", "memory")
 
 
 class Session:
@@ -175,6 +201,7 @@ class Session:
         self.filled: dict[str, set] = {}
         self.asked: dict[str, str] = {}
         self.saved: set[str] = set()
+        self.faces: dict[str, tuple[str, bool] | bool] = {}
         self.reported: set[str] = set()
         self.values = Lattice()
         self.counts: dict[str, int] = {}
@@ -241,6 +268,43 @@ class Session:
             return D("alert" if self.c.require_attestation and before is None else "log_only", "low", "APP-UNATTESTED", f"{e['known_as']}: {why}")
         return None
 
+    def face_finding(self, m, e) -> dict | None:
+        """An app that looks like a registered one which it isn't. Its own face excuses only that face. What was found stands for the session, and an icon alone, which unrelated apps share, is only noted."""
+        package = (m.get("package") or "").strip()
+        if not package or not self.c.apps:
+            return None
+        worn = self.faces.get(package)
+
+        def finding(text, sure) -> dict:
+            return D("block", "critical", "APP-LOOKALIKE", text, True) if sure else D("log_only", "low", "APP-LOOKALIKE", f"{text} (advisory: icons of unrelated apps can be as near)")
+
+        stands = finding(f"'{package}' was dressed as '{worn[0]}' earlier in this session, which stands", worn[1]) if worn else None
+        if e["faces"] is None:
+            why, told = (m.get("face_error") or "").strip(), f"unreadable:{package}"
+            if stands or not why or told in self.faces:
+                return stands
+            self.faces[told] = True
+            return D("log_only", "low", "APP-FACE-UNREADABLE", f"the label and icon of '{package}' could not be read ({why}), so they were not compared")
+        own = e["known_as"]
+        named = [x.rsplit("|", 1) for x in e["faces"]]
+        others = [x for x in named if x[0] != own]
+        label = max(enumerate(others), key=lambda x: (x[1][1] == "exact", x[0]), default=(0, None))[1]
+        icon = e["icon_of"] if e["icon_of"] != own else None
+        if label or icon:
+            name, sure = label[0] if label else icon, bool(label) or bool(worn and worn[1])
+            self.faces[package] = (name, sure)
+            who = f"is the registered app '{own}'" if own else "is not in the app registry"
+            how = (f"its label is {'that' if label[1] == 'exact' else 'a typo away from that'} of another app" + (" and so is its icon" if icon == name else "")) if label else f"its icon is {e['icon_far']} bits away from that of another app"
+            return finding(f"'{package}' {who}, but {how}: it is dressed as '{name}'", sure)
+        claimed = self.pinned.get(package) in ("unattested", "unproven", "no_signer_on_record")
+        if stands or not (claimed and own and (any(x[0] == own for x in named) or e["icon_of"] == own)):
+            return stands
+        told = f"unproven:{package}"
+        if told in self.faces:
+            return None
+        self.faces[told] = True
+        return D("alert" if self.c.require_attestation else "log_only", "low", "APP-FACE-UNPROVEN", f"'{package}' looks like '{own}' and nothing proves that it is")
+
     def drift(self, kind) -> tuple[str, str] | None:
         p = self.plan
         if kind is None or kind in OBSERVATIONS:
@@ -424,7 +488,7 @@ class Session:
             return (*D("block", "high", "SESSION-PAUSED", "the session is paused since a decision was denied").values(), True, None, False)
         self.pending_save = self.pending_lower = None
         self.reached = False
-        identity = self.identity_finding(m, e)
+        identity, face = self.identity_finding(m, e), self.face_finding(m, e)
         scope = list(self.scope_findings(kind, app, e))
         d, correct = self.primary(kind, app, m, e)
         off = self.drift(e["step"])
@@ -436,7 +500,7 @@ class Session:
             d = merged(d, D("alert", "medium", "TASK-DRIFT", f"the event is of task '{m['task_profile']}', the session of '{self.profile}'"))
         if kind == "agent_session_start":
             scope = list(self.scope_findings(kind, app, e))
-        for f in (identity, self.file_finding(e), *scope):
+        for f in (identity, face, self.file_finding(e), *scope):
             d = merged(d, f)
         if e["breakout"]:
             d = merged(d, by_mode(self.c.mode("on_context_breakout"), "FW-BREAKOUT", f"content tries to leave its envelope: {e['breakout']}", "medium"))

@@ -229,6 +229,32 @@ def nearest_label(observed: DataFrame, registry: DataFrame, fold, variants) -> D
     return met.groupBy("id", "app_id").agg(F.min("match").alias("match"))
 
 
+def near_hashes(observed: DataFrame, known: DataFrame, most: int = 4) -> DataFrame:
+    """(id, key, distance) of observed 64-bit hashes (id, h) and known ones (key, h) that differ in `most` bits at most.
+
+    Multi-index hashing: two such hashes agree in one of most + 1 bands of their bits, so bands are joined by equality and what meets is counted out. Equal hashes
+    count as one on either side until the end, so copies don't make bands large. Null hashes match nothing.
+    """
+    cuts = [64 * i // (most + 1) for i in range(most + 2)]
+
+    def band(a: int, b: int) -> Column:
+        return F.shiftrightunsigned("h", a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1))
+
+    def banded(df: DataFrame, to: str) -> DataFrame:
+        bands = F.array(*[F.struct(F.lit(i).alias("i"), band(a, b).cast("long").alias("v")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
+        return df.select("h").where("h is not null").distinct().select(F.col("h").alias(to), F.explode(bands).alias("b")).select(to, "b.i", "b.v")
+
+    met = banded(observed, "x").join(banded(known, "y"), ["i", "v"]).select("x", "y").where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= most).distinct()
+    out = observed.select("id", F.col("h").alias("x")).join(met, "x").join(known.select("key", F.col("h").alias("y")), "y")
+    return out.select("id", "key", F.bit_count(F.col("x").bitwiseXOR(F.col("y"))).cast("int").alias("distance"))
+
+
+def nearest_hash(observed: DataFrame, known: DataFrame, most: int = 4) -> DataFrame:
+    """(id, key, distance) of the nearest known hash of each observed one, the smallest key of equally near ones; those with none nearer than `most` bits are left out."""
+    best = near_hashes(observed, known, most).groupBy("id").agg(F.min(F.struct("distance", "key")).alias("b"))
+    return best.select("id", "b.key", "b.distance")
+
+
 def manifest_changes(rows: DataFrame, service: str = "service", order: str = "rowid") -> DataFrame:
     """Registry rows (service, rowid, digest, state) with changed (a digest unlike the one before) and legal (an allowed change of state)."""
     by = Window.partitionBy(service).orderBy(order)
