@@ -1,6 +1,7 @@
 """Queries that hold single operators against cases with known answers.
 
 The tables have no events of this engine's kind, so the cases are dealt over all rows of events, case event_id modulo their number; the SQL states the answer of each.
+Where data_queries.py has a query of the same name, that one is registered and the cases are only tested.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from tidemark.schemas import severity_rank, step_gravity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+ANSWERS: dict[str, list[str | None]] = {}
+_DEALS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
 
 def said(x) -> str | None:
@@ -32,20 +35,29 @@ def said(x) -> str | None:
 def golden(name: str, inputs: str, f: Callable[..., Column], cases: list[tuple]) -> None:
     """Registers query `name`: f over the columns of inputs, for cases (input, ..., answer)."""
 
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = spark.createDataFrame([(i, *c[:-1]) for i, c in enumerate(cases)], f"__case int, {inputs}")
-        events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("event_id") % len(cases)).cast("int").alias("__case"))
+    def deal(events: DataFrame) -> DataFrame:
+        rows = events.sparkSession.createDataFrame([(i, *c[:-1]) for i, c in enumerate(cases)], f"__case int, {inputs}")
+        events = events.select("event_id", (F.col("event_id") % len(cases)).cast("int").alias("__case"))
         out = events.join(F.broadcast(rows), "__case").select("event_id", f(*[F.col(c) for c in rows.columns[1:]]).alias("r"))  # as many rows as cases
         whole = isinstance(out.schema["r"].dataType, (T.ArrayType, T.StructType, T.MapType))
         return out.select("event_id", (F.to_json("r") if whole else F.col("r").cast("string")).alias("r"))
 
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return deal(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
     query.__name__, query.__doc__ = name, f"{len(cases)} cases with known answers."
-    QUERIES[name] = query
+    QUERIES[name], _DEALS[name] = query, deal
     quote = lambda s: "NULL" if s is None else "'" + s.replace("'", "''") + "'"
+    ANSWERS[name] = [None if (a := said(c[-1])) is None else a if isinstance(c[-1], (str, list, dict, tuple)) else str(a) for c in cases]
     whens = " ".join(f"WHEN {i} THEN {quote(said(c[-1]))}" for i, c in enumerate(cases))
     SQL[name] = f"SELECT event_id, CAST(CASE event_id % {len(cases)} {whens} END AS VARCHAR) AS r FROM events"
 
 
+def dealt(events: DataFrame, name: str) -> DataFrame:
+    """The cases of a name dealt over rows (event_id): event_id and the answer that the operator gives."""
+    return _DEALS[name](events)
+
+
 def tag(s: str) -> str:
     return "".join(chr(0xE0000 + ord(c)) for c in s)
 

@@ -615,12 +615,12 @@ def j17_label_lookalikes(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    from tidemark import cases, operator_queries  # noqa: F401, the latter registers its own
+    from tidemark import cases, data_queries, operator_queries  # noqa: F401, the latter two register their own
 
-    return _QUERIES | cases.QUERIES
+    return cases.QUERIES | _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from tidemark import cases, operator_queries  # noqa: F401
+    from tidemark import cases, data_queries, operator_queries  # noqa: F401
 
-    return _SQL | cases.SQL
+    return cases.SQL | _SQL
