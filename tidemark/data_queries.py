@@ -323,3 +323,135 @@ def r7_classify_link(spark, sf_dir):
     link = F.when(k == 0, F.concat(F.lit("http"), F.substring("url", 6, 10_000))).otherwise(F.col("url"))
     shown = F.when(k == 1, F.upper("url")).when(k == 2, "https://bank.example.org/login").otherwise("read more")
     return p.select("page_id", hosts.classify_link(link, shown).alias("kind"))
+
+
+# ---- keys, apps and boxes made of columns
+
+
+@query("""SELECT event_id, coalesce(nullif(trim(CASE event_id % 4 WHEN 0 THEN ' ' || event_type || ' ' WHEN 1 THEN CASE WHEN user_id % 3 = 0 THEN ' ' ELSE 'item' || CAST(user_id AS VARCHAR) END END), ''), CASE WHEN event_id % 4 = 2 THEN event_type END) AS key FROM events""")
+def f16_event_data_key(spark, sf_dir):
+    k, u = F.col("event_id") % 4, F.col("user_id")
+    item = F.when(k == 1, F.when(u % 3 == 0, " ").otherwise(F.concat(F.lit("item"), u.cast("string"))))
+    m = F.map_filter(F.create_map(F.lit("profile_key"), F.when(k == 0, F.concat(F.lit(" "), "event_type", F.lit(" "))), F.lit("item_key"), item, F.lit("value_id"), F.when(k == 2, F.concat(F.lit(" profile:"), "event_type")).otherwise(F.lit("v1"))), lambda _, v: v.isNotNull())
+    return read(spark, sf_dir, "events").select("event_id", fields.event_data_key(m).alias("key"))
+
+
+@query("SELECT p_partkey, contains(lower(p_name), lower(split_part(p_type, ' ', 1))) OR contains(lower(p_name), lower(p_brand)) AS granted, contains(lower(p_name), lower(p_brand[1:2])) OR contains(lower(p_brand[1:2]), lower(p_name)) AS alike FROM part")
+def f22_app_in_grant(spark, sf_dir):
+    """Names of parts as apps, words of their types and brands as grants."""
+    p = read(spark, sf_dir, "part")
+    grant = F.array(F.upper(F.get(F.split("p_type", " "), F.lit(0))), F.lit(" "), F.concat(F.lit(" "), "p_brand"))
+    return p.select("p_partkey", fields.app_in_grant(F.col("p_name"), grant).alias("granted"), fields.apps_match(F.col("p_name"), F.upper(F.substring("p_brand", 1, 2))).alias("alike"))
+
+
+@query("SELECT event_id, event_id % 7 IN (0, 2, 3, 5) AS yes FROM events")
+def f24_meta_bool(spark, sf_dir):
+    said = F.array(*map(F.lit, ("TRUE ", "false", " yes", "1", "on", "Y", "")))
+    return read(spark, sf_dir, "events").select("event_id", fields.meta_bool(F.get(said, (F.col("event_id") % 7).cast("int"))).alias("yes"))
+
+
+@query("""SELECT event_id, CASE WHEN event_type IN ('purchase', 'signup') THEN 'high' ELSE 'low' END AS tier, CASE WHEN event_type IN ('view', 'click') THEN 'low' ELSE 'high' END AS flow FROM events""")
+def f26_flow_tier_for_key(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    return e.select("event_id", fields.tier(F.col("event_type"), ["purchase", "signup"]).alias("tier"), fields.flow_tier(F.col("event_type"), ["purchase", "signup"], ["view", "click", "signup"]).alias("flow"))
+
+
+@query(r"SELECT page_id, starts_with(lower(url), 'https://' || lower(regexp_extract(url, '^https?://([^/?#]*)', 1)[1:4])) AS secure, starts_with(lower(url), 'http://') AS plain FROM pages WHERE url IS NOT NULL")
+def f28_deeplink_matches(spark, sf_dir):
+    p = read(spark, sf_dir, "pages").where("url is not null")
+    host = F.substring(F.regexp_extract("url", "^https?://([^/?#]*)", 1), 1, 4)
+    return p.select("page_id", fields.deeplink_matches(F.upper("url"), F.concat(F.lit("HttpS://"), host)).alias("secure"), fields.deeplink_matches(F.col("url"), F.lit("HTTP://")).alias("plain"))
+
+
+@query("""SELECT event_id, greatest(event_id % 2, user_id % 3)::INT AS confidentiality, least(event_id % 3, user_id % 2)::INT AS integrity FROM events""")
+def x18_introduce(spark, sf_dir):
+    i, u = F.col("event_id"), F.col("user_id")
+    low, high = taint.join_labels((i % 3).cast("int"), (i % 2).cast("int"), (u % 2).cast("int"), (u % 3).cast("int"))
+    return read(spark, sf_dir, "events").select("event_id", high.alias("confidentiality"), low.alias("integrity"))
+
+
+@query("WITH h AS (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY 1, 2) SELECT user_id, string_agg(upper(event_type), ',' ORDER BY first) AS rules FROM h GROUP BY 1")
+def a6_extract_rule_hits(spark, sf_dir):
+    """Each user's events in order as 'RULE:action' strings: the distinct rules, in order."""
+    one = F.struct("event_id", F.concat(F.upper("event_type"), F.lit(":"), (F.col("event_id") % 4).cast("string")).alias("h"))
+    u = read(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(one)).alias("all"))
+    return u.select("user_id", F.array_join(scores.rule_hits(F.transform("all", lambda x: x["h"])), ",").alias("rules"))
+
+
+@query("SELECT conv_id, arg_min(kind, turn) FILTER (kind IN ('trap_fill', 'breakout')) AS gate FROM (SELECT conv_id, turn, CASE WHEN length(text) % 7 = 0 THEN 'trap_fill' WHEN length(text) % 11 = 0 THEN 'breakout' ELSE 'note' END AS kind FROM conversations) GROUP BY 1")
+def r8_gate_for_findings(spark, sf_dir):
+    """Findings on the turns of each conversation, in order: the first kind that blocks."""
+    n = F.length("text")
+    one = F.struct("turn", F.when(n % 7 == 0, "trap_fill").when(n % 11 == 0, "breakout").otherwise("note").alias("kind"))
+    c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("f"))
+    return c.select("conv_id", browser.gate(F.col("f")).alias("gate"))
+
+
+@query("""SELECT event_id, user_id % 4 <= event_id % 5 AND user_id % 3 > 0 AND event_id % 3 > 0 AS preserves FROM events""")
+def r43_preserves(spark, sf_dir):
+    i, u = F.col("event_id"), F.col("user_id")
+    source = lambda c: F.concat(F.lit("s"), c.cast("string"))
+    was = F.struct(F.lit("user").alias("scope"), F.col("event_type").alias("item_key"), (u % 4).alias("label"), F.array(source(i), source(u)).alias("sources"))
+    now = F.struct(F.when(u % 3 > 0, "user").otherwise("team").alias("scope"), F.col("event_type").alias("item_key"), (i % 5).alias("label"), F.when(i % 3 > 0, F.array(source(u), F.lit("x"), source(i))).otherwise(F.array(F.lit("none"))).alias("sources"))
+    return read(spark, sf_dir, "events").select("event_id", registry.preserves(was, now).alias("preserves"))
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY event_type, user_id % 5, trim(props)) AS alike FROM events")
+def x7_fingerprint_equal(spark, sf_dir):
+    """How many events share each one's fingerprint: metadata in any order and with blanks around values, without what changes from frame to frame."""
+    from pyspark.sql import Window
+
+    from tidemark.operators import sessions
+
+    app = F.concat(F.lit("app"), (F.col("user_id") % 5).cast("string"))
+    a = F.create_map(F.lit("ui_text"), F.concat(F.lit(" "), "props"), F.lit("frame_digest"), F.col("event_id").cast("string"))
+    b = F.create_map(F.lit("capture_width"), F.col("value").cast("string"), F.lit("ui_text"), F.col("props"))
+    e = read(spark, sf_dir, "events").withColumn("f", sessions.fingerprint(F.col("event_type"), app, F.when(F.col("event_id") % 2 == 0, a).otherwise(b)))
+    return e.select("event_id", F.count("*").over(Window.partitionBy("f")).alias("alike"))
+
+
+@query("""SELECT event_id, CASE WHEN f AND (t OR p = 2) THEN 'PRIV-TRAP' WHEN g AND a = 0 THEN 'PRIV-GUESS' WHEN f AND NOT r AND p = 1 THEN 'PRIV-FM' WHEN g THEN 'PRIV-GUESS' END AS rule
+ FROM (SELECT event_id, event_id % 5 = 0 AS t, user_id % 3 AS p, event_id % 2 = 0 AS r, event_id % 7 > 1 AS f, user_id % 4 = 1 AS g, event_id % 3 AS a FROM events)""")
+def x15_decide_form_fill(spark, sf_dir):
+    from tidemark.operators import sessions
+
+    i, u = F.col("event_id"), F.col("user_id")
+    probe = F.when(u % 3 == 1, "form_minimization").when(u % 3 == 2, "trap_resistance")
+    answer = F.when(i % 3 == 0, "declined").when(i % 3 == 1, "answered")
+    return read(spark, sf_dir, "events").select("event_id", sessions.form_decision(i % 5 == 0, probe, i % 2 == 0, i % 7 > 1, u % 4 == 1, answer).alias("rule"))
+
+
+@query("""WITH s AS (SELECT event_id, user_id % 9 > 0 AS active, event_id % 11 = 0 AS pending, event_id % 13 = 0 AS paused, event_id % 3 AS running, CASE WHEN event_id % 5 > 0 THEN CAST(floor(value * 200) AS BIGINT) END AS beat FROM events)
+ SELECT event_id, CASE WHEN NOT active THEN 'stopped' WHEN pending THEN 'confirmation_pending' WHEN paused THEN 'paused' WHEN running = 0 OR 20000 - beat > 10000 OR beat IS NULL THEN 'degraded' ELSE 'active' END AS state,
+ CASE WHEN NOT active THEN 'no_session' WHEN pending THEN 'confirm_pending' WHEN paused THEN 'engine_paused' ELSE concat_ws(',', CASE WHEN running = 0 THEN 'observer_not_running' END, CASE WHEN 20000 - beat > 10000 THEN 'heartbeat_stale' END, CASE WHEN beat IS NULL THEN 'heartbeat_never' END) END AS reasons FROM s""")
+def x29_protection_state(spark, sf_dir):
+    from tidemark.operators import sessions
+
+    i = F.col("event_id")
+    made = {
+        "session_active": F.col("user_id") % 9 > 0, "pending_confirm": i % 11 == 0, "paused": i % 13 == 0, "permission_missing": F.lit(False), "capability_missing": F.lit(False), "observers_available": F.lit(2), "observers_running": i % 3, "observer_error": F.lit(None).cast("string"),
+        "last_heartbeat_ms": F.when(i % 5 > 0, F.floor(F.col("value") * 200).cast("long")), "started_ms": F.lit(0), "now_ms": F.lit(20_000), "audit_enabled": F.lit(True), "audit_error": F.lit(None).cast("string"),
+    }
+    e = read(spark, sf_dir, "events").select("event_id", F.struct(*[c.alias(n) for n, c in made.items()]).alias("i"))
+    return e.select("event_id", sessions.protection_state(F.col("i")).alias("s")).select("event_id", "s.state", F.array_join("s.reasons", ",").alias("reasons"))
+
+
+@query("""WITH b AS (SELECT p_partkey, (p_partkey * 53 % 2000)::DOUBLE AS x, (p_partkey * 97 % 1100)::DOUBLE AS y, p_size::DOUBLE * 2 AS w, p_size::DOUBLE AS h FROM part), z AS (SELECT *, x < 24 OR x + w > 1896 AS side, y < 24 OR y + h > 1056 AS tip FROM b)
+ SELECT p_partkey, (side AND (tip OR h <= 48)) OR (tip AND h <= 24) AS hidden, x < 600 AND x + w > 400 AND y < 30 AND y + h > 0 AS masked FROM z""")
+def v17_in_invisible_zone(spark, sf_dir):
+    k = F.col("p_partkey")
+    box = F.struct((k * 53 % 2000).cast("double").alias("x"), (k * 97 % 1100).cast("double").alias("y"), (F.col("p_size") * 2).cast("double").alias("width"), F.col("p_size").cast("double").alias("height"))
+    p = read(spark, sf_dir, "part").select("p_partkey", box.alias("b"))
+    return p.select("p_partkey", frames.in_invisible_zone(F.col("b"), 1920.0, 1080.0).alias("hidden"), frames.is_masked(F.col("b"), 1920.0, 1080.0, 0.0, ((400.0, 0.0, 200.0, 30.0),)).alias("masked"))
+
+
+@query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE list_transform(range(1 + user_id % 4), lambda i: 'g' || CAST((user_id + i * 2) % 6 AS VARCHAR)) END AS c, list_transform(range(1 + event_id % 3), lambda i: 'g' || CAST((event_id + i) % 6 AS VARCHAR)) AS r FROM events)
+ SELECT event_id, CASE WHEN c IS NOT NULL THEN list_aggregate(list_filter(c, lambda x, i: list_contains(r, x) AND NOT list_contains(c[1:i - 1], x)), 'string_agg', ',') END AS granted, coalesce(CASE WHEN c IS NULL THEN '' ELSE list_aggregate(list_filter(r, lambda x: NOT list_contains(c, x)), 'string_agg', ',') END, '') AS refused FROM e""")
+def j13_narrow(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    i, u = F.col("event_id"), F.col("user_id")
+    name = lambda c, s: F.concat(F.lit(s), c.cast("string"))
+    ceiling = F.when(i % 7 != 0, F.transform(F.sequence(F.lit(0).cast("long"), u % 4), lambda k: name((u + k * 2) % 6, "g")))
+    asked = F.transform(F.sequence(F.lit(0).cast("long"), i % 3), lambda k: name((i + k) % 6, " G"))
+    granted, refused = joins.narrow(ceiling, asked, lambda r, c: F.lower(F.trim(r)) == F.lower(F.trim(c)))
+    return e.select("event_id", F.when(F.size(granted) > 0, F.array_join(granted, ",")).alias("granted"), F.lower(F.replace(F.array_join(refused, ","), F.lit(" "), F.lit(""))).alias("refused"))

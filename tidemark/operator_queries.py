@@ -43,9 +43,10 @@ def q16_preferred(spark, sf_dir):
 
 @query("SELECT 'documents' AS name, EXISTS (SELECT 1 FROM documents WHERE text IS NOT NULL) AS there, (SELECT count(*) FROM documents WHERE doc_id = 7) AS at_7 UNION ALL SELECT 'nothing', EXISTS (SELECT 1 FROM documents WHERE doc_id < 0), 0")
 def q13_q22_point_and_exists(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id", "text")
-    one = d.where("doc_id = 7").count()
-    return spark.createDataFrame([("documents", not d.where("text is not null").isEmpty(), one), ("nothing", not d.where("doc_id < 0").isEmpty(), 0)], "name string, there boolean, at_7 long")
+    d = read(spark, sf_dir, "documents")
+    found = d.agg(F.coalesce(F.bool_or(F.col("text").isNotNull()), F.lit(False)).alias("a"), F.count_if(F.col("doc_id") == 7).alias("n"), F.coalesce(F.bool_or(F.col("doc_id") < 0), F.lit(False)).alias("b"))
+    row = lambda name, there, n: F.struct(F.lit(name).alias("name"), there.alias("there"), n.cast("long").alias("at_7"))
+    return found.select(F.explode(F.array(row("documents", F.col("a"), F.col("n")), row("nothing", F.col("b"), F.lit(0)))).alias("r")).select("r.*")
 
 
 @query("SELECT doc_id AS file_index, sha256(text) AS sha256, CAST(len(string_split(text, chr(10))) AS INT) AS chunks FROM documents WHERE text IS NOT NULL")
