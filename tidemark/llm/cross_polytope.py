@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ceil_div, mix, small, table
+from tidemark.llm.common import bind, ceil_div, mix, small, table
 
 #: Hash tables, vectors in a bucket on average, and vectors or queries in a tile at most.
 TABLES, ROWS, TILE = 4, 512, 4096
@@ -125,7 +125,8 @@ def _lists(keys: list, found: list) -> pa.RecordBatch:
 
 def _merge(lists: DataFrame, k: int) -> DataFrame:
     """(query, best): the k best of a query's lists, an id once."""
-    return lists.groupBy("query").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k).alias("best"))
+    once = lambda a: F.filter(a, lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(a, i - 1)))
+    return lists.groupBy("query").agg(F.slice(bind(F.array_sort(F.flatten(F.collect_list("best"))), once), 1, k).alias("best"))
 
 
 def valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
