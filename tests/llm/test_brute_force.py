@@ -15,7 +15,7 @@ from tidemark.llm import oracles, queries
 from tidemark.llm import substring_dedup as sd
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = ("documents", "benchmark", "pages")
+TABLES = ("documents", "benchmark", "pages", "labels", "conversations")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 LOWER = {c: c + 32 for c in range(65, 91)}
 
