@@ -455,3 +455,92 @@ def j13_narrow(spark, sf_dir):
     asked = F.transform(F.sequence(F.lit(0).cast("long"), i % 3), lambda k: name((i + k) % 6, " G"))
     granted, refused = joins.narrow(ceiling, asked, lambda r, c: F.lower(F.trim(r)) == F.lower(F.trim(c)))
     return e.select("event_id", F.when(F.size(granted) > 0, F.array_join(granted, ",")).alias("granted"), F.lower(F.replace(F.array_join(refused, ","), F.lit(" "), F.lit(""))).alias("refused"))
+
+
+# ---- more of the same kind
+
+
+@query("SELECT page_id, contains(url, '/a') OR contains(url, 'https://w') AS hit FROM pages WHERE url IS NOT NULL")
+def f8_matches_deeplink(spark, sf_dir):
+    p = read(spark, sf_dir, "pages").where("url is not null")
+    return p.select("page_id", rules.contains_any(F.col("url"), ["/a", "https://w"], ignore_case=False).alias("hit"))
+
+
+@query("SELECT c_custkey, contains(lower(c_mktsegment), lower(n_name[1:1])) OR contains(lower(n_name[1:1]), lower(c_mktsegment)) AS alike FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def f23_apps_match(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return c.select("c_custkey", fields.apps_match(F.concat(F.lit(" "), "c_mktsegment"), F.substring("n_name", 1, 1)).alias("alike"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'high' ELSE 'low' END AS tier FROM orders")
+def f25_tier_for_key(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select("o_orderkey", fields.tier(F.col("o_orderpriority"), ["1-URGENT", "2-HIGH"]).alias("tier"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 3 = 0 AND round(abs(c_acctbal) / 10000, 4) >= 0.7 END AS qualified FROM customer")
+def a13_qualifies(spark, sf_dir):
+    c = read(spark, sf_dir, "customer")
+    return c.select("c_custkey", scores.qualifies(F.col("c_custkey") % 3 == 0, F.round(F.abs("c_acctbal") / 10_000, 4), F.col("c_custkey") % 5).alias("qualified"))
+
+
+@query("SELECT p_partkey, array_to_string(list_filter(w, lambda x, i: NOT list_contains(w[1:i - 1], x)), ' ') AS words FROM (SELECT p_partkey, list_transform(string_split(p_name || ' ' || p_type || ' ' || p_name, ' '), lambda x: lower(x)) AS w FROM part)")
+def j14_dedupe(spark, sf_dir):
+    """Words of names and types, repeated in other case and with blanks around them."""
+    p = read(spark, sf_dir, "part")
+    words = F.concat(F.split("p_name", " "), F.split(F.upper("p_type"), " "), F.transform(F.split(F.upper("p_name"), " "), lambda x: F.concat(F.lit(" "), x)), F.array(F.lit(" ")))
+    return p.select("p_partkey", F.lower(F.array_join(joins.dedupe(words), " ")).alias("words"))
+
+
+@query("SELECT vec_id, list_sum(list_transform(embedding, lambda x: (x > 0.09)::INT)) NOT BETWEEN 8 AND 56 AS degenerate FROM embeddings")
+def v15_is_degenerate(spark, sf_dir):
+    bits = F.transform("embedding", lambda x: (x.cast("double") > 0.09).cast("long"))
+    h = F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(x))
+    return read(spark, sf_dir, "embeddings").select("vec_id", frames.degenerate_hash(h).alias("degenerate"))
+
+
+@query("SELECT p_partkey, x < 700 AND x + w > 500 AND y < 40 AND y + h > 0 AS masked FROM (SELECT p_partkey, (p_partkey * 31 % 1900)::DOUBLE AS x, (p_partkey * 17 % 300)::DOUBLE AS y, p_size::DOUBLE AS w, p_size::DOUBLE / 2 AS h FROM part)")
+def v18_is_masked(spark, sf_dir):
+    k = F.col("p_partkey")
+    box = F.struct((k * 31 % 1900).cast("double").alias("x"), (k * 17 % 300).cast("double").alias("y"), F.col("p_size").cast("double").alias("width"), (F.col("p_size") / 2).cast("double").alias("height"))
+    return read(spark, sf_dir, "part").select("p_partkey", frames.is_masked(box, 1920.0, 1080.0, 0.0, ((500.0, 0.0, 200.0, 40.0),)).alias("masked"))
+
+
+@query("SELECT o_orderkey, list_position(['info', 'low', 'medium', 'high', 'critical'], ['info', 'low', 'medium', 'high', 'critical', 'odd'][o_orderkey % 6 + 1]) - 1 AS rank FROM orders")
+def f38_severity_rank(spark, sf_dir):
+    name = F.get(F.array(*map(F.lit, ("INFO", "Low", "medium", "HIGH", "critical", "odd"))), (F.col("o_orderkey") % 6).cast("int"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", severity_rank(name).alias("rank"))
+
+
+@query("SELECT log_id AS user_id, '6:record' || strlen(log_id) || ':' || log_id || '4:log1' || strlen(n) || ':' || n || '32:' || md5(n) AS said FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) || 'é' AS log_id, CAST(max(event_id) OVER (PARTITION BY user_id) AS VARCHAR) AS n FROM events)")
+def m1_record_signing_message(spark, sf_dir):
+    """Each user's newest record as the bytes that a signature is over: lengths are of bytes."""
+    from tidemark.operators import audit
+
+    e = read(spark, sf_dir, "events").groupBy("user_id").agg(F.max("event_id").alias("n")).select(F.concat(F.col("user_id").cast("string"), F.lit("é")).alias("user_id"), "n")
+    return e.select("user_id", F.decode(audit.signing_message("record", F.col("user_id"), F.lit("log1"), F.col("n"), F.md5(F.col("n").cast("string").cast("binary"))), "UTF-8").alias("said"))
+
+
+@query("""WITH w AS (SELECT p_partkey, lower(split_part(p_type, ' ', 1)) AS a FROM part) SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 OR (p_partkey % 3 = 1 AND a[1] = a[2]) THEN 'exact' WHEN p_partkey % 3 = 1 AND length(a) >= 5 THEN 'typo' END AS match FROM w""")
+def t42_label_match(spark, sf_dir):
+    """Words of part types in capitals, with their first two letters swapped, and reversed."""
+    word = F.lower(F.get(F.split("p_type", " "), F.lit(0)))
+    k = F.col("p_partkey") % 3
+    swapped = F.concat(F.substring(word, 2, 1), F.substring(word, 1, 1), F.substring(word, 3, 100))
+    seen = text.fold_label(F.when(k == 0, F.upper(word)).when(k == 1, swapped).otherwise(F.concat(F.lit("zz"), word)))
+    known = text.fold_label(word)
+    return read(spark, sf_dir, "part").select("p_partkey", F.when(seen == known, "exact").when(F.array_contains(text.typo_variants(known), seen), "typo").alias("match"))
+
+
+@query(f"{_CARD} SELECT event_id, {_LUHN.format('d')} = 0 AS card FROM c")
+def r3_mail_card(spark, sf_dir):
+    """Card numbers of event ids in groups of four."""
+    d = _card(F.col("event_id"))
+    grouped = F.concat_ws(" ", F.substring(d, 1, 4), F.substring(d, 5, 4), F.concat_ws("-", F.substring(d, 9, 4), F.substring(d, 13, 4)))
+    return read(spark, sf_dir, "events").select("event_id", browser.mail_card(grouped).alias("card"))
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'view' THEN 'allow' WHEN 'click' THEN 'alert' ELSE 'block' END AS action, event_type NOT IN ('view', 'click') AS confirm FROM events""")
+def f43_decision_from_mode(spark, sf_dir):
+    modes = {"view": "allow", "click": "alert", "purchase": "require_confirm", "signup": "ask", "error": "deny"}
+    d = F.coalesce(*[F.when(F.col("event_type") == k, rules.from_mode(m, "R", "x", "low")) for k, m in modes.items()])
+    return read(spark, sf_dir, "events").select("event_id", d.alias("d")).select("event_id", "d.action", F.col("d.require_confirm").alias("confirm"))
