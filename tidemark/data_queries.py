@@ -544,3 +544,101 @@ def f43_decision_from_mode(spark, sf_dir):
     modes = {"view": "allow", "click": "alert", "purchase": "require_confirm", "signup": "ask", "error": "deny"}
     d = F.coalesce(*[F.when(F.col("event_type") == k, rules.from_mode(m, "R", "x", "low")) for k, m in modes.items()])
     return read(spark, sf_dir, "events").select("event_id", d.alias("d")).select("event_id", "d.action", F.col("d.require_confirm").alias("confirm"))
+
+
+# ---- entities, paths and identities made of ids
+
+_HIT = f"({_LUHN.format('d')} = 0 AND (d[1] = '4' OR CAST(d[1:2] AS INT) BETWEEN 51 AND 55))"
+
+
+@query(f"{_CARD} SELECT event_id, 'pay •••• ' || right(d, 4) || ' now' AS masked, {_HIT} AS verified FROM c")
+def t20_mask_sensitive_runs(spark, sf_dir):
+    """A mask hides any long run of digits, a card number or not; only one that checks is verified."""
+    said = F.concat(F.lit("pay "), _card(F.col("event_id")), F.lit(" now"))
+    return read(spark, sf_dir, "events").select("event_id", entities.mask_runs(said).alias("masked"), entities.has_verified(entities.recognise(said)).alias("verified"))
+
+
+@query(f"{_CARD} SELECT event_id, CASE WHEN {_HIT} THEN 2 END AS confidentiality FROM c")
+def t19_recognised_confidentiality(spark, sf_dir):
+    said = F.concat(F.lit("card no "), _card(F.col("event_id")), F.lit(" of the account"))
+    return read(spark, sf_dir, "events").select("event_id", entities.confidentiality(entities.recognise(said)).alias("confidentiality"))
+
+
+@query("""WITH b AS (SELECT event_id, lpad(CAST(event_id * 104729 % 1000000000000 AS VARCHAR), 18, '7') AS b FROM events),
+ c AS (SELECT event_id, event_id % 4 <> 1 AS good, 'DE' || lpad(CAST(98 - CAST(b || '131400' AS HUGEINT) % 97 + CASE WHEN event_id % 4 = 1 THEN 1 ELSE 0 END AS VARCHAR), 2, '0') || b AS iban FROM b)
+ SELECT event_id, CASE WHEN good THEN 'DE•••••• ' || right(iban, 4) END AS found FROM c""")
+def t11_scan_iban(spark, sf_dir):
+    """Account numbers of event ids in a sentence."""
+    body = F.lpad((F.col("event_id") * 104729 % 1_000_000_000_000).cast("string"), 18, "7")
+    rest = F.concat(body, F.lit("131400")).cast("decimal(38,0)") % 97
+    check = F.lpad((98 - rest + F.when(F.col("event_id") % 4 == 1, 1).otherwise(0)).cast("int").cast("string"), 2, "0")
+    iban = F.concat(F.lit("DE"), check, body)
+    return read(spark, sf_dir, "events").select("event_id", F.get(entities.scan_iban(F.concat(F.lit("to: "), iban, F.lit("."))), F.lit(0))["redacted"].alias("found"))
+
+
+@query("""WITH b AS (SELECT event_id, '110105' || CAST(1950 + event_id % 60 AS VARCHAR) || lpad(CAST(1 + event_id % 12 AS VARCHAR), 2, '0') || lpad(CAST(1 + event_id % 28 AS VARCHAR), 2, '0') || lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0') AS b FROM events),
+ c AS (SELECT event_id, b, '10X98765432'[((list_sum(list_transform(range(1, 18), lambda i: b[i]::INT * [7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2][i])) + x) % 11 + 1)::BIGINT] AS k FROM b, (SELECT 0 AS x UNION ALL SELECT 1) WHERE x = (event_id % 3 = 2)::INT),
+ v AS (SELECT event_id, b, k = '10X98765432'[(list_sum(list_transform(range(1, 18), lambda i: b[i]::INT * [7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2][i])) % 11 + 1)::BIGINT] AS ok FROM c) SELECT event_id, CASE WHEN ok THEN '••••••' || b[17] END AS found FROM v""")
+def t12_scan_national_id(spark, sf_dir):
+    i = F.col("event_id")
+    pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
+    body = F.concat(F.lit("110105"), (1950 + i % 60).cast("string"), pad(1 + i % 12, 2), pad(1 + i % 28, 2), pad(i % 1000, 3))
+    total = F.aggregate(F.zip_with(F.slice(F.split(body, ""), 1, 17), F.array(*map(F.lit, entities.ID_WEIGHTS)), lambda c, w: c.cast("int") * w), F.lit(0), lambda a, x: a + x)
+    check = F.substr(F.lit("10X98765432"), (total + F.when(i % 3 == 2, 1).otherwise(0)) % 11 + 1, F.lit(1))
+    said = F.concat(F.lit("id "), body, check, F.lit(", ok"))
+    return read(spark, sf_dir, "events").select("event_id", F.get(entities.scan_national_id(said), F.lit(0))["redacted"].alias("found"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 1 THEN 'invisible_text' WHEN p_partkey % 4 = 2 THEN 'bidi_override' WHEN p_partkey % 4 = 3 AND contains(p_name, 'e') THEN 'homoglyph' END AS worst,
+ CASE WHEN p_partkey % 4 = 1 THEN 'invisible_text ×2' WHEN p_partkey % 4 = 2 THEN 'bidi_override ×1' WHEN p_partkey % 4 = 3 AND contains(p_name, 'e') THEN 'homoglyph ×' || CAST(len(list_filter(string_split(p_name, ' '), lambda x: contains(x, 'e'))) AS VARCHAR) ELSE '' END AS summary FROM part""")
+def t32_worst_anomaly(spark, sf_dir):
+    """Names of parts with zero-width spaces, a bidirectional override, or a Cyrillic letter in every word that has an e."""
+    k, n = F.col("p_partkey") % 4, F.col("p_name")
+    odd = F.when(k == 1, F.concat(F.substring(n, 1, 1), F.lit("​"), F.substring(n, 2, 1), F.lit("​"), F.substring(n, 3, 100))).when(k == 2, F.concat(n, F.lit("‮"))).when(k == 3, F.replace(n, F.lit("e"), F.lit("е"))).otherwise(n)
+    p = read(spark, sf_dir, "part").select("p_partkey", text.scan_anomalies(odd).alias("a"))
+    return p.select("p_partkey", text.worst_anomaly(F.col("a")).alias("worst"), text.anomaly_summary(F.col("a")).alias("summary"))
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN '/work/a' || k || '/c' || u WHEN 1 THEN '/home/u/' || u WHEN 2 THEN '/' || k WHEN 3 THEN NULL WHEN 4 THEN '/x/' || k || '/y' ELSE '/home/u' END AS resolved, event_id % 6 = 0 AND event_id % 9 = user_id % 9 AS inside
+ FROM (SELECT *, CAST(event_id % 9 AS VARCHAR) AS k, CAST(user_id AS VARCHAR) AS u FROM events)""")
+def f29_resolve(spark, sf_dir):
+    from tidemark.functions import paths
+
+    i, k, u = F.col("event_id"), (F.col("event_id") % 9).cast("string"), F.col("user_id").cast("string")
+    said = F.when(i % 6 == 0, F.concat(F.lit("a"), k, F.lit("/./b/../c"), u)).when(i % 6 == 1, F.concat(F.lit("~/x/../"), u)).when(i % 6 == 2, F.concat(F.lit("../../../"), k)).when(i % 6 == 3, F.concat(k, F.lit("/*.txt"))).when(i % 6 == 4, F.concat(F.lit("/x//"), k, F.lit("/y/"))).otherwise(F.lit("~"))
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", paths.resolve(said, F.lit("/home/u"), F.lit("/work")).alias("resolved"))
+    grant = F.concat(F.lit("/work/a"), (F.col("user_id") % 9).cast("string"))
+    return e.select("event_id", "resolved", F.coalesce(paths.is_within(grant, F.col("resolved")), F.lit(False)).alias("inside"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 AND user_id % 3 = 0 THEN 'ALLOW' WHEN user_id % 3 = 0 THEN 'DL-UNKNOWN' WHEN user_id % 3 = 1 OR event_id % 5 = user_id % 5 THEN 'ALLOW' ELSE 'DL-ALLOWLIST' END AS rule FROM events""")
+def f19_decide_deeplink(spark, sf_dir):
+    """Links of five schemes, one of them https, from apps that aren't registered, may open anything, or one scheme only."""
+    i, u = F.col("event_id"), F.col("user_id")
+    scheme = F.get(F.array(*map(F.lit, ("https://", "app1://", "app2://", "app3://", "app4://"))), (i % 5).cast("int"))
+    own = F.get(F.array(*map(F.lit, ("HTTPS://", "App1://", "APP2://", "app3://", "app4://"))), (u % 5).cast("int"))
+    prefixes = F.when(u % 3 == 1, F.array().cast("array<string>")).when(u % 3 == 2, F.array(own))
+    return read(spark, sf_dir, "events").select("event_id", fields.decide_deeplink(F.concat(scheme, F.lit("x/"), i.cast("string")), prefixes, i % 2 == 0).alias("rule"))
+
+
+@query("""SELECT event_id, CASE WHEN user_id % 4 = 0 THEN 'unregistered' WHEN user_id % 7 = 0 THEN 'no_signer_on_record' WHEN event_id % 5 = 0 THEN 'unattested' WHEN event_id % 5 = 1 THEN 'signer_mismatch' WHEN event_id % 3 = 0 THEN 'name_mismatch' ELSE 'verified' END AS identity FROM events""")
+def f27_identify_as(spark, sf_dir):
+    i, u = F.col("event_id"), F.col("user_id")
+    digest = lambda c: F.sha2(c.cast("string"), 256)
+    name = F.concat(F.lit("App "), u.cast("string"))
+    package = F.concat(F.lit("com.app"), u.cast("string"))
+    signers = F.when(u % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(digest(u)))
+    attested = F.when(i % 5 == 0, F.array(F.lit("zz"))).when(i % 5 == 1, F.array(digest(u + 1))).otherwise(F.array(digest(u + 1), F.upper(digest(u))))
+    shown = F.when(i % 3 == 0, "Another").when(i % 3 == 1, F.upper(name)).otherwise(package)
+    known = F.when(u % 4 == 0, F.array(F.lit("com.other"))).otherwise(F.array(package))
+    return read(spark, sf_dir, "events").select("event_id", fields.identify(name, known, signers, package, attested, shown).alias("identity"))
+
+
+@query(_TWO + f""", p AS (SELECT *, CASE WHEN event_id % 5 = 0 AND a IN (1, 2) THEN 3 ELSE a END AS now FROM w)
+ SELECT event_id, CASE WHEN b = 1 THEN 'block' ELSE {_NAMES[0].format('now')} END AS action, CASE WHEN b = 1 THEN 'POLICY-AGENT-NOT-ALLOWED' WHEN event_id % 5 = 0 THEN 'INTEL-DOMAIN' ELSE 'A' END AS rule_id, CASE WHEN b = 1 THEN false ELSE c1 OR (s = 4 AND now <> 0) END AS confirm FROM p""")
+def f44_device_policy(spark, sf_dir):
+    d = _two(spark, sf_dir)
+    a = rules.decision(F.col("a.action"), F.col("a.severity"), F.when(F.col("event_id") % 5 == 0, "INTEL-DOMAIN").otherwise(F.lit("A")), F.col("a.human_message"), F.col("a.require_confirm"))
+    agent = F.when(F.col("b.action") == "log_only", "Evil").when(F.col("b.action") == "alert", " helper ")
+    d = d.select("event_id", rules.device_policy(a, agent, ["Helper"], True, True, "p@1").alias("d"))
+    return d.select("event_id", "d.action", "d.rule_id", F.col("d.require_confirm").alias("confirm"))
