@@ -2,12 +2,13 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import audit, frames, joins, rules, scores, sessions, taint, trajectory
+from tidemark.operators import audit, browser, frames, joins, rules, scores, sessions, taint, trajectory
 
 RULES = [
     {"id": "A", "name": "a", "severity": "high", "action": "alert", "match_any_text": ["transfer money now"]},
@@ -521,3 +522,20 @@ def test_streaming_sessions_end(spark, tmp_path):
                     ("b", -1, "ended"), ("b", -1, "ended"), ("b", 0, "decided"), ("b", 1, "asked"), ("b", 1, "resolved"), ("b", 2, "decided"), ("z", 1, "stale")]
     rule = {(r["session"], r["rowid"]): r["rule_id"] for r in rows if r["outcome"] == "decided"}
     assert rule["a", 3] == "ALLOW" and rule["b", 2] == "PRIV-MEM-READ"  # a's save was approved; what b had saved went with the session
+
+
+def test_thousands_of_frames_are_compared_in_seconds(spark):
+    """A winding change takes many rounds; digests without a value, null ones and short planes differ from nothing."""
+    flat = [8] * 144
+    winding = [r * 16 + c for r in range(0, 9, 2) for c in range(16)] + [r * 16 + (15 if r % 4 == 1 else 0) for r in range(1, 9, 2)]
+    digest = lambda change=(): ([8 + 5 * (i in change) for i in range(144)], flat, flat, [0] * 144)
+    kind = "struct<luma:array<int>,cb:array<int>,cr:array<int>,detail:array<int>>"
+    pairs = [(0, digest(), digest(winding)), (1, digest(), digest([3, 4, 60, 61, 62])), (2, digest(), None), (3, digest(), ([13, None], [], flat, None)), (4, digest(), digest(range(50)))]
+    rows = spark.createDataFrame(pairs, f"k int, a {kind}, b {kind}")
+    many = spark.range(20_000).select("id", (F.col("id") % 5).cast("int").alias("k")).join(F.broadcast(rows), "k")
+    began = time.monotonic()
+    got = many.select("k", frames.compare_frames("a", "b").alias("c"), F.size(frames.block_components(frames.changed_blocks("a", "b"))).alias("n")).distinct().collect()
+    assert time.monotonic() - began < 60
+    assert {r["k"]: (r["c"]["kind"], r["c"]["blocks"], r["n"]) for r in got} == {
+        0: ("global_repaint", [], 1), 1: ("localized", [3, 4], 2), 2: ("identical", [], 0), 3: ("identical", [], 1), 4: ("localized", list(range(50)), 1),
+    } and len(got) == 5
