@@ -6,6 +6,7 @@ import os
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark import queries
 
@@ -47,3 +48,13 @@ def test_query_runs(spark, name):
 def test_dangling_references_of_all_customers(spark, duck):
     want = duck.execute("select 'c' || c_custkey, 'n' || (c_custkey % 30) from customer where c_custkey % 30 not in (select n_nationkey from nation)").fetchall()
     assert sorted((r["id"], r["ref"]) for r in queries.queries()["j3_dangling_references"](spark, DATA).collect()) == sorted(want) and max(int(c[1:]) for c, _ in want) > 100
+
+
+def test_token_weakness_of_texts_that_begin_with_a_known_token(spark, tmp_path):
+    """Known tokens are short ones to the SQL; spaces of any kind are trimmed as there, line breaks aren't."""
+    texts = [(6, "token of trust"), (4, "Test this"), (30, "\u00a0\u3000" + "x" * 40), (24, "\n" + "y" * 40), (25, "z" * 24 + " z"), (7, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    name = "r22_api_token_weakness"
+    assert rows(queries.queries()[name](spark, str(tmp_path)).toPandas()) == rows(con.execute(queries.oracle_sql()[name]).df())

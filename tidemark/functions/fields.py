@@ -179,7 +179,7 @@ MIN_TOKEN = 24
 
 
 def token_weakness(token: Column, known: Sequence[str] = KNOWN_TOKENS, least: int = MIN_TOKEN) -> Column:
-    t = F.trim(token)
+    t = F.regexp_replace(token, "^\\p{Zs}+|\\p{Zs}+$", "")
     return F.when(F.lower(t).isin(list(known)), "well_known").when(F.length(t) < least, "too_short")
 
 
