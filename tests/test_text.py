@@ -117,3 +117,11 @@ def test_fields(spark):
     assert one(spark, lambda k: fields.flow_tier(k, ["email"], ["name"]), "mystery") == "high"
     assert one(spark, lambda a: fields.constrain_sensitivity(F.array(a, F.lit("public"))), "odd") == "unknown"
     assert one(spark, lambda a: fields.license_state(F.lit(10), F.lit(False), a.cast("long")), "11") == "in_grace"
+
+
+def test_typos_by_length_are_the_variants(spark):
+    words = ["google", "gogole", "googgle", "gogle", "goggle", "abcde", "abced", "aabcde", "bbbbb", "bbbbbb", "bbbb", "abc", "acb", "wéchat", "wécaht", "", None]
+    d = spark.createDataFrame([(w,) for w in words], "w string")
+    d = d.select(F.col("w").alias("a")).crossJoin(d.select(F.col("w").alias("b")))
+    odd = d.where(~text.is_typo(F.col("a"), F.col("b")).eqNullSafe(F.when(F.col("b").isNotNull(), F.coalesce(F.array_contains(text.typo_variants(F.col("a")), F.col("b")), F.lit(False)))))
+    assert odd.collect() == []

@@ -232,17 +232,39 @@ def label_weight(folded: Column) -> Column:
     return narrow + (F.length(folded) - narrow) * 3
 
 
-def typo_variants(folded: Column) -> Column:
-    """Every neighbour swap, doubled letter and undoubled letter of a folded label of 5 to 64 characters, but for itself."""
+def _typos(folded: Column, seen: Column | None = None) -> Column:
+    """The neighbour swaps, doubled letters and undoubled letters of a string; with seen, those of its length only."""
     n = F.length(folded)
     at = lambda i, k=1: F.substr(folded, i, F.lit(k))
     left = lambda i: F.substr(folded, F.lit(1), i - 1)
     swap = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat(left(i), at(i + 1), at(i), F.substr(folded, i + 2)))
     double = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(left(i), at(i), at(i), F.substr(folded, i + 1)))
     single = F.transform(F.filter(F.sequence(F.lit(1), n - 1), lambda i: at(i) == at(i + 1)), lambda i: F.concat(left(i), F.substr(folded, i + 1)))
-    every = F.array_distinct(F.concat(swap, double, single))
-    usable = F.filter(every, lambda v: (v != folded) & F.length(v).between(5, 64) & (label_weight(v) >= 5))
-    return F.when(n.between(5, 64) & (label_weight(folded) >= 5), usable).otherwise(F.array().cast("array<string>"))
+    if seen is None:
+        return F.array_distinct(F.concat(swap, double, single))
+    more = F.length(seen) - n
+    return F.when(more == 0, swap).when(more == 1, double).when(more == -1, single)
+
+
+def _typable(folded: Column) -> Column:
+    return F.length(folded).between(5, 64) & (label_weight(folded) >= 5)
+
+
+def typo_variants(folded: Column) -> Column:
+    """Every neighbour swap, doubled letter and undoubled letter of a folded label of 5 to 64 characters, but for itself."""
+    none = F.array().cast("array<string>")
+    return bind(folded, lambda x: F.when(_typable(x), F.filter(_typos(x), lambda v: (v != x) & _typable(v))).otherwise(none))
+
+
+def is_typo(folded: Column, seen: Column) -> Column:
+    """Whether seen is one of the typo_variants of a folded label, without making all of them: its length tells which kind it could be. Null if seen is."""
+
+    def of(s: Column) -> Column:
+        x, v = s["x"], s["v"]
+        hit = F.array_contains(_typos(x, v), v)
+        return F.when(v.isNull(), F.lit(None).cast("boolean")).when((v == x) | (F.abs(F.length(v) - F.length(x)) > 1), False).otherwise(F.coalesce(_typable(x) & _typable(v) & F.coalesce(hit, F.lit(False)), F.lit(False)))
+
+    return bind(F.struct(folded.alias("x"), seen.alias("v")), of)
 
 
 def is_newer_version(new: Column, old: Column) -> Column:
