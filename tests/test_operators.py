@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import audit, browser, frames, joins, rules, scores, sessions, taint, trajectory
+from tidemark.operators import audit, frames, joins, rules, scores, sessions, taint, trajectory
 
 RULES = [
     {"id": "A", "name": "a", "severity": "high", "action": "alert", "match_any_text": ["transfer money now"]},
@@ -539,3 +539,12 @@ def test_thousands_of_frames_are_compared_in_seconds(spark):
     assert {r["k"]: (r["c"]["kind"], r["c"]["blocks"], r["n"]) for r in got} == {
         0: ("global_repaint", [], 1), 1: ("localized", [3, 4], 2), 2: ("identical", [], 0), 3: ("identical", [], 1), 4: ("localized", list(range(50)), 1),
     } and len(got) == 5
+
+
+def test_refused_parents_are_not_carried(spark):
+    used = "session string, rowid long, op string, value_id string, integrity int, confidentiality int, parents array<string>, item_key string, sink_kind string, declared boolean, clearance int, approved boolean, approved_by string"
+    rest = (None,) * 6
+    d = spark.createDataFrame([("s", 0, "introduce", "a", 1, 1, None, *rest), ("s", 1, "derive", "b", None, None, ["a"] * 1025, *rest), ("s", 2, "derive", "c", None, None, ["a"] * 1024, *rest), ("s", 3, "derive", "d", None, None, None, *rest)], used)
+    out = taint.track(d)
+    assert [tuple(r)[1:] for r in out.orderBy("rowid").collect()] == [(0, "introduce", "a", 1, 1, None), (1, "derive", "b", 0, 2, "too_many_parents"), (2, "derive", "c", 1, 1, None), (3, "derive", "d", 0, 2, None)]
+    assert "array_distinct" in out._jdf.queryExecution().optimizedPlan().toString()

@@ -18,6 +18,8 @@ from tidemark.operators.scale import in_order, table
 TAINTED, VERIFIED = 0, 1
 PUBLIC, LOW, HIGH = 0, 1, 2
 MAX_PARENTS = 1024
+#: How track() names a derive of more.
+TOO_MANY = "derive of too many"
 
 
 def join_labels(i1: Column, c1: Column, i2: Column, c2: Column) -> tuple[Column, Column]:
@@ -78,6 +80,8 @@ class Lattice:
     def apply(self, op, value_id, integrity, confidentiality, parents, item_key, sink_kind, declared, clearance, approved, approved_by):
         if op == "introduce":
             return self.put(value_id, (integrity, confidentiality)), None
+        if op == TOO_MANY:
+            return self.put(value_id, (TAINTED, HIGH)), "too_many_parents"
         if op == "derive":
             parents = parents or []
             return (self.derive(value_id, parents), None) if len(parents) <= MAX_PARENTS else (self.put(value_id, (TAINTED, HIGH)), "too_many_parents")
@@ -106,8 +110,11 @@ def track(events: DataFrame) -> DataFrame:
     parents, item_key, sink_kind, declared, clearance, approved, approved_by.
     """
 
-    used = ["op", "value_id", "integrity", "confidentiality", "parents", "item_key", "sink_kind", "declared", "clearance", "approved", "approved_by"]
-    out = in_order(events.select("session", "rowid", *used), ["session"], ["rowid"], used, Lattice, {"__integrity": "int", "__confidentiality": "int", "verdict": "string"})
+    used = ["__op", "value_id", "integrity", "confidentiality", "parents", "item_key", "sink_kind", "declared", "clearance", "approved", "approved_by"]
+    # What is refused for its number of parents, or names one twice, isn't carried to its session at that length.
+    derive, n = F.col("op") == "derive", F.coalesce(F.array_size("parents"), F.lit(0))
+    events = events.withColumn("__op", F.when(derive & (n > MAX_PARENTS), TOO_MANY).otherwise(F.col("op"))).withColumn("parents", F.when(derive & (n <= MAX_PARENTS), F.array_distinct("parents")))
+    out = in_order(events.select("session", "rowid", "op", *used), ["session"], ["rowid"], used, Lattice, {"__integrity": "int", "__confidentiality": "int", "verdict": "string"})
     return out.select("session", "rowid", "op", "value_id", F.col("__integrity").alias("integrity"), F.col("__confidentiality").alias("confidentiality"), "verdict")
 
 
