@@ -132,3 +132,11 @@ def test_views_are_compared_once_for_all_findings(spark):
     found = d.select(text.view_findings(text.compare_views(F.col("a"), F.col("b")), F.col("b")).alias("f"))
     assert found.first()["f"] == ["tree_text_not_on_screen"]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("array_except") == 2
+
+
+def test_log_hygiene_reads_each_step_once(spark):
+    safe = spark.createDataFrame([("x",)], "t string").select(entities.log_safe(F.col("t")).alias("s"))._jdf.queryExecution().analyzed().toString()
+    assert safe.count("redacted: jwt") == 1 and safe.count("pem_private_key") == 1
+    for t in ("Token=abcdefgh1", "4111 1111 1111 1111", "eyJhbGciOiJI.eyJzdWIiOiIx.abc", "ab12CDEF3456789", "sk-abcdefghijk", "call 12345678 now", "a​b", "API-KEY: abcdefghij"):
+        assert one(spark, entities.log_safe, t) != t
+    assert one(spark, entities.log_safe, "a\n\tb 12 c") == "a b 12 c" and one(spark, entities.log_safe, None) is None

@@ -218,17 +218,16 @@ def confidentiality(entities: Column) -> Column:
 def mask_tokens(text: Column) -> Column:
     """IBAN-shaped tokens and credentials masked but for their last four characters; a text with a private key goes as a whole."""
     token = "(?<![A-Za-z0-9_\\-])([A-Za-z]{2}[0-9]{2}[A-Za-z0-9]{7,26}|(?:sk-|sk_live_|rk_live_|ghp_|gho_|github_pat_|xoxb-|xoxp-|AKIA|ASIA|AIza)(?=[A-Za-z0-9_\\-]*)[A-Za-z0-9_\\-]+?)([A-Za-z0-9_\\-]{4})(?![A-Za-z0-9_\\-])"
-    out = F.regexp_replace(text, token, "•••• $2")
-    return F.when(out.contains("-----BEGIN") & out.contains("PRIVATE KEY-----"), F.lit("[redacted: pem_private_key]")).otherwise(out)
+    whole = lambda out: F.when(out.contains("-----BEGIN") & out.contains("PRIVATE KEY-----"), F.lit("[redacted: pem_private_key]")).otherwise(out)
+    return bind(F.regexp_replace(text, token, "•••• $2"), whole)
 
 
 def mask_runs(text: Column) -> Column:
     """mask_tokens, and runs of 13 and more digits masked but for their last four characters."""
     run = f"(?<!{A})(?=[0-9](?:{SEPARATORS}?[0-9]){{12}})[0-9](?:{SEPARATORS}?[0-9])*+"
     tail = lambda m: redact_tail(m, 4)
-    hits = _all(text, run)
-    masked = F.aggregate(hits, text, lambda t, m: F.replace(t, m, tail(m)))
-    return mask_tokens(F.when(F.size(hits) > 0, masked).otherwise(text))
+    masked = lambda hits: F.when(F.size(hits) > 0, F.aggregate(hits, text, lambda t, m: F.replace(t, m, tail(m)))).otherwise(text)
+    return mask_tokens(bind(_all(text, run), masked))
 
 
 #: Digits that a log line may show in a row.
@@ -237,7 +236,14 @@ PLAIN_DIGITS = 6
 
 def log_safe(text: Column) -> Column:
     """Log hygiene: invisible characters dropped, control characters to spaces, credentials, token values and long digit runs masked."""
-    t = F.regexp_replace(F.regexp_replace(text, IGNORABLE, ""), "[\\x00-\\x1F\\x7F]+", " ")
-    t = F.regexp_replace(t, "eyJ[A-Za-z0-9_\\-]{8,}\\.[A-Za-z0-9_\\-]{8,}\\.[A-Za-z0-9_\\-]+", "[redacted: jwt]")
-    t = F.regexp_replace(t, "(?i)\\b(token|password|passwd|secret|api[_-]?key|bearer|authorization)(\\s*[=:]\\s*|\\s+)(\"?)[A-Za-z0-9_\\-./+=]{8,}", "$1$2$3[redacted]")
-    return F.regexp_replace(mask_runs(t), f"(?<![0-9A-Za-z_\\-•])[0-9]{{{PLAIN_DIGITS - 3},}}(?=[0-9]{{4}}(?![0-9A-Za-z_\\-]))", "•••• ")
+    named = ("token", "password", "passwd", "secret", "apikey", "api-key", "api_key", "bearer", "authorization")
+    # Each pattern reads a text only behind a cheaper look for what it can't match without, and each step is made once.
+    shown = F.when(text.rlike("[^\\x00-\\x7F]"), F.regexp_replace(text, IGNORABLE, "")).otherwise(text)
+    plain = lambda t: F.regexp_replace(t, "[\\x00-\\x1F\\x7F]+", " ")
+    jwt = lambda t: F.when(t.contains("eyJ"), F.regexp_replace(t, "eyJ[A-Za-z0-9_\\-]{8,}\\.[A-Za-z0-9_\\-]{8,}\\.[A-Za-z0-9_\\-]+", "[redacted: jwt]")).otherwise(t)
+    value = lambda t: F.when(any_of(F.lower(t), named), F.regexp_replace(t, "(?i)\\b(token|password|passwd|secret|api[_-]?key|bearer|authorization)(\\s*[=:]\\s*|\\s+)(\"?)[A-Za-z0-9_\\-./+=]{8,}", "$1$2$3[redacted]")).otherwise(t)
+    runs = lambda t: F.when(t.rlike("[0-9][^0-9]?[0-9]") | any_of(t, [p for p, _ in SECRETS]) | t.contains("-----BEGIN"), mask_runs(t)).otherwise(t)
+    digits = lambda t: F.when(t.rlike(f"[0-9]{{{PLAIN_DIGITS + 1}}}"), F.regexp_replace(t, f"(?<![0-9A-Za-z_\\-•])[0-9]{{{PLAIN_DIGITS - 3},}}(?=[0-9]{{4}}(?![0-9A-Za-z_\\-]))", "•••• ")).otherwise(t)
+    for step in (plain, jwt, value, runs, digits):
+        shown = bind(shown, step)
+    return shown
