@@ -58,3 +58,9 @@ def test_token_weakness_of_texts_that_begin_with_a_known_token(spark, tmp_path):
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     name = "r22_api_token_weakness"
     assert rows(queries.queries()[name](spark, str(tmp_path)).toPandas()) == rows(con.execute(queries.oracle_sql()[name]).df())
+
+
+def test_chunks_of_long_documents_are_dealt_over_all_partitions(spark, tmp_path):
+    spark.range(40).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a line\n"), 50).alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    plan = queries.queries()["q23_ordered_chunks"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [file_index" in plan and ", 7" not in plan.split("RepartitionByExpression")[1].split("\n")[0]

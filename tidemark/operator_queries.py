@@ -53,7 +53,7 @@ def q13_q22_point_and_exists(spark, sf_dir):
 def q23_ordered_chunks(spark, sf_dir):
     """Lines as chunks, dealt out and put together again."""
     d = read(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("file_index"), F.posexplode(F.split("text", "\n", -1)).alias("chunk_index", "line"))
-    chunks = d.select("file_index", "chunk_index", F.when(F.col("chunk_index") > 0, F.concat(F.lit("\n"), "line")).otherwise(F.col("line")).alias("data")).repartition(7, "chunk_index")
+    chunks = d.select("file_index", "chunk_index", F.when(F.col("chunk_index") > 0, F.concat(F.lit("\n"), "line")).otherwise(F.col("line")).alias("data")).repartition("file_index", "chunk_index")
     return audit.reassembled(chunks).select("file_index", F.sha2("text", 256).alias("sha256"), "chunks")
 
 
