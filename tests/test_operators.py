@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import audit, frames, joins, rules, scores, sessions, taint, trajectory
+from tidemark.operators import audit, browser, frames, joins, rules, scores, sessions, taint, trajectory
 
 RULES = [
     {"id": "A", "name": "a", "severity": "high", "action": "alert", "match_any_text": ["transfer money now"]},
@@ -548,3 +548,11 @@ def test_refused_parents_are_not_carried(spark):
     out = taint.track(d)
     assert [tuple(r)[1:] for r in out.orderBy("rowid").collect()] == [(0, "introduce", "a", 1, 1, None), (1, "derive", "b", 0, 2, "too_many_parents"), (2, "derive", "c", 1, 1, None), (3, "derive", "d", 0, 2, None)]
     assert "array_distinct" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_texts_that_composition_can_change_go_to_python(spark):
+    d = spark.createDataFrame([(1, "plain " * 9000), (2, "ｓｙｓｔｅｍ ｏｖｅｒｒｉｄｅ"), (3, "é" * 65_537)], "id int, t string")
+    out = d.select("id", browser.inspect_text(F.col("t")).alias("k"))
+    assert {r["id"]: r["k"] for r in out.collect()} == {1: [], 2: ["mail_injection"], 3: ["mail_uninspectable"]}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,10 +27,15 @@ DROPPED = "[\\x{AD}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{206F}\\x{
 MAX_TEXT, MAX_FINGERPRINTS, TEXT_PART, TITLE = 65_536, 500, 80, 120
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    """Compatibility composition, which has no built-in expression; ASCII is the same in it."""
-    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+@F.udf(T.StringType(), useArrow=False)
+def _composed(text: str | None) -> str | None:
+    return None if text is None else unicodedata.normalize("NFKC", text)
+
+
+def nfkc(text: Column) -> Column:
+    """Compatibility composition, which has no built-in expression. ASCII is the same in it and stays out of Python, and others go there a hundred rows at a time:
+    long texts by Arrow's thousands would fill an executor."""
+    return F.coalesce(_composed(F.when(text.rlike("[^\\x00-\\x7F]"), text)), text)
 
 
 def inspection_text(value: Column) -> Column:
@@ -53,7 +57,7 @@ def inspect_text(value: Column) -> Column:
         cards = F.exists(F.regexp_extract_all(t, F.lit("(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"), F.lit(0)), mail_card)
         return F.array_compact(F.array(F.when(t.rlike(INJECTION), F.lit("mail_injection")), F.when(t.rlike(SECRET) | cards, F.lit("mail_sensitive"))))
 
-    return F.when(value.isNull() | (F.length(value) > MAX_TEXT), F.array(F.lit("mail_uninspectable"))).otherwise(bind(inspection_text(value), of))
+    return F.when(value.isNull() | (F.length(value) > MAX_TEXT), F.array(F.lit("mail_uninspectable"))).otherwise(bind(inspection_text(F.when(F.length(value) <= MAX_TEXT, value)), of))
 
 
 def classify_send(complete: Column, attachments: Column, other_parts: Column, recipients: Column, subject: Column, body: Column) -> Column:
