@@ -104,3 +104,18 @@ def test_arguments(spark):
     d = spark.createDataFrame([(i, t, a) for i, (t, a, _) in enumerate(rows)], "i int, tool string, args string")
     got = [r["e"] for r in d.select("i", json_schema.arguments_error(F.col("tool"), F.col("args"), {"t": {"type": "object", "properties": {"a": {"type": "integer"}}}}).alias("e")).orderBy("i").collect()]
     assert got == [e for *_, e in rows]
+
+
+def test_tables_of_a_key_give_what_single_products_give():
+    """Digits at their limits, points that differ by one of small order, and a bad signature among many."""
+    for n in (0, 1, ed25519.HALF, ed25519.HALF + 1, ed25519.L - 1, 2**253 - 1):
+        assert ed25519.same(ed25519.base_times(n), ed25519.times(n, ed25519.BASE))
+    seed = b"k" * 32
+    key, messages = ed25519.public_key(seed), [b"%d" % i for i in range(300)]
+    rows = [(key, m, s) for m, s in zip(messages, ed25519.signed(seed, messages), strict=True)]
+    assert rows[7][2] == ed25519.sign(seed, messages[7])
+    rows[9] = (key, messages[8], rows[9][2])
+    n, _ = ed25519._secret(seed)
+    point = ed25519.packed(ed25519.add(ed25519.base_times(99), ed25519.unpacked((ed25519.P - 1).to_bytes(32, "little"))))
+    rows[5] = (key, messages[5], point + ((99 + ed25519._number(point, key, messages[5]) * n) % ed25519.L).to_bytes(32, "little"))
+    assert ed25519.verified(rows) == [i != 9 for i in range(300)] and ed25519.verified(rows[:12]) == [i != 9 for i in range(12)]

@@ -13,7 +13,7 @@ from tidemark.functions import ed25519
 from tidemark.operators.audit import SEPARATOR, canonical_content, verified
 
 #: Domain of record signatures, which keeps them from counting for anything else, and signatures that are checked together.
-DOMAIN, TOGETHER = "tidemark-audit-record-v1", 512
+DOMAIN, TOGETHER = "tidemark-audit-record-v1", 4096
 
 
 def key_id(public_key: bytes) -> str:
@@ -44,7 +44,7 @@ def signed(rows: DataFrame, seed: bytes, domain: str = DOMAIN) -> DataFrame:
     public = ed25519.public_key(seed)
     mine = key_id(public)
     rows = rows.drop("record_sig", "signer_key_id").withColumn("__message", record_message(F.lit(mine), F.col("log_id"), F.col("seq"), F.col("record_hash"), domain))
-    make = lambda b: [ed25519.sign(seed, m, public).hex() for m in b.column(b.schema.get_field_index("__message")).to_pylist()]
+    make = lambda b: [x.hex() for x in ed25519.signed(seed, b.column(b.schema.get_field_index("__message")).to_pylist(), public)]
     return _added(rows, "record_sig", T.StringType(), make).withColumn("signer_key_id", F.lit(mine))
 
 
