@@ -33,7 +33,7 @@ def said(x) -> str | None:
 
 
 #: Queries whose rows cost so much that a file's few splits would keep most cores idle: ids are dealt out first.
-SPREAD = ("v2_changed_blocks", "v3_changed_blocks_residual", "v4_compare_same_scale", "v5_connected_components", "t38_view_findings")
+SPREAD = ("v2_changed_blocks", "v3_changed_blocks_residual", "v4_compare_same_scale", "v5_connected_components", "t38_view_findings", "r6_classify_send")
 
 
 def golden(name: str, inputs: str, f: Callable[..., Column], cases: list[tuple]) -> None:
