@@ -568,3 +568,36 @@ def test_overlaps_of_copies_are_counted_by_class(spark):
     assert {x["id"]: (x["class_id"], x["n_links"]) for x in frames.overlaps(d, "k").collect()} == want
     pairs = [(x["a"]["id"], x["b"]["id"]) for x in frames.overlapping(d, d, "k").collect()]
     assert len(pairs) == len(set(pairs)) and set(pairs) == {(a[0], b[0]) for a in boxes for b in boxes if meets(a, b)}
+
+
+def test_batches_become_lists_by_columns():
+    """As to_pylist gives them, maps as dicts; slices and nulls on every level."""
+    import pyarrow as pa
+
+    from tidemark.operators.scale import pylist
+
+    maps = pa.array([[("a", "x"), ("b", None)], None, [], [("c", "x")]] * 3, pa.map_(pa.string(), pa.string()))
+    nested = pa.array([{"l": ["x", None], "m": [("k", "v")], "b": True}, None, {"l": None, "m": None, "b": None}, {"l": [], "m": [], "b": False}] * 3, pa.struct([("l", pa.list_(pa.string())), ("m", pa.map_(pa.string(), pa.string())), ("b", pa.bool_())]))
+    plain = [pa.array(x) for x in (["a", None, "b", "a"], [1, None, 3, 4], [[["x"], None], None, [], [["y", "z"]]])] + [pa.array([None] * 4, pa.string()), pa.array([], pa.list_(pa.string()))]
+    bare = lambda x: dict(x) if isinstance(x, list) and x and isinstance(x[0], tuple) else x
+    for a in (*plain, *[p.slice(1, 2) for p in plain]):
+        assert pylist(a) == a.to_pylist()
+    for a in (maps, maps.slice(3, 5), maps.slice(1, 1)):
+        assert pylist(a) == [None if x is None else dict(x) for x in a.to_pylist()]
+    for a in (nested, nested.slice(2, 7)):
+        assert pylist(a) == [None if x is None else {**x, "m": None if x["m"] is None else dict(bare(x["m"]))} for x in a.to_pylist()]
+
+
+def test_sessions_are_read_where_they_lie(spark, monkeypatch):
+    """Events are dealt out by session before their texts are read; only the columns wanted come back; a long list of domains is joined and says the same as a short one."""
+    from tidemark.operators import cascade
+
+    bad = spark.createDataFrame([("BAD.com",), (None,), ("other.org",)], "domain string")
+    few = cascade.decide_sessions(session_frame(spark), SESSION_CONFIG, bad, keep=["rowid", "session", "rule_id", "human_message"])
+    assert few.columns == ["rowid", "session", "rule_id", "human_message"]
+    plan = few._jdf.queryExecution().analyzed().toString()
+    assert plan.index("__ruled") < plan.index("RepartitionByExpression [session")  # the plan's upper lines are its later steps
+    monkeypatch.setattr(cascade, "FEW", 1)
+    many = cascade.decide_sessions(session_frame(spark), SESSION_CONFIG, bad)
+    got = {(r["session"], r["rowid"]): (r["rule_id"], r["human_message"]) for r in few.collect()}
+    assert got == {(r["session"], r["rowid"]): (r["rule_id"], r["human_message"]) for r in many.collect()} and ("INTEL-DOMAIN" in {r for r, _ in got.values()})

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from tidemark.functions import entities, fields, hosts, paths, text
 from tidemark.operators import audit, browser, frames, joins, registry, rules, scores, sessions, taint
 from tidemark.operators.cascade import Config, decide_sessions
+from tidemark.operators.scale import spread
 from tidemark.operators.trajectory import Plan
 from tidemark.schemas import severity_rank, step_gravity
 
@@ -375,10 +376,10 @@ STEPS_OF = [(name, i, e, app, m, say, rule) for name, steps in session_cases().i
 def f39_x1_session_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve kinds of session for every customer, each step with its known rule: plans, budgets, denials, scopes, cross-app values, surveys, flows, memory, text, focus, files, links."""
     steps = spark.createDataFrame([(n, i, e, app, m, say) for n, i, e, app, m, say, _ in STEPS_OF], "kind string, rowid long, event_type string, source_app string, metadata map<string,string>, confirm string")
-    keys = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("who"))
+    keys = spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("who")), ["who"])  # a file's few splits would keep most cores idle
     rows = keys.select("who", F.explode(F.array(*[F.lit(n) for n in session_cases()])).alias("kind")).join(F.broadcast(steps), "kind")  # as many rows as steps
     rows = rows.select(F.concat_ws("/", "who", "kind").alias("session"), "rowid", F.lit("browser").alias("platform"), "event_type", "source_app", "metadata", "confirm", F.lit(False).alias("trusted"))
-    return decide_sessions(rows, SESSION_CONFIG, spark.createDataFrame([("bad.com",)], "domain string")).select("session", "rowid", "rule_id")
+    return decide_sessions(rows, SESSION_CONFIG, spark.createDataFrame([("bad.com",)], "domain string"), keep=["session", "rowid", "rule_id"])
 
 
 QUERIES["f39_x1_session_cascade"] = f39_x1_session_cascade

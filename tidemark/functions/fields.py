@@ -92,7 +92,8 @@ def key_in_grant(key: Column, grant: Column) -> Column:
 
 def event_data_key(metadata: Column) -> Column:
     """profile_key, else item_key, else what stands behind 'profile:' in value_id; null if blank."""
-    behind = F.regexp_extract(F.trim(F.coalesce(metadata["value_id"], F.lit(""))), "^profile:(.+)$", 1)
+    value = F.trim(metadata["value_id"])
+    behind = F.when(value.startswith("profile:"), F.regexp_extract(value, "^profile:(.+)$", 1))
     blank = lambda c: F.when(F.trim(c) != "", F.trim(c))
     return F.coalesce(blank(F.coalesce(metadata["profile_key"], metadata["item_key"])), blank(behind))
 

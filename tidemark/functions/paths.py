@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,9 +76,8 @@ def sensitive_target(path: Column, writes: Column, home: Column) -> Column:
         low = F.lower(p)
         # Temporary folders of single users lie in a system directory, five levels deep.
         scratch = low.rlike("^/(?:private/)?var/folders/+[^/]+/+[^/]+/+[^/]")
-        system = F.lit(False)
-        for d in SYSTEM_DIRS:
-            system = system | is_within(F.lit(d), p)
+        row = F.concat(F.lit("/"), F.array_join(parts(p), "/"), F.lit("/"))
+        system = bind(row, lambda r: functools.reduce(lambda a, d: a | r.startswith(f"{d}/"), SYSTEM_DIRS, F.lit(False)))
         device = low.rlike(f"^/dev/(?:{'|'.join(DEVICES)})[a-z0-9]*$") | F.lower(path).startswith("\\\\.\\physicaldrive")
         return F.when(F.size(parts(p)) == 0, "root").when((p == unix_view(home)) & writes, "home").when(writes & ~scratch & system, "system").when(holds_credentials(parts(low)), "credentials").when(device, "device")
 

@@ -9,6 +9,7 @@ holds what the session has granted, filled, saved, derived and done so far, and
 from __future__ import annotations
 
 import functools
+from collections import namedtuple
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -19,8 +20,8 @@ from tidemark.functions import fields, hosts, paths
 from tidemark.functions import text as texts
 from tidemark.operators import frames
 from tidemark.operators import rules as rule_ops
-from tidemark.operators.registry import content_scan
-from tidemark.operators.scale import in_order
+from tidemark.operators.registry import SCANNED, content_scan
+from tidemark.operators.scale import dealt, folded
 from tidemark.operators.taint import HIGH, LOW, PUBLIC, TAINTED, VERIFIED, Lattice
 from tidemark.operators.trajectory import OBSERVATIONS, Plan
 from tidemark.schemas import ACTIONS, HIGH_KEYS, LOW_KEYS, SEVERITIES
@@ -100,31 +101,51 @@ def _faces(config: Config, label: Column, icon: Column) -> tuple[Column, Column,
 
 def prepared(events: DataFrame, config: Config, domains: DataFrame | Sequence[str]) -> DataFrame:
     """events (session, rowid, platform, event_type, source_app, metadata, confirm, trusted) with what each tells by itself. Malicious domains are a frame (domain),
-    which is joined, or for streams, which can't be joined that way, a list of some thousands at most."""
-    e, m = F.col("event_type"), F.col("metadata")
+    which is joined unless it has FEW rows, or for streams, which can't be joined that way, a list of some thousands at most."""
+    return told(hosted(events, domains), config)
+
+
+#: A list of up to so many malicious domains becomes part of the expression; a longer one is joined.
+FEW = 1000
+
+
+def hosted(events: DataFrame, domains: DataFrame | Sequence[str]) -> DataFrame:
+    """events with malicious_domain, the listed domain that the host of its URL is or is below; null for others."""
+    host = hosts.bare_host(F.col("metadata")["url"])
     if isinstance(domains, DataFrame):
-        rows = rule_ops.malicious_hosts(events, hosts.bare_host(m["url"]), domains)
-    else:
-        on = F.array_intersect(hosts.suffixes(hosts.bare_host(m["url"])), F.array(*[F.lit(d.lower()) for d in domains]).cast("array<string>"))
-        rows = events.withColumn("malicious_domain", F.get(on, F.lit(0)))
+        some = domains.select("domain").where("domain is not null").limit(FEW + 1).collect()
+        if len(some) > FEW:
+            return rule_ops.malicious_hosts(events, host, domains)
+        domains = [d["domain"] for d in some]
+    known = [d.lower() for d in domains]
+    on = F.get(F.filter(hosts.suffixes(host), lambda x: x.isin(known)), F.lit(0)) if known else F.lit(None).cast("string")
+    return events.withColumn("malicious_domain", F.when(F.col("metadata")["url"].isNotNull(), on))
+
+
+def told(rows: DataFrame, config: Config) -> DataFrame:
+    """hosted() rows with all else that an event tells by itself. Each check runs behind a look at whether the event has what it reads, as most have little."""
+    e, m = F.col("event_type"), F.col("metadata")
+    text = m["ui_text"].isNotNull()
     rule = rule_ops.most_specific_rule(m["ui_text"], e, F.col("platform"), config.rules)
     kinds = "struct<action:string,severity:string,rule_id:string,human_message:string,require_confirm:boolean>"
-    ruled = texts.bind(rule, lambda r: F.when(r.isNotNull(), rule_ops.decision(r["action"], r["severity"], r["rule_id"], r["human_message"], r["require_confirm"]))) if config.rules else F.lit(None).cast(kinds)
+    ruled = F.when(text, texts.bind(rule, lambda r: F.when(r.isNotNull(), rule_ops.decision(r["action"], r["severity"], r["rule_id"], r["human_message"], r["require_confirm"])))) if config.rules else F.lit(None).cast(kinds)
     threat = F.coalesce(rule_ops.contains_any(m["ui_text"], config.injections) | rule_ops.contains_any(m["ui_text"], config.deeplinks, False), F.lit(False))
     bad = rule_ops.decision("block", "critical", "INTEL-DOMAIN", F.concat(F.lit(BAD), hosts.bare_host(m["url"])), True)
-    rows = rows.withColumn("__ruled", ruled).withColumn("scan", content_scan(m))
-    first = F.coalesce(F.when(threat, F.coalesce("__ruled", rule_ops.decision("block", "high", "INTEL-INJECT", "Threat intel matched injection/deeplink pattern", True))), F.when(F.col("malicious_domain").isNotNull(), bad), F.col("__ruled"))
-    resolved = paths.resolve(m["path"], F.lit(config.home), F.lit(config.cwd))
-    fs = F.when(F.trim(F.coalesce(m["path"], F.lit(""))) == "", "FS-NO-PATH").when(resolved.isNull(), "FS-UNPROVABLE").when(paths.sensitive_target(resolved, F.lit(True), F.lit(config.home)).isNotNull(), "FS-SENSITIVE")
+    scan = F.when(F.coalesce(*[m[k] for k in SCANNED]).isNotNull(), content_scan(m))
     network = (e == "data_flow") & (F.lower(F.trim(m["sink_kind"])) == "network")
     to = F.when(e == "network_flow", F.trim(m["url"])).when(network, F.trim(F.coalesce(m["sink"], m["url"])))
+    resolved = F.when(m["path"].isNotNull(), paths.resolve(m["path"], F.lit(config.home), F.lit(config.cwd)))
+    rows = rows.withColumns({"__ruled": ruled, "scan": scan, "resolved": resolved, "to": F.when(to != "", to)})
+    first = F.coalesce(F.when(threat, F.coalesce("__ruled", rule_ops.decision("block", "high", "INTEL-INJECT", "Threat intel matched injection/deeplink pattern", True))), F.when(F.col("malicious_domain").isNotNull(), bad), F.col("__ruled"))
+    resolved, to = F.col("resolved"), F.col("to")
+    fs = F.when(F.trim(F.coalesce(m["path"], F.lit(""))) == "", "FS-NO-PATH").when(resolved.isNull(), "FS-UNPROVABLE").when(paths.sensitive_target(resolved, F.lit(True), F.lit(config.home)).isNotNull(), "FS-SENSITIVE")
     name, identity, link = _registered(config, m)
     faces, icon_of, icon_far = _faces(config, m["app_label"], m["icon_dhash"])
     kinds_seen = F.transform(F.array_sort(F.transform(F.col("scan.anomalies"), lambda k: F.struct((-texts.anomaly_rank(k)).alias("r"), k.alias("k")))), lambda x: x["k"])
     return rows.withColumns(
         {
-            "first": first, "step": rule_ops.step_kind(e, m, config.rules, config.high_keys, config.low_keys), "anomalies": kinds_seen, "breakout": F.get("scan.breakouts", F.lit(0)), "sensitive": F.size("scan.entities") > 0,
-            "fs": F.when(e.isin("file_write", "file_delete"), F.coalesce(fs, F.lit("FS-OK"))), "resolved": resolved, "to": F.when(to != "", to), "to_host": hosts.normalize_host(hosts.url_host(to)), "data_key": fields.event_data_key(m), "known_as": name, "identity": identity, "link": link, "faces": faces, "icon_of": icon_of, "icon_far": icon_far,
+            "first": first, "step": rule_ops.step_kind(e, m, config.rules, config.high_keys, config.low_keys), "anomalies": kinds_seen, "breakout": F.get("scan.breakouts", F.lit(0)), "sensitive": F.coalesce(F.size("scan.entities") > 0, F.lit(False)),
+            "fs": F.when(e.isin("file_write", "file_delete"), F.coalesce(fs, F.lit("FS-OK"))), "to_host": F.when(to.isNotNull(), hosts.normalize_host(hosts.url_host(to))), "data_key": fields.event_data_key(m), "known_as": name, "identity": identity, "link": F.when(e == "deeplink", link), "faces": faces, "icon_of": icon_of, "icon_far": icon_far,
         }
     ).drop("__ruled", "scan", "malicious_domain")
 
@@ -155,6 +176,7 @@ ALLOW = D("allow", "info", "ALLOW")
 RISKS = ("broadcast_input_receivers", "foreign_a11y_services", "text_capturing_services", "log_readers")
 CONFIDENTIALITY = {"public": PUBLIC, "low": LOW, "high": HIGH}
 USED = ["event_type", "source_app", "metadata", "first", "step", "anomalies", "breakout", "sensitive", "fs", "resolved", "to", "to_host", "data_key", "known_as", "identity", "link", "faces", "icon_of", "icon_far", "confirm", "trusted"]
+Seen = namedtuple("Seen", USED)
 ADDED = {"action": "string", "severity": "string", "rule_id": "string", "human_message": "string", "require_confirm": "boolean", "paused": "boolean", "correct": "boolean", "recorded": "boolean"}
 
 
@@ -228,16 +250,16 @@ class Session:
         grant = self.apps if self.apps is not None else self.declared
         if grant is not None and kind in fields.ACTING and not same(app, self.agent or "") and not any(app.strip() and g.strip().lower() in app.lower() for g in grant):
             yield D("block", "critical", "APP-NOT-IN-TASK", f"App '{app.strip() or '<unnamed>'}' is not in this session's app grant ({', '.join(grant)})", True)
-        if self.keys is not None and e["data_key"] and not any(same(e["data_key"], k) for k in self.keys):
-            yield D("block", "high", "SCOPE-DATA", f"'{e['data_key']}' is not in this session's data grant ({', '.join(self.keys)})", True)
-        if self.hosts is not None and e["to"] and not (e["to_host"] and any(below(e["to_host"], h) for h in self.hosts)):
-            yield D("block", "high", "SCOPE-HOST", f"destination '{e['to_host'] or '<unnameable>'}' is not in this session's host grant ({', '.join(self.hosts)})", True)
+        if self.keys is not None and e.data_key and not any(same(e.data_key, k) for k in self.keys):
+            yield D("block", "high", "SCOPE-DATA", f"'{e.data_key}' is not in this session's data grant ({', '.join(self.keys)})", True)
+        if self.hosts is not None and e.to and not (e.to_host and any(below(e.to_host, h) for h in self.hosts)):
+            yield D("block", "high", "SCOPE-HOST", f"destination '{e.to_host or '<unnameable>'}' is not in this session's host grant ({', '.join(self.hosts)})", True)
         if self.over:
             said, self.over = ", ".join(self.over), []
             yield D("alert", "medium", "SCOPE-OVER-REQUEST", f"this session asked for resources that its task's plan does not permit: {said}. They are not in the grant, which is the intersection and never the union")
 
     def file_finding(self, e) -> dict | None:
-        rule, path = e["fs"], e["resolved"]
+        rule, path = e.fs, e.resolved
         if rule == "FS-OK":
             if self.writes is None:
                 return D("alert", "medium", "FS-UNSCOPED", f"'{path}': this session declares no path ceiling")
@@ -247,10 +269,10 @@ class Session:
         return D(*how[rule], rule, f"file operation: {rule}") if rule else None
 
     def identity_finding(self, m, e) -> dict | None:
-        package, now = (m.get("package") or "").strip(), e["identity"]
+        package, now = (m.get("package") or "").strip(), e.identity
         if not now:
             return None
-        if now == "verified" and not e["trusted"]:
+        if now == "verified" and not e.trusted:
             now = "unproven"  # a certificate is public; only a verified adapter's word that an app holds it counts
         before = self.pinned.get(package)
         if before in (None, "unattested", "unproven", "no_signer_on_record") or now in ("signer_mismatch", "name_mismatch"):
@@ -260,12 +282,12 @@ class Session:
         if before in ("signer_mismatch", "name_mismatch") and now not in ("signer_mismatch", "name_mismatch"):
             return D("block", "critical", "APP-IDENTITY-CHANGED", f"'{package}' failed its identity check earlier in this session ({before})", True)
         if now == "signer_mismatch":
-            return D("block", "critical", "APP-SIGNER-MISMATCH", f"'{package}' is not signed by {e['known_as']}'s certificate", True)
+            return D("block", "critical", "APP-SIGNER-MISMATCH", f"'{package}' is not signed by {e.known_as}'s certificate", True)
         if now == "name_mismatch":
-            return D("block", "critical", "APP-NAME-MISMATCH", f"'{package}' is {e['known_as']} and presents another name", True)
+            return D("block", "critical", "APP-NAME-MISMATCH", f"'{package}' is {e.known_as} and presents another name", True)
         if now in ("unattested", "no_signer_on_record", "unproven"):
             why = {"unattested": "no signing certificate was attested", "no_signer_on_record": "no signer digest on record"}.get(now, "its certificate was attested by nobody who is verified")
-            return D("alert" if self.c.require_attestation and before is None else "log_only", "low", "APP-UNATTESTED", f"{e['known_as']}: {why}")
+            return D("alert" if self.c.require_attestation and before is None else "log_only", "low", "APP-UNATTESTED", f"{e.known_as}: {why}")
         return None
 
     def face_finding(self, m, e) -> dict | None:
@@ -279,25 +301,25 @@ class Session:
             return D("block", "critical", "APP-LOOKALIKE", text, True) if sure else D("log_only", "low", "APP-LOOKALIKE", f"{text} (advisory: icons of unrelated apps can be as near)")
 
         stands = finding(f"'{package}' was dressed as '{worn[0]}' earlier in this session, which stands", worn[1]) if worn else None
-        if e["faces"] is None:
+        if e.faces is None:
             why, told = (m.get("face_error") or "").strip(), f"unreadable:{package}"
             if stands or not why or told in self.faces:
                 return stands
             self.faces[told] = True
             return D("log_only", "low", "APP-FACE-UNREADABLE", f"the label and icon of '{package}' could not be read ({why}), so they were not compared")
-        own = e["known_as"]
-        named = [x.rsplit("|", 1) for x in e["faces"]]
+        own = e.known_as
+        named = [x.rsplit("|", 1) for x in e.faces]
         others = [x for x in named if x[0] != own]
         label = max(enumerate(others), key=lambda x: (x[1][1] == "exact", x[0]), default=(0, None))[1]
-        icon = e["icon_of"] if e["icon_of"] != own else None
+        icon = e.icon_of if e.icon_of != own else None
         if label or icon:
             name, sure = label[0] if label else icon, bool(label) or bool(worn and worn[1])
             self.faces[package] = (name, sure)
             who = f"is the registered app '{own}'" if own else "is not in the app registry"
-            how = (f"its label is {'that' if label[1] == 'exact' else 'a typo away from that'} of another app" + (" and so is its icon" if icon == name else "")) if label else f"its icon is {e['icon_far']} bits away from that of another app"
+            how = (f"its label is {'that' if label[1] == 'exact' else 'a typo away from that'} of another app" + (" and so is its icon" if icon == name else "")) if label else f"its icon is {e.icon_far} bits away from that of another app"
             return finding(f"'{package}' {who}, but {how}: it is dressed as '{name}'", sure)
         claimed = self.pinned.get(package) in ("unattested", "unproven", "no_signer_on_record")
-        if stands or not (claimed and own and (any(x[0] == own for x in named) or e["icon_of"] == own)):
+        if stands or not (claimed and own and (any(x[0] == own for x in named) or e.icon_of == own)):
             return stands
         told = f"unproven:{package}"
         if told in self.faces:
@@ -329,7 +351,7 @@ class Session:
     def primary(self, kind, app, m, e) -> tuple[dict, bool | None]:
         value = m.get("value_id")
         if value and kind in ("ui_tree_delta", "screen_frame", "network_flow", "clipboard_change"):
-            self.values.put(value, (TAINTED, HIGH if e["sensitive"] else PUBLIC))
+            self.values.put(value, (TAINTED, HIGH if e.sensitive else PUBLIC))
         if kind == "agent_session_start":
             if self.open:
                 return D("block", "high", "SESSION-RESTART", "a session is open; it has to end first", True), None
@@ -344,9 +366,9 @@ class Session:
             self.agent = self.profile = self.plan = self.apps = self.keys = self.hosts = self.declared = self.foreground = None
             return D("log_only", "info", "SESSION-END", "Agent session ended"), None
         if kind == "environment_survey":
-            self.survey(m, e["trusted"])
-        if e["first"]:
-            return dict(e["first"]), None
+            self.survey(m, e.trusted)
+        if e.first:
+            return dict(e.first), None
         self.reached = True
         if kind == "memory_read":
             return self.memory_read(m)
@@ -355,7 +377,7 @@ class Session:
         moved = self.foreground and self.declared is None and not alike(self.foreground, app)
         if kind in GUARDED and moved and d["action"] == "allow":
             d = D("alert", "high", "APP-TRANSITION", f"'{app}' acts while '{self.foreground}' is in front")
-        return (self.under_watch(d) if kind == "form_fill" and e["step"] == "disclose_high" else d), None
+        return (self.under_watch(d) if kind == "form_fill" and e.step == "disclose_high" else d), None
 
     def survey(self, m, trusted) -> None:
         new = {k: set(listed(m.get(k)) or ()) for k in RISKS}
@@ -391,8 +413,8 @@ class Session:
         return D("log_only", "info", "APP-FOCUS", f"in front: {app}")
 
     def on_deeplink(self, app, m, e) -> dict:
-        how = {"DL-UNKNOWN": ("alert", "medium", False), "DL-ALLOWLIST": ("block", "high", True), "DL-UNVERIFIED": ("block", "high", True)}.get(e["link"])
-        return D(how[0], how[1], e["link"], f"Deeplink '{m.get('uri', '')}' from '{app}': {e['link']}", how[2]) if how else ALLOW
+        how = {"DL-UNKNOWN": ("alert", "medium", False), "DL-ALLOWLIST": ("block", "high", True), "DL-UNVERIFIED": ("block", "high", True)}.get(e.link)
+        return D(how[0], how[1], e.link, f"Deeplink '{m.get('uri', '')}' from '{app}': {e.link}", how[2]) if how else ALLOW
 
     def on_permission_request(self, app, m, e) -> dict:
         key = m.get("item_key", "unknown")
@@ -482,8 +504,8 @@ class Session:
     # -- one event
 
     def step(self, *values) -> tuple:
-        e = dict(zip(USED, values, strict=True))
-        kind, app, m = e["event_type"], e["source_app"] or "", dict(e["metadata"] or ())
+        e = Seen._make(values)
+        kind, app, m = e.event_type, e.source_app or "", dict(e.metadata or ())
         if self.paused and kind not in ("agent_session_start", "agent_session_end"):
             return (*D("block", "high", "SESSION-PAUSED", "the session is paused since a decision was denied").values(), True, None, False)
         self.pending_save = self.pending_lower = None
@@ -491,7 +513,7 @@ class Session:
         identity, face = self.identity_finding(m, e), self.face_finding(m, e)
         scope = list(self.scope_findings(kind, app, e))
         d, correct = self.primary(kind, app, m, e)
-        off = self.drift(e["step"])
+        off = self.drift(e.step)
         anchor = False
         if off:
             d = merged(d, by_mode("require_confirm" if off[0] == "PLAN-MISSING" else self.c.mode("on_plan_drift"), off[0], off[1], "high"))
@@ -502,15 +524,15 @@ class Session:
             scope = list(self.scope_findings(kind, app, e))
         for f in (identity, face, self.file_finding(e), *scope):
             d = merged(d, f)
-        if e["breakout"]:
-            d = merged(d, by_mode(self.c.mode("on_context_breakout"), "FW-BREAKOUT", f"content tries to leave its envelope: {e['breakout']}", "medium"))
-        new = [k for k in e["anomalies"] or () if k not in self.reported]
+        if e.breakout:
+            d = merged(d, by_mode(self.c.mode("on_context_breakout"), "FW-BREAKOUT", f"content tries to leave its envelope: {e.breakout}", "medium"))
+        new = [k for k in e.anomalies or () if k not in self.reported]
         if new:
             self.reported.add(new[0])
-            d = merged(d, by_mode(self.c.mode("on_text_anomaly"), "FW-TEXT-ANOMALY", f"text anomaly: {', '.join(e['anomalies'])}", "low"))
-        asks = d["require_confirm"] and d["action"] in ("block", "alert") and not e["confirm"]
-        self.request = {"d": dict(d), "anchor": anchor, "off": off, "kind": e["step"], "save": self.pending_save, "lower": self.pending_lower} if asks else None
-        d = self.commit(e["step"], off, self.confirmed(dict(d), e["confirm"], anchor, off, e["step"]), e["confirm"])
+            d = merged(d, by_mode(self.c.mode("on_text_anomaly"), "FW-TEXT-ANOMALY", f"text anomaly: {', '.join(e.anomalies)}", "low"))
+        asks = d["require_confirm"] and d["action"] in ("block", "alert") and not e.confirm
+        self.request = {"d": dict(d), "anchor": anchor, "off": off, "kind": e.step, "save": self.pending_save, "lower": self.pending_lower} if asks else None
+        d = self.commit(e.step, off, self.confirmed(dict(d), e.confirm, anchor, off, e.step), e.confirm)
         return (*d.values(), self.paused, correct, self.reached)
 
     def confirmed(self, d, answer, anchor, off, kind) -> dict:
@@ -555,9 +577,9 @@ class Session:
         return d
 
 
-def decide_sessions(events: DataFrame, config: Config, domains: DataFrame, session: str = "session", order: str = "rowid") -> DataFrame:
+def decide_sessions(events: DataFrame, config: Config, domains: DataFrame, session: str = "session", order: str = "rowid", keep: Sequence[str] | None = None) -> DataFrame:
     """events with the decision on each (action, severity, rule_id, human_message, require_confirm), whether the session is paused after it, for memory
     reads whether they were correct, and whether the event got as far as its own type's rule (which is what scores count). events: session, rowid, platform, event_type, source_app, metadata, confirm ('approve', 'deny' or null: what the user
-    says if asked), trusted (a verified adapter sent it)."""
-    rows = prepared(events, config, domains)
-    return in_order(rows, [session], [order], USED, lambda: Session(config), ADDED).select(*events.columns, *ADDED)
+    says if asked), trusted (a verified adapter sent it). keep names the columns wanted, if not all. Events are dealt out by session as they are, and read where they lie."""
+    rows = told(dealt(hosted(events, domains), [session], [order]), config)
+    return folded(rows, [session], USED, lambda: Session(config), ADDED, keep or [*events.columns, *ADDED])

@@ -147,13 +147,17 @@ def step_kind(event_type: Column, metadata: Column, rules: Sequence[dict], high_
     """The kind of step an event is: the gravest kind that a rule's text declares, of equals the last, else by event type. Unknown keys count as high."""
     declared = F.lit(None).cast("struct<gravity:int,position:int,kind:string>")
     text = metadata["ui_text"]
-    kinds = []
-    for i, r in enumerate(rules):
-        if r.get("step_kind"):
-            ok = rule_text_matches(text, r["match_any_text"]) & (event_type.isin(r["event_types"]) if r.get("event_types") else F.lit(True))
-            kinds.append(F.when(text.isNotNull() & ok, F.struct(step_gravity(F.lit(r["step_kind"])).alias("gravity"), F.lit(i).alias("position"), F.lit(r["step_kind"]).alias("kind"))))
-    if kinds:
-        declared = F.array_max(F.array_compact(F.array(*kinds)))
+
+    def of(views: Column) -> Column:
+        kinds = []
+        for i, r in enumerate(rules):
+            if r.get("step_kind"):
+                ok = match_length(views, r["match_any_text"]).isNotNull() & (event_type.isin(r["event_types"]) if r.get("event_types") else F.lit(True))
+                kinds.append(F.when(ok, F.struct(step_gravity(F.lit(r["step_kind"])).alias("gravity"), F.lit(i).alias("position"), F.lit(r["step_kind"]).alias("kind"))))
+        return F.array_max(F.array_compact(F.array(*kinds)))
+
+    if any(r.get("step_kind") for r in rules):
+        declared = F.when(text.isNotNull(), bind(F.transform(matching_views(text), F.lower), of))
     known = list(low_keys)
     fill = F.when(F.coalesce(metadata["value_filled"], F.lit("")) != "true", "observe").when(metadata["profile_key"].isin(known) & ~metadata["profile_key"].isin(list(high_keys)), "disclose_low").otherwise("disclose_high")
     flow = F.lit("observe")

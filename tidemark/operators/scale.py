@@ -17,34 +17,78 @@ from pyspark.sql.window import Window
 _ARROW = {"boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
 
 
-def in_order(rows: DataFrame, keys: Sequence[str], order: Sequence[str], uses: Sequence[str], machine: Callable, added: dict[str, str]) -> DataFrame:
-    """rows with the columns added (name to type), which a state machine gives to each key's rows in order.
+def pylist(column: pa.Array) -> list:
+    """column.to_pylist(), made by columns: equal strings of a batch are one object, and maps, structs and lists are cut from their parts as a whole. Maps are dicts."""
+    kind, n = column.type, len(column)
+    if column.null_count == n:
+        return [None] * n
+    if column.null_count and pa.types.is_nested(kind):
+        valid = iter(pylist(column.drop_null()))
+        return [next(valid) if ok else None for ok in column.is_valid().to_numpy(zero_copy_only=False).tolist()]
+    if pa.types.is_string(kind):
+        coded = column.dictionary_encode()
+        words = [*coded.dictionary.to_pylist(), None]
+        return [words[i] for i in coded.indices.fill_null(len(words) - 1).to_numpy().tolist()]
+    if pa.types.is_map(kind) or pa.types.is_list(kind):
+        at = column.offsets.to_numpy().tolist()
+        part = lambda x: pylist(x.slice(at[0], at[-1] - at[0]))
+        cuts = [(a - at[0], z - at[0]) for a, z in zip(at, at[1:])]  # noqa: B905, RUF007
+        if pa.types.is_list(kind):
+            values = part(column.values)
+            return [values[a:z] for a, z in cuts]
+        names, values = part(column.keys), part(column.items)
+        return [dict(zip(names[a:z], values[a:z])) for a, z in cuts]  # noqa: B905
+    if pa.types.is_struct(kind):
+        names = [f.name for f in kind]
+        return [dict(zip(names, r)) for r in zip(*map(pylist, column.flatten()), strict=True)]  # noqa: B905
+    return column.to_pylist()
+
+
+def spread(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rows dealt out by keys into as many partitions as the session shuffles into: Spark joins small ones, which is wrong for rows that are small and make many."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def dealt(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """rows with all of a key in one partition, sorted by key and order."""
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+
+def in_order(rows: DataFrame, keys: Sequence[str], order: Sequence[str], uses: Sequence[str], machine: Callable, added: dict[str, str], keep: Sequence[str] | None = None) -> DataFrame:
+    """rows with the columns added (name to type), which a state machine gives to each key's rows in order; keep names the columns wanted, if not all.
 
     machine() makes a key's first state; its step(*values of uses) takes one row and returns the values added. Keys are dealt out and sorted by
     Spark, and batches run through the fold one after the other, so memory is a batch and one state, however many rows a key has.
     """
-    fields = [T.StructField(n, T._parse_datatype_string(t)) for n, t in added.items()]
-    names = [*rows.columns, *added]
-    types = [_ARROW[t] for t in added.values()]
+    return folded(dealt(rows, keys, order), keys, uses, machine, added, keep)
+
+
+def folded(rows: DataFrame, keys: Sequence[str], uses: Sequence[str], machine: Callable, added: dict[str, str], keep: Sequence[str] | None = None) -> DataFrame:
+    """in_order() for rows that are dealt() already."""
+    names = list(keep or [*rows.columns, *added])
+    given = [n for n in names if n not in added]
+    told = [(i, n, _ARROW[t]) for i, (n, t) in enumerate(added.items()) if n in names]
+    fields = [rows.schema[n] for n in given] + [T.StructField(n, T._parse_datatype_string(added[n])) for _, n, _ in told]
+    rows = rows.select(*dict.fromkeys([*keys, *uses, *given]))
     at = lambda some: [rows.columns.index(c) for c in some]
-    key_at, use_at = at(keys), at(uses)
+    key_at, use_at, given_at = at(keys), at(uses), at(given)
 
     def run(batches):
         now, state = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = zip(*[batch.column(i).to_pylist() for i in key_at], strict=True)
-            values = zip(*[batch.column(i).to_pylist() for i in use_at], strict=True)
+            key = zip(*[pylist(batch.column(i)) for i in key_at], strict=True)
+            values = zip(*[pylist(batch.column(i)) for i in use_at], strict=True)
             out = []
             for k, v in zip(key, values, strict=True):
                 if state is None or k != now:
                     now, state = k, machine()
                 out.append(state.step(*v))
-            more = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=names)
+            columns = list(zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in given_at], *[pa.array(columns[i], t) for i, _, t in told]], names=[*given, *[n for _, n, _ in told]])
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, T.StructType([*rows.schema.fields, *fields]))
+    return rows.mapInArrow(run, T.StructType(fields)).select(*names)
 
 
 def own_path(spark: SparkSession, name: str) -> str:
