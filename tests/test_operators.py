@@ -601,3 +601,15 @@ def test_sessions_are_read_where_they_lie(spark, monkeypatch):
     many = cascade.decide_sessions(session_frame(spark), SESSION_CONFIG, bad)
     got = {(r["session"], r["rowid"]): (r["rule_id"], r["human_message"]) for r in few.collect()}
     assert got == {(r["session"], r["rowid"]): (r["rule_id"], r["human_message"]) for r in many.collect()} and ("INTEL-DOMAIN" in {r for r, _ in got.values()})
+
+
+def test_overlapping_boxes_are_given_as_pairs_of_ids(spark, monkeypatch):
+    """All pairs, also of equal boxes, of which there are more than travel together."""
+    r = random.Random(5)
+    some = [(r.choice(["k", "m", None]), float(r.randint(-600, 600)), float(r.randint(-600, 600)), float(r.choice([0, 50, 300])), r.choice([20.0, 300.0, None])) for _ in range(50)]
+    boxes = [(i, *b) for i, b in enumerate(some + some[:9] * 7)]
+    meets = lambda a, b: None not in a + b and a[1] == b[1] and a[2] < b[2] + b[4] and b[2] < a[2] + a[4] and a[3] < b[3] + b[5] and b[3] < a[3] + a[5]
+    monkeypatch.setattr(frames, "TOGETHER", 3)
+    d = spark.createDataFrame(boxes, "id long, k string, x double, y double, width double, height double")
+    found = [(x["a"], x["b"]) for x in frames.overlapping_pairs(d, "k").collect()]
+    assert sorted(found) == sorted((a[0], b[0]) for a in boxes for b in boxes if a[0] < b[0] and meets(a, b))

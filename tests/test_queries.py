@@ -64,3 +64,10 @@ def test_chunks_of_long_documents_are_dealt_over_all_partitions(spark, tmp_path)
     spark.range(40).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a line\n"), 50).alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
     plan = queries.queries()["q23_ordered_chunks"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [file_index" in plan and ", 7" not in plan.split("RepartitionByExpression")[1].split("\n")[0]
+
+
+def test_overlapping_boxes_are_pairs(spark, duck):
+    boxes = duck.execute("select p_partkey, p_brand, p_partkey * 37 % 4000, p_partkey * 91 % 4000, p_size * 4, p_size * 3 from part").fetchall()
+    meets = lambda a, b: a[1] == b[1] and a[2] < b[2] + b[4] and b[2] < a[2] + a[4] and a[3] < b[3] + b[5] and b[3] < a[3] + a[5]
+    found = queries.queries()["v19_overlapping_boxes"](spark, DATA)
+    assert found.columns == ["a", "b"] and sorted(map(tuple, found.collect())) == sorted((a[0], b[0]) for a in boxes for b in boxes if a[0] < b[0] and meets(a, b))

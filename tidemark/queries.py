@@ -490,12 +490,10 @@ def v14_hash_distance(spark, sf_dir):
 BOX_SQL = "SELECT p_partkey AS id, p_brand AS k, (p_partkey * 37 % 4000)::DOUBLE AS x, (p_partkey * 91 % 4000)::DOUBLE AS y, p_size::DOUBLE * 4 AS w, p_size::DOUBLE * 3 AS h FROM part"
 
 
-@query(f"""WITH b AS ({BOX_SQL}), c AS (SELECT k, x, y, w, h, min(id) AS class_id, count(*) AS n FROM b GROUP BY k, x, y, w, h),
- l AS (SELECT a.class_id, CAST(sum(CASE WHEN a.class_id = b.class_id THEN b.n - 1 ELSE b.n END) AS BIGINT) AS n_links FROM c a JOIN c b ON a.k = b.k AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h GROUP BY 1)
- SELECT b.id, c.class_id, coalesce(l.n_links, 0) AS n_links FROM b JOIN c ON b.k IS NOT DISTINCT FROM c.k AND b.x IS NOT DISTINCT FROM c.x AND b.y IS NOT DISTINCT FROM c.y AND b.w IS NOT DISTINCT FROM c.w AND b.h IS NOT DISTINCT FROM c.h LEFT JOIN l ON l.class_id = c.class_id""")
+@query(f"WITH b AS ({BOX_SQL}) SELECT a.id AS a, b.id AS b FROM b a JOIN b ON a.k = b.k AND a.id < b.id AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h")
 def v19_overlapping_boxes(spark, sf_dir):
     p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("k"), (F.col("p_partkey") * 37 % 4000).cast("double").alias("x"), (F.col("p_partkey") * 91 % 4000).cast("double").alias("y"), (F.col("p_size") * 4).cast("double").alias("width"), (F.col("p_size") * 3).cast("double").alias("height"))
-    return frames.overlaps(p, "k")
+    return frames.overlapping_pairs(p, "k")
 
 
 # ---- registries, scenarios, browser ----
