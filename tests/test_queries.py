@@ -71,3 +71,20 @@ def test_overlapping_boxes_are_pairs(spark, duck):
     meets = lambda a, b: a[1] == b[1] and a[2] < b[2] + b[4] and b[2] < a[2] + a[4] and a[3] < b[3] + b[5] and b[3] < a[3] + a[5]
     found = queries.queries()["v19_overlapping_boxes"](spark, DATA)
     assert found.columns == ["a", "b"] and sorted(map(tuple, found.collect())) == sorted((a[0], b[0]) for a in boxes for b in boxes if a[0] < b[0] and meets(a, b))
+
+
+def through_python(plan) -> int:
+    """Rows that the Python steps of a plan that has run had back."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan" or name.endswith("QueryStage"):
+        return through_python(plan.executedPlan() if name == "AdaptiveSparkPlan" else plan.plan())
+    own = plan.metrics().get("pythonNumRowsReceived").get().value() if name == "BatchEvalPython" else 0
+    return own + sum(through_python(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+@pytest.mark.parametrize(("name", "cases", "composed"), [("r2_inspection_text", 4, (0, 1, 2)), ("r4_inspect_text", 7, (3,))])
+def test_texts_that_composition_cannot_change_wait_for_no_python(spark, duck, name, cases, composed):
+    out = queries.queries()[name](spark, DATA)
+    assert dict(out.collect()) == dict(duck.execute(queries.oracle_sql()[name]).fetchall())
+    got = through_python(out._jdf.queryExecution().executedPlan())
+    assert got == duck.execute(f"select count(*) from events where event_id % {cases} in {(*composed, -1)}").fetchone()[0]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ SECRET = (
     r"(?i)-----BEGIN (?:[A-Z ]+ )?PRIVATE KEY-----|\b(?:sk-[A-Za-z0-9_-]{20,}|gh[pousr]_[A-Za-z0-9]{20,}|AKIA[A-Z0-9]{16})\b|\b(?:password|passwd|api[_ -]?key|access[_ -]?token)\s*[:=]\s*\S{4,}|"
     r"(?:密码|密碼|口令)\s*[:：=]\s*\S{4,}"
 )
+NOT_ASCII = "[^\\x00-\\x7F]"
 DROPPED = "[\\x{AD}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{206F}\\x{FEFF}\\x{E0000}-\\x{E001F}\\x{E007F}]"
 MAX_TEXT, MAX_FINGERPRINTS, TEXT_PART, TITLE = 65_536, 500, 80, 120
 
@@ -35,13 +37,20 @@ def _composed(text: str | None) -> str | None:
 def nfkc(text: Column) -> Column:
     """Compatibility composition, which has no built-in expression. ASCII is the same in it and stays out of Python, and others go there a hundred rows at a time:
     long texts by Arrow's thousands would fill an executor."""
-    return F.coalesce(_composed(F.when(text.rlike("[^\\x00-\\x7F]"), text)), text)
+    return F.coalesce(_composed(F.when(text.rlike(NOT_ASCII), text)), text)
 
 
-def inspection_text(value: Column) -> Column:
+def composed_apart(rows: DataFrame, text: Column, f: Callable[[Callable[[Column], Column]], Column], out: str) -> DataFrame:
+    """rows with a column out, f(compose), where text is what f composes. Rows wait for Python whole, in a queue that goes to disk, and short inputs let many of them wait:
+    so only those go there whose text composition can change, of which few wait as their inputs are as long as they are."""
+    may = F.coalesce(text.rlike(NOT_ASCII), F.lit(False))
+    return rows.where(~may).select("*", f(lambda t: t).alias(out)).unionByName(rows.where(may).select("*", f(nfkc).alias(out)))
+
+
+def inspection_text(value: Column, compose: Callable[[Column], Column] = nfkc) -> Column:
     """What mail checks read: compatibility characters composed, tag characters decoded, invisible ones dropped."""
     tags, shown = "".join(chr(0xE0000 + x) for x in range(0x20, 0x7F)), "".join(map(chr, range(0x20, 0x7F)))
-    return F.regexp_replace(F.translate(nfkc(value), tags, shown), DROPPED, "")
+    return F.regexp_replace(F.translate(compose(value), tags, shown), DROPPED, "")
 
 
 def mail_card(value: Column) -> Column:
@@ -50,22 +59,30 @@ def mail_card(value: Column) -> Column:
     return digits.rlike("^[0-9]{13,19}$") & ~digits.rlike("^(.)\\1+$") & luhn(digits)
 
 
-def inspect_text(value: Column) -> Column:
+def short_text(value: Column) -> Column:
+    return F.when(F.length(value) <= MAX_TEXT, value)
+
+
+def inspect_text(value: Column, compose: Callable[[Column], Column] = nfkc) -> Column:
     """Kinds found in a mail's text: mail_uninspectable alone for null and over-long ones, else mail_injection and mail_sensitive."""
 
     def of(t: Column) -> Column:
         cards = F.exists(F.regexp_extract_all(t, F.lit("(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"), F.lit(0)), mail_card)
         return F.array_compact(F.array(F.when(t.rlike(INJECTION), F.lit("mail_injection")), F.when(t.rlike(SECRET) | cards, F.lit("mail_sensitive"))))
 
-    return F.when(value.isNull() | (F.length(value) > MAX_TEXT), F.array(F.lit("mail_uninspectable"))).otherwise(bind(inspection_text(F.when(F.length(value) <= MAX_TEXT, value)), of))
+    return F.when(value.isNull() | (F.length(value) > MAX_TEXT), F.array(F.lit("mail_uninspectable"))).otherwise(bind(inspection_text(short_text(value), compose), of))
+
+
+def mail_text(subject: Column, body: Column) -> Column:
+    return F.concat(subject, F.lit("\n"), body)
 
 
-def classify_send(complete: Column, attachments: Column, other_parts: Column, recipients: Column, subject: Column, body: Column) -> Column:
+def classify_send(complete: Column, attachments: Column, other_parts: Column, recipients: Column, subject: Column, body: Column, compose: Callable[[Column], Column] = nfkc) -> Column:
     """Why a mail has to be looked at, the first that applies: mail_uninspectable, mail_attachment, mail_recipients, or what its text holds; else empty."""
     too_long = subject.isNull() | body.isNull() | (F.length(subject) + F.length(body) > MAX_TEXT)
     return (
         F.when(~F.coalesce(complete, F.lit(False)), "mail_uninspectable").when((attachments > 0) | F.coalesce(other_parts, F.lit(False)), "mail_attachment").when(~recipients_complete(recipients), "mail_recipients")
-        .when(too_long, "mail_uninspectable").otherwise(F.coalesce(F.get(inspect_text(F.concat(subject, F.lit("\n"), body)), F.lit(0)), F.lit("")))
+        .when(too_long, "mail_uninspectable").otherwise(F.coalesce(F.get(inspect_text(mail_text(subject, body), compose), F.lit(0)), F.lit("")))
     )
 
 
