@@ -82,7 +82,7 @@ def through_python(plan) -> int:
     return own + sum(through_python(plan.children().apply(i)) for i in range(plan.children().size()))
 
 
-@pytest.mark.parametrize(("name", "cases", "composed"), [("r2_inspection_text", 4, (0, 1, 2)), ("r4_inspect_text", 7, (3,))])
+@pytest.mark.parametrize(("name", "cases", "composed"), [("r2_inspection_text", 4, (0, 1, 2)), ("r4_inspect_text", 7, (3,)), ("r6_classify_send", 8, ())])
 def test_texts_that_composition_cannot_change_wait_for_no_python(spark, duck, name, cases, composed):
     out = queries.queries()[name](spark, DATA)
     assert dict(out.collect()) == dict(duck.execute(queries.oracle_sql()[name]).fetchall())
