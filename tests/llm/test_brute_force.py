@@ -352,3 +352,45 @@ def test_pipeline(spark):
             assert held.columns == [*names, "shard"] and held.groupBy("doc_id").agg({"shard": "max"}).count() == len(after)
             assert all(r["n"] <= corpus_pipeline.SHARD_BYTES for r in held.selectExpr("shard", "octet_length(text) as b").groupBy("shard").agg({"b": "sum"}).toDF("shard", "n").collect())
     assert held.count() == corpus_pipeline.run(spark, DATA).count()
+
+
+def test_linked_sets_keep_a_key_in_common_in_any_order():
+    import numpy as np
+
+    rng, bands, plans, met = np.random.default_rng(3), nj.Bands(80, 100), {}, 0
+    for trial in range(600):
+        n = int(rng.integers(1, 60 if trial % 2 else 900))
+        a = rng.integers(0, 2**63, n).astype(np.uint64)
+        gone = int(rng.integers(0, n // 5 + 1))
+        b = np.concatenate([a[gone:], rng.integers(0, 2**63, int(rng.integers(0, n // 8 + 1))).astype(np.uint64)])
+        a, b = np.unique(a), np.unique(b)
+        both = len(np.intersect1d(a, b))
+        if not len(b) or 100 * both < 80 * (len(a) + len(b) - both):
+            continue
+        key, of, spared = nj.all_keys([a, b], bands, plans)
+        common = np.intersect1d(key[of < 2], key[of >= 2])
+        for order in ("common first", "any"):
+            hot = common if order == "common first" else np.unique(key)
+            kept = ~nj.left_out(key, of, spared, hot, rng.permutation(len(hot)).astype(np.int32))
+            assert len(np.intersect1d(key[kept & (of < 2)], key[kept & (of >= 2)]))
+        met += 1
+    assert met > 200 and max(bands.plan(25)) > 8
+
+
+def test_a_passage_that_many_documents_quote_ties_no_cluster(spark, monkeypatch):
+    """Before, such documents were one cluster, whose tiles all met each other: work and disk grew with the square of their number."""
+    import random
+
+    rng, largest, tiled = random.Random(9), [], nj.tiled
+    passage = [f"p{i}" for i in range(60)]
+    texts = {i: " ".join([f"w{rng.randrange(10**6)}" for _ in range(300)] + passage) for i in range(1, 601)}
+    texts |= {i + 1000: t + " more" for i, t in texts.items() if i % 50 == 0}
+
+    def seen(members, tile):
+        largest.append(members.groupBy("cluster").count().agg({"count": "max"}).first()[0])
+        return tiled(members, tile)
+
+    monkeypatch.setattr(nj, "tiled", seen)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nj.ngram_jaccard(docs).collect()}
+    assert got == components(texts, 5, 80, 100) and largest[0] < 20

@@ -10,6 +10,11 @@ a * (1 - t) / t shingles and a >= t * b. So:
   least 1 + e blocks of a linked pair agree in every bit. A block travels as the 64-bit XOR of its shingles' codes
   (its parity pattern in short). e spare blocks make sure that an agreeing block isn't an empty one, unless both
   documents have more than e empty blocks, and only then are empty blocks sent;
+* a document leaves out as many of its keys as it has spare blocks that aren't empty, those first that many documents
+  have: a linked pair has more keys in common than that, and the last of them in an order that all documents share
+  is left out by neither. So passages that many documents quote tie no documents together. The order may be any; it
+  comes from counts of the keys that documents of one batch share. Documents with equal sets are found before, and
+  one of them stands for all;
 * equal blocks join documents into stars around the smallest doc_id of each block value; stars that meet form a
   candidate cluster, which holds every linked pair in full;
 * within a cluster, tiles of bounded size meet each other once, first by dense bit sketches: pairs that their Hamming distance
@@ -37,6 +42,8 @@ from tidemark.llm.common import components, contiguous, mix, sieved, table
 TILE = 1024
 #: Least bits of a dense sketch.
 SKETCH_BITS = 2048
+#: Keys that are put in order by their counts, 12 bytes each; all others follow.
+HOT_KEYS = 1 << 20
 #: Block keys that a map task remembers, 16 bytes each; those of one more batch may come on top.
 HELD = 2_000_000
 
@@ -94,27 +101,122 @@ class Bands:
         while k + 1 >= len(self.low):
             self.upto(self.low[-1])
         most = (self.low[k + 1] - 1) * (self.den - self.num) // self.num
-        spare = 0 if most == 0 else 2 if most < 4 else 4 if most < 16 else 8
+        spare = 0 if most == 0 else max(2 if most < 4 else 4 if most < 16 else 8, 2 + most // 8)
         return most + 1 + spare, spare
 
 
-def block_keys(s: np.ndarray, k: int, blocks: int, spare: int) -> np.ndarray:
-    """Join keys of one set in band k; blocks are ranges of the sorted hashes."""
+def block_keys(s: np.ndarray, k: int, blocks: int, spare: int) -> tuple[np.ndarray, int]:
+    """Join keys of one set in band k, and how many of them it may leave out; blocks are ranges of the sorted hashes."""
     at = ((s >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     code = np.bitwise_xor.reduceat(mix(s, 3), first)
     which = at[first]
-    if blocks - len(first) > spare:
+    spared = spare - (blocks - len(first))
+    if spared < 0:  # others may send fewer, so one key in common is all that is sure
         empty = np.setdiff1d(np.arange(blocks, dtype=np.uint64), which)
         code, which = np.concatenate([code, np.zeros(len(empty), np.uint64)]), np.concatenate([which, empty])
-    return mix(code ^ mix(which + np.uint64(k << 32), 5), 6)
+    return mix(code ^ mix(which + np.uint64(k << 32), 5), 6), max(spared, 0)
+
+
+def all_keys(sets: list[np.ndarray], bands: Bands, plans: dict[int, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Join keys of all sets in their two bands: (keys, which set and band each is of, how many each set and band may leave out). Set and band 2i and 2i + 1 are of set i."""
+    keys, spared = [np.zeros(0, np.uint64)], np.zeros(2 * len(sets), np.int64)
+    size = np.zeros(2 * len(sets), np.int64)
+    for i, s in enumerate(sets):
+        if len(s):
+            k = bands.of(len(s))
+            for j, b in ((2 * i, k), (2 * i + 1, k - 1)):
+                if b >= 0:
+                    if b not in plans:
+                        plans[b] = bands.plan(b)
+                    x, spared[j] = block_keys(s, b, *plans[b])
+                    keys.append(x)
+                    size[j] = len(x)
+    return np.concatenate(keys), np.repeat(np.arange(len(size)), size), spared
+
+
+def left_out(key: np.ndarray, of: np.ndarray, spared: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which of all_keys() are left out: of each set and band the first it has in the order of rank, among the sorted keys hot, as many as are spared."""
+    out = np.zeros(len(key), bool)
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+        found = np.flatnonzero(hot[at] == key)
+        found = found[np.lexsort((rank[at[found]], of[found]))]
+        of = of[found]
+        first = np.searchsorted(of, of)  # where its set and band begins
+        out[found] = np.arange(len(found)) - first < spared[of]
+    return out
+
+
+SURVEY = T.StructType([T.StructField(n, T.LongType()) for n in ("doc", "n", "f1", "f2", "key", "hits")])
+
+
+def hashes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of sets and two hashes of each."""
+    return np.array([len(s) for s in sets], np.int64), np.array([(mix(s, 1).sum(), mix(s, 2).sum()) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
+
+
+def survey(width: int, num: int, den: int):
+    """Map step over rows with an id: a row (doc, n, f1, f2) for each document, and rows (key, hits) of block keys that different sets of one batch share.
+
+    A task remembers up to HELD of these keys; beyond that it forgets the rarer half.
+    """
+
+    def merged(parts):
+        key, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        return key, np.bincount(at, np.concatenate([h for _, h in parts]), len(key)).astype(np.int64)
+
+    def run(batches):
+        bands = Bands(num, den)
+        plans: dict[int, tuple[int, int]] = {}
+        held = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        for batch in batches:
+            keys, seen = [np.zeros(0, np.uint64)], np.zeros((0, 2), np.int64)
+            for at in range(0, batch.num_rows, 2000):
+                sets = shingle_sets(batch.column(1).slice(at, 2000), width)
+                n, f = hashes(sets)
+                none = pa.nulls(len(n), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 2000), *[pa.array(np.ascontiguousarray(x)) for x in (n, f[:, 0], f[:, 1])], none, none], names=SURVEY.names)
+                new = np.unique(np.concatenate([seen, f]), axis=0, return_index=True)[1] - len(seen)
+                keys.append(all_keys([sets[i] for i in new[new >= 0]], bands, plans)[0])
+                seen = np.concatenate([seen, f[new[new >= 0]]])
+            key, hits = np.unique(np.concatenate(keys), return_counts=True)
+            held.append((key[hits > 1], hits[hits > 1]))
+            if sum(len(k) for k, _ in held) > HELD:
+                key, hits = merged(held)
+                most = np.argsort(-hits, kind="stable")[: HELD // 2]
+                held = [(key[most], hits[most])]
+        key, hits = merged(held)
+        none = pa.nulls(len(key), pa.int64())
+        yield pa.RecordBatch.from_arrays([none] * 4 + [pa.array(key.view(np.int64)), pa.array(hits)], names=SURVEY.names)
+
+    return run
 
 
-SIGNATURE = T.StructType([*[T.StructField(n, T.LongType()) for n in ("key", "doc", "hub", "n", "f1", "f2")], T.StructField("sketch", T.BinaryType())])
+def hottest(surveyed: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Up to most of the keys with the most hits, sorted, and the rank of each by hits and key."""
+    counts = surveyed.where("key is not null").groupBy("key").agg(F.sum("hits").alias("hits")).withColumn("step", F.floor(F.log2("hits") * 8))
+    total, least = 0, None
+    for r in counts.groupBy("step").count().orderBy(F.desc("step")).collect():
+        total += r["count"]
+        if total > most:
+            break
+        least = r["step"]
+    found = counts.where(F.col("step") >= F.lit(least)).select("key", "hits").toArrow()
+    key, hits = found.column("key").to_numpy().view(np.uint64), found.column("hits").to_numpy()
+    order = np.lexsort((key, -hits))
+    rank = np.empty(len(key), np.int32)
+    rank[order] = np.arange(len(key), dtype=np.int32)
+    order = np.argsort(key)
+    return key[order], rank[order]
 
 
-def signatures(width: int, num: int, den: int):
-    """Map step over rows with an id: a row (doc, n, f1, f2, sketch) for each document, and block keys.
+SIGNATURE = T.StructType([T.StructField(n, T.LongType()) for n in ("key", "doc", "hub")])
+SKETCH = T.StructType([*[T.StructField(n, T.LongType()) for n in ("doc", "n", "f1", "f2")], T.StructField("sketch", T.BinaryType())])
+
+
+def signatures(width: int, num: int, den: int, hot: np.ndarray, rank: np.ndarray):
+    """Map step over rows with an id: their block keys, but for those that are left_out().
 
     Documents of one task with the same key are joined here: the first to hold it goes on under the key, the others as finished
     edges (hub, doc) dealt out at random. So a key that a third of all documents share shuffles a row a task, and whatever comes
@@ -130,24 +232,11 @@ def signatures(width: int, num: int, den: int):
             for at in range(0, len(ids), 2000):
                 doc = ids.slice(at, 2000).to_numpy(zero_copy_only=False)
                 sets = shingle_sets(texts.slice(at, 2000), width)
-                keys, owner = [], []
-                n = np.array([len(s) for s in sets], np.int64)
-                f = np.array([(mix(s, 1).sum(), mix(s, 2).sum()) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
-                for i, s in enumerate(sets):
-                    if not len(s):
-                        continue
-                    k = bands.of(len(s))
-                    for b in (k, k - 1):
-                        if b >= 0:
-                            if b not in plans:
-                                plans[b] = bands.plan(b)
-                            x = block_keys(s, b, *plans[b])
-                            keys.append(x)
-                            owner.append(np.full(len(x), doc[i]))
-                yield _rows(mix(doc.view(np.uint64), 9), doc, None, n, f, [dense(s).tobytes() for s in sets])
-                if not keys:
+                key, of, spared = all_keys(sets, bands, plans)
+                keep = ~left_out(key, of, spared, hot, rank)
+                key, own = key[keep], doc[of[keep] // 2]
+                if not len(key):
                     continue
-                key, own = np.concatenate(keys), np.concatenate(owner)
                 order = np.lexsort((own, key))
                 key, own = key[order], own[order]
                 new = np.concatenate([[True], key[1:] != key[:-1]])
@@ -182,11 +271,23 @@ def set_sizes(width: int):
     return run
 
 
-def _rows(key, doc, hub=None, n=None, f=None, sketches=None) -> pa.RecordBatch:
-    none = pa.nulls(len(doc), pa.int64())
-    columns = [pa.array(key.view(np.int64)), pa.array(np.ascontiguousarray(doc)), none if hub is None else pa.array(np.ascontiguousarray(hub))]
-    columns += [none] * 3 if n is None else [pa.array(n), pa.array(np.ascontiguousarray(f[:, 0])), pa.array(np.ascontiguousarray(f[:, 1]))]
-    return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(doc), pa.binary()) if sketches is None else pa.array(sketches, pa.binary())], names=SIGNATURE.names)
+def _rows(key, doc, hub=None) -> pa.RecordBatch:
+    columns = [pa.array(key.view(np.int64)), pa.array(np.ascontiguousarray(doc)), pa.nulls(len(doc), pa.int64()) if hub is None else pa.array(np.ascontiguousarray(hub))]
+    return pa.RecordBatch.from_arrays(columns, names=SIGNATURE.names)
+
+
+def sketches(width: int):
+    """Map step over rows with an id: a row (doc, n, f1, f2, sketch) for each document."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                sets = shingle_sets(batch.column(1).slice(at, 2000), width)
+                n, f = hashes(sets)
+                drawn = pa.array([dense(s).tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 2000), *[pa.array(np.ascontiguousarray(x)) for x in (n, f[:, 0], f[:, 1])], drawn], names=SKETCH.names)
+
+    return run
 
 
 def sketch_bits(n: int) -> int:
@@ -337,20 +438,23 @@ def ngram_jaccard(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    rows = docs.where("doc is not null").mapInArrow(signatures(width, num, den), SIGNATURE)
-    low = F.min(F.when(F.col("hub").isNull() & F.col("n").isNull(), F.col("doc"))).over(Window.partitionBy("key"))
-    met = rows.withColumn("hub", F.when(F.col("n").isNull(), F.coalesce("hub", low))).where("n is not null or hub <> doc")
-    met = table(met.select("doc", "hub", "n", "f1", "f2", "sketch").dropDuplicates(), "jaccard-met")
-    sizes = met.where("n is not null").select("doc", "n", "f1", "f2")
-    kinds = met.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc").alias("rep"), F.first("sketch").alias("sketch"))  # equal sets have equal sketches
-    kinds = table(kinds, "jaccard-kind")
-    first = kinds.select("n", "f1", "f2", "rep")
-    clusters = components(met.where("n is null").select(F.col("doc").alias("a"), F.col("hub").alias("b")), "jaccard-cluster")
+    known = docs.where("doc is not null")
+    surveyed = table(known.mapInArrow(survey(width, num, den), SURVEY), "jaccard-survey")
+    sizes = surveyed.where("n is not null").select("doc", "n", "f1", "f2")
+    first = table(sizes.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc").alias("rep")), "jaccard-first")
+    # Equal sets have equal keys, so the first is enough; some more that the sieve lets through do no harm.
+    reps = sieved(known, first.select(F.col("rep").alias("doc")), ["doc"]).where("maybe").select("doc", "text")
+    rows = reps.mapInArrow(signatures(width, num, den, *hottest(surveyed, HOT_KEYS)), SIGNATURE)
+    low = F.min(F.when(F.col("hub").isNull(), F.col("doc"))).over(Window.partitionBy("key"))
+    met = rows.select("doc", F.coalesce("hub", low).alias("hub")).where("hub <> doc")
+    clusters = components(met.select(F.col("doc").alias("a"), F.col("hub").alias("b")), "jaccard-cluster")
     bands = Bands(num, den)
     bands.upto(sizes.agg(F.max("n")).first()[0] or 1)
     band = sum(((F.col("n") >= x).cast("int") for x in bands.low if x > 1), F.lit(0))
-    members = clusters.join(kinds, F.col("node") == F.col("rep")).select(F.col("rep").alias("doc"), F.col("component").alias("cluster"), band.alias("band"), "n", "sketch")
+    members = clusters.join(first, F.col("node") == F.col("rep")).select(F.col("rep").alias("doc"), F.col("component").alias("cluster"), band.alias("band"), "n", "f1", "f2")
     members = table(members, "jaccard-member")
+    drawn = sieved(known, members, ["doc"]).where("maybe").select("doc", "text").mapInArrow(sketches(width), SKETCH).dropDuplicates(["doc", "n", "f1", "f2"])
+    members = table(members.join(drawn, ["doc", "n", "f1", "f2"]), "jaccard-member")
     near = together(members.select("doc", "n", "sketch").join(tiled(members, tile), "doc")).mapInArrow(sketch_links(num, den), "a long, b long")
     close = components(near, "jaccard-close")
     members = table(members.select("doc", "band").join(close.select(F.col("node").alias("doc"), F.col("component").alias("cluster")), "doc"), "jaccard-member")
